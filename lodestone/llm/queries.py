@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, language_id
+from lodestone.llm import exact_dedup, language_id, mixing, packing
 from lodestone.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -21,11 +29,34 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_mixing_sources": op5_mixing_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing_sources": """
+        WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+        weighted AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS weight FROM sizes),
+        rates AS (
+          SELECT source, (SELECT sum(n) FROM weighted)::DOUBLE * (weight / (SELECT sum(weight) FROM weighted)) / n AS rate FROM weighted
+        ),
+        poisson(source, rate, k, term, total) AS (
+          SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+          UNION ALL
+          SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1)
+          FROM poisson WHERE k < CAST(ceil(rate + 12.0 * sqrt(rate) + 25.0) AS INT)
+        ),
+        drawn AS (
+          SELECT d.*, ('0x' || substr(md5('5:' || d.doc_id || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents d
+        ),
+        counts AS (
+          SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS n
+          FROM drawn d JOIN poisson p ON p.source = d.source AND p.total <= d.u GROUP BY ALL
+        )
+        SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INT AS copy FROM counts
+    """,
     "op7_exact_dedup": """
         WITH d AS (
           SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
