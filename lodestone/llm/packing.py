@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import materialize
+from lodestone.llm.base import materialize, spans_of_chars, texts_of
 
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,23 +51,27 @@ class WordCachedTokenizer:
         self.library = Tokenizer.from_file(path)
         self.cached_words = cached_words
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _UNUSUAL.search(text):
-            return self._whole([text])[0]
-        words = _SPLIT.findall(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            if len(self.words) > self.cached_words:
-                self.words.clear()
-            new = [w for w in set(words) if w not in self.words]
-            self.words.update(zip(new, self._whole(new)))
-            return b"".join(map(self.words.__getitem__, words))
+    def _learn(self, words: set[str]) -> None:
+        """Sees to it that the ids of ``words`` are at hand; words not met for long are forgotten."""
+        if len(self.words) > self.cached_words:
+            self.words, self.older = {}, self.words
+        words -= self.words.keys()
+        again = words & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        new = list(words - again)
+        self.words.update(zip(new, self._whole(new)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [None if _UNUSUAL.search(t) else _SPLIT.findall(t) for t in texts]
+        self._learn(set().union(*(w for w in split if w)))
+        ids = self.words.__getitem__
+        return [self._whole([t])[0] if w is None else b"".join(map(ids, w)) for t, w in zip(texts, split)]
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
@@ -95,12 +99,14 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = TO
     last = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode
+        encode = tokenizer(vocabulary).encode_all
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             size = 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + last
+            texts, docs_of = texts_of(batch), batch.column("doc_id").to_pylist()
+            encoded = (pair for a, b in spans_of_chars(texts, 1 << 22) for pair in zip(docs_of[a:b], encode(texts[a:b])))
+            for doc, ids in encoded:
+                ids += last
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
