@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, language_id, mixing, packing, quality_rules, toxicity
+from lodestone.llm import exact_dedup, language_id, mixing, packing, pii, quality_rules, toxicity, warc
 from lodestone.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
     "op1_toxicity": op1_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -46,6 +56,14 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+        FROM g
+    """,
     "op5_mixing_sources": """
         WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         weighted AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS weight FROM sizes),
