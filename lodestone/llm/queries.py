@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, language_id, mixing, packing, pii, quality_rules, toxicity, warc
+from lodestone.llm import exact_dedup, kneser_ney, language_id, mixing, packing, pii, quality_rules, toxicity, warc
 from lodestone.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
     "op1_toxicity": op1_toxicity,
