@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, kneser_ney, language_id, mixing, packing, pii, quality_rules, toxicity, warc
+from lodestone.llm import exact_dedup, kneser_ney, language_id, mixing, ngram_join, packing, pii, quality_rules, toxicity, warc
 from lodestone.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
