@@ -18,10 +18,16 @@ VECTORS_AT_A_TIME = 4096
 BROADCAST_TERMS = 200_000
 
 
+def tokens_of(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, length, term) of every word. explode_outer, because Spark infers a filter for explode
+    that splits each text once more; texts without words give a null term."""
+    split = docs.select(*keys, words(text).alias("__words"))
+    return split.select(*keys, F.size("__words").alias("length"), F.explode_outer("__words").alias("__word")).select(*keys, "length", fold_plural("__word").alias("term"))
+
+
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A4: (key, term, tf, length); texts are split once, in the scan."""
-    terms = docs.select(key, F.explode(words(text)).alias("__word")).select(key, fold_plural("__word").alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """A4: (key, term, tf)."""
+    return tokens_of(docs, [key], text).where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,8 +50,7 @@ def bm25(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     wanted = question_terms(questions).persist()
     terms = wanted.select("term").distinct()
     few = terms.count() <= BROADCAST_TERMS
-    tokens = docs.select(key, F.size(words(text)).alias("length"), F.explode(words(text)).alias("__word")).select(key, "length", fold_plural("__word").alias("term"))
-    matched = tokens.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    matched = tokens_of(docs, [key], text).join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     statistics = corpus_statistics(docs, text).first()
     n, average = F.lit(float(statistics["n_docs"])), F.lit(float(statistics["avg_len"]))
@@ -65,8 +70,7 @@ def bm25_within(questions: DataFrame, passages: DataFrame, key: str = "chunk_id"
     wanted = question_terms(questions)
     lengths = passages.select("question_id", key, F.size(words(text)).alias("length"))
     statistics = lengths.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg(F.col("length").cast("double")), F.lit(0.0)), F.lit(1.0)).alias("average"))
-    tokens = passages.select("question_id", key, F.size(words(text)).alias("length"), F.explode(words(text)).alias("__w")).select("question_id", key, "length", fold_plural("__w").alias("term"))
-    tf = tokens.join(wanted, ["question_id", "term"]).groupBy("question_id", key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tokens_of(passages, ["question_id", key], text).join(wanted, ["question_id", "term"]).groupBy("question_id", key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average"))
