@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows whose crc32(doc_id as text) leaves this remainder by 3 are held out of all training.
 HELD_OUT_REMAINDER = 1
+#: Of an Arrow batch that goes to a Python worker.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,15 +54,15 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def map_arrow(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``batch_fn`` over Arrow batches, one batch out for each in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch_fn(batch)
-
-    return df.mapInArrow(run, schema)
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts to some megabytes, on both sides of the pipe; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(key))
+        except Exception:  # noqa: BLE001  a version of Spark without this setting
+            continue
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def record_batch(schema: pa.Schema | list[tuple[str, pa.DataType]], **columns) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import hash_unit, held_out, may_learn, record_batch, segment_sums, spans_of_chars
+from lodestone.llm.base import bound_batches, hash_unit, held_out, may_learn, record_batch, segment_sums, spans_of_chars
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -83,6 +83,7 @@ def has_letter(text: str) -> bool:
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, smoothing: float = 0.5) -> LanguageModel:
     """The model of the rows of ``docs`` with a language that may be learned from (doc_id, text, lang)."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(may_learn()).where("lang is not null and text is not null").select("doc_id", "text", "lang", hash_unit("doc_id", seed=8).alias("u"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -126,6 +127,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ties go to the language that is first by name. Ids may be null or repeated; an empty table gives
     an empty one; other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import materialize, record_batch, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, materialize, record_batch, spans_of_chars, texts_of
 from lodestone.llm.components import connected_components
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -225,7 +225,7 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
 _TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())]
 
 
-def prefix_tokens(docs: DataFrame, order: GlobalOrder) -> tuple[DataFrame, DataFrame]:
+def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(token, node) of the prefixes, and (node, n, bitmap); a node may come more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -239,9 +239,9 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder) -> tuple[DataFrame, DataF
                 node = fingerprint(grams)
                 if node in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(node)
-                first = shared.value.ordered(grams)[: prefix_length(len(grams))].view(np.int64)
+                first = shared.value.ordered(grams)[: prefix_length(len(grams), percent)].view(np.int64)
                 nodes.append(node)
                 sizes.append(len(grams))
                 maps.append(parity_bitmap(grams))
@@ -398,8 +398,9 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     have no n-grams and no links. Rows with equal sets are linked; null ids stay null, and count only
     where a group has no other. An empty table gives an empty one; other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     rows, order = read_sets(docs)
-    tokens, described = prefix_tokens(docs, order)
+    tokens, described = prefix_tokens(docs, order, percent)
     by_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id", "copies"), "nodes")
     shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import materialize, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, materialize, spans_of_chars, texts_of
 
 CAPACITY = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,7 +31,8 @@ END_OF_DOCUMENT = 2
 #: Groups that the pieces of one length are counted in, at least; more as the corpus grows.
 SALTS = 16
 ROWS_PER_SALT = 100_000
-CACHED_WORDS = 400_000
+#: Words of a worker whose ids are kept, in each of two generations (some 50 MB in all).
+CACHED_WORDS = 100_000
 
 # The vocabulary's split of text before its merges, for characters whose class no Unicode version disputes.
 _SPACE = "\\t-\\r\\x20\\xa0"
@@ -137,6 +138,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = TO
                         rows.append((doc, k, a, b - a, zlib.crc32(part), part)[: 5 + keep_ids])
                 yield batch_of(rows)
 
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 

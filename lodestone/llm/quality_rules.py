@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import hash_unit, may_learn, record_batch
+from lodestone.llm.base import bound_batches, hash_unit, may_learn, record_batch
 from lodestone.llm.boosting import FlatTrees, fit
 
 TRAINING_ROWS = 16_000
@@ -80,6 +80,7 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> FlatTrees | None:
     """Trees for the probability of quality 0; None where there are no labels of both kinds."""
+    bound_batches(docs.sparkSession)
     known = labels.where(may_learn()).where("quality in (0, 1)")
     share = min(1.0, rows / max(1, known.count()))
     sample = known.where(hash_unit("doc_id", seed=6) < share).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropDuplicates(["doc_id"])
@@ -107,6 +108,7 @@ def judge(docs: DataFrame, trees: FlatTrees | None, threshold: float = THRESHOLD
     Null text has no words and fails the base rules. Without trees the base rules decide alone. Ids
     may be null or repeated; an empty table gives an empty one; other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

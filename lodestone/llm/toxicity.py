@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import hash_unit, held_out, may_learn, record_batch, segment_sums
+from lodestone.llm.base import bound_batches, hash_unit, held_out, may_learn, record_batch, segment_sums
 
 POSITIVES = 3000
 UNLABELLED = 9000
@@ -122,6 +122,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, longest: int = LONGEST, vocabulary: int = VOCABULARY, bags: int = BAGS) -> ToxicityModel:
     """The model of the rows that may be learned from; scores everything 0 where no positive is known."""
+    bound_batches(docs.sparkSession)
     known = labels.where(may_learn()).where("toxic is not null")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
     if not size["n"] or not size["p"]:
@@ -202,6 +203,7 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD)
     Null and empty texts have no word and get the score of the bias alone. Ids may be null or
     repeated; an empty table gives an empty one; other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
