@@ -24,6 +24,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLOTS = 4
 #: Digests that one shard's index holds; the number of shards follows from it.
 KEYS_PER_SHARD = 400_000
+#: Groups of copies up to this many are broadcast to the documents (some 40 MB); more are joined by shuffle.
+BROADCAST_GROUPS = 400_000
 
 
 class CuckooIndex:
@@ -194,6 +196,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_digest()).alias("digest")), "digests")
     groups = materialize(digest_groups(digests).where("group_size > 1"), "copies")
     live = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), (F.col("keep_times") > 1).alias("__again"))
+    live = F.broadcast(live) if groups.count() <= BROADCAST_GROUPS else live
     joined = docs.withColumn("__digest", F.unhex(text_digest())).join(live, "__digest", "left")
     stays = joined.where(F.col("__again").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
     if groups.where("keep_times > 1").isEmpty():

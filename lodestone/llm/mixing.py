@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import hash_unit
+from lodestone.llm.base import hash_unit, materialize
 
 SEED = 5
 #: Target weight of a source with n documents: n to this power.
 TEMPERATURE = 0.5
 #: A larger mean is the sum of several independent smaller ones, so exp(-mean) never vanishes.
 LARGEST_MEAN = 500.0
+#: Sources up to this many are broadcast with their distribution functions; more are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total_rows: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -64,7 +66,8 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, partitions: int | N
     names = [c for c in docs.columns if c != "copy"]
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(LARGEST_MEAN)).cast("int"))
-    table = rates.where("rate > 0").select(key.alias("__source"), parts.alias("__parts"), poisson_steps(F.col("rate") / parts).alias("__sums"))
+    table = materialize(rates.where("rate > 0").select(key.alias("__source"), parts.alias("__parts"), poisson_steps(F.col("rate") / parts).alias("__sums")), "rates")
+    table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
     def count_of(part: Column) -> Column:
