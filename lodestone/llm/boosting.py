@@ -52,7 +52,7 @@ class _Nodes:
 def fit(x: np.ndarray, y: np.ndarray, increasing: tuple[int, ...] = (), trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 1.0, least: int = 20) -> FlatTrees:
     """Logistic boosting of ``y`` (0 or 1); the margin never falls as a feature of ``increasing`` rises."""
     n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.empty(0) for j in range(d)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], axis=1) if n else np.zeros((0, d), int)
     rate_of_ones = min(max(float(y.mean()) if n else 0.5, 1e-4), 1 - 1e-4)
     base = float(np.log(rate_of_ones / (1 - rate_of_ones)))

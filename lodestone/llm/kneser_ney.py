@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import held_out, may_learn, materialize, record_batch, segment_sums, spans_of_chars
+from lodestone.llm.base import bound_batches, held_out, may_learn, materialize, record_batch, segment_sums, spans_of_chars
 
 ORDER = 5
 BITS = 12
@@ -39,6 +39,8 @@ PRIOR_CHARS = 150
 MARGIN = 0.05
 #: With fewer trusted documents than this a language takes the threshold of all.
 LEAST_DOCS = 30
+#: Languages up to this many are broadcast with their thresholds; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 def char_codes(text: str) -> np.ndarray:
@@ -265,6 +267,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     nothing to score: perplexity is null and they are not kept. A null language is ``und``. Without
     trusted text all else is kept, with null thresholds. Ids may be null or repeated.
     """
+    bound_batches(docs.sparkSession)
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     known = ids.withColumn("__trusted", F.lit(True))
     known = F.broadcast(known) if ids.count() <= BROADCAST_IDS else known
@@ -273,15 +276,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     model = train(marked.where("__trusted").where(may_learn()))
     scored = materialize(log_likelihoods(marked.withColumn("__unseen", F.coalesce("__trusted", F.lit(False)) & held_out()).drop("__trusted"), model, broadcast_rows), "likelihoods")
     trusted = scored.where("__unseen and scored_chars > 0")
-    means = trusted.groupBy("lang").agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean"), F.count(F.lit(1)).alias("docs"))
+    means = materialize(trusted.groupBy("lang").agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean"), F.count(F.lit(1)).alias("docs")), "means")
+    few = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda df: df)  # a hot language is then no hot key
     everywhere = trusted.agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean")).first()["mean"]
     mean = F.when(F.col("docs") >= LEAST_DOCS, F.col("mean")).otherwise(F.lit(everywhere))
     drawn = (-(F.col("log_p") + F.lit(prior_chars) * F.coalesce(mean, F.lit(everywhere).cast("double"))) / (F.col("scored_chars") + prior_chars)).alias("__log")
-    # a row for each language: as few as there are languages
-    base = scored.join(means, "lang", "left").select("doc_id", "lang", "scored_chars", "__unseen", "docs", F.when(F.col("scored_chars") > 0, drawn).alias("__log"))
+    base = scored.join(few(means), "lang", "left").select("doc_id", "lang", "scored_chars", "__unseen", "docs", F.when(F.col("scored_chars") > 0, drawn).alias("__log"))
     judged = base.where("__unseen and scored_chars > 0")
     cut = judged.groupBy("lang").agg(F.percentile_approx("__log", quantile, 20_000).alias("__cut"))
     overall = judged.agg(F.percentile_approx("__log", quantile, 20_000).alias("c")).first()["c"]
     threshold = F.coalesce(F.when(F.col("docs") >= LEAST_DOCS, F.col("__cut")), F.lit(overall).cast("double")) + margin
     kept = (F.col("scored_chars") > 0) & F.coalesce(F.col("__log") <= threshold, F.lit(True))
-    return base.join(cut, "lang", "left").select("doc_id", "lang", "scored_chars", F.exp("__log").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"))
+    return base.join(few(cut), "lang", "left").select("doc_id", "lang", "scored_chars", F.exp("__log").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"))

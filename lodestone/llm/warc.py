@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import hash_unit, record_batch, shared_dir
+from lodestone.llm.base import bound_batches, hash_unit, record_batch, shared_dir
 
 LEAST_BYTES = 1000
 FILE_BYTES = 64 << 20
@@ -85,7 +85,7 @@ class _File:
         self.store, self.root, self.range, self.part = store, root, number, part
         self.name = f"pages-{number:06d}-{part:05d}.warc.gz"
         self.temporary = f"{root}/.tmp-{uuid.uuid4().hex}-{self.name}"
-        self.out = store.open_output_stream(self.temporary)
+        self.out = store.open_output_stream(self.temporary, compression=None)  # members are packed here
         self.bytes = self.records = 0
         self.sum = hashlib.sha256()
         info = f"software: lodestone\r\nformat: WARC File Format 1.1\r\nisPartOf: {self.name}\r\n".encode()
@@ -117,7 +117,7 @@ def range_bounds(sizes: DataFrame, range_bytes: int, per_range: int = SAMPLED_PE
     if ranges == 1:
         return []
     share = min(1.0, per_range * ranges / max(1, total["n"]))
-    sample = sizes.where("page_id is not null").where(hash_unit("page_id", seed=9) < share).select("page_id", "payload_bytes").toArrow().sort_by("page_id")
+    sample = sizes.where("page_id is not null").where(hash_unit("page_id", seed=9) < share).select("page_id", "payload_bytes").toArrow().sort_by([("page_id", "ascending"), ("payload_bytes", "ascending")])
     ids, weight = sample.column(0).to_numpy(), sample.column(1).to_numpy().astype(float) + 1
     reached = np.cumsum(weight) / weight.sum()
     return sorted({int(ids[np.searchsorted(reached, k / ranges)]) for k in range(1, ranges)}) if len(ids) else []
@@ -134,6 +134,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST_BYTES, file_by
     of a group's response are responses too. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("html"))
     meta = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
     groups = meta.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
@@ -225,7 +226,7 @@ def read_archives(manifest: DataFrame, uri: str, payloads: bool = False) -> Data
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for headers, block in records_of(stream):
                         if headers["WARC-Type"] not in ("response", "revisit"):
                             continue
