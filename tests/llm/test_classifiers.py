@@ -1,0 +1,250 @@
+"""Operators whose models are trained here: toxicity, quality rules, quality by perplexity, personal data."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import boosting, kneser_ney, pii, quality_rules, toxicity
+from tests.llm.conftest import words
+
+
+# Toxicity.
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rng = random.Random(5)
+    plain = "ta re mi no ka lo su".split()
+    docs, labels = [], []
+    for i in range(1500):
+        bad = i % 10 == 0
+        t = words(rng, 40, plain).split()
+        for _ in range(rng.randint(1, 3) if bad else 0):
+            t.insert(rng.randrange(len(t)), rng.choice(["Vileone", "viletwo", "grosser,"]))
+        docs.append((i, " ".join(t)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxic_documents_are_found(toxic):
+    docs, labels = toxic
+    rows = toxicity.score_toxicity(docs, labels).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(1500)}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 10 == 0) for r in held) >= 0.98 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+def test_risk_is_held_above_zero():
+    rng = np.random.default_rng(0)
+    rows = [np.array([0]) if i < 40 else (np.array([0]) if i % 10 == 0 else np.array([1])) for i in range(400)]
+    positive = np.arange(400) < 40
+    w, b = toxicity.fit_nnpu(rows, positive, 2, 0.1, sparsity=0.0)
+    p = 1 / (1 + np.exp(-(w + b)))
+    assert p[0] > 0.5 > p[1]
+    assert toxicity.best_bin_prior(np.where(positive, 1.0, (np.arange(400) % 10 == 0).astype(float)), positive) == pytest.approx(0.1, abs=0.02)
+    del rng
+
+
+def test_toxicity_of_odd_tables(docs, odd, empty, labels, no_labels):
+    assert toxicity.score_toxicity(odd, labels).count() == odd.count()
+    assert toxicity.score_toxicity(empty, labels).count() == 0
+    assert {r.score for r in toxicity.score_toxicity(docs, no_labels).collect()} == {0.0}
+
+
+# Boosted trees.
+
+
+def test_trees_fit_and_stay_monotonic():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] > 0.6) | ((x[:, 1] > 0.5) & (x[:, 2] < 0.3))).astype(float)
+    trees = boosting.fit(x, y, increasing=(0,))
+    assert ((trees.probability(x) > 0.5) == y).mean() > 0.97
+    for row in x[:50]:
+        line = np.tile(row, (40, 1))
+        line[:, 0] = np.linspace(0, 1, 40)
+        assert (np.diff(trees.margin(line)) >= -1e-12).all()
+
+    def walk(row):  # the flat arrays say what a walk node by node says
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return total
+
+    assert np.allclose(trees.margin(x[:100]), [walk(r) for r in x[:100]])
+    assert len(boosting.fit(np.zeros((0, 3)), np.zeros(0)).roots) == 0
+
+
+# Quality rules.
+
+
+def brute_counts(text):
+    text = text or ""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(found, found[1:], found[2:]))
+    inside = set()
+    for i in range(len(found) - 2):
+        if windows[tuple(found[i : i + 3])] >= 2:
+            inside |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    n_symbols = sum(c in "#*$%&|<>" for c in text) if found else 0
+    return [len(found), sum(map(len, found)), n_symbols, dup, len(inside)]
+
+
+def test_counts_of_whole_texts(docs):
+    texts = [r.text for r in docs.collect()] + ["a b c a b c", "x\ny\nx\n\n \n", "# $% | <x>", "é\xa0ü  z", "a b", "t u v w " * 30, "\x1c \x85"]
+    for t in texts:
+        assert quality_rules.statistics(t or "")[0] == brute_counts(t), t
+
+
+def test_quality_rules(spark, odd, empty, labels, no_labels):
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        t = words(rng, 80, "ta re mi no ka".split())
+        rows.append((i, " ".join(w + "%%%" for w in t.split()) if bad else t))
+        marks.append((i, int(not bad), 0))
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, labels.schema)
+    out = quality_rules.apply_rules(d, m).collect()
+    assert all(r.kept == (r.doc_id % 3 != 0) and not r.base_failed for r in out)
+    for r in quality_rules.apply_rules(odd, no_labels).collect():
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed)
+    assert quality_rules.apply_rules(odd, labels).count() == odd.count() and quality_rules.apply_rules(empty, labels).count() == 0
+
+
+# Quality by perplexity.
+
+
+class Plain:
+    """Interpolated modified Kneser-Ney with dictionaries."""
+
+    def __init__(self, texts):
+        codes = [[0] * (kneser_ney.ORDER - 1) + [int(c) for c in kneser_ney.char_codes(t)] for t in texts]
+        counts = Counter(tuple(c[i : i + 5]) for c in codes for i in range(len(c) - 4))
+        self.counts = {5: counts}
+        for k in (4, 3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.floor = 1 / (len(self.counts[1]) + 1)
+        self.discounts, self.contexts = {}, {}
+        for k, table in self.counts.items():
+            n1, n2, n3, n4 = (sum(v == i for v in table.values()) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            raw = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
+            self.discounts[k] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
+            self.contexts[k] = {}
+            for g, n in table.items():
+                total, cut = self.contexts[k].get(g[:-1], (0, 0.0))
+                self.contexts[k][g[:-1]] = (total + n, cut + self.discounts[k][min(n, 3) - 1])
+
+    def p(self, g):
+        k = len(g)
+        if not k:
+            return self.floor
+        lower = self.p(g[1:])
+        if g[:-1] not in self.contexts[k]:
+            return lower
+        total, cut = self.contexts[k][g[:-1]]
+        n = self.counts[k].get(g, 0)
+        own = (n - self.discounts[k][min(n, 3) - 1]) / total if n else 0.0
+        return own + cut / total * lower
+
+    def log_p(self, text):
+        c = [0] * 4 + [int(x) for x in kneser_ney.char_codes(text or "")]
+        return sum(math.log(self.p(tuple(c[i : i + 5]))) for i in range(len(c) - 4))
+
+
+def test_perplexity_against_dictionaries(spark):
+    rng = random.Random(4)
+    trusted = [words(rng, 30, "ta re mi no ka".split()) for _ in range(40)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in [*trusted, None, ""]], "text string").repartition(3))
+    plain = Plain(trusted)
+    texts = [*trusted[:5], "unseen % text 日本", "ta", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (10**9, 0):  # by broadcast and by joins
+        got = {r.doc_id: (r.scored_chars, r.log_p) for r in kneser_ney.log_likelihoods(d, model, limit).collect()}
+        for i, t in enumerate(texts):
+            assert got[i][0] == len(t or "") and got[i][1] == pytest.approx(plain.log_p(t), rel=1e-9)
+    total = sum(plain.p((ord("t"), ord("a"), ord(" "), ord("r"), c)) for (c,) in plain.counts[1])
+    assert total == pytest.approx(1 - plain.floor * 0, abs=0.02)
+
+
+def test_clean_documents_stay(spark, labels):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(1200):
+        junk = i % 6 == 0
+        t = words(rng, 60, "ta re mi no ka".split())
+        rows.append((i, " ".join(w + "%&$" for w in t.split()) if junk else t, "en"))
+        marks.append((i, int(not junk), 0))
+    out = kneser_ney.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, labels.schema)).collect()
+    assert not any(r.kept for r in out if r.doc_id % 6 == 0)
+    assert sum(r.kept for r in out if r.doc_id % 6) >= 0.995 * 1000
+
+
+def test_perplexity_of_odd_tables(odd, empty, labels, no_labels):
+    assert kneser_ney.score_quality(odd, labels).count() == odd.count()
+    assert kneser_ney.score_quality(empty, labels).count() == 0
+    out = kneser_ney.score_quality(odd, no_labels).collect()
+    assert all(r.kept == bool(r.scored_chars) for r in out)
+
+
+# Personal data.
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def plain_spans(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[ -]", "", m[0])
+        if 16 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(8)
+    pieces = ["a@b.co", "x.y+z@mail-1.example.com", "@", "a@b", ".", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111111111111112", "+1 (988) 555-2485", "+12", " ", "é", "-", "0", "a@b.c@d.e", "..", "%"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_secrets_are_added_and_clean_text_is_left_alone(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(1200):
+        t = words(rng, 30, "ta re mi no".split())
+        extra = ["", "", "Licensed under version 3.", "in 1999 and 4.0.", f"call +1 (988) 555-{1000 + i % 9000}", f"a{i}@mail.example.com", f'token = "{rng.getrandbits(160):040x}"', "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQR234567") for _ in range(16))][i % 8]
+        rows.append((i, f"{t} {extra} {t}"))
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].spans == "" for i in out if i % 8 < 4)
+    assert sum("secret:" in out[i].spans for i in out if i % 8 >= 6) >= 0.99 * 300
+    assert all(out[i].n_phone == 1 for i in out if i % 8 == 4) and all(out[i].n_email == 1 for i in out if i % 8 == 5)
+    for i, t in rows:
+        base = plain_spans(t)
+        assert out[i].spans.startswith(pii.joined(base))
+        assert {k: getattr(out[i], f"n_{k}") for k in pii.BASE_KINDS} == {k: sum(s[0] == k for s in base) for k in pii.BASE_KINDS}
+
+
+def test_personal_data_of_odd_tables(odd, empty):
+    out = pii.find(odd, pii.PiiModel(None, {}), redacted=True)
+    assert out.count() == odd.count() and out.where(F.col("base_sha256").isNull()).isEmpty()
+    assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(empty).count() == 0
+    assert pii.redact("me a@b.co now", [("email", 3, 9)]) == "me [EMAIL] now"
