@@ -52,21 +52,35 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(4, min(8, len(word))))]
 
 
+def features_of_text(text: str) -> set[str]:
+    """The features of a text's words; a beginning of two different words or more has another star."""
+    seen = Counter(f for w in words_of(text) for f in features_of(w))
+    return seen.keys() | {f + "*" for f, n in seen.items() if n > 1 and f.endswith("*")}
+
+
 class FeatureIndex(dict):
     """The numbers of the known features of a word; those met lately are kept."""
 
     def __init__(self, vocabulary: dict[str, int], kept: int = 300_000) -> None:
         super().__init__()
         self.vocabulary, self.kept = vocabulary, kept
+        known = {f.rstrip("*") + "*" for f in vocabulary if f.endswith("*")} | {f for f in vocabulary if not f.endswith("*")}
+        self.base = {f: i for i, f in enumerate(sorted(known))}
+        self.names = sorted(known)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > self.kept:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[f] for f in features_of(word) if f in self.vocabulary)
+        found = self[word] = tuple(self.base[f] for f in features_of(word) if f in self.base)
         return found
 
     def of(self, text: str) -> list[int]:
-        return sorted(set(chain.from_iterable(map(self.__getitem__, words_of(text)))))
+        out = set()
+        for i, n in Counter(chain.from_iterable(map(self.__getitem__, words_of(text)))).items():
+            for f in (self.names[i], self.names[i] + "*")[: 1 + (n > 1)]:
+                if f in self.vocabulary:
+                    out.add(self.vocabulary[f])
+        return sorted(out)
 
 
 @dataclass
@@ -145,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, pos in zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist()):
-                seen[pos].update({f for w in words_of(text) for f in features_of(w)})
+                seen[pos].update(features_of_text(text))
         words = list(seen[0].keys() | seen[1].keys())
         yield record_batch([("word", pa.string()), ("p", pa.int64()), ("u", pa.int64())], word=words, p=[seen[1][w] for w in words], u=[seen[0][w] for w in words])
 
