@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,14 +65,19 @@ class WordCachedTokenizer:
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.merges = _same_merges(path)
         self.cached_words = cached_words
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """Loaded when a text first needs it: it takes some 40 MB of each worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
