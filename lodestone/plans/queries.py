@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import constants as K
 from lodestone.functions import prose, text
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
+from lodestone.plans import api
 from lodestone.plans.research import Research
 from lodestone.session import read_table
 from lodestone.sources import providers, tables
@@ -77,6 +78,12 @@ def _pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / PAGES_A_QUESTION).alias("question_id"), "doc_id", "text", F.substring("text", 1, 60).alias("title"), F.col("doc_id").alias("ordinal"))
 
 
+def _corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a web of pages."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("markdown"))
+
+
 # Ranking.
 
 _BM25_SQL = f"""
@@ -469,6 +476,27 @@ def w13_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.round_robin(_results(spark, sf_dir))
 
 
+@query(f"""WITH w AS (SELECT item_id, unnest({_anchors_sql('text')}) AS w FROM benchmark)
+  SELECT item_id, w, CASE WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%es' AND length(w) >= 5 THEN left(w, length(w) - 2)
+    WHEN w LIKE '%e' AND length(w) >= 4 THEN left(w, length(w) - 1) WHEN w LIKE '%s' AND length(w) >= 4 THEN left(w, length(w) - 1) ELSE w END AS stem FROM w""")
+def r4_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = read_table(spark, sf_dir, "benchmark").select("item_id", F.explode(text.anchor_sequence("text")).alias("w"))
+    return words.select("item_id", "w", text.stem("w").alias("stem"))
+
+
+@query()
+def r9_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.array_join(F.array_sort(text.title_key(F.concat(F.lit("[PDF] "), tables.page_title(F.col("html")), F.lit(" - Example Site")))), " ").alias("title_key"))
+
+
+@query("SELECT url, title, count(*) AS n_lines FROM (SELECT 'https://' || source || '.example.org/' || doc_id AS url, substr(text, 1, 60) AS title, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\\s\\p{Z}]') GROUP BY ALL")
+def s10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of pages, by URL, as the documents entry point gives them."""
+    provider = providers.CorpusSearch(_corpus_pages(spark, sf_dir))
+    return api.documents(provider, provider.pages).groupBy("url", "title").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query(f"SELECT page_id, {_HOST_SQL} AS site FROM pages")
 def r12_site_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.site_names(read_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "site")
@@ -734,9 +762,13 @@ def a12_trail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def l0_research_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline (L1 to L5 by rules): every question against the documents as pages."""
-    docs = read_table(spark, sf_dir, "documents")
-    pages = docs.select(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"), F.col("doc_id")).alias("url"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("markdown"))
-    return Research(providers.CorpusSearch(pages)).run(_questions(spark, sf_dir))
+    return Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir))).run(_questions(spark, sf_dir))
+
+
+@query()
+def t1_answer_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their trails as server-sent events."""
+    return api.answer_frames(Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir))), _questions(spark, sf_dir))
 
 
 FLAGSHIP = "w3_bm25_search"

@@ -16,6 +16,7 @@ from lodestone.functions.prose import collapse_wiki_maths_udf, presentable_udf
 from lodestone.functions.text import shortfall, tidy_theme
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
 from lodestone.plans.stage import staged
+from lodestone.plans.trail import trail_of
 from lodestone.sources.providers import LanguageModel, RuleModel, SearchProvider
 
 
@@ -26,6 +27,16 @@ class Research:
     search: SearchProvider
     model: LanguageModel = field(default_factory=RuleModel)
     limit: int = K.MAX_SOURCES
+    passes: list[DataFrame] = field(default_factory=list, init=False, repr=False)
+
+    def trail(self) -> DataFrame:
+        """The steps of the last run, of both its passes."""
+        if not self.passes:
+            raise ValueError("nothing has been run")
+        out = self.passes[0]
+        for part in self.passes[1:]:
+            out = out.unionByName(part)
+        return out
 
     def plan(self, questions: DataFrame) -> DataFrame:
         """Stage 2: (question_id, query_idx, query) of the searches that stay on the subject, the question first."""
@@ -72,7 +83,9 @@ class Research:
         claims = staged(self.answer(questions, relevant), "claims")
         grades = self.model.grade_answer(questions, claims)
         graded = grades.select("question_id", F.col("is_satisfactory").alias("sufficient"), F.lit(number).alias("retry_count"), "problem", shortfall("problem", "missing", "reasoning").alias("shortfall"))
-        return claims.withColumn("attempt", F.lit(number)), staged(evidence.next_step(graded), "graded")
+        verdicts = staged(evidence.next_step(graded), "graded")
+        self.passes.append(trail_of(planned, chosen, chunks, relevant, claims, verdicts, number))
+        return claims.withColumn("attempt", F.lit(number)), verdicts
 
     def run(self, questions: DataFrame) -> DataFrame:
         """(question_id, question, claims, attempt, evidence_sufficient, shortfall) for (question_id, question).
@@ -80,6 +93,7 @@ class Research:
         A question whose second pass has a grounded claim is answered by it, else by its first, which
         then counts as insufficient.
         """
+        self.passes.clear()
         first = questions.select("question_id", "question", F.col("question").alias("search_query"))
         claims0, graded0 = self.attempt(first, 0)
         again = first.join(graded0.where("next = 'refine'").select("question_id"), "question_id", "left_semi")

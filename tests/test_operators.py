@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
-from lodestone.plans import queries
+from lodestone.plans import api, queries
 from lodestone.plans.research import Research
 from lodestone.sources import providers, tables
 from lodestone.streaming import activity
@@ -229,6 +229,21 @@ def test_research_answers_and_retries(spark):
     assert not out[2].evidence_sufficient and out[2].claims == []
 
 
+def test_entry_points(spark):
+    pages = [(f"https://site{i}.org/p", f"Entropy and heat part {w}", f"Entropy is a measure of heat number {i}.\n\nIt grows. " * 4) for i, w in enumerate("alpha beta gamma delta".split())]
+    search = providers.CorpusSearch(spark.createDataFrame(pages, "url string, title string, markdown string"))
+    requests = spark.createDataFrame([(1, "what is entropy", 2), (2, "ab", 5)], "question_id long, question string, limit int")
+    found, rejects = api.search(search, requests)
+    assert found.count() == 2 and [tuple(r) for r in rejects.collect()] == [(2, "too short")]
+    lines = api.documents(search, spark.createDataFrame([("https://site1.org/p",), ("https://nowhere.org",)], "url string"))
+    assert {r.line_number for r in lines.collect()} == {1, 3, 5, 7, 9}
+    frames = api.answer_frames(Research(search), requests.select("question_id", "question")).orderBy("question_id", "seq").collect()
+    assert [r.event for r in frames if r.question_id == 2] == ["error"]
+    own = [r for r in frames if r.question_id == 1]
+    assert [r.seq for r in own] == list(range(len(own))) and own[-1].event == "result" and sum(r.event == "result" for r in own) == 1
+    assert '"kind":"plan"' in own[0].frame and any('"kind":"scrape_ok"' in r.frame for r in own)
+
+
 SF = "/root/testdata/sf0.001"
 
 
