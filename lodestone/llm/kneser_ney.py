@@ -219,17 +219,15 @@ def log_likelihoods(docs: DataFrame, model: KneserNey, broadcast_rows: int = BRO
         return _joined_likelihoods(docs.select(*names, "text"), names, model)
     shared = docs.sparkSession.sparkContext.broadcast(model.tables())
 
-    @F.pandas_udf("scored_chars long, log_p double")
-    def score(texts):
-        import pandas as pd
-
-        plain = [t or "" for t in texts]
+    @F.arrow_udf("scored_chars long, log_p double")
+    def score(texts: pa.Array) -> pa.Array:
+        plain = [t or "" for t in texts.to_pylist()]
         chars, log_p = np.zeros(len(plain), np.int64), np.zeros(len(plain))
         for a, b in spans_of_chars(plain, 1 << 19):
             keys, lengths = ngram_keys(plain[a:b])
             chars[a:b] = lengths
             log_p[a:b] = segment_sums(np.log(shared.value.probability(keys)), lengths)
-        return pd.DataFrame({"scored_chars": chars, "log_p": log_p})
+        return pa.StructArray.from_arrays([pa.array(chars, pa.int64()), pa.array(log_p)], ["scored_chars", "log_p"])
 
     return docs.select(*names, score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__s")).select(*names, "__s.*")
 

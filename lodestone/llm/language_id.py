@@ -163,15 +163,13 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **train_options) ->
     model = train(docs, **train_options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        plain = ["" if t is None else t for t in texts]
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        plain = [t or "" for t in texts.to_pylist()]
         log = shared.value.score(plain)
         size = np.sqrt(np.maximum(1, np.array([len(t) for t in plain], dtype=float)))[:, None]
         tempered = np.exp((log - log.max(axis=1, keepdims=True)) / size)
         sure = 1 / tempered.sum(axis=1) >= min_score
-        return pd.Series([bool(s) and has_letter(t) for s, t in zip(sure, plain)])
+        return pa.array([bool(s) and has_letter(t) for s, t in zip(sure, plain)])
 
     return docs.where(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))

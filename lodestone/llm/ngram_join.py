@@ -23,6 +23,7 @@ Components of all verified links then give each document the smallest doc_id it
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,8 @@ PERCENT = 90
 WORDS = 3
 FRAGMENTS = 8
 SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 16
+#: Counters that travel together, packed; most are zero in a small task.
+SKETCH_CHUNK = 1 << 14
 #: Rows of a posting group that one task compares with each other at a time.
 BLOCK = 1500
 #: Bits of the filter that says which documents to read again (1 MB; more for more documents, to 16 MB).
@@ -169,6 +171,14 @@ class GlobalOrder:
         return np.split(ordered, np.searchsorted(ordered, self.cuts << _SHIFT))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype="<i8")
+
+
 _FIRST = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
 
 
@@ -190,7 +200,7 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
             yield record_batch(_FIRST, doc_id=batch.column("doc_id"), n=n, node=node, chunk=none, task=none, counts=none)
         task = TaskContext.get().partitionId()
         parts = [(i, sketch[i : i + SKETCH_CHUNK]) for i in range(0, len(sketch), SKETCH_CHUNK)]
-        parts = [(i // SKETCH_CHUNK, c.astype("<i8").tobytes()) for i, c in parts if c.any()]
+        parts = [(i // SKETCH_CHUNK, _packed(c)) for i, c in parts if c.any()]
         none = [None] * len(parts)
         yield record_batch(_FIRST, doc_id=none, n=none, node=none, chunk=[i for i, _ in parts], task=[task] * len(parts), counts=[c for _, c in parts])
 
@@ -199,21 +209,20 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
     counted = table.where("chunk is not null").select("chunk", "task", "counts")
     tasks = counted.agg(F.max("task").alias("t")).first()["t"]
 
-    def add(pdf):
-        import pandas as pd
-
-        total = sum(np.frombuffer(c, dtype="<i8") for c in pdf["counts"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "task": pdf["task"].iloc[:1] // 64, "counts": [total.astype("<i8").tobytes()]})
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(_unpacked(c) for c in rows.column("counts").to_pylist())
+        first = rows.slice(0, 1).to_pylist()[0]
+        return pa.table({"chunk": pa.array([first["chunk"]], pa.int32()), "task": pa.array([first["task"] // 64], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
 
     left = (tasks or 0) + 1
-    while True:  # a tree: no group has more than 64 rows of 512 KB
-        counted = counted.withColumn("upper", F.floor(F.col("task") / 64)).groupBy("chunk", "upper").applyInPandas(add, "chunk int, task int, counts binary")
+    while True:  # a tree: no group has more than 64 rows of 128 KB at most
+        counted = counted.withColumn("upper", F.floor(F.col("task") / 64)).groupBy("chunk", "upper").applyInArrow(add, "chunk int, task int, counts binary")
         if left <= 64:
             break
         left = -(-left // 64)
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in counted.toArrow().to_pylist():  # at most 16 rows of 512 KB
-        sketch[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(row["counts"], dtype="<i8")
+    for row in counted.toArrow().to_pylist():  # at most 64 rows of 128 KB
+        sketch[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = _unpacked(row["counts"])
     by_frequency = np.argsort(sketch, kind="stable")
     rank = np.empty(len(sketch), dtype=np.uint64)
     rank[by_frequency] = np.arange(len(sketch), dtype=np.uint64)
@@ -312,12 +321,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalO
 
 
 def _bitmaps_allow(percent: int):
-    @F.pandas_udf("boolean")
-    def allow(n_a, map_a, n_b, map_b):
-        import pandas as pd
-
-        number = int.from_bytes
-        return pd.Series([may_link(n, m, differing_bits(number(x, "little"), 8 * len(x), number(y, "little"), 8 * len(y)), percent) for n, x, m, y in zip(n_a, map_a, n_b, map_b)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def allow(n_a: pa.Array, map_a: pa.Array, n_b: pa.Array, map_b: pa.Array) -> pa.Array:
+        number, rows = int.from_bytes, zip(*(c.to_pylist() for c in (n_a, map_a, n_b, map_b)))
+        return pa.array([may_link(n, m, differing_bits(number(x, "little"), 8 * len(x), number(y, "little"), 8 * len(y)), percent) for n, x, m, y in rows], pa.bool_())
 
     return allow
 

@@ -230,14 +230,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = groups.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
     ranked = salted.withColumn("__nth", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__id")) - 1).join(before, ["length", "__salt"])
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
-        import pandas as pd
-
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         p = shared.value
-        at = p.first[length.to_numpy(dtype=np.int64)] + rank.to_numpy(dtype=np.int64)
+        at = p.first[length.to_numpy(zero_copy_only=False)] + rank.to_numpy(zero_copy_only=False)
         i = np.searchsorted(p.begin, at, side="right") - 1
-        return pd.DataFrame({"sequence_id": 2 * (p.base[i] + at - p.begin[i]), "offset": p.offset[i]})
+        return pa.StructArray.from_arrays([pa.array(2 * (p.base[i] + at - p.begin[i]), pa.int64()), pa.array(p.offset[i], pa.int64())], ["sequence_id", "offset"])
 
     placed = ranked.withColumn("__at", place("length", F.col("__before") + F.col("__nth"))).select(*names, "__at.sequence_id", "__at.offset")
     alone = whole.select(*names, (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -141,14 +141,10 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST_BYTES, file_by
     again = meta.where(F.col("payload_bytes") >= least).join(groups, "digest").where("page_id is null or page_id <> target").select("page_id", "digest", "target").distinct()
     bounds = spark.sparkContext.broadcast(np.array(range_bounds(meta, range_bytes), dtype=np.int64))
 
-    @F.pandas_udf("long")
-    def range_of(ids):
-        import pandas as pd
-
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int64)
-        out[known] = np.searchsorted(bounds.value, ids[known].to_numpy(dtype=np.int64), side="left")
-        return pd.Series(out)
+    @F.arrow_udf("long")
+    def range_of(ids: pa.Array) -> pa.Array:
+        numbers = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(bounds.value, numbers, side="left"), pa.int64())
 
     marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "target", F.lit(0).alias("kind"))
     tagged = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("target"), F.lit(1).alias("kind")).unionByName(marks).withColumn("range", range_of("page_id"))
