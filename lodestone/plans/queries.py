@@ -535,6 +535,14 @@ def d3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirrors.containment_pairs(_pages_read(spark, sf_dir))
 
 
+@query(f"""WITH {_SHINGLES_SQL}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL)
+  SELECT a, b, round(shared / least(x.n, y.n)::DOUBLE, 9) AS containment FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / least(x.n, y.n)::DOUBLE >= 0.55""")
+def d3_containment_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3, J7 over all documents."""
+    return mirrors.corpus_containment(read_table(spark, sf_dir, "documents"))
+
+
 @query(f"""WITH t AS (SELECT page_id // 12 AS question_id, page_id, list_distinct(regexp_extract_all(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '{K.WORD}')) AS w FROM pages)
   SELECT question_id, a, b, round(j, 9) AS jaccard FROM (SELECT x.question_id, x.page_id AS a, y.page_id AS b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE AS j
   FROM t x JOIN t y ON x.question_id = y.question_id AND x.page_id < y.page_id WHERE len(x.w) >= 4 AND len(y.w) >= 4) WHERE j >= 0.85""")
@@ -544,9 +552,18 @@ def d4_title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirrors.title_pairs(pages)
 
 
+@query(f"""WITH t AS (SELECT page_id, list_distinct(regexp_extract_all(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '{K.WORD}')) AS w FROM pages)
+  SELECT a, b, round(j, 9) AS jaccard FROM (SELECT x.page_id AS a, y.page_id AS b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE AS j
+  FROM t x JOIN t y ON x.page_id < y.page_id WHERE len(x.w) >= 4 AND len(y.w) >= 4) WHERE j >= 0.85""")
+def d4_title_identity_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4, J6 over all pages."""
+    return mirrors.corpus_titles(read_table(spark, sf_dir, "pages").select("page_id", tables.page_title(F.col("html")).alias("title")))
+
+
 @query()
 def d5_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mirrors.find_mirrors(_pages_read(spark, sf_dir))
+    """D5 over all documents."""
+    return mirrors.corpus_mirrors(_pages_read(spark, sf_dir))
 
 
 @query("SELECT conv_id AS run_id, turn AS seq, role AS event FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'result' END FROM conversations GROUP BY conv_id")

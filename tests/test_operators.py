@@ -128,6 +128,26 @@ def test_rounds_decide_like_the_loop(spark):
     assert {r.node: r.kept_node for r in mirrors.decide(edges, pages).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_mirrors_of_a_corpus(spark, block):
+    nine = "one two three four five six seven eight nine"
+    ids = [3, 40, 77, 140, 141, 300, 301]  # no two near copies are neighbours
+    texts = [STUB, ARTICLE, ABSTRACT, "aaa bbb ccc", "xxx yyy", "", "alone here"]
+    titles = ["", None, "", nine, nine + " nine", "Adaptive Optics", "Adaptive Optics"]
+    docs = spark.createDataFrame(list(zip(ids, texts, titles)), "doc_id long, text string, title string")
+    expected = {ids[i]: ids[k] for i, k in mirrors.mirrors_of(texts, titles).items()}
+    out = {r.doc_id: r.mirror_of for r in mirrors.corpus_mirrors(docs, block=block).collect()}
+    assert set(out) == set(ids) and {i: k for i, k in out.items() if k is not None} == expected == {3: 40, 77: 40, 141: 140}
+    assert {(r.a, r.b) for r in mirrors.corpus_containment(docs, block=block).collect()} == {(3, 40), (3, 77), (40, 77)}
+    assert {(r.a, r.b, r.jaccard) for r in mirrors.corpus_titles(docs, key="doc_id", block=block).collect()} == {(140, 141, 1.0)}
+
+
+def test_long_chains_are_decided(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(59)], "earlier long, later long").coalesce(1)
+    pages = spark.range(60).select(F.col("id").alias("node")).coalesce(1)
+    assert {r.node: r.kept_node for r in mirrors.decide(edges, pages).collect()} == {i: i - i % 2 for i in range(60)}
+
+
 def test_failed_batch_keeps_its_passages(spark):
     rows = spark.createDataFrame([(1, i, i) for i in range(16)], "question_id long, chunk_id long, rank int")
     batched = evidence.judge_batches(rows)
