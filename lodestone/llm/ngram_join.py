@@ -1,6 +1,7 @@
 """N-gram Jaccard join with vertical partitioning.
 
-Every document is the set of its distinct word 3-grams (64-bit hashes). A global order of n-grams,
+Every document is the set of its distinct word n-grams (64-bit hashes; of three words if not told
+otherwise). A global order of n-grams,
 rare ones first, comes from a frequency sketch of fixed size (2**20 counters over all documents);
 any order gives the same result, a good one gives few candidates. The order is cut into fragments of
 equal mass, each set thereby into segments. Two sets are compared by counting the overlap of their
@@ -93,20 +94,20 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(sums), per_text
 
 
-def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text; with fewer words the whole sequence is one n-gram."""
+def shingle_sets(texts: list[str], size: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's runs of ``size`` words; with fewer words the whole sequence is one n-gram."""
     for a, b in spans_of_chars(texts, 1 << 19):
         words, per_text = word_hashes(texts[a:b])
         with np.errstate(over="ignore"):
-            n = max(0, len(words) - WORDS + 1)
+            n = max(0, len(words) - size + 1)
             grams = np.zeros(n, dtype=np.uint64)
-            for k in range(WORDS):
+            for k in range(size):
                 grams = grams * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
         grams = _mix(grams)
         start = 0
         for count in per_text.tolist():
-            if count >= WORDS:
-                yield np.unique(grams[start : start + count - WORDS + 1])
+            if count >= size:
+                yield np.unique(grams[start : start + count - size + 1])
             elif count:
                 with np.errstate(over="ignore"):
                     h = np.uint64(count)
@@ -182,7 +183,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 _FIRST = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("chunk", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())]
 
 
-def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
+def read_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, GlobalOrder]:
     """(doc_id, n, node) of each row, node null for empty sets; and the global order of all n-grams."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
         for batch in batches:
             texts = texts_of(batch)
             n, node = [], []
-            for grams in shingle_sets(texts):
+            for grams in shingle_sets(texts, words):
                 n.append(len(grams))
                 node.append(fingerprint(grams) if len(grams) else None)
                 np.add.at(sketch, (grams >> _SHIFT).astype(np.int64), 1)
@@ -234,7 +235,7 @@ def read_sets(docs: DataFrame) -> tuple[DataFrame, GlobalOrder]:
 _TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())]
 
 
-def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(token, node) of the prefixes, and (node, n, bitmap); a node may come more than once."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -242,7 +243,7 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT) -
         seen: set[int] = set()
         for batch in batches:
             nodes, sizes, maps, tokens, owners = [], [], [], [], []
-            for grams in shingle_sets(texts_of(batch)):
+            for grams in shingle_sets(texts_of(batch), words):
                 if not len(grams):
                     continue
                 node = fingerprint(grams)
@@ -269,14 +270,14 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT) -
     return table.where("token is not null").select("token", "node"), table.where("token is null").select("node", "n", "bitmap")
 
 
-def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder) -> DataFrame:
+def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words: int = WORDS) -> DataFrame:
     """(node, fragment, items) of the sets whose (node, doc_id) is in ``readers``; the others aren't read again."""
     spark = docs.sparkSession
     bits = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * readers.count()).bit_length()))
     bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits)).cast("int")
-    words = readers.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit & 31))").alias("mask")).toArrow()
+    masks = readers.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit & 31))").alias("mask")).toArrow()
     table = np.zeros(bits // 32, dtype=np.int64)
-    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    table[masks.column(0).to_numpy()] = masks.column(1).to_numpy()
     shared = spark.sparkContext.broadcast((order, table.astype(np.uint32)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +289,7 @@ def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder) -> Data
             ids, texts = chosen.column("doc_id").to_pylist(), texts_of(chosen)
             for a, b in spans_of_chars(texts, 1 << 21):
                 rows: list[tuple] = []
-                for doc, grams in zip(ids[a:b], shingle_sets(texts[a:b])):
+                for doc, grams in zip(ids[a:b], shingle_sets(texts[a:b], words)):
                     if len(grams):
                         node = fingerprint(grams)
                         rows += [(doc, node, k, part.view(np.int64)) for k, part in enumerate(order.segments(order.ordered(grams))) if len(part)]
@@ -305,11 +306,11 @@ def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder) -> Data
     return materialize(exact.select("node", "fragment", "items"), "segments")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalOrder, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links: overlaps counted fragment by fragment, summed for each pair."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     readers = materialize(nodes.join(ends, "node", "left_semi").select("node", "doc_id"), "readers")
-    segments = segments_of(docs, readers, order)
+    segments = segments_of(docs, readers, order, words)
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("items").alias("items_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("items").alias("items_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
@@ -398,7 +399,7 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
     return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
     ``component_id`` is the smallest doc_id that links reach, its own included. Empty and null texts
@@ -406,18 +407,18 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     where a group has no other. An empty table gives an empty one; other columns are not looked at.
     """
     bound_batches(docs.sparkSession)
-    rows, order = read_sets(docs)
-    tokens, described = prefix_tokens(docs, order, percent)
+    rows, order = read_sets(docs, words)
+    tokens, described = prefix_tokens(docs, order, percent, words)
     by_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id", "copies"), "nodes")
     shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     postings = materialize(tokens.join(shared, "token").distinct(), "postings")
     stars = materialize(star_pairs(postings, nodes, percent), "stars")
-    links = verified(stars, docs, nodes, order, percent)
+    links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
     crossing = materialize(crossing_pairs(postings, nodes, components, percent), "crossing")
     if not crossing.isEmpty():
-        components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent)))
+        components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
     linked = nodes.join(components, "node").select("node", "component", "doc_id")
     smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     reached = linked.join(smallest, "component").select("node", "component_id")
@@ -425,9 +426,9 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(reached.unionByName(copied), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of their group; of repeated rows one."""
-    groups = materialize(near_duplicate_groups(docs, percent), "groups")
+    groups = materialize(near_duplicate_groups(docs, percent, words), "groups")
     dead = groups.where("doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
     names = docs.columns
     few = dead.count() <= BROADCAST_IDS

@@ -145,3 +145,15 @@ def test_one_of_each_group_stays(docs, odd, empty):
         groups = {r.doc_id: r.component_id for r in J.near_duplicate_groups(df).collect() if r.doc_id is not None}
         ids = [r.doc_id for r in kept if r.doc_id is not None]
         assert sorted(ids) == sorted({g for g in groups.values()})
+
+
+def test_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(200)]
+    block = base[:100] + [f"n{i}" for i in range(20)] + base[100:]  # 0.98 * 200 / 220: a link at five words and 0.8 alone
+    changed = [w if i not in (20, 60, 100, 140) else f"x{i}" for i, w in enumerate(base)]  # 176 of 216
+    far = [w if i % 25 else f"y{i}" for i, w in enumerate(base)]
+    df = spark.createDataFrame([(7, " ".join(base)), (2, " ".join(block)), (5, " ".join(changed)), (1, " ".join(far)), (9, "one two three four"), (8, "one two three")], "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in J.near_duplicate_groups(df, 80, 5).collect()}
+    assert groups == {7: 2, 2: 2, 5: 2, 1: 1, 9: 9, 8: 8}
+    assert {r.doc_id for r in J.keep_one_of_each_group(df, 80, 5).collect()} == {1, 2, 8, 9}
+    assert {r.component_id for r in J.near_duplicate_groups(df).collect()} == {7, 2, 5, 1, 9, 8}

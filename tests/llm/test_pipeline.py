@@ -28,3 +28,10 @@ def test_stages_in_order(spark, corpus, tmp_path):
 def test_empty_documents(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_the_stage(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [w if i not in (20, 60, 100, 140) else f"x{i}" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join(near), "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P.drop_near_copies(spark, docs, "").collect()] == [1]
