@@ -1,8 +1,9 @@
 """Personal data: base patterns, and boosted trees over the candidates of high-recall generators.
 
 Base spans (email, ip, card, phone) are what their patterns match and their checks accept. Besides,
-generators propose overlapping candidates: every run with digits, things before and after ``=`` or
-``:``, addresses spelt with words. Boosted trees score a candidate by its format and its context; they
+generators propose overlapping candidates: every run with digits, the value after each ``=`` or
+``:`` that a word stands before, with digits or without, addresses spelt with words, keys of a known
+prefix.  Boosted trees score a candidate by its format and its context; they
 are trained on a bounded sample of texts in which checks and unmistakable formats give the labels
 (valid base spans, keyed secrets, access-key formats, national and bank identifiers with valid check
 digits against numbers that fail the checks, years, versions, quantities). A threshold is calibrated
@@ -85,18 +86,21 @@ def base_spans(text: str) -> list[Span]:
 # Generators of candidates, all of them bounded in length but the runs.
 _RUN = re.compile(r"[A-Za-z0-9_/+=.-]{8,512}")
 _NUMBERS = re.compile(r"\(?[0-9][0-9().\x20-]{4,30}[0-9]")
-_KEYED = re.compile(r"\b([A-Za-z_]{2,24})\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,512})")
+_KEYED = re.compile(r"\b([A-Za-z_]{2,24})(?=\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,512}))")
 _SPELT = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[(]?\s?at\s?[\])]?\s?[A-Za-z0-9-]{1,64}\s?[\[(]?\s?dot\s?[\])]?\s?[A-Za-z]{2,24}\b")
 #: Words that stand before a secret or a contact.
 _SECRET_KEYS = frozenset("password passwd pwd secret token key apikey api_key access_key auth bearer credential credentials pin pass".split())
 _CONTACT_KEYS = frozenset("tel telephone phone mobile fax call email mail e-mail contact ssn iban passport account".split())
 _ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_[A-Za-z0-9]{36}\Z|sk-[A-Za-z0-9]{20,}\Z")
-_BARE_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
+_BARE_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,512})(?![A-Za-z0-9])")
+_BARE_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-")
+#: What a plain word does not have: capitals inside, or signs other than those of prose.
+_MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[_/+=!@#$%^&*]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\Z")
 _HEX = re.compile(r"[0-9a-f]{16,}\Z|[0-9A-F]{16,}\Z")
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "groups", "longest_digits", "switches", "entropy", "hex", "luhn", "secret_key", "contact_key", "keyed", "access", "iban", "ssn", "quoted", "spelt", "plus", "near_base", "dots")
+FEATURES = ("length", "digits", "upper", "lower", "other", "groups", "longest_digits", "switches", "entropy", "hex", "luhn", "secret_key", "contact_key", "keyed", "access", "iban", "ssn", "quoted", "spelt", "plus", "near_base", "dots", "case_switches")
 
 
 @dataclass(frozen=True)
@@ -117,17 +121,17 @@ def _iban_valid(s: str) -> bool:
 def candidates(text: str, base: list[Span]) -> list[Candidate]:
     """Overlapping candidates, with features and, where checks tell, labels."""
     proposed: dict[tuple[int, int], tuple[str, str]] = {}
-    if _DIGIT.search(text):
+    if "=" in text or ":" in text:
         for m in _KEYED.finditer(text):
-            if any(c.isdigit() for c in m[2]):
-                proposed[m.span(2)] = ("secret", m[1].lower())
+            proposed[m.span(2)] = ("secret", m[1].lower())
+    if _DIGIT.search(text):
         for m in _RUN.finditer(text):
             s = m.group().rstrip(".-=/")
             if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
                 proposed.setdefault((m.start(), m.start() + len(s)), ("secret", ""))
         for m in _NUMBERS.finditer(text):
             proposed.setdefault(m.span(), ("identifier" if _SSN.match(m.group()) else "contact", ""))
-    if "AKIA" in text or "ASIA" in text:
+    if _BARE_PREFIX.search(text):
         for m in _BARE_KEY.finditer(text):
             proposed.setdefault(m.span(), ("secret", ""))
     if " dot " in text or "dot]" in text or "(dot" in text:
@@ -151,12 +155,12 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
         features = (
             min(len(s), 80), len(digits) / len(s), sum(c.isupper() for c in s) / len(s), sum(c.islower() for c in s) / len(s), classes.count("o") / len(s), len(runs),
             max(map(len, runs), default=0), sum(x != y for x, y in zip(classes, classes[1:])), entropy, bool(_HEX.match(s)), len(digits) >= 12 and luhn("".join(c for c in digits if c in "0123456789")),
-            secret, contact, bool(key), access, iban, ssn, text[a - 1 : a] in ("'", '"') if a else False, key == "spelt", text[a - 1 : a] == "+" if a else False, covers, s.count("."),
+            secret, contact, bool(key), access, iban, ssn, text[a - 1 : a] in ("'", '"') if a else False, key == "spelt", text[a - 1 : a] == "+" if a else False, covers, s.count("."), sum(x.islower() != y.islower() for x, y in zip(s, s[1:]) if x.isalpha() and y.isalpha()),
         )
         if covers:
             label = 1
-        elif access or iban or (secret and len(s) >= 8 and entropy > 2.5) or key == "spelt":
-            label = 1
+        elif access or iban or (secret and len(s) >= 8 and entropy > 2.5 and (digits or ("//" not in s and _MIXED.search(s.rstrip(".:!?)]"))))) or key == "spelt":
+            label = 1  # a plain word after one that names secrets may be prose: nothing tells
         elif len(digits) < 7 and not secret and not contact:
             label = 0
         elif kind == "contact" and not contact and not ssn:
@@ -174,9 +178,9 @@ class PiiModel:
 
 
 def train(docs: DataFrame, texts: int = TRAINING_TEXTS, longest: int = LONGEST, per_text: int = PER_TEXT) -> PiiModel:
-    """Trees and calibrated thresholds from at most ``texts`` texts with a digit or ``@``, by the hash of their ids."""
+    """Trees and calibrated thresholds from at most ``texts`` texts with a digit, ``@``, ``=`` or ``:``, by the hash of their ids."""
     bound_batches(docs.sparkSession)
-    likely = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).select(F.col("text").cast("string").alias("text"), hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=10).alias("u"))
+    likely = docs.where(F.col("text").rlike("[0-9@=:]") & (F.length("text") <= longest)).select(F.col("text").cast("string").alias("text"), hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=10).alias("u"))
     share = min(1.0, texts / max(1, likely.count()))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

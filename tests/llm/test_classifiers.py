@@ -248,3 +248,22 @@ def test_personal_data_of_odd_tables(odd, empty):
     assert out.count() == odd.count() and out.where(F.col("base_sha256").isNull()).isEmpty()
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(empty).count() == 0
     assert pii.redact("me a@b.co now", [("email", 3, 9)]) == "me [EMAIL] now"
+
+
+def test_secrets_without_digits(spark):
+    def values(text):
+        return {text[c.start : c.end] for c in pii.candidates(text, [])}
+
+    assert "CorrectHorseBattery" in values("password: CorrectHorseBattery")
+    assert "abcdefGHIJKLmnop" in values("see token=abcdefGHIJKLmnop, and so on")
+    assert "ghp_" + "aB" * 18 in values("use ghp_" + "aB" * 18 + " here")
+    assert "CorrectHorse" in values("note: password: CorrectHorse")
+    rng = random.Random(12)
+    rows = []
+    for i in range(1200):
+        t = words(rng, 30, "ta re mi no".split())
+        secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20))
+        rows.append((i, f"{t} " + ["", "In short: everything went well.", "See https://example.org/pages for more.", f"password: {secret}", f"token={secret}", f'api_key = "{rng.getrandbits(100):025x}"'][i % 6] + f" {t}"))
+    out = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == "" for i in out if i % 6 < 3)
+    assert sum("secret:" in out[i] for i in out if i % 6 >= 3) >= 0.99 * 600
