@@ -7,7 +7,8 @@ prefix.  Boosted trees score a candidate by its format and its context; they
 are trained on a bounded sample of texts in which checks and unmistakable formats give the labels
 (valid base spans, keyed secrets, access-key formats, national and bank identifiers with valid check
 digits against numbers that fail the checks, years, versions, quantities). A threshold is calibrated
-for each added kind on the labelled negatives. Base spans always stay; an added span that overlaps a
+for each added kind on the labelled negatives of all texts, whole, by a histogram of fixed bins. Where
+too little is labelled to fit trees, the unmistakable formats are added by rule. Base spans always stay; an added span that overlaps a
 base span or a better added one is dropped.
 """
 
@@ -33,6 +34,11 @@ from lodestone.llm.boosting import FlatTrees, fit
 TRAINING_TEXTS = 20_000
 LONGEST = 30_000
 PER_TEXT = 25
+#: Bins of the log-odds that thresholds are read from, over [-ODDS, ODDS]; rows are kinds times bins whatever the input.
+BINS = 4096
+ODDS = 16.0
+#: With fewer labelled candidates in the sample no trees are fitted.
+LEAST_CANDIDATES = 40
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "contact", "identifier")
 
@@ -173,12 +179,47 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
 
 @dataclass
 class PiiModel:
+    """Without trees, what the formats settle (label 1) is added."""
+
     trees: FlatTrees | None
     thresholds: dict[str, float]
 
 
+def calibrate(docs: DataFrame, trees: FlatTrees) -> dict[str, float]:
+    """For each kind a threshold that no more than 1 in 200 labelled negatives of all texts exceed, however few there are.
+
+    A kind without any labelled negative takes the threshold of all kinds together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(ADDED_KINDS), BINS), dtype=np.int64)
+        for batch in batches:
+            found = [c for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)) if c.label == 0]
+            for i in range(0, len(found), 20_000):
+                part = found[i : i + 20_000]
+                odds = shared.value.margin(np.array([c.features for c in part]))
+                bins = np.clip((odds + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
+                np.add.at(counts, ([ADDED_KINDS.index(c.kind) for c in part], bins), 1)
+        kind, place = np.nonzero(counts)
+        yield record_batch([("kind", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())], kind=kind.astype(np.int32), bin=place.astype(np.int32), n=counts[kind, place])
+
+    table = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(score, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(ADDED_KINDS), BINS), dtype=np.int64)
+    counts[table.column("kind").to_numpy(), table.column("bin").to_numpy()] = table.column("n").to_numpy()
+
+    def edge(own: np.ndarray) -> float:
+        place = int(np.searchsorted(200 * np.cumsum(own), 199 * own.sum()))
+        return 1.0 if place == BINS - 1 else 1 / (1 + math.exp(ODDS - (place + 1) * (2 * ODDS / BINS)))
+
+    pooled = counts.sum(axis=0)
+    if not pooled.any():
+        return dict.fromkeys(ADDED_KINDS, 0.9)
+    return {kind: max(0.6, edge(own if own.any() else pooled)) for kind, own in zip(ADDED_KINDS, counts)}
+
+
 def train(docs: DataFrame, texts: int = TRAINING_TEXTS, longest: int = LONGEST, per_text: int = PER_TEXT) -> PiiModel:
-    """Trees and calibrated thresholds from at most ``texts`` texts with a digit, ``@``, ``=`` or ``:``, by the hash of their ids."""
+    """Trees from at most ``texts`` texts with a digit, ``@``, ``=`` or ``:``, by the hash of their ids; thresholds from all texts."""
     bound_batches(docs.sparkSession)
     likely = docs.where(F.col("text").rlike("[0-9@=:]") & (F.length("text") <= longest)).select(F.col("text").cast("string").alias("text"), hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=10).alias("u"))
     share = min(1.0, texts / max(1, likely.count()))
@@ -193,33 +234,23 @@ def train(docs: DataFrame, texts: int = TRAINING_TEXTS, longest: int = LONGEST,
     kinds = np.array(table.column("kind").to_pylist(), dtype=object)
     order = np.lexsort([*x.T, y])  # whatever order the tasks ended in
     x, y, kinds = x[order], y[order], kinds[order]
-    if len(y) < 40 or y.min() == y.max():
+    if len(y) < LEAST_CANDIDATES or y.min() == y.max():
         return PiiModel(None, {})
-    held = np.arange(len(y)) % 4 == 3
-    trees = fit(x[~held], y[~held], trees=40, depth=4, least=5)
-    p = trees.probability(x[held])
-    thresholds = {}
-    negative = y[held] == 0
-    for kind in ADDED_KINDS:  # no more than 1 in 200 labelled negatives above it, of the kind if it has enough
-        own = negative & (kinds[held] == kind)
-        chosen = p[own] if own.sum() >= 50 else p[negative]
-        thresholds[kind] = max(0.6, float(np.quantile(chosen, 0.995)) if len(chosen) else 0.9)
-    return PiiModel(trees, thresholds)
+    trees = fit(x, y, trees=40, depth=4, least=5)
+    return PiiModel(trees, calibrate(docs, trees))
 
 
 def added_spans(text: str, base: list[Span], model: PiiModel) -> list[Span]:
-    """What the trees add to the base spans of a text, by kind and start; best candidates first, none overlapping."""
-    if model.trees is None:
-        return []
+    """What the trees, or the formats where there are none, add to the base spans of a text, by kind and start; best candidates first, none overlapping."""
     proposed = candidates(text, base)
     if not proposed:
         return []
-    p = model.trees.probability(np.array([c.features for c in proposed]))
+    p = [float(c.label) for c in proposed] if model.trees is None else model.trees.probability(np.array([c.features for c in proposed]))
     taken = sorted((a, b) for _, a, b in base)
     chosen = []
     for i in sorted(range(len(proposed)), key=lambda i: (-p[i], proposed[i].start)):
         c = proposed[i]
-        if p[i] <= model.thresholds.get(c.kind, 1.0):
+        if p[i] <= (0.5 if model.trees is None else model.thresholds.get(c.kind, 1.0)):
             continue
         at = bisect_right(taken, (c.start, math.inf))
         if (at and taken[at - 1][1] > c.start) or (at < len(taken) and taken[at][0] < c.end):
