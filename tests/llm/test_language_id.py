@@ -42,3 +42,16 @@ def test_keep_identified(docs, odd, empty):
     gone = {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()}
     assert all(not any(c.isalpha() for c in r.text or "") or len(r.text) < 20 for r in docs.collect() if r.doc_id in gone) and len(gone) >= 3
     assert L.keep_identified(empty).count() == 0 and L.keep_identified(odd).count() > 0
+
+
+def test_blocks_of_languages_agree(docs):
+    whole, blocks = L.identify(docs), L.identify(docs, block=2)
+    a, b = ({r.doc_id: r for r in df.collect()} for df in (whole, blocks))
+    assert {i: r.lang_pred for i, r in a.items()} == {i: r.lang_pred for i, r in b.items()}
+    assert all(abs(a[i].score - b[i].score) < 1e-9 for i in a)
+
+
+def test_more_languages_than_a_block(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 300) * 6} text", f"l{i % 300:03d}") for i in range(1200)]
+    out = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == 1200 and sum(r.lang_pred == f"l{r.doc_id % 300:03d}" for r in out) >= 1150
