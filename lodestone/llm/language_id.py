@@ -198,7 +198,7 @@ def identify(docs: DataFrame, **train_options) -> DataFrame:
     return predict(docs, broadcast_model(docs, **train_options))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, **train_options) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, **train_options) -> DataFrame:
     """The rows of ``docs`` that op8 does not call ``und``, with all columns; with ``min_score`` only those scored so high.
 
     ``und`` is what has no letter, whatever the model; so a model is trained only for a ``min_score``.

@@ -44,6 +44,14 @@ def test_keep_identified(docs, odd, empty):
     assert L.keep_identified(empty).count() == 0 and L.keep_identified(odd).count() > 0
 
 
+def test_short_clean_texts_stay(spark):
+    rows = [(i, ["le chat dort", "der hund bellt", "the dog barks"][i % 3], ["fr", "de", "en"][i % 3]) for i in range(60)]
+    rows += [(100, "a", None), (101, "ta", None), (102, "Ok", "en"), (103, "12", "en"), (104, "", None), (105, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    und = {r.doc_id for r in L.identify(docs).collect() if r.lang_pred == "und"}
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in L.keep_identified(docs).collect()} == und == {103, 104, 105}
+
+
 def test_blocks_of_languages_agree(docs):
     whole, blocks = L.identify(docs), L.identify(docs, block=2)
     a, b = ({r.doc_id: r for r in df.collect()} for df in (whole, blocks))
