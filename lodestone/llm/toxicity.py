@@ -7,10 +7,12 @@ is subtracted, and where the difference goes below zero the step is reversed (Ki
 Linear classifiers over word presence are trained in numpy, several on different unlabelled
 documents, and their margins are averaged.
 
-Bounds, all parameters: the classifiers are fitted on at most ``positives`` and ``unlabelled``
-documents of at most ``longest`` characters, taken by the hash of their ids, and on the
-``vocabulary`` words and beginnings of words that separate the two best. The prior is counted over all labelled rows, and
-scoring reads every whole text.
+Bounds, all parameters: the classifiers are fitted on at most ``positives`` and ``unlabelled`` whole
+documents, taken by the hash of their ids, and on the ``vocabulary`` words and beginnings of words
+that separate the two best, of those in ``LEAST_SHARE`` of the documents that can be toxic. The prior
+is counted over all labelled rows, and scoring reads every whole text. Where no learnable document is
+positive, or none is unlabelled, nothing can be told apart: every score is the prior (0 without any
+positive label).
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from lodestone.llm.base import bound_batches, hash_unit, held_out, may_learn, re
 
 POSITIVES = 3000
 UNLABELLED = 9000
-LONGEST = 30_000
 VOCABULARY = 1024
 #: A word enters the vocabulary if the log-ratio of its two frequencies is this many standard errors from 0.
 LEAST_Z = 4.0
@@ -98,32 +99,41 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(segment_sums(self.weights[flat], lengths) + self.bias)))
 
 
+def pu_risk(margin: np.ndarray, positive: np.ndarray, prior: float, gamma: float = 1.0) -> tuple[float, np.ndarray]:
+    """The non-negative PU risk of margins under the logistic loss, and the gradient that a step follows.
+
+    Both classes have a member. Where the negative risk is below zero the step goes back from it.
+    """
+    n_pos, n_unl = positive.sum(), (~positive).sum()
+    p, softplus = 1 / (1 + np.exp(-margin)), np.logaddexp(0, margin)
+    negative_risk = softplus[~positive].sum() / n_unl - prior * softplus[positive].sum() / n_pos
+    g = np.zeros(len(margin))  # d loss(+) = p - 1, d loss(-) = p
+    if negative_risk >= 0:
+        g[positive] = -prior / n_pos
+        g[~positive] = p[~positive] / n_unl
+    else:
+        g[positive] = gamma * prior * p[positive] / n_pos
+        g[~positive] = -gamma * p[~positive] / n_unl
+    return float(prior * np.logaddexp(0, -margin[positive]).sum() / n_pos + max(0.0, negative_risk)), g
+
+
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, epochs: int = 800, sparsity: float = 3e-4, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias that lower the non-negative PU risk with the logistic loss; ``rows`` hold feature numbers.
 
     Accelerated proximal gradient steps; ``sparsity`` is the L1 weight, which leaves words without a
-    say of their own at 0, so that long texts don't gather noise.
+    say of their own at 0, so that long texts don't gather noise. Where one class is empty the
+    weights are 0 and the bias is that of the prior.
     """
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
-    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
-    rate = 1 / (0.25 * (2 * prior * (1 + lengths[positive]).mean() + (1 + lengths[~positive]).mean()) + 1e-9)
     w, b = np.zeros(n_features), math.log(prior / (1 - prior))
+    if not positive.any() or positive.all():
+        return w, b
+    rate = 1 / (0.25 * (2 * prior * (1 + lengths[positive]).mean() + (1 + lengths[~positive]).mean()) + 1e-9)
     at_w, at_b, pace = w, b, 1.0
     for _ in range(epochs):
-        margin = segment_sums(at_w[flat], lengths) + at_b
-        p = 1 / (1 + np.exp(-margin))
-        softplus = np.logaddexp(0, margin)
-        negative_risk = softplus[~positive].sum() / n_unl - prior * softplus[positive].sum() / n_pos
-        # d loss(+) = p - 1, d loss(-) = p
-        g = np.zeros(len(rows))
-        if negative_risk >= 0:
-            g[positive] = -prior / n_pos
-            g[~positive] = p[~positive] / n_unl
-        else:  # step back from overfitted negatives
-            g[positive] = gamma * prior * p[positive] / n_pos
-            g[~positive] = -gamma * p[~positive] / n_unl
+        _, g = pu_risk(segment_sums(at_w[flat], lengths) + at_b, positive, prior, gamma)
         step = at_w - rate * np.bincount(flat, weights=g[owner], minlength=n_features)
         new_w = np.sign(step) * np.maximum(0, np.abs(step) - rate * sparsity)
         new_b = at_b - rate * g.sum()
@@ -134,8 +144,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prio
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, longest: int = LONGEST, vocabulary: int = VOCABULARY, bags: int = BAGS) -> ToxicityModel:
-    """The model of the rows that may be learned from; scores everything 0 where no positive is known."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, vocabulary: int = VOCABULARY, bags: int = BAGS) -> ToxicityModel:
+    """The model of the rows that may be learned from; scores everything 0 where no positive label is known."""
     bound_batches(docs.sparkSession)
     known = labels.where(may_learn()).where("toxic is not null")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
@@ -143,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return ToxicityModel({}, np.zeros(0), -math.inf, 0.0)
     prior = min(0.9, size["p"] / size["n"])
     unit = hash_unit("doc_id", seed=1)
-    texts = docs.where(may_learn()).where(F.length("text") <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), "text", unit.alias("u"))
+    texts = docs.where(may_learn()).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", unit.alias("u"))
     n_docs = max(1, texts.count())
     chosen = known.where("toxic = 1").where(hash_unit("doc_id", seed=1) < min(1.0, positives / size["p"])).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     toxic = [r["doc_id"] for r in chosen.limit(2 * positives).collect()]
@@ -165,6 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     tallied = sample.select("text", "pos").mapInArrow(count, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("p + u >= 5")
     n = sample.groupBy("pos").count().collect()
+    if len(n) < 2:
+        return ToxicityModel({}, np.zeros(0), math.log(prior / (1 - prior)), prior)
     n_pos, n_unl = (float(next((r["count"] for r in n if r["pos"] is x), 0) + 1) for x in (True, False))
     lift = F.log((F.col("p") + 0.5) / n_pos) - F.log((F.col("u") + 0.5) / n_unl)
     common = F.col("p") + F.col("u") >= LEAST_SHARE * (n_pos + n_unl * prior)

@@ -53,6 +53,60 @@ def test_risk_is_held_above_zero():
     del rng
 
 
+def plain_risk(margins, positive, prior):
+    """The risk by sums over rows, and its gradient by the definition: backwards where the negative risk is below zero."""
+    sig = lambda m: 1 / (1 + math.exp(-m))
+    pos, unl = [m for m, p in zip(margins, positive) if p], [m for m, p in zip(margins, positive) if not p]
+    plus = prior * sum(-math.log(sig(m)) for m in pos) / len(pos)
+    negative = sum(-math.log(1 - sig(m)) for m in unl) / len(unl) - prior * sum(-math.log(1 - sig(m)) for m in pos) / len(pos)
+    if negative >= 0:
+        return plus + negative, [-prior / len(pos) if p else sig(m) / len(unl) for m, p in zip(margins, positive)]
+    return plus, [prior * sig(m) / len(pos) if p else -sig(m) / len(unl) for m, p in zip(margins, positive)]
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 2.0])
+def test_risk_and_gradient_agree_with_plain_sums(shift):
+    rng = np.random.default_rng(4)
+    margin, positive = rng.normal(size=60) + shift, np.arange(60) < 17
+    margin[positive] += 3 * shift
+    for prior in (0.05, 0.4, 0.9):
+        risk, gradient = toxicity.pu_risk(margin, positive, prior)
+        expected, slope = plain_risk(margin.tolist(), positive.tolist(), prior)
+        assert risk == pytest.approx(expected, abs=1e-9)
+        assert np.allclose(gradient, slope, atol=1e-9, rtol=0)
+
+
+def test_toxicity_where_a_class_is_empty(spark):
+    rows = [np.array([0, 1]), np.array([1])]
+    for positive in (np.array([True, True]), np.array([False, False])):
+        for w, b in (toxicity.fit_nnpu(rows, positive, 2, 0.2), toxicity.fit_bag(rows, positive, 2, 0.2)):
+            assert not w.any() and b == pytest.approx(math.log(0.25))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in ids], "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    absent = spark.createDataFrame([(i + 1000, 1, int(i % 2)) for i in ids], schema)
+    all_toxic = spark.createDataFrame([(i, 1, 1) for i in ids], schema)
+    none_toxic = spark.createDataFrame([(i, 1, 0) for i in ids], schema)
+    for labels, least, most in ((absent, 0.3, 0.7), (all_toxic, 0.9, 0.9), (none_toxic, 0.0, 0.0)):
+        scores = {r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+        assert len(scores) == 1 and least - 1e-9 <= min(scores) <= most + 1e-9
+
+
+def test_long_toxic_texts_are_learned_from(spark):
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        long = i % 2 == 0  # more than 30,000 characters
+        t = words(rng, 6500 if long and i < 300 else 50, "ta re mi no ka lo su".split()).split()
+        t.insert(rng.randrange(len(t)), "vileword" if bad and long else "grossword" if bad else "plain")
+        docs.append((i, " ".join(t)))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long, short, low = model.score(["ta vileword re", "ta grossword re", "ta plain re"])
+    assert long > 0.7 > low and short > 0.7
+
+
 def test_toxicity_of_odd_tables(docs, odd, empty, labels, no_labels):
     assert toxicity.score_toxicity(odd, labels).count() == odd.count()
     assert toxicity.score_toxicity(empty, labels).count() == 0
