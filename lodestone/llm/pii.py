@@ -1,15 +1,25 @@
 """Personal data: base patterns, and boosted trees over the candidates of high-recall generators.
 
 Base spans (email, ip, card, phone) are what their patterns match and their checks accept. Besides,
-generators propose overlapping candidates: every run with digits, the value after each ``=`` or
-``:`` that a word stands before, with digits or without, addresses spelt with words, keys of a known
-prefix.  Boosted trees score a candidate by its format and its context; they
-are trained on a bounded sample of texts in which checks and unmistakable formats give the labels
-(valid base spans, keyed secrets, access-key formats, national and bank identifiers with valid check
-digits against numbers that fail the checks, years, versions, quantities). A threshold is calibrated
-for each added kind on the labelled negatives of all texts, whole, by a histogram of fixed bins. Where
-too little is labelled to fit trees, the unmistakable formats are added by rule. Base spans always stay; an added span that overlaps a
-base span or a better added one is dropped.
+generators propose overlapping candidates, with digits or without and of any length: the value after
+``=``, ``:`` or a spoken ``is``, runs that no plain word looks like, runs of digits, addresses spelt
+with words, account numbers, key blocks. What a check sum, an issuer's prefix, a key block's frame or
+the top-level domain of a spelt address proves is added as it is.
+
+Everything else is decided by two ensembles of boosted trees that teach each other, each blind to
+what labels its training: one sees the format of a value alone and learns from what context tells
+(``password =`` before it, nothing of the kind before it); the other sees the context alone, with the
+log-odds of the words before a value counted in the sample, and learns from what formats tell (proven
+or random-looking values, plain words, dates, short numbers; after ``commit`` and the like nothing is
+personal). The sum of their margins is held against a threshold for each kind that no more than 1 in
+200 labelled negatives of all texts, whole, exceed.
+So a random value after a word that is in no list is found, and so is a plain word after one that is.
+
+Bounds, both parameters: trees are fitted on the candidates of at most ``texts`` whole texts by the
+hash of their ids, at most ``most`` that some view calls personal and ``most`` others by the hash of
+what they are. Where that leaves too
+few of either label, proven spans and random-looking values after a word of the lists are added.
+Base spans always stay; an added span that overlaps a base span or a better added one is dropped.
 """
 
 from __future__ import annotations
@@ -17,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +41,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.base import bound_batches, hash_unit, record_batch
 from lodestone.llm.boosting import FlatTrees, fit
 
-#: Texts that the trees are trained on, at most, characters of each, and candidates taken from each.
+#: Texts whose candidates trees are trained on, at most, and candidates of either label, at most.
 TRAINING_TEXTS = 20_000
-LONGEST = 30_000
-PER_TEXT = 25
-#: Bins of the log-odds that thresholds are read from, over [-ODDS, ODDS]; rows are kinds times bins whatever the input.
+TRAINING_CANDIDATES = 30_000
+#: Bins of the summed margins that thresholds are read from, over [-ODDS, ODDS]; rows are kinds times bins whatever the input.
 BINS = 4096
-ODDS = 16.0
-#: With fewer labelled candidates in the sample no trees are fitted.
-LEAST_CANDIDATES = 40
+ODDS = 24.0
+#: Least threshold: log-odds of 0.6.
+LEAST_ODDS = 0.4
+#: With fewer labelled candidates of either label in a view no trees are fitted.
+LEAST_CANDIDATES = 20
+#: Words before a value with fewer labelled values in the sample have no log-odds of their own.
+LEAST_WORD = 3
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "contact", "identifier")
 
@@ -46,7 +60,8 @@ Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins with a whole run of digits or not at all, so no run is read more often than it has neighbours.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -89,117 +104,249 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-# Generators of candidates, all of them bounded in length but the runs.
-_RUN = re.compile(r"[A-Za-z0-9_/+=.-]{8,512}")
-_NUMBERS = re.compile(r"\(?[0-9][0-9().\x20-]{4,30}[0-9]")
-_KEYED = re.compile(r"\b([A-Za-z_]{2,24})(?=\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,512}))")
-_SPELT = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?[\[(]?\s?at\s?[\])]?\s?[A-Za-z0-9-]{1,64}\s?[\[(]?\s?dot\s?[\])]?\s?[A-Za-z]{2,24}\b")
-#: Words that stand before a secret or a contact.
-_SECRET_KEYS = frozenset("password passwd pwd secret token key apikey api_key access_key auth bearer credential credentials pin pass".split())
-_CONTACT_KEYS = frozenset("tel telephone phone mobile fax call email mail e-mail contact ssn iban passport account".split())
-_ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_[A-Za-z0-9]{36}\Z|sk-[A-Za-z0-9]{20,}\Z")
-_BARE_KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,512})(?![A-Za-z0-9])")
-_BARE_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-")
-#: What a plain word does not have: capitals inside, or signs other than those of prose.
-_MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[_/+=!@#$%^&*]")
+# Generators of candidates. Each reads a text once; what they propose is as long as it is.
+_KEYED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]*+)[\"']?\s{0,3}(=>|:=|[=:])\s{0,3}[\"']?([^\s\"',;&<>]{4,}+)")
+_KEY = re.compile(r"[A-Za-z][A-Za-z0-9_.-]*\Z")
+_SPOKEN = re.compile(r"\b(password|passwd|passphrase|passcode|pin|pwd|token|secret|key)\s{1,3}(?:is|was)\s{1,3}[\"']?([^\s\"',;&<>]{4,}+)", re.IGNORECASE)
+_RUN = re.compile(r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{8,}+={0,2}")
+_LONG_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}")
+_NUMBERS = re.compile(r"(?<![A-Za-z0-9])\(?[0-9](?:[0-9().-]|\x20(?=[0-9(]))*+(?![A-Za-z])")
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])")
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_AT = re.compile(r"\x20?(?:\(at\)|\[at\]|(?<=\x20)at(?=\x20))\x20?", re.IGNORECASE)
+_SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]++)+", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_BLOCK_END = re.compile(r"-----END [A-Z0-9 ]*-----")
+_BLOCK_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
+#: Words before secrets, contacts, identifiers, and before what is none of them.
+_WORDS = (
+    frozenset("password passwd passphrase passcode pass pwd secret token key apikey auth bearer credential credentials pin private".split()),
+    frozenset("tel telephone phone mobile cell fax call whatsapp email mail contact reach".split()),
+    frozenset("ssn iban passport account acct licence license social security tax insurance".split()),
+    frozenset("commit sha sha1 sha256 md5 checksum hash version ver date isbn issn doi page pages year price order total time build revision ref figure table chapter section line http https url".split()),
+)
+_DOMAINS = frozenset("com org net edu gov io dev info biz de fr es it uk eu ch at nl pl se".split())
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\Z")
 _HEX = re.compile(r"[0-9a-f]{16,}\Z|[0-9A-F]{16,}\Z")
+_NUMBER = re.compile(r"[0-9().\x20-]+\Z")
+_DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}\Z|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:[0-9]{2}|[0-9]{4})\Z")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_BEFORE = re.compile(r"[^\W\d_]+")
 
-FEATURES = ("length", "digits", "upper", "lower", "other", "groups", "longest_digits", "switches", "entropy", "hex", "luhn", "secret_key", "contact_key", "keyed", "access", "iban", "ssn", "quoted", "spelt", "plus", "near_base", "dots", "case_switches")
+FORMAT = ("length", "digits", "upper", "lower", "other", "groups", "longest_digits", "switches", "case_switches", "entropy", "distinct", "hex", "luhn", "iban", "ssn", "dots", "slashes", "vowels", "longest_lower", "n_digits", "number", "spelt", "date", "opening")
+CONTEXT = ("separator", "secret_word", "contact_word", "identifier_word", "other_word", "word_odds", "quoted", "before", "after", "near_base")
 
 
 @dataclass(frozen=True)
 class Candidate:
+    """``by_format`` and ``by_context`` are the labels that one view gives to train the other: 1, 0, or -1 where nothing tells."""
+
     kind: str
     start: int
     end: int
-    features: tuple[float, ...]
-    label: int  # 1, 0, or -1 where nothing tells
+    format: tuple[float, ...]
+    context: tuple[float, ...]
+    words: tuple[str, ...]
+    by_format: int
+    by_context: int
+    proven: bool
+
+    @property
+    def names_other(self) -> bool:
+        """A word before it names something that is not personal."""
+        return not self.proven and self.context[CONTEXT.index("other_word")] > 0
 
 
 def _iban_valid(s: str) -> bool:
-    if not _IBAN.match(s):
-        return False
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return bool(_IBAN.match(s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _char_class(c: str) -> int:
+    return 0 if c.isspace() or not c else 1 if c.isalnum() else 2 if c in "\"'" else 3 if c == "+" else 4
+
+
+def _keyed(text: str) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, key, separator) of values after a key. A value that holds keys itself gives the values of these too."""
+    at = 0
+    while m := _KEYED.search(text, at):
+        start, end = m.span(3)
+        at, value, key = end, m[3], m[1]
+        separator = 1 if m[2] == ":" else 2
+        if not (separator == 1 and value.startswith("//")):
+            yield start, end, key, separator
+        if "=" in value or ":" in value:
+            begin, inner = start, ""
+            for part in re.finditer(r"[=:]++", value):
+                if inner and part.start() + start - begin >= 4:
+                    yield begin, start + part.start(), inner, 2
+                named = _KEY.search(value, max(begin - start, part.start() - 64), part.start())
+                inner, begin = (named.group() if named else ""), start + part.end()
+            if begin == end and inner:  # the value of the last key stands after a blank
+                at = end - len(value) + part.start() - len(inner)
+            elif inner and end - begin >= 4:
+                yield begin, end, inner, 2
+
+
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    least = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > least and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (domain := _SPELT_DOMAIN.match(text, m.end())):
+            least = domain.end()
+            yield start, domain.end()
 
 
-def candidates(text: str, base: list[Span]) -> list[Candidate]:
-    """Overlapping candidates, with features and, where checks tell, labels."""
-    proposed: dict[tuple[int, int], tuple[str, str]] = {}
+def proposals(text: str) -> dict[tuple[int, int], tuple[str, str, int, bool]]:
+    """(start, end) to (generator, key, separator, proven) of everything that could be personal; spans overlap."""
+    found: dict[tuple[int, int], tuple[str, str, int, bool]] = {}
+
+    def add(start: int, end: int, how: str, key: str = "", separator: int = 0, proven: bool = False, trim: str = ".:!?)]}-") -> None:
+        while trim and end > start and text[end - 1] in trim:
+            end -= 1
+        if end - start >= 4 and not ((start, end) in found and not proven):
+            found[start, end] = (how, key, separator, proven)
+
     if "=" in text or ":" in text:
-        for m in _KEYED.finditer(text):
-            proposed[m.span(2)] = ("secret", m[1].lower())
+        for start, end, key, separator in _keyed(text):
+            if number := _NUMBERS.match(text, start):  # a number may go on after a blank
+                end = max(end, start + len(number.group().rstrip(" ().-")))
+            add(start, end, "value", key, separator)
+    lower = text.lower() if " is " in text or " was " in text else ""
+    if any(w in lower for w in ("pass", "pin", "pwd", "token", "secret", "key")):
+        for m in _SPOKEN.finditer(text):
+            add(*m.span(2), "value", m[1], 3)
+    for m in _LONG_RUN.finditer(text):
+        s = m.group()
+        if sum(x.islower() and y.isupper() for x, y in zip(s, s[1:])) >= 3:
+            add(*m.span(), "value")
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
-            s = m.group().rstrip(".-=/")
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-                proposed.setdefault((m.start(), m.start() + len(s)), ("secret", ""))
+            s = m.group()
+            if _DIGIT.search(s) and any(c.isalpha() for c in s):
+                add(*m.span(), "value", trim=".-=/")
         for m in _NUMBERS.finditer(text):
-            proposed.setdefault(m.span(), ("identifier" if _SSN.match(m.group()) else "contact", ""))
-    if _BARE_PREFIX.search(text):
-        for m in _BARE_KEY.finditer(text):
-            proposed.setdefault(m.span(), ("secret", ""))
-    if " dot " in text or "dot]" in text or "(dot" in text:
-        for m in _SPELT.finditer(text):
-            proposed[m.span()] = ("contact", "spelt")
+            end = m.start() + len(m.group().rstrip(" ().-"))
+            if end - m.start() >= 6:
+                add(m.start(), end, "number", trim="")
+        for m in _ACCOUNT.finditer(text):
+            s = m.group()
+            while " " in s and not _iban_valid(s.replace(" ", "")):  # a word in capitals may follow
+                s = s[: s.rindex(" ")]
+            if _iban_valid(s.replace(" ", "")):
+                add(m.start(), m.start() + len(s), "identifier", proven=True)
+    if _PREFIX.search(text):
+        for m in _PREFIXED.finditer(text):
+            add(*m.span(), "value", proven=True)
+    if "dot" in text or "DOT" in text or "Dot" in text:
+        for start, end in _spelt(text):
+            add(start, end, "spelt", proven=_LABEL.findall(text[start:end])[-1].lower() in _DOMAINS, trim="-")
+    if "-----BEGIN " in text:
+        for m in _BLOCK.finditer(text):
+            stop = _BLOCK_BODY.match(text, m.end()).end()
+            end = _BLOCK_END.match(text, stop)
+            add(m.start(), end.end() if end else m.end() + len(text[m.end() : stop].rstrip()), "value", proven=True, trim="")
+    return found
+
+
+def _format(s: str, how: str) -> tuple[tuple[float, ...], int]:
+    """Features of a value alone, and what they tell: 1 where it looks drawn at random, 0 where it is plain."""
+    n, counts = len(s), Counter(s)
+    digits = sum(k for c, k in counts.items() if c in "0123456789")
+    upper, lower = (sum(k for c, k in counts.items() if test(c)) for test in (str.isupper, str.islower))
+    letters = sum(k for c, k in counts.items() if c.isalpha())
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    runs = re.findall(r"[0-9]+", s)
+    classes = ["d" if c in "0123456789" else "a" if c.isalpha() else "o" for c in s]
+    switches = sum(x != y for x, y in zip(classes, classes[1:]))
+    case_switches = sum(x.islower() != y.islower() for x, y in zip(s, s[1:]) if x.isalpha() and y.isalpha())
+    number, date = bool(_NUMBER.match(s)), bool(_DATE.match(s))
+    is_hex, ssn = bool(_HEX.match(s)), bool(_SSN.match(s))
+    card = 12 <= digits <= 19 and luhn("".join(c for c in s if c in "0123456789"))
+    opening = 0 if s[0].isalnum() else 1 if s.startswith("//") else 2
+    features = (
+        min(n, 96), digits / n, upper / n, lower / n, (n - digits - letters) / n, min(len(runs), 40), max(map(len, runs), default=0), switches / n, case_switches / n, entropy, len(counts) / n, is_hex, card,
+        _iban_valid(s) if n <= 34 else False, ssn, min(s.count("."), 20), min(s.count("/"), 20), sum(k for c, k in counts.items() if c in "aeiouAEIOU") / max(1, letters),
+        max(map(len, re.findall(r"[a-z]+", s)), default=0), min(digits, 40), number, how == "spelt", date, opening,
+    )
+    if number:
+        plain = digits < 7 or date or digits > 15
+        return tuple(map(float, features)), 0 if plain else -1
+    mixed = (digits and letters and switches >= 3) or case_switches >= 4
+    if opening != 1 and s.count("/") < 3 and entropy > 3 and ((is_hex and digits and letters) or (n >= 14 and mixed)):
+        return tuple(map(float, features)), 1
+    plain = letters >= n - 1 and (lower == letters or upper == letters or (upper == 1 and s[0].isupper()))
+    return tuple(map(float, features)), 0 if plain or opening == 1 or (not letters and digits < 7) else -1
+
+
+def candidates(text: str, base: list[Span]) -> list[Candidate]:
+    """Overlapping candidates that no base span covers, with the features of both views and the label that each gives."""
     out = []
-    taken = [(a, b) for _, a, b in base]
-    for (a, b), (kind, key) in sorted(proposed.items()):
+    taken = sorted((a, b) for _, a, b in base)
+    for (a, b), (how, key, separator, proven) in sorted(proposals(text).items()):
+        near = bisect_right(taken, (a, math.inf))
+        if (near and taken[near - 1][1] > a) or (near < len(taken) and taken[near][0] < b):
+            continue
         s = text[a:b]
-        digits = [c for c in s if c.isdigit()]
-        before = re.findall(r"[A-Za-z-]+", text[max(0, a - 24) : a].lower())[-2:]
-        access, iban, ssn = bool(_ACCESS_KEY.match(s)), _iban_valid(s), bool(_SSN.match(s))
-        secret = key in _SECRET_KEYS or any(k in _SECRET_KEYS for k in before)
-        contact = any(k in _CONTACT_KEYS for k in before) or key in _CONTACT_KEYS
-        counts = Counter(s)
-        entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values())
-        classes = ["d" if c.isdigit() else "a" if c.isalpha() else "o" for c in s]
-        covers = any(x < b and a < y for x, y in taken)
-        runs = re.findall(r"[0-9]+", s)
-        is_iban = "identifier" if iban or ssn else kind
-        features = (
-            min(len(s), 80), len(digits) / len(s), sum(c.isupper() for c in s) / len(s), sum(c.islower() for c in s) / len(s), classes.count("o") / len(s), len(runs),
-            max(map(len, runs), default=0), sum(x != y for x, y in zip(classes, classes[1:])), entropy, bool(_HEX.match(s)), len(digits) >= 12 and luhn("".join(c for c in digits if c in "0123456789")),
-            secret, contact, bool(key), access, iban, ssn, text[a - 1 : a] in ("'", '"') if a else False, key == "spelt", text[a - 1 : a] == "+" if a else False, covers, s.count("."), sum(x.islower() != y.islower() for x, y in zip(s, s[1:]) if x.isalpha() and y.isalpha()),
-        )
-        if covers:
-            label = 1
-        elif access or iban or (secret and len(s) >= 8 and entropy > 2.5 and (digits or ("//" not in s and _MIXED.search(s.rstrip(".:!?)]"))))) or key == "spelt":
-            label = 1  # a plain word after one that names secrets may be prose: nothing tells
-        elif len(digits) < 7 and not secret and not contact:
-            label = 0
-        elif kind == "contact" and not contact and not ssn:
-            label = 0
-        else:
-            label = -1
-        out.append(Candidate(is_iban, a, b, tuple(float(f) for f in features), label))
+        form, by_format = _format(s, how)
+        number = bool(form[FORMAT.index("number")])
+        # the words of the key, and before; white space and signs between them and the value don't matter
+        before = [w.lower() for w in _BEFORE.findall(text[max(0, a - 40) : a])]
+        own = [w.lower() for w in _PARTS.findall(key)] or before[-2:]
+        groups = [any(w in known for w in own) for known in _WORDS]
+        close = (near and a - taken[near - 1][1] < 60) or (near < len(taken) and taken[near][0] - b < 60)
+        context = (float(separator), *map(float, groups), 0.0, float(text[a - 1 : a] in ("'", '"') if a else 0), float(_char_class(text[a - 1 : a] if a else "")), float(_char_class(text[b : b + 1])), float(bool(close)))
+        code = number and groups[0] and separator > 0
+        kind = "secret" if code else "identifier" if how == "identifier" or (number and (groups[2] or form[FORMAT.index("ssn")])) else "contact" if number or how == "spelt" else "secret"
+        wanted = groups[0] if kind == "secret" else groups[1] or groups[2]
+        anything = by_format == 0 and separator != 2 and not code  # a plain word, a date or a few digits after such a word
+        by_context = (-1 if anything else 1) if wanted and not groups[3] else 0 if groups[3] or (not any(groups) and separator == 0) else -1
+        out.append(Candidate(kind, a, b, form, context, tuple(dict.fromkeys(own[-2:])), 1 if proven else by_format, by_context, proven))
     return out
 
 
 @dataclass
 class PiiModel:
-    """Without trees, what the formats settle (label 1) is added."""
+    """Trees over the format and over the context with the log-odds of words; without trees, rules (``added_spans``)."""
+
+    format: FlatTrees | None = None
+    context: FlatTrees | None = None
+    words: dict[str, float] = field(default_factory=dict)
+    thresholds: dict[str, float] = field(default_factory=dict)
+
+    def odds(self, found: list[Candidate]) -> np.ndarray:
+        """The sum of both margins of each candidate."""
+        form, context = np.array([c.format for c in found]), np.array([c.context for c in found])
+        context[:, CONTEXT.index("word_odds")] = [self.word_odds(c.words) for c in found]
+        return self.format.margin(form) + self.context.margin(context)
+
+    def word_odds(self, words: Iterable[str]) -> float:
+        return max((self.words.get(w, 0.0) for w in words), key=abs, default=0.0)
+
 
-    trees: FlatTrees | None
-    thresholds: dict[str, float]
+def is_negative(c: Candidate) -> bool:
+    """What a threshold is read from: one view says no and the other doesn't say yes, or a word names something else."""
+    return c.names_other or 0 in (c.by_format, c.by_context) and 1 not in (c.by_format, c.by_context)
 
 
-def calibrate(docs: DataFrame, trees: FlatTrees) -> dict[str, float]:
-    """For each kind a threshold that no more than 1 in 200 labelled negatives of all texts exceed, however few there are.
+def calibrate(docs: DataFrame, model: PiiModel) -> dict[str, float]:
+    """For each kind the summed margin that no more than 1 in 200 labelled negatives of all texts exceed, however few there are.
 
     A kind without any labelled negative takes the threshold of all kinds together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(ADDED_KINDS), BINS), dtype=np.int64)
         for batch in batches:
-            found = [c for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)) if c.label == 0]
+            found = [c for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)) if is_negative(c)]
             for i in range(0, len(found), 20_000):
                 part = found[i : i + 20_000]
-                odds = shared.value.margin(np.array([c.features for c in part]))
-                bins = np.clip((odds + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
+                bins = np.clip((shared.value.odds(part) + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
                 np.add.at(counts, ([ADDED_KINDS.index(c.kind) for c in part], bins), 1)
         kind, place = np.nonzero(counts)
         yield record_batch([("kind", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())], kind=kind.astype(np.int32), bin=place.astype(np.int32), n=counts[kind, place])
@@ -210,47 +357,97 @@ def calibrate(docs: DataFrame, trees: FlatTrees) -> dict[str, float]:
 
     def edge(own: np.ndarray) -> float:
         place = int(np.searchsorted(200 * np.cumsum(own), 199 * own.sum()))
-        return 1.0 if place == BINS - 1 else 1 / (1 + math.exp(ODDS - (place + 1) * (2 * ODDS / BINS)))
+        return math.inf if place == BINS - 1 else (place + 1) * (2 * ODDS / BINS) - ODDS
 
     pooled = counts.sum(axis=0)
     if not pooled.any():
-        return dict.fromkeys(ADDED_KINDS, 0.9)
-    return {kind: max(0.6, edge(own if own.any() else pooled)) for kind, own in zip(ADDED_KINDS, counts)}
-
-
-def train(docs: DataFrame, texts: int = TRAINING_TEXTS, longest: int = LONGEST, per_text: int = PER_TEXT) -> PiiModel:
-    """Trees from at most ``texts`` texts with a digit, ``@``, ``=`` or ``:``, by the hash of their ids; thresholds from all texts."""
+        return dict.fromkeys(ADDED_KINDS, 2.2)
+    return {kind: max(LEAST_ODDS, edge(own if own.any() else pooled)) for kind, own in zip(ADDED_KINDS, counts)}
+
+
+def fit_views(found: list[Candidate]) -> PiiModel | None:
+    """Trees of both views, each trained on the labels of the other; None where a view has too few of either label."""
+    by_format, by_context = np.array([c.by_format for c in found]), np.array([c.by_context for c in found])
+    # the log-odds of each word, from the labels of formats; a candidate's own label is left out of what it sees
+    told = (by_format >= 0) | np.array([c.names_other for c in found], dtype=bool)
+    told &= ~((by_format == 0) & (by_context == 1))
+    # a check sum looks as random as a secret: after a word that names something else it is none, whatever its format
+    by_format = np.where([c.names_other for c in found], 0, by_format)
+    n = {y: Counter(w for c, t, f in zip(found, told, by_format) if t and f == y for w in c.words) for y in (0, 1)}
+    total = [max(1, int((told & (by_format == y)).sum())) for y in (0, 1)]
+
+    def odds(w: str, own: int | None = None) -> float:
+        no, yes = n[0][w] - (own == 0), n[1][w] - (own == 1)
+        return math.log((yes + 0.5) / (total[1] + 1)) - math.log((no + 0.5) / (total[0] + 1)) if no + yes >= LEAST_WORD else 0.0
+
+    context = np.array([c.context for c in found]).reshape(-1, len(CONTEXT))
+    context[:, CONTEXT.index("word_odds")] = [max((odds(w, f if t else None) for w in c.words), key=abs, default=0.0) for c, t, f in zip(found, told, by_format)]
+    form = np.array([c.format for c in found]).reshape(-1, len(FORMAT))
+    taught = (by_context >= 0) & ~((by_context == 0) & np.array([c.by_format == 1 for c in found], dtype=bool))
+    views = []
+    for x, y, use in ((form, by_context, taught), (context, by_format, told)):
+        if min((y[use] == k).sum() for k in (0, 1)) < LEAST_CANDIDATES:
+            return None
+        views.append(fit(x[use], y[use].astype(float), trees=40, depth=4, least=5))
+    return PiiModel(*views, {w: odds(w) for w in n[0].keys() | n[1].keys() if n[0][w] + n[1][w] >= LEAST_WORD})
+
+
+_SAMPLE = [("u", pa.int64()), ("kind", pa.string()), ("by_format", pa.int32()), ("by_context", pa.int32()), ("format", pa.list_(pa.float64())), ("context", pa.list_(pa.float64())), ("words", pa.list_(pa.string()))]
+
+
+def train(docs: DataFrame, texts: int = TRAINING_TEXTS, most: int = TRAINING_CANDIDATES) -> PiiModel:
+    """Trees from candidates of at most ``texts`` texts with a digit, ``@``, ``=`` or ``:``, by the hash of their ids,
+    at most ``most`` that some view calls personal and as many others; thresholds from all texts."""
     bound_batches(docs.sparkSession)
-    likely = docs.where(F.col("text").rlike("[0-9@=:]") & (F.length("text") <= longest)).select(F.col("text").cast("string").alias("text"), hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=10).alias("u"))
+    likely = docs.where(F.col("text").rlike("[0-9@=:]")).select(F.col("text").cast("string").alias("text"), hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=10).alias("u"))
     share = min(1.0, texts / max(1, likely.count()))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies say no more than one of them
         for batch in batches:
-            found = [c for t in batch.column("text").to_pylist() for c in [c for c in candidates(t, base_spans(t)) if c.label >= 0][:per_text]]
-            yield record_batch([("kind", pa.string()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))], kind=[c.kind for c in found], label=[c.label for c in found], x=[c.features for c in found])
-
-    table = likely.where(F.col("u") < share).select("text").mapInArrow(propose, "kind string, label int, x array<double>").toArrow()
-    x, y = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES)), np.array(table.column("label").to_pylist(), dtype=float)
-    kinds = np.array(table.column("kind").to_pylist(), dtype=object)
-    order = np.lexsort([*x.T, y])  # whatever order the tasks ended in
-    x, y, kinds = x[order], y[order], kinds[order]
-    if len(y) < LEAST_CANDIDATES or y.min() == y.max():
-        return PiiModel(None, {})
-    trees = fit(x, y, trees=40, depth=4, least=5)
-    return PiiModel(trees, calibrate(docs, trees))
+            rows = []
+            for t in batch.column("text").to_pylist():
+                for c in candidates(t, base_spans(t)):
+                    u = zlib.crc32(f"{c.kind}{c.start}{t[max(0, c.start - 40) : c.end]}".encode("utf-8", "surrogatepass"))
+                    if max(c.by_format, c.by_context) >= 0 and u not in seen:
+                        rows.append((u, c))
+                        if len(seen) < 500_000:
+                            seen.add(u)
+            for i in range(0, len(rows), 5000):
+                part = rows[i : i + 5000]
+                columns = {name: [getattr(c, name) for _, c in part] for name, _ in _SAMPLE[1:]}
+                yield record_batch(_SAMPLE, u=[u for u, _ in part], **columns)
+
+    ddl = "u long, kind string, by_format int, by_context int, format array<double>, context array<double>, words array<string>"
+    proposed = likely.where(F.col("u") < share).select("text").mapInArrow(propose, ddl)
+    yes = F.greatest("by_format", "by_context") == 1
+    tables = [proposed.where(test).orderBy("u").limit(most).toArrow() for test in (yes, ~yes)]
+    rows = {r["u"]: r for t in tables for r in t.to_pylist()}
+    found = [Candidate(r["kind"], 0, 0, tuple(r["format"]), tuple(r["context"]), tuple(r["words"]), r["by_format"], r["by_context"], False) for _, r in sorted(rows.items())]
+    model = fit_views(found)
+    if model is None:
+        return PiiModel()
+    model.thresholds = calibrate(docs, model)
+    return model
 
 
 def added_spans(text: str, base: list[Span], model: PiiModel) -> list[Span]:
-    """What the trees, or the formats where there are none, add to the base spans of a text, by kind and start; best candidates first, none overlapping."""
+    """What is added to the base spans of a text, by kind and start: what is proven, then what the trees are surest of, none overlapping.
+
+    Without trees: what is proven, and random-looking values after a word of the lists.
+    """
     proposed = candidates(text, base)
     if not proposed:
         return []
-    p = [float(c.label) for c in proposed] if model.trees is None else model.trees.probability(np.array([c.features for c in proposed]))
+    if model.format is None:
+        odds = [math.inf if c.proven else float(c.by_context == 1 and (c.by_format == 1 or (c.by_format < 0 and c.kind == "secret"))) or -math.inf for c in proposed]
+    else:
+        odds = [math.inf if c.proven else o for c, o in zip(proposed, model.odds(proposed).tolist())]
     taken = sorted((a, b) for _, a, b in base)
     chosen = []
-    for i in sorted(range(len(proposed)), key=lambda i: (-p[i], proposed[i].start)):
+    for i in sorted(range(len(proposed)), key=lambda i: (-odds[i], proposed[i].start, -proposed[i].end)):
         c = proposed[i]
-        if p[i] <= (0.5 if model.trees is None else model.thresholds.get(c.kind, 1.0)):
+        if not c.proven and odds[i] <= model.thresholds.get(c.kind, LEAST_ODDS):
             continue
         at = bisect_right(taken, (c.start, math.inf))
         if (at and taken[at - 1][1] > c.start) or (at < len(taken) and taken[at][0] < c.end):
@@ -274,11 +471,12 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[cursor:]])
 
 
-_OUT = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
+_OUT = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), *((f"n_{k}", pa.int64()) for k in ADDED_KINDS)]
 
 
 def find(docs: DataFrame, model: PiiModel, redacted: bool = False) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256, spans (base, then added) and, if wanted, the redacted text.
+    """doc_id, the number of base spans of each kind, base_sha256, spans (base, then added), n_spans, the number of
+    added spans of each kind and, if wanted, the redacted text.
 
     Offsets are code points of the whole text; null text is empty and has no spans. Ids may be null
     or repeated; an empty table gives an empty one; other columns are not looked at.
@@ -296,8 +494,9 @@ def find(docs: DataFrame, model: PiiModel, redacted: bool = False) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 spans = base + added_spans(text, base, shared.value)
-                n = Counter(k for k, _, _ in base)
-                for kind in BASE_KINDS:
+                n = Counter(k for k, _, _ in spans)
+                columns["n_spans"].append(len(spans))
+                for kind in BASE_KINDS + ADDED_KINDS:
                     columns[f"n_{kind}"].append(n[kind])
                 columns["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
                 columns["spans"].append(joined(spans))
@@ -305,7 +504,7 @@ def find(docs: DataFrame, model: PiiModel, redacted: bool = False) -> DataFrame:
                     columns["redacted"].append(redact(text, spans))
             yield record_batch(fields, doc_id=batch.column("doc_id"), **columns)
 
-    ddl = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string" + ", redacted string" * redacted
+    ddl = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, n_spans long, " + ", ".join(f"n_{k} long" for k in ADDED_KINDS) + ", redacted string" * redacted
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
 
 
