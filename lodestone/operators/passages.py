@@ -190,11 +190,16 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def first_of_equal(rows: DataFrame, order: list[str], text: str = "text", within: list[str] | None = None) -> DataFrame:
     """Of passages that are equal but for case and white space, the first by ``order`` stays.
 
-    A hot text never meets in one task: the first row is found by partial aggregation and joined back.
+    The first place of each text is found by partial aggregation, and the rows that stay are those at
+    such a place: they are joined by place and text, so the rows of a hot text spread over all tasks.
     """
-    groups = within or []
     keyed = rows.withColumn("__key", F.sha2(key_text(text), 256))
+    group = [*(within or []), "__key"]
     place = F.struct(*[F.col(c) for c in order])
-    first = keyed.groupBy(*groups, "__key").agg(F.min(place).alias("__first"))
-    joined = keyed.join(first, [*groups, "__key"]).where(place == F.col("__first"))
-    return joined.select(*rows.columns)
+    first = keyed.groupBy(*group).agg(F.min(place).alias("__first"))
+    at = first.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], *[F.col(f"__first.{c}").alias(f"__p{i}") for i, c in enumerate(order)])
+    same = F.lit(True)
+    for side, names in (("__g", group), ("__p", order)):
+        for i, c in enumerate(names):
+            same = same & F.col(c).eqNullSafe(F.col(f"{side}{i}"))
+    return keyed.join(at, same, "left_semi").select(*rows.columns)

@@ -1,4 +1,4 @@
-"""Tables between the stages of a plan: files in the folder that driver and executors share."""
+"""Tables between the stages of a plan, in the folder that driver and executors share, and joins that no hot key gathers."""
 
 from __future__ import annotations
 
@@ -6,19 +6,70 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that a join broadcasts because many rows have them: no more, since each has more than that share of the rows.
+HOT_KEYS = 100_000
+#: A key with fewer rows than this is not hot, however small the table.
+LEAST_HOT = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir; a folder of this machine only where none is set on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application's tables are; nothing else is in it."""
+    return f"{shared_folder(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read again: later stages plan from a table, and a lost executor costs no earlier stage."""
-    path = f"{shared_folder(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``staged`` returned; nothing that is still to run may read them."""
+    for table in tables:
+        _delete(table.sparkSession, table.staged_at)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all tables of this application, once no result is to be read any more."""
+    _delete(spark, session_folder(spark))
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``groups``, which has one row for each key and in ``size`` how many rows have it.
+
+    Keys of more than ``total / HOT_KEYS`` rows are broadcast; there can't be more than HOT_KEYS of
+    them. The others are joined by shuffle, and no task gets more rows of a key than that. ``rows`` is
+    read twice. Null keys match nothing and are never shuffled.
+    """
+    least = max(LEAST_HOT, -(-total // HOT_KEYS))
+    hot = groups.where(F.col(size) > least)
+    with_key = rows.where(F.col(key).isNotNull())
+    warm = with_key.join(F.broadcast(hot), key)
+    rest = with_key.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= least), key, how)
+    joined = warm.unionByName(rest)
+    if how == "inner":
+        return joined
+    without = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name not in rows.columns]
+    return joined.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *without))
