@@ -1,16 +1,19 @@
-"""What the operators of this package share: materialising, hashing, batches of text."""
+"""What the operators of this package share: hashing, batches of text, and tables between stages."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.stage import discard, join_counted, session_folder
+from lodestone.plans.stage import staged as materialize
+
+__all__ = ["discard", "join_counted", "materialize", "session_folder"]
+
 #: Rows whose crc32(doc_id as text) leaves this remainder by 3 are held out of all training.
 HELD_OUT_REMAINDER = 1
 #: Of an Arrow batch that goes to a Python worker.
@@ -18,23 +21,6 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder3(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 

@@ -5,9 +5,10 @@ empty. A ``CuckooIndex`` answers "seen before?" from 16-bit fingerprints in two
 verifies every hit against the whole digest that is kept in the same bucket, supports deletion, and
 doubles itself from the stored keys when an insertion finds no place.
 
-Distribution: each scan task runs its rows through an index of its own, so a group of copies leaves a
-task as one row however large it is; the rest is dealt by digest to shards of a bounded number of
-keys, each with its index. No group is ever gathered in one place.
+Distribution: each scan task runs its rows through an index of its own, which it empties at a bounded
+number of keys, so a group of copies leaves a task as a few rows however large it is; the rest is
+dealt by digest to shards of a bounded number of keys, each with its index. What a group decides goes
+back to its rows by ``join_counted``: large groups are broadcast, so no task gathers one.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import materialize
+from lodestone.llm.base import join_counted, materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLOTS = 4
 #: Digests that one shard's index holds; the number of shards follows from it.
 KEYS_PER_SHARD = 400_000
-#: Groups of copies up to this many are broadcast to the documents (some 40 MB); more are joined by shuffle.
-BROADCAST_GROUPS = 400_000
+#: Rows that lose against an equal one, up to this many, are broadcast to the documents (16 MB); more are joined by id.
+BROADCAST_LOSERS = 1_000_000
+#: Repeated rows (same id, same text) that are counted out at a time.
+REPEATS = 10_000
 
 
 class CuckooIndex:
@@ -139,8 +142,19 @@ _GROUP = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_si
 _GROUP_DDL = "digest binary, keep_id long, group_size long, keep_times long"
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, keep_id, group_size, keep_times) of one task through one index: one row for each digest."""
+def _flushed(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    rows = list(index.items())
+    for i in range(0, len(rows), 50_000):
+        part = rows[i : i + 50_000]
+        columns = [pa.array([k for k, _ in part], pa.binary())] + [pa.array([v[j] for _, v in part], pa.int64()) for j in range(3)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_GROUP)
+
+
+def merge(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (digest, keep_id, group_size, keep_times) of one task through one index: one row for each digest.
+
+    With ``most`` the index is emptied whenever it holds so many, and a digest may come again.
+    """
     index = CuckooIndex(4096)
     for batch in batches:
         for key, doc, n, times in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -150,15 +164,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif doc == live[0]:
                 index.insert(key, (doc, live[1] + n, live[2] + times))
             elif live[0] is None or (doc is not None and doc > live[0]):
-                index.delete(key)  # the superseded row's digest dies, that of the new one lives
                 index.insert(key, (doc, live[1] + n, times))
             else:
                 index.insert(key, (live[0], live[1] + n, live[2]))
-    rows = list(index.items())
-    for i in range(0, len(rows), 50_000):
-        part = rows[i : i + 50_000]
-        columns = [pa.array([k for k, _ in part], pa.binary())] + [pa.array([v[j] for _, v in part], pa.int64()) for j in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, schema=_GROUP)
+        if most and len(index) >= most:
+            yield from _flushed(index)
+            index = CuckooIndex(4096)
+    yield from _flushed(index)
 
 
 def digest_groups(digests: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
@@ -166,7 +178,49 @@ def digest_groups(digests: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> D
     one = F.lit(1).cast("long")
     rows = digests.select("digest", F.col("doc_id").cast("long").alias("keep_id"), one.alias("group_size"), one.alias("keep_times"))
     shards = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // keys_per_shard))
-    return rows.mapInArrow(_merge, _GROUP_DDL).repartition(shards, "digest").mapInArrow(_merge, _GROUP_DDL)
+    return rows.mapInArrow(lambda batches: merge(batches, keys_per_shard), _GROUP_DDL).repartition(shards, "digest").mapInArrow(merge, _GROUP_DDL)
+
+
+def retract(groups: DataFrame, gone: DataFrame) -> DataFrame:
+    """``groups`` without the digests of ``gone`` (digest): each shard's index is filled with the live ones, and those of the other table are deleted from it.
+
+    Null digests of ``gone`` and those that aren't live change nothing.
+    """
+    shards = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("long")
+    dead = gone.where("digest is not null").select("digest", none.alias("keep_id"), none.alias("group_size"), none.alias("keep_times")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, waiting = CuckooIndex(4096), []
+        for batch in batches:
+            for key, *value in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if value[1] is None:
+                    waiting.append(key)
+                else:
+                    index.insert(key, tuple(value))
+        for key in waiting:
+            index.delete(key)
+        yield from _flushed(index)
+
+    return groups.select("digest", "keep_id", "group_size", "keep_times").unionByName(dead).repartition(shards, "digest").mapInArrow(run, _GROUP_DDL)
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_digest()).alias("digest")), "digests")
+
+
+def _nth(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (digest, doc_id) with what their group decides; ``stays`` for the row that is kept. Of repeated
+    ones that would be kept, which agree in both columns, they are counted and one stays."""
+    times = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    joined = join_counted(times, groups, "digest", "group_size", rows.count(), "left")
+    # in two steps, so that no array holds a number for each of a third of all rows
+    chunks = joined.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
+    last = F.least(F.col("times"), (F.col("__chunk") + 1) * REPEATS)
+    again = chunks.withColumn("nth", F.explode(F.sequence(F.col("__chunk") * REPEATS + 1, last)))
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    return again.select("doc_id", "digest", keep.alias("keep_id"), size.alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -176,30 +230,28 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     counts as the smallest. Of repeated rows (same id, same text) exactly one is kept. An empty
     table gives an empty table; other columns are not looked at.
     """
-    digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_digest()).alias("digest")), "digests")
-    groups = digest_groups(digests).where("group_size > 1").withColumn("found", F.lit(True))
-    # Copies of one (id, text) are counted, not gathered; they come back as many rows at the end.
-    rows = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    joined = rows.join(groups, "digest", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    keep = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
-    return joined.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("nth") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    digests = _digests(docs)
+    groups = materialize(digest_groups(digests).where("group_size > 1"), "copies")
+    return _nth(digests, groups).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows one. Cases as in ``exact_duplicates``."""
-    digests = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(text_digest()).alias("digest")), "digests")
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows one. Cases as in ``exact_duplicates``.
+
+    The rows that go are found by id and digest, so the copies of a hot text spread over all tasks.
+    """
+    digests = _digests(docs)
     groups = materialize(digest_groups(digests).where("group_size > 1"), "copies")
-    live = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), (F.col("keep_times") > 1).alias("__again"))
-    live = F.broadcast(live) if groups.count() <= BROADCAST_GROUPS else live
-    joined = docs.withColumn("__digest", F.unhex(text_digest())).join(live, "__digest", "left")
-    stays = joined.where(F.col("__again").isNull() | F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")))
-    if groups.where("keep_times > 1").isEmpty():
-        return stays.select(*docs.columns)
-    once = stays.where("not coalesce(__again, false)").unionByName(stays.where("__again").dropDuplicates(["__digest"]))
-    return once.select(*docs.columns)
+    copied = join_counted(digests, groups, "digest", "group_size", digests.count())
+    lost = copied.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"))
+    gone = materialize(lost.distinct(), "losers")
+    few = gone.count() <= BROADCAST_LOSERS
+    # the caller's columns travel in a struct, so no name of theirs clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(text_digest()).alias("digest"))
+    stays = rows.join(F.broadcast(gone) if few else gone, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left_anti")
+    again = groups.where("keep_times > 1").select("digest")
+    if again.isEmpty():
+        return stays.select("row.*")
+    # Rows that agree in id and text: all their other columns go through one aggregation, which keeps one of each.
+    once = stays.join(again, "digest", "left_semi").dropDuplicates(["digest"])
+    return stays.join(again, "digest", "left_anti").select("row.*").unionByName(once.select("row.*"))

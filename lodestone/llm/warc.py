@@ -1,11 +1,12 @@
 """Writing pages into WARC archives deterministically, and reading archives back.
 
-Pages are dealt into ranges of page_id whose bounds come from a sample that is taken by hash, so equal
-input gives equal ranges; within a range they are sorted, and a task writes one file after another,
-rolling when the compressed size reaches a limit. Record headers and digests are generated anew from
-the payload. A file is written under a temporary name and moved to its own when complete; it counts
-once the manifest, itself written with Spark's commit, names it. A task that runs twice writes the
-same bytes under the same names. Each record is a gzip member of its own.
+Pages are dealt into ranges of page_id whose bounds come from a sample of bounded size that is taken
+by hash, so equal input gives equal ranges, one for each task; within a range they are sorted, and the
+task writes one file after another, rolling when the compressed size reaches a limit. Record headers
+and digests are generated anew from the payload. A file is written under a temporary name and moved to
+its own when complete, unless an earlier attempt of the task has done that: it has the same bytes. It
+counts once the manifest, itself written with Spark's commit, names it; then what dead attempts left
+is removed. Each record is a gzip member of its own.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id carries
 the payload and the others are revisit records that refer to it.
@@ -26,12 +27,16 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import bound_batches, hash_unit, record_batch, shared_dir
+from lodestone.llm.base import bound_batches, hash_unit, join_counted, materialize, record_batch, session_folder
 
 LEAST_BYTES = 1000
 FILE_BYTES = 64 << 20
-RANGE_BYTES = 64 << 20
+#: Payload of a range, at least; more where there would be more than RANGES of them.
+RANGE_BYTES = 16 << 20
+RANGES = 50_000
+#: Rows of the sample for each range, on average: the driver gets RANGES times as many at most (16 MB).
 SAMPLED_PER_RANGE = 20
+TEMPORARY = ".tmp"
 DATE = "1970-01-01T00:00:00Z"
 _SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) not in "<>")
 
@@ -44,8 +49,9 @@ def _hex(digest: str) -> str:
     return base64.b32decode(digest.removeprefix("sha1:")).hex()
 
 
-def record_id(page_id: int | None, payload_digest: str) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}:{_hex(payload_digest)}>"
+def record_id(page_id: int | None, payload_digest: str, nth: int = 0) -> str:
+    """Names a record; the second and later records of one page with one payload have a number."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{_hex(payload_digest)}{f':{nth}' if nth else ''}>"
 
 
 def _page_of(record: str) -> int | None:
@@ -58,11 +64,11 @@ def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, nth: int = 0) -> bytes:
     """A response record with HTTP headers and the payload, or a revisit record with the headers alone."""
     digest = _digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url, safe=_SAFE) if url else "urn:page:unknown"), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
+    headers = [("WARC-Record-ID", record_id(page_id, digest, nth)), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url, safe=_SAFE) if url else "urn:page:unknown"), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
     if not is_revisit:
         return _record("response", headers, http + payload)
     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest))]
@@ -84,7 +90,7 @@ class _File:
     def __init__(self, store: pafs.FileSystem, root: str, number: int, part: int) -> None:
         self.store, self.root, self.range, self.part = store, root, number, part
         self.name = f"pages-{number:06d}-{part:05d}.warc.gz"
-        self.temporary = f"{root}/.tmp-{uuid.uuid4().hex}-{self.name}"
+        self.temporary = f"{root}/{TEMPORARY}/{uuid.uuid4().hex}-{self.name}"
         self.out = store.open_output_stream(self.temporary, compression=None)  # members are packed here
         self.bytes = self.records = 0
         self.sum = hashlib.sha256()
@@ -104,16 +110,17 @@ class _File:
     def commit(self) -> tuple:
         self.out.close()
         final = f"{self.root}/{self.name}"
-        if self.store.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier attempt: the same bytes
-            self.store.delete_file(final)
-        self.store.move(self.temporary, final)
+        if self.store.get_file_info(final).type == pafs.FileType.NotFound:
+            self.store.move(self.temporary, final)
+        else:  # of an earlier attempt: the same bytes
+            self.store.delete_file(self.temporary)
         return self.name, self.range, self.part, self.records, self.bytes, self.sum.hexdigest()
 
 
-def range_bounds(sizes: DataFrame, range_bytes: int, per_range: int = SAMPLED_PER_RANGE) -> list[int]:
+def range_bounds(sizes: DataFrame, range_bytes: int, per_range: int = SAMPLED_PER_RANGE, most: int = RANGES) -> list[int]:
     """Upper bounds of all ranges but the last, from a sample by hash of (page_id, payload_bytes)."""
     total = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("b")).first()
-    ranges = max(1, -(-int(total["b"] or 0) // range_bytes))
+    ranges = min(most, max(1, -(-int(total["b"] or 0) // range_bytes)))
     if ranges == 1:
         return []
     share = min(1.0, per_range * ranges / max(1, total["n"]))
@@ -130,50 +137,54 @@ def _payload() -> Column:
 def write_archives(pages: DataFrame, uri: str, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Writes a record for each row of ``pages`` (page_id, url, html) and returns the committed manifest.
 
-    Null html is an empty payload; null urls and ids are written as unknown. Rows that repeat the id
-    of a group's response are responses too. An empty table gives an empty manifest.
+    Null html is an empty payload; null urls and ids are written as unknown, and rows without an id
+    are dealt by their payload. Rows that repeat the id of a group's response are responses too. An
+    empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     bound_batches(spark)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("html"))
-    meta = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
-    groups = meta.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
-    again = meta.where(F.col("payload_bytes") >= least).join(groups, "digest").where("page_id is null or page_id <> target").select("page_id", "digest", "target").distinct()
-    bounds = spark.sparkContext.broadcast(np.array(range_bounds(meta, range_bytes), dtype=np.int64))
-
-    @F.arrow_udf("long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("html")).withColumn("digest", F.sha1("html"))
+    meta = materialize(rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("payload_bytes")), "payloads")
+    large = meta.where(F.col("payload_bytes") >= least)
+    groups = materialize(large.groupBy("digest").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null"), "copies")
+    again = join_counted(large, groups, "digest", "n", meta.count()).where("page_id is null or page_id <> target").select("page_id", "digest", "target").distinct()
+    found = range_bounds(meta, range_bytes)
+    bounds, ranges = spark.sparkContext.broadcast(np.array(found, dtype=np.int64)), len(found) + 1
+
+    @F.arrow_udf("int")
     def range_of(ids: pa.Array) -> pa.Array:
         numbers = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        return pa.array(np.searchsorted(bounds.value, numbers, side="left"), pa.int64())
-
-    marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "target", F.lit(0).alias("kind"))
-    tagged = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("target"), F.lit(1).alias("kind")).unionByName(marks).withColumn("range", range_of("page_id"))
-    # kind 0 comes before the rows of its page: it says that a payload with this digest is a revisit
-    dealt = tagged.repartition(len(bounds.value) + 1, "range").sortWithinPartitions("range", "page_id", "kind", "html", "url")
+        return pa.array(np.searchsorted(bounds.value, numbers, side="left"), pa.int32())
+
+    none = F.lit(None).cast("string")
+    marks = again.select("page_id", none.alias("url"), none.alias("html"), "digest", "target", F.lit(0).alias("kind"))
+    tagged = rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("target"), F.lit(1).alias("kind")).unionByName(marks)
+    anywhere = F.pmod(F.xxhash64("digest"), F.lit(ranges)).cast("int")
+    placed = tagged.withColumn("range", F.when(F.col("page_id").isNull(), anywhere).otherwise(range_of("page_id")))
+    # kind 0 comes right before the rows of its page and payload: it says that they are revisits
+    dealt = placed.repartitionById(ranges, "range").sortWithinPartitions("range", "page_id", "digest", "kind", "url")
     store, root = pafs.FileSystem.from_uri(uri)
-    store.create_dir(root, recursive=True)
+    store.create_dir(f"{root}/{TEMPORARY}", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/{TEMPORARY}", recursive=True)
         done: list[tuple] = []
         file: _File | None = None
-        marked: dict[str, int] = {}
-        page: object = ()
+        now, target, nth = (), None, 0
         for batch in batches:
-            for page_id, url, html, target, kind, number in zip(*(c.to_pylist() for c in batch.columns)):
-                if page_id != page:
-                    page, marked = page_id, {}
+            for page_id, url, html, digest, refers_to, kind, number in zip(*(c.to_pylist() for c in batch.columns)):
+                if (page_id, digest) != now:
+                    now, target, nth = (page_id, digest), None, 0
                 if kind == 0:
-                    marked[html] = target
+                    target = refers_to
                     continue
                 if file is None or file.range != number or file.bytes >= file_bytes:
                     if file is not None:
                         done.append(file.commit())
                     file = _File(store, root, number, file.part + 1 if file is not None and file.range == number else 0)
-                payload = html.encode("utf-8")
-                refers = marked.get(hashlib.sha1(payload).hexdigest()) if marked else None
-                file.add(page_record(page_id, url, payload, refers, refers is not None))
+                file.add(page_record(page_id, url, html.encode("utf-8"), target, target is not None, nth))
+                nth += 1
         if file is not None:
             done.append(file.commit())
         if done:
@@ -181,6 +192,7 @@ def write_archives(pages: DataFrame, uri: str, least: int = LEAST_BYTES, file_by
 
     manifest = f"{uri}/manifest"
     dealt.mapInArrow(write, _MANIFEST_DDL).write.mode("errorifexists").parquet(manifest)
+    store.delete_dir(f"{root}/{TEMPORARY}")
     return spark.read.schema(_MANIFEST_DDL).parquet(manifest)
 
 
@@ -248,5 +260,5 @@ def read_archives(manifest: DataFrame, uri: str, payloads: bool = False) -> Data
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     """Writes ``pages`` into a new folder of the shared one and reads them back."""
-    uri = f"{shared_dir(spark)}/lodestone/warc-{uuid.uuid4().hex}"
+    uri = f"{session_folder(spark)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(pages, uri, **options), uri)

@@ -71,3 +71,49 @@ def test_deduplicate_keeps_one_row_with_all_columns(docs, odd, empty):
         got = out.collect()
         want = sum(1 for (_, _, _, kept, _), n in brute([(r.doc_id, r.text) for r in df.collect()]).items() for _ in range(n) if kept)
         assert len(got) == want == len({(r.text or "").translate(LOWER) for r in got})
+
+
+def test_index_of_a_task_is_bounded(spark):
+    """Emptied at a number of keys, the index gives a digest more than once, and the shards merge these."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(hashlib.sha256(str(rng.randrange(300)).encode()).digest(), i, 1, 1) for i in range(2000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 100]), E._GROUP.types)], schema=E._GROUP) for i in range(0, 2000, 100)]
+    once = pa.Table.from_batches(E.merge(iter(batches))).to_pylist()
+    parts = list(E.merge(iter(batches), 50))
+    assert len(once) == 300 < sum(b.num_rows for b in parts)
+    again = pa.Table.from_batches(E.merge(iter(parts))).to_pylist()
+    assert sorted(map(str, again)) == sorted(map(str, once))
+
+
+def test_retracted_digests_are_gone(docs):
+    groups = E.digest_groups(docs.select("doc_id", F.unhex(E.text_digest()).alias("digest")))
+    gone = groups.where("keep_id % 3 = 0").select("digest")
+    left = E.retract(groups, gone.unionByName(gone).unionByName(groups.select(F.lit(None).cast("binary").alias("digest")).limit(1)))
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, groups.where("keep_id is null or keep_id % 3 <> 0").collect()))
+
+
+def test_one_text_in_most_rows(spark):
+    """Without adaptive execution: the copies of a text are in no task alone."""
+    rows = [(i, "Hot text" if i % 10 else f"text {i}", "x", "y") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, id string").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = E.exact_duplicates(df)
+        assert Counter(tuple(r) for r in out.collect()) == brute([r[:2] for r in rows])
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2500
+        kept = E.deduplicate(df)
+        assert kept.count() == 501 and kept.schema == df.schema and kept.where("text = 'Hot text'").first()["doc_id"] == 4999
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_repeated_rows_beyond_one_array(spark):
+    df = spark.range(25_001).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = E.exact_duplicates(df).groupBy("kept", "group_size").count().collect()
+    assert sorted((r["kept"], r["group_size"], r["count"]) for r in out) == [(False, 25_001, 25_000), (True, 25_001, 1)]
+    assert E.deduplicate(df).count() == 1
