@@ -56,32 +56,36 @@ def poisson_steps(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["sums"]
 
 
-def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, partitions: int | None = None) -> DataFrame:
-    """The rows of ``docs`` repeated by Poisson counts and shuffled globally; plus ``copy``, from 0 for each row.
-
-    Counts depend on seed and doc_id: repeated rows get the same count each; null ids share one. A
-    source that ``rates`` lacks, or with rate 0, gives no rows. A column ``copy`` of the input is
-    replaced. An empty table gives an empty one.
+def mix(docs: DataFrame, rates: DataFrame, seed: int = SEED, partitions: int | None = None, copy: str | None = "copy") -> DataFrame:
+    """The rows of ``docs`` repeated by Poisson counts and shuffled globally; plus column ``copy``, from 0 for each row.
+
+    Counts depend on seed and doc_id alone: repeated rows get the same count each; null ids share one.
+    Places depend on seed, doc_id, copy and the task that reads a row, so rows that agree in all
+    columns spread as well. A source that ``rates`` lacks, or with rate 0, gives no rows. A column of
+    the input named as ``copy`` is replaced; with None for it nothing is added or replaced. An empty
+    table gives an empty one.
     """
-    names = [c for c in docs.columns if c != "copy"]
+    names = [c for c in docs.columns if c != copy]
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(LARGEST_MEAN)).cast("int"))
-    table = materialize(rates.where("rate > 0").select(key.alias("__source"), parts.alias("__parts"), poisson_steps(F.col("rate") / parts).alias("__sums")), "rates")
+    table = materialize(rates.where("rate > 0").select(key.alias("key"), parts.alias("parts"), poisson_steps(F.col("rate") / parts).alias("sums")), "rates")
     table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
     def count_of(part: Column) -> Column:
-        u = hash_unit(doc, part, seed=seed)
-        return F.size(F.filter(F.col("__sums"), lambda s: s <= u))
-
-    counts = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda acc, part: acc + count_of(part))
-    joined = docs.select(*names).withColumn("__source", key).join(table, "__source").withColumn("__count", counts).where("__count > 0")
-    copies = joined.select(*names, F.explode(F.sequence(F.lit(0), F.col("__count") - 1)).alias("copy"))
-    place = F.xxhash64(F.lit(seed), doc, F.col("copy"))
-    spread = copies.withColumn("__place", place)
+        u = hash_unit(F.col("doc"), part, seed=seed)
+        return F.size(F.filter(F.col("sums"), lambda s: s <= u))
+
+    counts = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda acc, part: acc + count_of(part))
+    # the caller's columns travel in a struct, so no name of theirs clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"), doc.alias("doc"))
+    counted = rows.join(table, "key").select("row", "doc", counts.alias("n")).where("n > 0")
+    copies = counted.select("row", "doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    spread = copies.select("row", "copy", F.xxhash64(F.lit(seed), "doc", "copy", F.spark_partition_id()).alias("place"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "__place").sortWithinPartitions("__place").drop("__place")
+    dealt = spread.repartition(n, "place").sortWithinPartitions("place")
+    return dealt.select("row.*") if copy is None else dealt.select("row.*", F.col("copy").alias(copy))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, **options) -> DataFrame:
-    return mix(docs, source_rates(docs, weights, **options), seed)
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, copy: str | None = "copy", **options) -> DataFrame:
+    return mix(docs, source_rates(docs, weights, **options), seed, copy=copy)

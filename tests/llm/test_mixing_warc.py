@@ -97,7 +97,7 @@ def test_files_are_the_same_every_time(spark, pages, tmp_path):
         manifest = W.write_archives(pages.repartition(n), uri, file_bytes=3000, range_bytes=40_000)
         sums.append({r.file: (r.sha256, r.bytes, r.records) for r in manifest.collect()})
         on_disk = {p.name: p for p in Path(tmp_path, run).glob("*.warc.gz")}
-        assert set(on_disk) == set(sums[-1]) and not list(Path(tmp_path, run).glob(".tmp*.gz"))
+        assert set(on_disk) == set(sums[-1]) and not Path(tmp_path, run, W.TEMPORARY).exists()
         for name, p in on_disk.items():
             assert hashlib.sha256(p.read_bytes()).hexdigest() == sums[-1][name][0]
             assert gzip.decompress(p.read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
@@ -106,6 +106,54 @@ def test_files_are_the_same_every_time(spark, pages, tmp_path):
     assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in payloads.collect())
 
 
+def test_records_have_names_of_their_own(spark, pages, tmp_path):
+    manifest = W.write_archives(pages, f"file://{tmp_path}/n", file_bytes=3000, range_bytes=40_000)
+    names = []
+    for r in manifest.collect():
+        with open(f"{tmp_path}/n/{r.file}", "rb") as stream:
+            names += [h["WARC-Record-ID"] for h, _ in W.records_of(stream)]
+    assert len(names) == len(set(names)) == pages.count() + manifest.count()
+
+
+def test_an_attempt_that_dies_between_write_and_move(spark, pages, tmp_path):
+    uri, store = f"file://{tmp_path}/k", W.pafs.LocalFileSystem()
+    first = W.write_archives(pages, uri, file_bytes=3000, range_bytes=40_000)
+    want = {p.name: p.read_bytes() for p in Path(tmp_path, "k").glob("*.warc.gz")}
+    one = first.first()
+    Path(tmp_path, "k", W.TEMPORARY).mkdir()
+    dead, late = (W._File(store, f"{tmp_path}/k", one.range, one.part) for _ in range(2))
+    dead.out.close()  # written, never moved
+    late.commit()  # a second attempt after the manifest: the file that it names stays as it is
+    assert {p.name: p.read_bytes() for p in Path(tmp_path, "k").glob("*.warc.gz")} == want
+    assert Counter(map(tuple, W.read_archives(first, uri).collect())) == brute(list(map(tuple, pages.collect())))
+    Path(tmp_path, "l", W.TEMPORARY).mkdir(parents=True)  # the same before the manifest
+    lost = W._File(store, f"{tmp_path}/l", 0, 0)
+    lost.out.close()
+    W.write_archives(pages, f"file://{tmp_path}/l", file_bytes=3000, range_bytes=40_000)
+    assert {p.name: p.read_bytes() for p in Path(tmp_path, "l").glob("*.warc.gz")} == want and not Path(tmp_path, "l", W.TEMPORARY).exists()
+
+
+def test_ranges_are_bounded_in_number(spark):
+    sizes = spark.range(5000).select(F.col("id").alias("page_id"), F.lit(1000).cast("long").alias("payload_bytes"))
+    assert len(W.range_bounds(sizes, 1000, most=40)) == 39
+    assert W.range_bounds(sizes, 10**9) == []
+
+
+def test_names_of_the_caller_stay(spark):
+    rows = [(i, "s", f"c{i}", "p", 7, 8) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, copy string, place string, row int, `key` int")
+    out = M.mix_sources(df, copy=None)
+    assert out.schema == df.schema and {r.copy for r in out.collect()} <= {r[2] for r in rows}
+    assert dict(M.mix_sources(df).dtypes)["copy"] == "int"
+
+
+def test_equal_rows_spread(spark):
+    df = spark.range(4000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"))
+    out = M.mix(df, M.source_rates(df), partitions=8)
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert out.count() == 0 or most <= out.count() / 2
+
+
 def test_damage_is_seen(spark, pages, tmp_path):
     uri = f"file://{tmp_path}/x"
     manifest = W.write_archives(pages, uri)
