@@ -213,10 +213,11 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> PackingPla
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a column length of 1 to ``capacity``; any others stay) plus sequence_id and offset.
 
-    ``pieces`` must be stable, as a materialised table is. Equal rows are different pieces. An empty
-    table gives an empty one.
+    Columns of these names are replaced. Rows are numbered in a table, once, so that all that follows
+    agrees about them. Equal rows are different pieces. An empty table gives an empty one.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__row")]
+    pieces = materialize(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.where(F.col("length") == capacity)
     part = pieces.where(F.col("length") < capacity)
     histogram = {int(r["length"]): int(r["n"]) for r in part.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -225,10 +226,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(plan)
 
     salts = max(SALTS, -(-rows // ROWS_PER_SALT))
-    salted = part.withColumn("__id", F.monotonically_increasing_id()).withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
+    salted = part.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
     groups = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
     before = groups.select("length", "__salt", (F.sum("n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
-    ranked = salted.withColumn("__nth", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__id")) - 1).join(before, ["length", "__salt"])
+    ranked = salted.withColumn("__nth", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1).join(before, ["length", "__salt"])
 
     @F.arrow_udf("sequence_id long, offset long")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -238,7 +239,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(2 * (p.base[i] + at - p.begin[i]), pa.int64()), pa.array(p.offset[i], pa.int64())], ["sequence_id", "offset"])
 
     placed = ranked.withColumn("__at", place("length", F.col("__before") + F.col("__nth"))).select(*names, "__at.sequence_id", "__at.offset")
-    alone = whole.select(*names, (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = whole.select(*names, (F.col("__row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)
 
 
@@ -249,4 +250,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     as often as they are there; null ids stay null; an empty table gives an empty one; other columns
     are not looked at.
     """
-    return pack(materialize(token_pieces(docs, capacity, vocabulary, end, keep_ids), "pieces"), capacity)
+    return pack(token_pieces(docs, capacity, vocabulary, end, keep_ids), capacity)
