@@ -11,15 +11,22 @@ Which pairs are compared, without losing a link and without emitting all pairs o
 
 1. Equal sets are one node (their documents are linked with each other by definition).
 2. Two sets with Jaccard of at least t share an n-gram among the first |x| - ceil(t|x|) + 1 of each in
-   the global order. Nodes that share such a token are a posting group.
-3. In each group every node is compared with one leader (the node that shares most): a star, linear in
-   the group. Verified links give components.
+   the global order. Nodes that share such a token are a posting group. If the first token that two
+   sets share stands at places p and q, the overlap is at most 1 + min(|x| - p - 1, |y| - q - 1): what
+   is too far back in its set for the sizes of a group takes no part in it.
+3. Stars: every node is compared with one leader of its groups, twice (the node that shares most, then
+   one of another component), so with no more pairs than nodes. Verified links give components.
 4. Groups whose nodes are by now in one component need nothing more. In the others, only pairs from
-   different components are looked at, inside a task, in blocks of bounded size; a pair leaves the task
-   only if the parity bitmaps of its sets allow the threshold (the number of differing bits never
-   exceeds the symmetric difference, so no link is lost). These are verified like the first ones.
-
-Components of all verified links then give each document the smallest doc_id it reaches.
+   different components are looked at. A group of more than ``block`` nodes is split by the next token
+   that its nodes share (for t above one half two linked sets share two of their first
+   |x| - ceil(t|x|) + 2 tokens), so nodes that have nothing else in common never meet; what is still
+   larger is compared in blocks of bounded size. A pair leaves its task only if sizes, places and the
+   parity bitmaps of its sets allow the threshold (the number of differing bits never exceeds the
+   symmetric difference, so no link is lost). These are verified like the first ones.
+
+Components of all verified links then give each document the smallest doc_id it reaches. Joins whose
+keys can be hot (tokens, nodes with many copies, leaders) broadcast the few hot ones or deal their rows
+to salts, so no task gathers a key's rows.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import bound_batches, materialize, record_batch, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, join_counted, materialize, record_batch, spans_of_chars, texts_of
 from lodestone.llm.components import connected_components
 
 #: Links need 100 * intersection >= PERCENT * union.
@@ -44,7 +51,9 @@ SKETCH_BITS = 20
 #: Counters that travel together, packed; most are zero in a small task.
 SKETCH_CHUNK = 1 << 14
 #: Rows of a posting group that one task compares with each other at a time.
-BLOCK = 1500
+BLOCK = 400
+#: Pairs of one leader whose segments travel together.
+PAIRS_PER_SALT = 500
 #: Bits of the filter that says which documents to read again (1 MB; more for more documents, to 16 MB).
 FILTER_BITS = (1 << 23, 1 << 27)
 #: Dropped ids up to this many are broadcast (16 MB).
@@ -137,7 +146,7 @@ def may_link(n: int, m: int, differ: int = 0, percent: int = PERCENT) -> bool:
 
 
 def bitmap_bits(n: int) -> int:
-    return 1 << min(12, max(6, (n // 2).bit_length()))
+    return 1 << min(13, max(6, (2 * n).bit_length()))
 
 
 def parity_bitmap(grams: np.ndarray) -> bytes:
@@ -232,42 +241,57 @@ def read_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, GlobalOrd
     return table.where("chunk is null").select("doc_id", "n", "node"), GlobalOrder(rank, cuts)
 
 
-_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())]
+_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("bitmap", pa.binary())]
+
+
+def in_first_prefix(percent: int) -> Column:
+    """Whether a token of the longer prefix is in the shorter one too."""
+    return F.col("pos") < F.col("n") - F.expr(f"({percent}L * n + 99) div 100") + 1
 
 
 def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(token, node) of the prefixes, and (node, n, bitmap); a node may come more than once."""
+    """(token, node, pos, n) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap).
+
+    A node may come more than once. Sets of one n-gram are left out where they can't be linked with any other.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    least = 2 if percent > 50 else 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, maps, tokens, owners = [], [], [], [], []
+            nodes, sizes, maps, tokens = [], [], [], []
             for grams in shingle_sets(texts_of(batch), words):
-                if not len(grams):
+                if len(grams) < least:
                     continue
                 node = fingerprint(grams)
                 if node in seen:
                     continue
                 if len(seen) < 200_000:
                     seen.add(node)
-                first = shared.value.ordered(grams)[: prefix_length(len(grams), percent)].view(np.int64)
                 nodes.append(node)
                 sizes.append(len(grams))
                 maps.append(parity_bitmap(grams))
-                tokens.append(first)
-                owners.append(np.full(len(first), node, dtype=np.int64))
+                tokens.append(shared.value.ordered(grams)[: prefix_length(len(grams), percent) + 1].view(np.int64))
             if not nodes:
                 continue
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            none, empty = pa.nulls(len(token), pa.int64()), pa.nulls(len(nodes), pa.int64())
-            yield record_batch(_TOKENS, token=empty, node=nodes, n=sizes, bitmap=maps)
-            for i in range(0, len(token), 500_000):
-                part = slice(i, i + 500_000)
-                yield record_batch(_TOKENS, token=token[part], node=owner[part], n=none[part], bitmap=pa.nulls(len(token[part]), pa.binary()))
+            lengths = np.array([len(t) for t in tokens])
+            token, owner, size = np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes), lengths)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, pos=[None] * len(nodes), n=sizes, bitmap=maps)
+            for i in range(0, len(token), 200_000):
+                part = slice(i, i + 200_000)
+                yield record_batch(_TOKENS, token=token[part], node=owner[part], pos=pos[part].astype(np.int32), n=size[part].astype(np.int32), bitmap=pa.nulls(len(token[part]), pa.binary()))
 
-    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, n long, bitmap binary"), "tokens")
-    return table.where("token is not null").select("token", "node"), table.where("token is null").select("node", "n", "bitmap")
+    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, pos int, n int, bitmap binary"), "tokens")
+    return table.where("token is not null").select("token", "node", "pos", "n"), table.where("token is null").select("node", "n", "bitmap")
+
+
+def shared_postings(tokens: DataFrame) -> DataFrame:
+    """``tokens`` that two different nodes have, each row once."""
+    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "size"), "shared")
+    found = join_counted(tokens, shared, "token", "size", tokens.count()).select("token", "node", "pos", "n")
+    return materialize(found.dropDuplicates(["token", "node"]), "postings")
 
 
 def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words: int = WORDS) -> DataFrame:
@@ -307,13 +331,27 @@ def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links: overlaps counted fragment by fragment, summed for each pair."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    readers = materialize(nodes.join(ends, "node", "left_semi").select("node", "doc_id"), "readers")
+    """The pairs (a, b, n_a, n_b) that are links: overlaps counted fragment by fragment, summed for each pair.
+
+    A node in many pairs, as leaders are, has its segments copied for each ``PAIRS_PER_SALT`` of them.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.lit("a").alias("side")).unionByName(pairs.select(F.col("b").alias("node"), F.lit("b").alias("side")))
+    asked = materialize(ends.groupBy("node").agg(F.count_if(F.col("side") == "a").alias("as_a"), F.count_if(F.col("side") == "b").alias("as_b")), "asked")
+    readers = materialize(nodes.join(asked.select("node"), "node", "left_semi").select("node", "doc_id"), "readers")
     segments = segments_of(docs, readers, order, words)
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("items").alias("items_a"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("items").alias("items_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
+    total, salted = pairs.count(), pairs
+    sides = {side: asked.where(F.col(f"as_{side}") > 0).select(F.col("node").alias(side), F.col(f"as_{side}").alias("size"), F.ceil(F.col(f"as_{side}") / F.lit(PAIRS_PER_SALT)).cast("int").alias("salts")) for side in ("a", "b")}
+    for side, other in (("a", "b"), ("b", "a")):
+        counted = join_counted(salted, sides[side], side, "size", total)
+        salted = counted.withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("size", "salts")
+    salted = materialize(salted, "salted")
+
+    def copies(side: str) -> DataFrame:
+        each = segments.withColumnRenamed("node", side).join(sides[side], side)
+        return each.select(side, "fragment", F.col("items").alias(f"items_{side}"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"salt_{side}"))
+
+    table = salted.join(copies("a"), ["a", "salt_a"]).join(copies("b"), ["b", "salt_b", "fragment"])
+    partial = table.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
     # a repeated row gives its segments twice, hence the maximum before the sum
     once = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared"))
     summed = once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
@@ -321,82 +359,157 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalO
     return materialize(links.select("a", "b"), "verified")
 
 
+class _Bitmaps:
+    """Parity bitmaps of some nodes, folded to smaller sizes as they are asked for."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.width = np.array([len(m) for m in maps], dtype=np.int64)
+        self.row = np.zeros(len(maps), dtype=np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+            self.of[w] = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint8).reshape(-1, w)
+
+    def folded(self, rows: np.ndarray, own: int, to: int) -> np.ndarray:
+        m = self.of[own][self.row[rows]]
+        while own > to:
+            own //= 2
+            m = m[:, :own] ^ m[:, own:]
+        return np.ascontiguousarray(m).view(np.uint64)
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric differences of pairs."""
+        out = np.zeros(len(i), dtype=np.int64)
+        both = np.stack([self.width[i], self.width[j]], axis=1)
+        for wi, wj in np.unique(both, axis=0).tolist():
+            for at in np.array_split(here := np.flatnonzero((both[:, 0] == wi) & (both[:, 1] == wj)), max(1, len(here) // 20_000)):
+                to = min(wi, wj)
+                out[at] = np.bitwise_count(self.folded(i[at], wi, to) ^ self.folded(j[at], wj, to)).sum(axis=1)
+        return out
+
+
+def may_link_all(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """``may_link`` for arrays."""
+    differ = np.maximum(differ, np.abs(n - m))
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
 def _bitmaps_allow(percent: int):
     @F.arrow_udf("boolean")
     def allow(n_a: pa.Array, map_a: pa.Array, n_b: pa.Array, map_b: pa.Array) -> pa.Array:
-        number, rows = int.from_bytes, zip(*(c.to_pylist() for c in (n_a, map_a, n_b, map_b)))
-        return pa.array([may_link(n, m, differing_bits(number(x, "little"), 8 * len(x), number(y, "little"), 8 * len(y)), percent) for n, x, m, y in rows], pa.bool_())
+        n, m = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n_a, n_b))
+        maps = _Bitmaps(map_a.to_pylist() + map_b.to_pylist())
+        at = np.arange(len(n))
+        return pa.array(may_link_all(n, m, maps.differing(at, at + len(n)), percent) if len(n) else np.zeros(0, bool), pa.bool_())
 
     return allow
 
 
-def star_pairs(postings: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each node of a posting group with the group's leader, as far as sizes and bitmaps allow a link."""
-    degree = postings.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    weighed = postings.join(degree, "node")
-    leaders = weighed.groupBy("token").agg(F.max(F.struct("degree", "node")).alias("top")).select("token", F.col("top.node").alias("leader"))
-    pairs = postings.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+def _places_allow(n: str, pos: str, m: str, other_pos: str, percent: int) -> Column:
+    """Whether sizes and the places of the first token that two sets share allow the threshold."""
+    rest = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other_pos))
+    sizes = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    return sizes & (rest * F.lit(100 + percent) >= F.lit(percent) * (F.col(n) + F.col(m)))
+
+
+def star_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+    """Each node with one leader of its posting groups, as far as sizes, places and bitmaps allow a link.
+
+    First the leader of a group is the node that shares most tokens, and a node takes the foremost of
+    its leaders; with ``components`` of links that are known, it is any node, and another component's.
+    """
+    first = postings.where(in_first_prefix(percent))
+    if components is None:
+        degree = postings.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+        placed = first.join(degree, "node").withColumn("component", F.col("node"))
+    else:
+        placed = first.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("weight", F.xxhash64("component", F.lit(1)))
+    top = F.max(F.struct("weight", "node", "component", "pos", "n")).alias("top")
+    groups = placed.groupBy("token").agg(top, F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    leaders = materialize(groups.select("token", "size", *[F.col(f"top.{c}").alias(f"lead_{c}") for c in ("weight", "node", "component", "pos", "n")]), "leaders")
+    met = join_counted(placed, leaders, "token", "size", postings.count())
+    fits = met.where("component <> lead_component").where(_places_allow("n", "pos", "lead_n", "lead_pos", percent))
+    best = fits.groupBy("node").agg(F.max(F.struct("lead_weight", "lead_node")).alias("best"))
+    pairs = best.select(F.least("node", "best.lead_node").alias("a"), F.greatest("node", "best.lead_node").alias("b")).distinct()
     return allowed_pairs(pairs, nodes, percent)
 
 
 def allowed_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b"))
-    sized = pairs.join(a, "a").join(b, "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    return sized.where(_bitmaps_allow(percent)("n_a", "map_a", "n_b", "map_b")).select("a", "b", "n_a", "n_b")
+    """The pairs that bitmaps allow, with sizes; a leader of many pairs is broadcast if it is in more than 1 in HOT_KEYS of them."""
+    total = pairs.count()
+    table = pairs
+    for side in ("a", "b"):
+        counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("size"))
+        own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"map_{side}")).join(counts, side)
+        table = join_counted(table, own, side, "size", total).drop("size")
+    return table.where(_bitmaps_allow(percent)("n_a", "map_a", "n_b", "map_b")).select("a", "b", "n_a", "n_b")
+
+
+def _opened(rows: DataFrame, percent: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (token, node, component, pos, n) those of groups with several components whose place allows a link
+    with the smallest set of the group; and (token, size) of the groups that this leaves."""
+    groups = materialize(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "least", "size"), f"{tag}-groups")
+    met = join_counted(rows, groups, "token", "size", rows.count()).drop("size")
+    left = materialize(met.where((F.col("n") - F.col("pos")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least"), f"{tag}-rows")
+    sizes = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return left, materialize(sizes.select("token", "size"), f"{tag}-sizes")
 
 
 def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Pairs of a posting group from different components that sizes and bitmaps allow to be links."""
-    placed = postings.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    open_groups = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    rows = placed.join(open_groups.select("token", "size"), "token").join(nodes.select("node", "n", "bitmap"), "node")
+    """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links."""
+    placed = materialize(postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    left, sizes = _opened(placed.where(in_first_prefix(percent)), percent, "open")
+    total = left.count()
+    rows = join_counted(left, sizes, "token", "size", total)
+    if percent > 50:
+        # by the next token that the sets share: what stands after it is one place further back for the bound
+        hot = materialize(rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at")), "hot")
+        after = placed.select("node", "component", "n", "pos", F.col("token").alias("next")).join(hot, "node").where("pos > at")
+        split = after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n")
+        split_left, split_sizes = _opened(split, percent, "split")
+        rows = rows.where(F.col("size") <= block).unionByName(join_counted(split_left, split_sizes, "token", "size", split_left.count()).select(*rows.columns))
     # A group of more than ``block`` rows is compared block by block: each row meets each block once.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "bitmap")
+    dealt = dealt.join(nodes.select("node", "bitmap"), "node")
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos", "bitmap")
     sorted_rows = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
-    fields = [("a", pa.int64()), ("b", pa.int64())]
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64())]
+
+    def close(group: list[tuple]) -> pa.RecordBatch | None:
+        token, i, j, own, node, component, n, pos, bitmap = zip(*group)
+        n, rest, component, own = np.array(n, np.int64), np.array(n, np.int64) - np.array(pos), np.array(component), np.array(own)
+        ok = np.triu(component[:, None] != component, 1)  # sizes ascend
+        ok &= 100 * n[:, None] >= percent * n
+        ok &= np.minimum(rest[:, None], rest) * (100 + percent) >= percent * (n[:, None] + n)
+        if i[0] != j[0]:
+            ok &= own[:, None] != own
+        x, y = np.nonzero(ok)
+        if not len(x):
+            return None
+        fits = may_link_all(n[x], n[y], _Bitmaps(list(bitmap)).differing(x, y), percent)
+        x, y = x[fits], y[fits]
+        if not len(x):
+            return None
+        ids = np.array(node)
+        swap = ids[x] > ids[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return record_batch(fields, a=ids[x], b=ids[y], n_a=n[x], n_b=n[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        out: list[tuple[int, int]] = []
         group: list[tuple] = []
-        key: object = None
-
-        def close() -> None:
-            if len(done) > 500_000:
-                done.clear()
-            low = 0
-            for at, (own, node, component, n, bits, number, i, j) in enumerate(group):
-                while 100 * group[low][3] < percent * n:  # sizes ascend
-                    low += 1
-                for other in group[low:at]:
-                    if other[2] == component or (i != j and other[0] == own):
-                        continue
-                    pair = (node, other[1]) if node < other[1] else (other[1], node)
-                    if pair in done:
-                        continue
-                    if may_link(n, other[3], differing_bits(number, bits, other[5], other[4]), percent):
-                        done.add(pair)
-                        out.append(pair)
-
         for batch in batches:
-            for token, i, j, own, node, component, n, bitmap in zip(*(c.to_pylist() for c in batch.columns)):
-                if (token, i, j) != key:
-                    close()
-                    group, key = [], (token, i, j)
-                group.append((own, node, component, n, 8 * len(bitmap), int.from_bytes(bitmap, "little"), i, j))
-            if out:
-                yield record_batch(fields, a=[p[0] for p in out], b=[p[1] for p in out])
-                out = []
-        close()
-        if out:
-            yield record_batch(fields, a=[p[0] for p in out], b=[p[1] for p in out])
-
-    pairs = sorted_rows.mapInArrow(compare, "a long, b long").distinct()
-    sizes = nodes.select("node", "n")
-    return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    if len(group) > 1 and (found := close(group)):
+                        yield found
+                    group = []
+                group.append(row)
+        if len(group) > 1 and (found := close(group)):
+            yield found
+
+    return sorted_rows.mapInArrow(compare, "a long, b long, n_a long, n_b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -409,34 +522,39 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     bound_batches(docs.sparkSession)
     rows, order = read_sets(docs, words)
     tokens, described = prefix_tokens(docs, order, percent, words)
-    by_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id", "copies"), "nodes")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    postings = materialize(tokens.join(shared, "token").distinct(), "postings")
-    stars = materialize(star_pairs(postings, nodes, percent), "stars")
+    by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
+    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id"), "nodes")
+    postings = shared_postings(tokens)
+    stars = materialize(star_pairs(postings, nodes, None, percent), "stars")
     links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
+    again = materialize(star_pairs(postings, nodes, components, percent), "stars")
+    if not again.isEmpty():
+        links = links.unionByName(verified(again, docs, nodes, order, percent, words))
+        components = connected_components(links)
     crossing = materialize(crossing_pairs(postings, nodes, components, percent), "crossing")
     if not crossing.isEmpty():
         components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
-    linked = nodes.join(components, "node").select("node", "component", "doc_id")
-    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    reached = linked.join(smallest, "component").select("node", "component_id")
-    copied = nodes.where("copies > 1").join(reached, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
-    return rows.join(reached.unionByName(copied), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = by_node.join(components, "node").select("node", "component", "doc_id", "copies")
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    reached = join_counted(linked, smallest, "component", "size", linked.count()).select("node", "component_id", "copies")
+    copied = by_node.where("copies > 1").join(reached, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"), "copies")
+    groups = materialize(reached.unionByName(copied), "reached")
+    found = join_counted(rows, groups, "node", "copies", rows.count(), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, with all columns, whose doc_id is the smallest of their group; of repeated rows one."""
     groups = materialize(near_duplicate_groups(docs, percent, words), "groups")
-    dead = groups.where("doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
-    names = docs.columns
+    dead = materialize(groups.where("doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("dead")).distinct(), "dead")
     few = dead.count() <= BROADCAST_IDS
-    gone = dead.select(F.col("doc_id").alias("__dead"))
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__dead")), "left_anti")
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    # the caller's columns travel in a struct, so no name of theirs clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    kept = rows.join(F.broadcast(dead) if few else dead, F.col("id").eqNullSafe(F.col("dead")), "left_anti")
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
     if again.isEmpty():
-        return kept.select(*names)
-    repeated = F.col("doc_id").cast("long") == F.col("__again")
-    once = kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, repeated, "left_anti").select(*names).unionByName(once.select(*names))
+        return kept.select("row.*")
+    repeated = F.col("id") == F.col("again")
+    once = kept.join(again, repeated, "left_semi").dropDuplicates(["id", "text"])
+    return kept.join(again, repeated, "left_anti").select("row.*").unionByName(once.select("row.*"))

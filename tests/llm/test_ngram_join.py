@@ -7,8 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import ngram_join as J
 from lodestone.llm.components import connected_components
+from lodestone.plans import stage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,6 +120,55 @@ def test_blocks_agree(spark, monkeypatch):
     check(chains_and_stars(spark, 80), 80)
 
 
+def test_bitmaps_of_arrays_agree():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64)) for _ in range(60)]
+    maps = [J.parity_bitmap(x) for x in sets]
+    i, j = (rng.integers(0, 60, 500) for _ in range(2))
+    got = J._Bitmaps(maps).differing(i, j)
+    want = [J.differing_bits(int.from_bytes(maps[a], "little"), 8 * len(maps[a]), int.from_bytes(maps[b], "little"), 8 * len(maps[b])) for a, b in zip(i, j)]
+    assert got.tolist() == want
+    n, m = (np.array([len(sets[k]) for k in x]) for x in (i, j))
+    assert J.may_link_all(n, m, got, 90).tolist() == [J.may_link(a, b, d, 90) for a, b, d in zip(n.tolist(), m.tolist(), want)]
+
+
+def test_unlike_nodes_of_one_token_hardly_meet(spark):
+    """Nodes that share one token of their prefixes and nothing else: work grows with their number, not its square."""
+    met = []
+    for n in (1000, 4000, 16000):
+        ids = spark.range(n)
+        own = ids.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"), F.col("id").alias("node"))
+        token = F.when(F.col("pos") == 1, F.lit(7).cast("long")).otherwise(F.col("node") * 10 + F.col("pos") + 100)
+        postings = own.select(token.alias("token"), "node", F.col("pos").cast("int").alias("pos"), F.lit(30).alias("n"))
+        shared = J.shared_postings(postings)
+        assert shared.select("token").distinct().count() == 1
+        nodes = ids.select(F.col("id").alias("node"), F.lit(30).alias("n"), F.lit(b"\x00" * 8).alias("bitmap"), F.col("id").alias("doc_id"))
+        none = spark.createDataFrame([], "node long, component long")
+        assert J.crossing_pairs(shared, nodes, none).count() == 0  # nothing after the shared token is shared
+        # with a second shared token in a tenth of them, only these meet
+        second = F.when((F.col("pos") == 2) & (F.col("node") % 10 == 0), F.floor(F.col("node") / 100) + 10**7).otherwise(F.col("token"))
+        paired = J.shared_postings(postings.withColumn("token", second.cast("long")))
+        met.append(J.crossing_pairs(paired, nodes, none).count())
+    assert met == [450, 1800, 7200]  # 10 of each hundred
+
+
+@pytest.mark.parametrize("constants", [{"BLOCK": 3, "PAIRS_PER_SALT": 2, "BROADCAST_IDS": 0}])
+def test_small_bounds_give_the_same(spark, monkeypatch, docs, constants):
+    for name, value in constants.items():
+        monkeypatch.setattr(J, name, value)
+    monkeypatch.setattr(J.crossing_pairs, "__defaults__", (J.PERCENT, 3))
+    monkeypatch.setattr(stage, "LEAST_HOT", 2)
+    monkeypatch.setattr(stage, "HOT_KEYS", 10)
+    check(chains_and_stars(spark, 60), 60)
+    check(docs)
+    assert J.keep_one_of_each_group(docs).count() == len({r.component_id for r in J.near_duplicate_groups(docs).collect()})
+
+
+def test_one_set_and_empty_texts_in_most_rows(spark):
+    rows = [(i, "a b c d e" if i % 10 < 5 else "" if i % 10 < 9 else f"t{i} u v w x") for i in range(3000)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
 def test_components(spark):
     rng = random.Random(3)
     path = [(i, i + 1) for i in range(100, 160)]
