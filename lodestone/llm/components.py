@@ -4,8 +4,7 @@ Each round joins the links with the current parents, hooks parents onto the smal
 among their neighbours, and halves the paths (after Zhang, Azad and Buluc's FastSV): the number of
 rounds grows with the logarithm of a component's size. Every round ends in a table of the shared
 folder, and the tables of the round before are deleted; nothing is gathered on the driver but a count.
-Nodes with many neighbours and parents with many children are hot keys: they are broadcast, see
-``join_counted``.
+Nodes with many neighbours and parents with many children are hot keys: see ``join_counted``.
 """
 
 from __future__ import annotations
@@ -27,12 +26,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         up = children.join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent")
         state = materialize(join_counted(parents, up, "parent", "children", total).select("node", "parent", "grand", "degree"), "grandparents")
         near = join_counted(both, state.select(F.col("node").alias("b"), "grand", "degree"), "b", "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("best"))
-        with_best = materialize(state.join(near, "node"), "best")
+        with_best = state.join(near, "node")
         own = with_best.select("node", F.least("parent", "grand", "best").alias("p"), "degree")
         hooked = with_best.groupBy(F.col("parent").alias("node")).agg(F.min("best").alias("p")).withColumn("degree", F.lit(None).cast("long"))
         new = materialize(own.unionByName(hooked).groupBy("node").agg(F.min("p").alias("parent"), F.max("degree").alias("degree")), "parents")
         changed = new.join(parents.select("node", F.col("parent").alias("old")), "node").where("parent <> old").limit(1).count()
-        discard(state, with_best, parents)
+        discard(state, parents)
         parents = new
         if not changed:
             break

@@ -14,8 +14,8 @@ Which pairs are compared, without losing a link and without emitting all pairs o
    the global order. Nodes that share such a token are a posting group. If the first token that two
    sets share stands at places p and q, the overlap is at most 1 + min(|x| - p - 1, |y| - q - 1): what
    is too far back in its set for the sizes of a group takes no part in it.
-3. Stars: every node is compared with one leader of its groups, twice (the node that shares most, then
-   one of another component), so with no more pairs than nodes. Verified links give components.
+3. Stars: every node is compared with two leaders of its groups, the one that shares most tokens and any
+   other, so with no more than two pairs for each node. Verified links give components.
 4. Groups whose nodes are by now in one component need nothing more. In the others, only pairs from
    different components are looked at. A group of more than ``block`` nodes is split by the next token
    that its nodes share (for t above one half two linked sets share two of their first
@@ -25,8 +25,8 @@ Which pairs are compared, without losing a link and without emitting all pairs o
    symmetric difference, so no link is lost). These are verified like the first ones.
 
 Components of all verified links then give each document the smallest doc_id it reaches. Joins whose
-keys can be hot (tokens, nodes with many copies, leaders) broadcast the few hot ones or deal their rows
-to salts, so no task gathers a key's rows.
+keys can be hot (tokens, nodes with many copies, leaders) deal the rows of these to salts, so no task
+gathers a key's rows.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.base import bound_batches, join_counted, materialize, record_batch, spans_of_chars, texts_of
 from lodestone.llm.components import connected_components
+from lodestone.plans.stage import HOT_KEYS
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -241,7 +242,7 @@ def read_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, GlobalOrd
     return table.where("chunk is null").select("doc_id", "n", "node"), GlobalOrder(rank, cuts)
 
 
-_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("bitmap", pa.binary())]
+_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("bitmap", pa.binary())]
 
 
 def in_first_prefix(percent: int) -> Column:
@@ -250,9 +251,9 @@ def in_first_prefix(percent: int) -> Column:
 
 
 def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(token, node, pos, n) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap).
+    """(token, node, place) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap).
 
-    A node may come more than once. Sets of one n-gram are left out where they can't be linked with any other.
+    ``place`` is the token's place in the set and, in its low 32 bits, the set's size. A node may come more than once. Sets of one n-gram are left out where they can't be linked with any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
     least = 2 if percent > 50 else 1
@@ -278,20 +279,20 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, w
             lengths = np.array([len(t) for t in tokens])
             token, owner, size = np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes), lengths)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, pos=[None] * len(nodes), n=sizes, bitmap=maps)
+            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, place=sizes, bitmap=maps)
             for i in range(0, len(token), 200_000):
                 part = slice(i, i + 200_000)
-                yield record_batch(_TOKENS, token=token[part], node=owner[part], pos=pos[part].astype(np.int32), n=size[part].astype(np.int32), bitmap=pa.nulls(len(token[part]), pa.binary()))
+                yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=pa.nulls(len(token[part]), pa.binary()))
 
-    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, pos int, n int, bitmap binary"), "tokens")
-    return table.where("token is not null").select("token", "node", "pos", "n"), table.where("token is null").select("node", "n", "bitmap")
+    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary"), "tokens")
+    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap")
 
 
 def shared_postings(tokens: DataFrame) -> DataFrame:
-    """``tokens`` that two different nodes have, each row once."""
-    shared = materialize(tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "size"), "shared")
-    found = join_counted(tokens, shared, "token", "size", tokens.count()).select("token", "node", "pos", "n")
-    return materialize(found.dropDuplicates(["token", "node"]), "postings")
+    """(token, node, pos, n) of the ``tokens`` that two different nodes have, each row once."""
+    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "size")
+    found = join_counted(tokens, materialize(shared, "shared"), "token", "size", tokens.count()).dropDuplicates(["token", "node"])
+    return materialize(found.select("token", "node", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")), "postings")
 
 
 def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words: int = WORDS) -> DataFrame:
@@ -339,18 +340,18 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalO
     asked = materialize(ends.groupBy("node").agg(F.count_if(F.col("side") == "a").alias("as_a"), F.count_if(F.col("side") == "b").alias("as_b")), "asked")
     readers = materialize(nodes.join(asked.select("node"), "node", "left_semi").select("node", "doc_id"), "readers")
     segments = segments_of(docs, readers, order, words)
-    total, salted = pairs.count(), pairs
-    sides = {side: asked.where(F.col(f"as_{side}") > 0).select(F.col("node").alias(side), F.col(f"as_{side}").alias("size"), F.ceil(F.col(f"as_{side}") / F.lit(PAIRS_PER_SALT)).cast("int").alias("salts")) for side in ("a", "b")}
+    least = max(PAIRS_PER_SALT, -(-pairs.count() // HOT_KEYS))
+    table = pairs
     for side, other in (("a", "b"), ("b", "a")):
-        counted = join_counted(salted, sides[side], side, "size", total)
-        salted = counted.withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("size", "salts")
-    salted = materialize(salted, "salted")
+        hot = asked.where(F.col(f"as_{side}") > least).select(F.col("node").alias(side), F.ceil(F.col(f"as_{side}") / F.lit(least)).cast("int").alias("salts"))
+        table = table.join(F.broadcast(hot), side, "left").withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
 
     def copies(side: str) -> DataFrame:
-        each = segments.withColumnRenamed("node", side).join(sides[side], side)
+        salts = asked.where(F.col(f"as_{side}") > 0).select(F.col("node").alias(side), F.ceil(F.col(f"as_{side}") / F.lit(least)).cast("int").alias("salts"))
+        each = segments.withColumnRenamed("node", side).join(salts, side)
         return each.select(side, "fragment", F.col("items").alias(f"items_{side}"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"salt_{side}"))
 
-    table = salted.join(copies("a"), ["a", "salt_a"]).join(copies("b"), ["b", "salt_b", "fragment"])
+    table = table.join(copies("a"), ["a", "salt_a"]).join(copies("b"), ["b", "salt_b", "fragment"])
     partial = table.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
     # a repeated row gives its segments twice, hence the maximum before the sum
     once = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared"))
@@ -413,62 +414,60 @@ def _places_allow(n: str, pos: str, m: str, other_pos: str, percent: int) -> Col
     return sizes & (rest * F.lit(100 + percent) >= F.lit(percent) * (F.col(n) + F.col(m)))
 
 
-def star_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
-    """Each node with one leader of its posting groups, as far as sizes, places and bitmaps allow a link.
+def star_pairs(postings: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Each node with two leaders of its posting groups, as far as sizes, places and bitmaps allow a link.
 
-    First the leader of a group is the node that shares most tokens, and a node takes the foremost of
-    its leaders; with ``components`` of links that are known, it is any node, and another component's.
+    The leaders of a group are the node that shares most tokens and the one with the greatest hash; a
+    node takes the foremost of either kind.
     """
     first = postings.where(in_first_prefix(percent))
-    if components is None:
-        degree = postings.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-        placed = first.join(degree, "node").withColumn("component", F.col("node"))
-    else:
-        placed = first.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("weight", F.xxhash64("component", F.lit(1)))
-    top = F.max(F.struct("weight", "node", "component", "pos", "n")).alias("top")
-    groups = placed.groupBy("token").agg(top, F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    leaders = materialize(groups.select("token", "size", *[F.col(f"top.{c}").alias(f"lead_{c}") for c in ("weight", "node", "component", "pos", "n")]), "leaders")
-    met = join_counted(placed, leaders, "token", "size", postings.count())
-    fits = met.where("component <> lead_component").where(_places_allow("n", "pos", "lead_n", "lead_pos", percent))
-    best = fits.groupBy("node").agg(F.max(F.struct("lead_weight", "lead_node")).alias("best"))
-    pairs = best.select(F.least("node", "best.lead_node").alias("a"), F.greatest("node", "best.lead_node").alias("b")).distinct()
-    return allowed_pairs(pairs, nodes, percent)
+    placed = first.join(postings.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node")
+    kinds = {"most": F.col("degree"), "any": F.xxhash64("node", F.lit(1))}
+    tops = [F.max(F.struct(weight.alias("weight"), "node", "pos", "n")).alias(kind) for kind, weight in kinds.items()]
+    leaders = materialize(placed.groupBy("token").agg(*tops, F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
+    met = join_counted(first, leaders, "token", "size", 2 * leaders.count())
+
+    def best(kind: str) -> Column:
+        fits = (F.col("node") != F.col(f"{kind}.node")) & _places_allow("n", "pos", f"{kind}.n", f"{kind}.pos", percent)
+        return F.max(F.when(fits, F.struct(f"{kind}.weight", f"{kind}.node")))["node"].alias(kind)
+
+    chosen = met.groupBy("node").agg(*[best(kind) for kind in kinds])
+    leader = chosen.select("node", F.explode(F.array_distinct(F.array(*kinds))).alias("leader")).where("leader is not null")
+    return allowed_pairs(leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), nodes, percent)
 
 
 def allowed_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that bitmaps allow, with sizes; a leader of many pairs is broadcast if it is in more than 1 in HOT_KEYS of them."""
-    total = pairs.count()
-    table = pairs
+    pairs = materialize(pairs, "candidates")
+    total, table = pairs.count(), pairs
     for side in ("a", "b"):
         counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("size"))
-        own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"map_{side}")).join(counts, side)
+        own = counts.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"map_{side}")), side)
         table = join_counted(table, own, side, "size", total).drop("size")
     return table.where(_bitmaps_allow(percent)("n_a", "map_a", "n_b", "map_b")).select("a", "b", "n_a", "n_b")
 
 
-def _opened(rows: DataFrame, percent: int, tag: str) -> tuple[DataFrame, DataFrame]:
+def _opened(rows: DataFrame, percent: int, tag: str) -> DataFrame:
     """Of ``rows`` (token, node, component, pos, n) those of groups with several components whose place allows a link
-    with the smallest set of the group; and (token, size) of the groups that this leaves."""
-    groups = materialize(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "least", "size"), f"{tag}-groups")
-    met = join_counted(rows, groups, "token", "size", rows.count()).drop("size")
-    left = materialize(met.where((F.col("n") - F.col("pos")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least"), f"{tag}-rows")
-    sizes = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    return left, materialize(sizes.select("token", "size"), f"{tag}-sizes")
+    with the smallest set of the group; with ``size``, the number of a group's rows that this leaves."""
+    several = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
+    groups = materialize(rows.groupBy("token").agg(*several, F.min("n").alias("least")).where("low <> high").select("token", "least", "size"), f"{tag}-groups")
+    met = join_counted(rows, groups, "token", "size", rows.count())
+    left = materialize(met.where((F.col("n") - F.col("pos")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least", "size"), f"{tag}-rows")
+    sizes = left.groupBy("token").agg(*several).where("low <> high").select("token", "size")
+    return join_counted(left, sizes, "token", "size", left.count())
 
 
 def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links."""
     placed = materialize(postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    left, sizes = _opened(placed.where(in_first_prefix(percent)), percent, "open")
-    total = left.count()
-    rows = join_counted(left, sizes, "token", "size", total)
-    if percent > 50:
+    rows = materialize(_opened(placed.where(in_first_prefix(percent)), percent, "open"), "open")
+    hot = rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at"))
+    if percent > 50 and not hot.isEmpty():
         # by the next token that the sets share: what stands after it is one place further back for the bound
-        hot = materialize(rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at")), "hot")
         after = placed.select("node", "component", "n", "pos", F.col("token").alias("next")).join(hot, "node").where("pos > at")
-        split = after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n")
-        split_left, split_sizes = _opened(split, percent, "split")
-        rows = rows.where(F.col("size") <= block).unionByName(join_counted(split_left, split_sizes, "token", "size", split_left.count()).select(*rows.columns))
+        split = materialize(after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n"), "split")
+        rows = rows.where(F.col("size") <= block).unionByName(_opened(split, percent, "split"))
     # A group of more than ``block`` rows is compared block by block: each row meets each block once.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -525,13 +524,9 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
     nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id"), "nodes")
     postings = shared_postings(tokens)
-    stars = materialize(star_pairs(postings, nodes, None, percent), "stars")
+    stars = materialize(star_pairs(postings, nodes, percent), "stars")
     links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
-    again = materialize(star_pairs(postings, nodes, components, percent), "stars")
-    if not again.isEmpty():
-        links = links.unionByName(verified(again, docs, nodes, order, percent, words))
-        components = connected_components(links)
     crossing = materialize(crossing_pairs(postings, nodes, components, percent), "crossing")
     if not crossing.isEmpty():
         components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
