@@ -99,41 +99,12 @@ def tidy_theme(theme: Column | str) -> Column:
     return F.when(lower_first, F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))).otherwise(bare)
 
 
-def without_ids(text: Column | str) -> Column:
-    """X6 outside fences: evidence ids, labelled or bare, become a blank, and what they leave is tidied."""
-    ids = rf"{K.ID_SHAPE}(?:\s*(?:,|and)\s*(?:{K.ID_LABEL}\s*:?\s*)?{K.ID_SHAPE})*"
-    steps = [
-        (rf"(?iU)\s*[(\[]\s*{K.ID_LABEL}\s*(?::[^()\[\]\n]*|{ids}\s*)[)\]]", " "),
-        (rf"(?iU)\s*{K.ID_LABEL}\s*:?\s*{ids}", " "),
-        (rf"(?U)\s*[(\[]?\s*{K.ID_SHAPE}\s*[)\]]?", " "),
-        (r"(?U)\(\s*\)|\[\s*\]", ""),
-        (r"(?U)\s+(?:and|,)\s*,", ","),
-        (r"(?U)\s+([,.;:])", "$1"),
-        (r"[ \t]{2,}", " "),
-    ]
-    out = _col(text)
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
-    return strip(out)
-
-
 def id_leak(text: Column | str) -> Column:
     """The first label or id that is left in a text, or null."""
     found = F.regexp_extract(_col(text), rf"(?iU)({K.ID_LABEL}|{K.ID_SHAPE})", 1)
     return F.nullif(found, F.lit(""))
 
 
-def math_spans(text: Column | str) -> Column:
-    """X12 outside fences: what stands between maths delimiters."""
-    found = F.regexp_extract_all(_col(text), F.lit("(?s)" + K.MATH_SPAN), 0)
-    return F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?s)^(?:\$\$|\\\[|\$)", ""), r"(?s)(?:\$\$|\\\]|\$)$", ""))
-
-
-def states_equation(text: Column | str) -> Column:
-    """Some formula has a relation."""
-    return F.exists(math_spans(text), lambda s: s.rlike(K.RELATION))
-
-
 def readable_quote(text: Column | str, lines: int = 5) -> Column:
     """Line-break tags as line breaks, the first ``lines`` lines."""
     return F.array_join(F.slice(F.split(F.regexp_replace(_col(text), r"(?i)<br\s*/?>", "\n"), "\n"), 1, lines), "\n")
@@ -230,3 +201,41 @@ def stem(word: Column | str) -> Column:
     for suffix in reversed(("ing", "ed", "es", "e", "s")):
         out = F.when(w.endswith(suffix) & (F.length(w) - len(suffix) >= 3), F.substring(w, F.lit(1), F.length(w) - len(suffix))).otherwise(out)
     return out
+
+
+# How a question's subject is covered by a text.
+
+
+def _initials(words: Column, size: int) -> Column:
+    """(letters, place) of each run of ``size`` words; those of two words are too short to count."""
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.array_join(F.transform(F.slice(words, i + 1, F.lit(size)), lambda w: F.substring(w, 1, 1)), "").alias("letters"), i.alias("place")))
+
+
+def covered(question: Column | str, text: Column | str) -> Column:
+    """For each of the question's anchors whether a text names it: by its stem, joined with its neighbour in
+    one word, or by an acronym either way (of equal acronyms of the question the first one counts)."""
+    wanted, present = anchors(question), anchor_sequence(text)
+    stems = F.transform(present, stem)
+    letters = F.transform(F.concat(_initials(present, 3), _initials(present, 4)), lambda r: r["letters"])
+
+    def joined(i: Column) -> Column:
+        head, tail = F.get(wanted, i), F.get(wanted, i + 1)
+        return F.coalesce(F.exists(stems, lambda s: F.startswith(s, F.concat(head, stem(tail)))), F.lit(False))
+
+    def spelled(i: Column, size: int) -> Column:
+        runs = _initials(wanted, size)
+        first = F.filter(runs, lambda r: r["place"] == F.array_min(F.transform(F.filter(runs, lambda q: q["letters"] == r["letters"]), lambda q: q["place"])))
+        return F.exists(first, lambda r: (r["place"] <= i) & (i < r["place"] + size) & F.array_contains(present, r["letters"]))
+
+    return F.transform(wanted, lambda w, i: F.array_contains(stems, stem(w)) | F.array_contains(letters, w) | joined(i) | joined(i - 1) | spelled(i, 3) | spelled(i, 4))
+
+
+def relevance(question: Column | str, title: Column | str, snippet: Column | str) -> Column:
+    """The share of the question's anchors that the title names, and that title or snippet name."""
+    t, s = (F.coalesce(_col(c), F.lit("")) for c in (title, snippet))
+    q = F.coalesce(_col(question), F.lit(""))
+    in_title, in_snippet = covered(q, t), covered(q, s)
+    n = F.size(anchors(q))
+    either = F.zip_with(in_title, in_snippet, lambda a, b: a | b)
+    return F.when(n == 0, 1.0).otherwise(0.6 * F.size(F.filter(in_title, lambda x: x)) / n + 0.4 * F.size(F.filter(either, lambda x: x)) / n)

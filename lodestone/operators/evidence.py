@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.functions.text import on_topic, strip
+from lodestone.functions.markup import damaged_maths, display_equations, plain_equations, presentable, states_equation
+from lodestone.functions.text import id_leak, on_topic, strip
 
 
 def clean_plan(planned: DataFrame, questions: DataFrame, limit: int = K.MAX_QUERIES) -> DataFrame:
@@ -115,6 +116,21 @@ def evidence_block(passages: DataFrame, order: str = "rank") -> DataFrame:
     return passages.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), one.alias("t")))), lambda s: s["t"]), "\n\n").alias("block"))
 
 
+def stated_equations(passages: DataFrame) -> DataFrame:
+    """A10: (question_id, stated): how many equations the chosen passages of a question set on their own."""
+    return passages.groupBy("question_id").agg(F.coalesce(F.sum(F.size(display_equations("text")).cast("long")), F.lit(0).cast("long")).alias("stated"))
+
+
+def examine(attempts: DataFrame, stated: DataFrame) -> DataFrame:
+    """A11's flaws of each attempt (question_id, attempt, text): adds leak, damaged, omitted and n_plain.
+
+    An equation is omitted where passages state some (``stated``, see ``stated_equations``) and the answer none.
+    """
+    joined = attempts.join(stated, "question_id", "left")
+    omitted = (F.coalesce("stated", F.lit(0)) > 0) & ~states_equation("text")
+    return joined.withColumns({"leak": id_leak("text").isNotNull(), "damaged": damaged_maths("text"), "omitted": omitted, "n_plain": F.size(plain_equations(presentable("text")))}).drop("stated")
+
+
 def trail_counts(trail: DataFrame) -> DataFrame:
     """For each question the sources found, pages read and passes of its trail."""
     kind = F.col("kind")

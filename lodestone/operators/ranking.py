@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 from lodestone.functions.text import anchors, fold_plural, words
+from lodestone.plans.stage import staged
 
 #: Query vectors that are broadcast at a time; more are ranked block by block.
 VECTORS_AT_A_TIME = 4096
+#: Of these, as many go into one matrix product (20 MB for a batch of 10,000 vectors).
+QUERIES_AT_A_TIME = 256
 #: Terms of all questions up to this many are broadcast to the scan of the texts.
 BROADCAST_TERMS = 200_000
 
@@ -44,21 +47,27 @@ def question_terms(questions: DataFrame, key: str = "question_id", text: str = "
 def bm25(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
     """(question_id, key, score) of the pairs that share a term; scores have nine places.
 
-    Only the terms of questions leave the scan: the semi-join with them (broadcast up to a checked
-    size) comes before the shuffle. Frequent terms make long postings, never pairs of texts.
+    Texts are split once: the terms of questions (broadcast up to a checked number) and one row of
+    each text leave the scan, and frequencies, lengths and weights are counted from that table.
+    Frequent terms make long postings, never pairs of texts.
     """
-    wanted = question_terms(questions).persist()
+    wanted = staged(question_terms(questions), "terms")
     terms = wanted.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    matched = tokens_of(docs, [key], text).join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda df: df)
+    split = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("__words"))
+    each = split.select(key, F.size("__words").alias("length"), F.posexplode_outer("__words").alias("__pos", "__word")).withColumn("term", fold_plural("__word"))
+    found = each.join(few(terms.withColumn("__asked", F.lit(True))), "term", "left").where("__asked or coalesce(__pos, 0) = 0")
+    counted = found.groupBy(key, F.when(F.col("__asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.max((F.coalesce("__pos", F.lit(0)) == 0).cast("int")).alias("first"))
+    table = staged(counted, "postings")
+    # each text has one row with its first word, whatever its term
+    size = table.where("first = 1").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).first()
+    n, average = F.lit(float(size["n"])), F.lit(float(size["words"] or 0) / size["n"] if size["n"] and size["words"] else 1.0)
+    matched = table.where("term is not null")
     frequency = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    statistics = corpus_statistics(docs, text).first()
-    n, average = F.lit(float(statistics["n_docs"])), F.lit(float(statistics["avg_len"]))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / average)
-    weighted = matched.join(frequency, "term").select(key, "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("__w"))
-    pairs = wanted.join(weighted, "term").groupBy("question_id", key).agg(F.round(F.sum("__w"), 9).alias("score"))
-    return pairs
+    weighed = matched.join(few(frequency), "term").select(key, "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("__w"))
+    return weighed.join(few(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term").groupBy("question_id", key).agg(F.round(F.sum("__w"), 9).alias("score"))
 
 
 def bm25_within(questions: DataFrame, passages: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
@@ -109,17 +118,25 @@ def rank_by_distance(queries: DataFrame, vectors: DataFrame, k: int, block: int
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
+            for batch in batches if k > 0 else ():
                 keys, each = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 kept = [(c, v) for c, v in zip(keys, each) if v and len(ids) and len(v) == matrix.shape[1]]
                 if not kept:
                     continue
                 x = np.array([v for _, v in kept], dtype=np.float64)
                 chunk = np.array([c for c, _ in kept], dtype=np.int64)
-                for q in range(len(ids)):
-                    d = np.round(((x - matrix[q]) ** 2).sum(axis=1), 9)
-                    first = np.lexsort([chunk, d])[:k]
-                    best[q] = sorted(best[q] + list(zip(d[first].tolist(), chunk[first].tolist())))[:k]
+                norm = (x**2).sum(axis=1)
+                for lo in range(0, len(ids), QUERIES_AT_A_TIME):
+                    part = matrix[lo : lo + QUERIES_AT_A_TIME]
+                    near = norm[:, None] - 2 * x @ part.T + (part**2).sum(axis=1)
+                    # whatever could be among the first k for all that rounding does to a product
+                    slack = 1e-8 + 1e-12 * (norm.max() + (part**2).sum(axis=1))
+                    edge = np.partition(near, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1] + 2 * slack
+                    edge = np.minimum(edge, [best[lo + q][-1][0] + slack[q] if len(best[lo + q]) == k else np.inf for q in range(len(part))])
+                    for q in np.flatnonzero((near <= edge).any(axis=0)).tolist():
+                        rows = np.flatnonzero(near[:, q] <= edge[q])
+                        d = np.round(((x[rows] - part[q]) ** 2).sum(axis=1), 9)
+                        best[lo + q] = sorted(best[lo + q] + list(zip(d.tolist(), chunk[rows].tolist())))[:k]
             out = [(int(q), c, d) for q, found in zip(ids, best) for d, c in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], schema=pa.schema(fields))
@@ -147,6 +164,23 @@ def spread(ranked: DataFrame, limit: int = K.TOP_PASSAGES, source: str = "source
     return top_k(turned, max(0, limit), [F.col("__turn"), F.col("__lead"), F.col("rank")], within, "place").drop("__turn", "__lead")
 
 
+def spread_best(scored: DataFrame, limit: int = K.TOP_PASSAGES, key: str = "doc_id", source: str = "source_url", within: str = "question_id") -> DataFrame:
+    """W4 from scores (within, key, source, score): ``spread`` of the ranking by score and key, without ranking all.
+
+    No more than ``limit`` of each source can be among the first; they are cut before the shuffle.
+    Their ranks come from the numbers of rows in bands of scores, and from the rows of their own bands.
+    """
+    rows = staged(scored.withColumn("__band", F.floor(F.col("score") * 100)), "scored")
+    best = [F.desc("score"), F.col(key)]
+    kept = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(within, source).orderBy(*best))).where(F.col("__nth") <= max(0, limit)).drop("__nth")
+    bands = rows.groupBy(within, "__band").agg(F.count(F.lit(1)).alias("__n"))
+    above = bands.withColumn("__above", F.sum("__n").over(Window.partitionBy(within).orderBy(F.desc("__band"))) - F.col("__n")).drop("__n")
+    near = rows.select(within, key, "score", "__band").join(kept.select(within, "__band").distinct(), [within, "__band"], "left_semi")
+    placed = near.withColumn("__at", F.row_number().over(Window.partitionBy(within, "__band").orderBy(*best)) - 1).join(above, [within, "__band"])
+    ranks = placed.select(within, key, (F.col("__above") + F.col("__at")).cast("int").alias("rank"))
+    return spread(kept.drop("__band").join(ranks, [within, key]), limit, source, within)
+
+
 def source_count(rows: DataFrame, source: str = "source_url", within: str = "question_id") -> DataFrame:
     """Different sources of each question."""
     return rows.groupBy(within).agg(F.count_distinct(source).alias("n_sources"))

@@ -166,8 +166,8 @@ _SPREAD_SQL = f"""{_BM25_SQL},
 
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    ranked = ranking.rank_by_terms(_questions(spark, sf_dir), docs, k=1 << 30)
-    return ranking.spread(ranked.join(docs.select("doc_id", F.col("source").alias("source_url")), "doc_id"), K.TOP_PASSAGES)
+    scored = ranking.bm25(_questions(spark, sf_dir), docs).join(docs.select("doc_id", F.col("source").alias("source_url")), "doc_id")
+    return ranking.spread_best(scored, K.TOP_PASSAGES)
 
 
 @query(f"WITH {_SPREAD_SQL} SELECT question_id, doc_id, source_url, rank, place FROM placed WHERE place < 60")

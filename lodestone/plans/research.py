@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.functions.prose import collapse_wiki_maths_udf, presentable_udf
+from lodestone.functions.markup import presentable
+from lodestone.functions.prose import collapse_wiki_maths_udf
 from lodestone.functions.text import shortfall, tidy_theme
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
 from lodestone.plans.stage import staged
@@ -45,7 +46,7 @@ class Research:
 
     def choose(self, questions: DataFrame, planned: DataFrame) -> DataFrame:
         """Stage 3: the pages to read."""
-        return selection.select_sources(self.search.search(planned), questions, limit=self.limit)
+        return selection.select_sources(self.search.search(planned), questions, limit=self.limit, asked=planned)
 
     def read(self, chosen: DataFrame) -> DataFrame:
         """Stage 4: passages of the pages that could be read, without mirrors and equal passages."""
@@ -70,7 +71,7 @@ class Research:
     def answer(self, questions: DataFrame, relevant: DataFrame) -> DataFrame:
         """Stages 7 and 8: claims, presentable and grounded in passages that were read."""
         claims = self.model.generate_answer(questions, relevant)
-        shown = claims.withColumn("text", presentable_udf("text")).withColumn("theme", tidy_theme("theme"))
+        shown = claims.withColumn("text", presentable("text")).withColumn("theme", tidy_theme("theme"))
         return evidence.verify_claims(shown, relevant)
 
     def attempt(self, questions: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:

@@ -59,17 +59,16 @@ def discard_all(spark: SparkSession) -> None:
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) with ``groups``, which has one row for each key and in ``size`` how many rows have it.
 
-    Keys of more than ``total / HOT_KEYS`` rows are broadcast; there can't be more than HOT_KEYS of
-    them. The others are joined by shuffle, and no task gets more rows of a key than that. ``rows`` is
-    read twice. Null keys match nothing and are never shuffled.
+    A key of more than ``total / HOT_KEYS`` rows is hot; there can't be more than HOT_KEYS of them, so
+    these are broadcast with the number of their salts. Rows of a hot key are dealt to its salts by a
+    hash of all their columns, and its group is copied to each. One shuffle join follows, in which no
+    task gets more rows of a key than that. Null keys match nothing and are spread.
     """
     least = max(LEAST_HOT, -(-total // HOT_KEYS))
-    hot = groups.where(F.col(size) > least)
-    with_key = rows.where(F.col(key).isNotNull())
-    warm = with_key.join(F.broadcast(hot), key)
-    rest = with_key.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= least), key, how)
-    joined = warm.unionByName(rest)
-    if how == "inner":
-        return joined
-    without = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name not in rows.columns]
-    return joined.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, *without))
+    salts = F.ceil(F.col(size) / F.lit(least)).cast("int")
+    hot = groups.where(F.col(size) > least).select(key, salts.alias("__salts"))
+    spread = F.coalesce(F.col("__salts"), F.when(F.col(key).isNull(), HOT_KEYS).otherwise(1))
+    others = [c for c in rows.columns if c != key] or [key]
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), spread).cast("int")).drop("__salts")
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")

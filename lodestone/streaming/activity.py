@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 
+log = logging.getLogger(__name__)
+
 
 def frame(event: Column, data: Column) -> Column:
     """One server-sent event."""
@@ -42,6 +45,12 @@ def silences(stream: DataFrame, key: str = "user_id", ts: str = "ts", seconds: i
     return stream.withWatermark(ts, late).groupBy(session.alias("session"), key).agg(F.count(F.lit(1)).alias("n_events")).select(key, F.col("session.start").alias("began"), F.col("session.end").alias("silent_from"), "n_events")
 
 
+def completion_order(steps: DataFrame, run: str = "run_id", ordinal: str = "ordinal", finished: str = "finished_at") -> DataFrame:
+    """T4: adds ``seq``, the place of a step in the order in which a run's steps ended, which its trail shows; what
+    is computed from the steps takes them by ``ordinal``, as they were planned."""
+    return steps.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(finished, ordinal)) - 1)
+
+
 def with_terminal(trail: DataFrame, outcome: DataFrame) -> DataFrame:
     """A run's progress and activity in order, then exactly one result or error.
 
@@ -61,7 +70,9 @@ def feed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
         try:
             sink(batch, number)
         except Exception as error:  # the trail is a by-product of the run
-            if on_error is not None:
+            if on_error is None:
+                log.warning("batch %s of the trail was not delivered", number, exc_info=error)
+            else:
                 on_error(error, number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Operators over small tables of known result, and whole queries against SQL."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,17 +110,53 @@ ABSTRACT = ARTICLE[: len(ARTICLE) // 4]
 STUB = ABSTRACT + " read more at our site"
 
 
-def test_containment_and_mirrors(spark):
-    assert mirrors.mirrors_of([STUB, ARTICLE, ABSTRACT], ["", "", ""]) == {0: 1, 2: 1}
-    assert mirrors.mirrors_of([ABSTRACT, ABSTRACT], ["", ""]) == {1: 0}
-    nine = "one two three four five six seven eight nine"
-    assert mirrors.mirrors_of(["aaa bbb ccc", "xxx yyy"], [nine, nine]) == {1: 0}
-    assert mirrors.mirrors_of(["aaa bbb ccc", "xxx yyy"], ["Adaptive Optics", "Adaptive Optics"]) == {}
+NINE = "one two three four five six seven eight nine"
+
+
+def plain_mirrors(texts, titles):
+    """By the definition: pages in turn, longest first; each is a mirror of the first kept one that it meets, or kept."""
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def runs(t):
+        w = words(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def meet(i, k):
+        a, b = set(words(titles[i])), set(words(titles[k]))
+        x, y = runs(texts[i]), runs(texts[k])
+        return (min(len(a), len(b)) >= 4 and len(a & b) / len(a | b) >= 0.85) or (x and y and len(x & y) / min(len(x), len(y)) >= 0.55)
+
+    out, kept = {}, []
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i] or "")):
+        met = [k for k in kept if meet(i, k)]
+        if met:
+            out[i] = met[0]
+        else:
+            kept.append(i)
+    return out
+
+
+def test_mirrors_of_questions(spark):
+    cases = [([STUB, ARTICLE, ABSTRACT], ["", "", ""], {0: 1, 2: 1}), ([ABSTRACT, ABSTRACT], ["", ""], {1: 0}), (["aaa bbb ccc", "xxx yyy"], [NINE, NINE], {1: 0}), (["aaa bbb ccc", "xxx yyy"], ["Adaptive Optics", "Adaptive Optics"], {}), (["", None, "z"], [None, "", NINE], {})]
+    rows = [(q, 100 * q + i, i, t, n) for q, (texts, titles, _) in enumerate(cases) for i, (t, n) in enumerate(zip(texts, titles))]
+    out = mirrors.find_mirrors(spark.createDataFrame(rows, "question_id long, doc_id long, ordinal long, text string, title string")).collect()
+    assert len(out) == len(rows)
+    for q, (texts, titles, expected) in enumerate(cases):
+        assert plain_mirrors(texts, titles) == expected
+        assert {r.doc_id - 100 * q: r.mirror_of - 100 * q for r in out if r.question_id == q and r.mirror_of is not None} == expected
+
+
+def test_containment(spark):
     docs = spark.createDataFrame([(1, 0, STUB), (1, 1, ARTICLE), (1, 2, "different words altogether here now"), (1, 3, ""), (2, 4, ARTICLE)], "question_id long, doc_id long, text string")
     pairs = {(r.a, r.b): r.containment for r in mirrors.containment_pairs(docs).collect()}
     assert set(pairs) == {(0, 1)} and pairs[0, 1] > 0.8
     short = mirrors.shingles(spark.createDataFrame([(1, "Two words"), (2, ""), (3, "a b c d e f")], "doc_id long, text string"))
-    assert sorted(map(tuple, short.collect())) == [(1, "two words"), (3, "a b c d e"), (3, "b c d e f")]
+    assert sorted(r.doc_id for r in short.collect()) == [1, 3, 3] and short.distinct().count() == 3
+    same = spark.createDataFrame([(4, "B, c! D e F"), (5, "b c d e f b c d e f"), (6, None)], "doc_id long, text string")
+    numbers = {(r.doc_id, r.shingle) for r in mirrors.shingles(same).collect()}
+    one = {n for d, n in numbers if d == 4}
+    assert len(one) == 1 and len(numbers) == 7 and one <= {n for d, n in numbers if d == 5} and one <= {r.shingle for r in short.collect() if r.doc_id == 3}
 
 
 def test_rounds_decide_like_the_loop(spark):
@@ -130,12 +167,12 @@ def test_rounds_decide_like_the_loop(spark):
 
 @pytest.mark.parametrize("block", [2, 1000])
 def test_mirrors_of_a_corpus(spark, block):
-    nine = "one two three four five six seven eight nine"
+    nine = NINE
     ids = [3, 40, 77, 140, 141, 300, 301]  # no two near copies are neighbours
     texts = [STUB, ARTICLE, ABSTRACT, "aaa bbb ccc", "xxx yyy", "", "alone here"]
     titles = ["", None, "", nine, nine + " nine", "Adaptive Optics", "Adaptive Optics"]
     docs = spark.createDataFrame(list(zip(ids, texts, titles)), "doc_id long, text string, title string")
-    expected = {ids[i]: ids[k] for i, k in mirrors.mirrors_of(texts, titles).items()}
+    expected = {ids[i]: ids[k] for i, k in plain_mirrors(texts, titles).items()}
     out = {r.doc_id: r.mirror_of for r in mirrors.corpus_mirrors(docs, block=block).collect()}
     assert set(out) == set(ids) and {i: k for i, k in out.items() if k is not None} == expected == {3: 40, 77: 40, 141: 140}
     assert {(r.a, r.b) for r in mirrors.corpus_containment(docs, block=block).collect()} == {(3, 40), (3, 77), (40, 77)}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import markup, text
 
 
 def one(spark, column, **values):
@@ -112,7 +112,7 @@ def test_error_kind(spark, message, kind):
 
 def test_ids_without_fences(spark):
     raw = "Adam converges [evidence_id: 72cacfe-cb0a-4d2e-9f1b-0a1b2c3d4e5f]. On 2024-01-02 v1.2.3 came."
-    assert one(spark, text.without_ids("t"), t=raw) == "Adam converges. On 2024-01-02 v1.2.3 came."
+    assert one(spark, markup.strip_ids("t"), t=raw) == "Adam converges. On 2024-01-02 v1.2.3 came."
     assert one(spark, text.id_leak("t"), t=raw) == "evidence_id"
     assert one(spark, text.id_leak("t"), t="clean") is None
 
