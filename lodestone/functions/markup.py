@@ -31,8 +31,8 @@ def _col(c: Column | str) -> Column:
 
 def _woven(text: Column, pattern: str, between: Callable[[Column, Column], Column], found: Change) -> Column:
     """A text whose matches and whose pieces between them (with their number) are changed, each on its own."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    return F.array_join(F.transform(F.split(text, pattern), lambda p, i: F.concat(between(p, i), F.coalesce(found(F.get(matches, i)), F.lit("")))), "")
+    both = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0), lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
+    return F.array_join(F.transform(both, lambda x, i: F.concat(between(x["piece"], i), F.coalesce(found(x["match"]), F.lit("")))), "")
 
 
 def outside_fences(text: Column | str, change: Change) -> Column:
@@ -180,7 +180,7 @@ def plain_equations(text: Column | str) -> Column:
 
     def of(p: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(p, _FORMULA, " "), K.ADDRESS, " ")
-        return F.transform(F.regexp_extract_all(bare, F.lit("(?U)" + K.PLAIN_EQUATION), 0), strip)
+        return F.transform(F.regexp_extract_all(bare, F.lit(rf"(?U)(?<![{K.BEFORE_EQUATION}]){K.PLAIN_EQUATION}"), 0), strip)
 
     return F.flatten(F.transform(prose_of(text), of))
 

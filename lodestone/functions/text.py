@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,36 +208,53 @@ def stem(word: Column | str) -> Column:
 # How a question's subject is covered by a text.
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; Spark computes what a lambda names anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _initials(words: Column, size: int) -> Column:
-    """(letters, place) of each run of ``size`` words; those of two words are too short to count."""
-    places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.array_join(F.transform(F.slice(words, i + 1, F.lit(size)), lambda w: F.substring(w, 1, 1)), "").alias("letters"), i.alias("place")))
+    """The initials of each run of ``size`` words, in order; those of two words are too short to count."""
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.concat(*[F.substring(F.get(words, i - 1 + k), 1, 1) for k in range(size)]))
 
 
 def covered(question: Column | str, text: Column | str) -> Column:
     """For each of the question's anchors whether a text names it: by its stem, joined with its neighbour in
     one word, or by an acronym either way (of equal acronyms of the question the first one counts)."""
-    wanted, present = anchors(question), anchor_sequence(text)
-    stems = F.transform(present, stem)
-    letters = F.transform(F.concat(_initials(present, 3), _initials(present, 4)), lambda r: r["letters"])
+    words_of_both = F.struct(anchors(question).alias("wanted"), anchor_sequence(text).alias("present"))
+
+    def prepared(x: Column) -> Column:
+        wanted, present = x["wanted"], x["present"]
+        runs = [_initials(wanted, n).alias(f"runs{n}") for n in (3, 4)]
+        letters = F.concat(_initials(present, 3), _initials(present, 4))
+        return F.struct(wanted.alias("wanted"), present.alias("present"), F.transform(wanted, stem).alias("wanted_stems"), F.transform(present, stem).alias("stems"), letters.alias("letters"), *runs)
 
-    def joined(i: Column) -> Column:
-        head, tail = F.get(wanted, i), F.get(wanted, i + 1)
-        return F.coalesce(F.exists(stems, lambda s: F.startswith(s, F.concat(head, stem(tail)))), F.lit(False))
+    def named(x: Column) -> Column:
+        def joined(i: Column) -> Column:
+            pair = F.concat(F.get(x["wanted"], i), F.get(x["wanted_stems"], i + 1))
+            return F.coalesce(F.exists(x["stems"], lambda s: F.startswith(s, pair)), F.lit(False))
 
-    def spelled(i: Column, size: int) -> Column:
-        runs = _initials(wanted, size)
-        first = F.filter(runs, lambda r: r["place"] == F.array_min(F.transform(F.filter(runs, lambda q: q["letters"] == r["letters"]), lambda q: q["place"])))
-        return F.exists(first, lambda r: (r["place"] <= i) & (i < r["place"] + size) & F.array_contains(present, r["letters"]))
+        def spelled(i: Column, size: int) -> Column:
+            runs = x[f"runs{size}"]
+            place = lambda k: F.get(runs, i - k)  # noqa: E731  the run that begins k words before
+            return F.array_contains(F.array(*[F.coalesce(F.array_contains(x["present"], place(k)) & (F.array_position(runs, place(k)) == i - k + 1), F.lit(False)) for k in range(size)]), True)
 
-    return F.transform(wanted, lambda w, i: F.array_contains(stems, stem(w)) | F.array_contains(letters, w) | joined(i) | joined(i - 1) | spelled(i, 3) | spelled(i, 4))
+        return F.transform(x["wanted"], lambda w, i: F.array_contains(x["stems"], F.get(x["wanted_stems"], i)) | F.array_contains(x["letters"], w) | joined(i) | joined(i - 1) | spelled(i, 3) | spelled(i, 4))
+
+    return _let(_let(words_of_both, prepared), named)
 
 
 def relevance(question: Column | str, title: Column | str, snippet: Column | str) -> Column:
     """The share of the question's anchors that the title names, and that title or snippet name."""
     t, s = (F.coalesce(_col(c), F.lit("")) for c in (title, snippet))
     q = F.coalesce(_col(question), F.lit(""))
-    in_title, in_snippet = covered(q, t), covered(q, s)
-    n = F.size(anchors(q))
-    either = F.zip_with(in_title, in_snippet, lambda a, b: a | b)
-    return F.when(n == 0, 1.0).otherwise(0.6 * F.size(F.filter(in_title, lambda x: x)) / n + 0.4 * F.size(F.filter(either, lambda x: x)) / n)
+    both = F.struct(covered(q, t).alias("title"), covered(q, s).alias("snippet"))
+
+    def share(x: Column) -> Column:
+        n = F.size(x["title"])
+        either = F.zip_with(x["title"], x["snippet"], lambda a, b: a | b)
+        count = lambda named: F.size(F.filter(named, lambda y: y))
+        return F.when(n == 0, 1.0).otherwise(0.6 * count(x["title"]) / n + 0.4 * count(either) / n)
+
+    return _let(both, share)

@@ -7,41 +7,25 @@ and events for trails.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.functions import prose, text
+from lodestone.functions import text
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
-from lodestone.plans import api
+from lodestone.plans import api, text_queries  # noqa: F401  text_queries registers its own
+from lodestone.plans.registry import ORACLE_SQL, QUERIES, choice, query, sql_list
 from lodestone.plans.research import Research
 from lodestone.session import read_table
 from lodestone.sources import providers, tables
 from lodestone.streaming import activity
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+
 TODAY = 2026
 PAGES_A_QUESTION = 12
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if oracle is not None:
-            ORACLE_SQL[function.__name__] = oracle
-        return function
-
-    return register
-
-
-def sql_list(items: list[str]) -> str:
-    return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
-
-
 # Views of the driver's tables, the same in Spark and in SQL.
 
 
@@ -392,10 +376,14 @@ _KEY_SQL = rf"""CASE WHEN {_HOST_SQL} LIKE '%arxiv.org' AND regexp_extract({_PAT
     THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.') AND NOT regexp_matches(regexp_extract(p, '^([^=]*)', 1), '{K.TRACKING}'))), '&') ELSE '' END END"""
 _MERGED_SQL = f"""{_RESULTS_SQL},
   hits AS (SELECT question_id, {_KEY_SQL} AS key, query_idx, min(rank) AS rank FROM results GROUP BY ALL),
-  total AS (SELECT question_id, count(DISTINCT query_idx) AS queries FROM results GROUP BY question_id),
+  total AS (SELECT DISTINCT question_id, 5 AS queries FROM results),
   merged AS (SELECT question_id, key, round(sum(1 / (10.0 + rank)::DOUBLE), 12) AS fusion, count(*) AS n_queries FROM hits GROUP BY ALL)"""
 
 
+def _asked_queries(results: DataFrame) -> DataFrame:
+    return results.select("question_id").distinct().select("question_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("query_idx"))
+
+
 @query(f"SELECT page_id, {_HOST_SQL} AS host FROM pages")
 def r1_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", text.host_of("url").alias("host"))
@@ -430,20 +418,9 @@ def r3_scholarly_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MERGED_SQL} SELECT question_id, key, fusion, n_queries, CASE WHEN queries < 2 THEN 0.0 ELSE (n_queries - 1) / (queries - 1)::DOUBLE END AS agreement FROM merged JOIN total USING (question_id)")
 def a1_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by canonical URL."""
-    return selection.merge_results(_results(spark, sf_dir)).select("question_id", "key", "fusion", "n_queries", "agreement")
-
-
-@query(f"""WITH {_MERGED_SQL}, w AS (SELECT DISTINCT {_KEY_SQL} AS key, {_TIER_SQL} AS tier FROM results),
-  s AS (SELECT m.question_id, key, tier, CASE tier WHEN 'scholarly' THEN 1.0 WHEN 'reference' THEN 0.65 WHEN 'low' THEN 0.2 ELSE 0.5 END AS weight,
-        CASE WHEN queries < 2 THEN 0.0 ELSE (n_queries - 1) / (queries - 1)::DOUBLE END AS agreement, fusion, max(fusion) OVER (PARTITION BY m.question_id) AS best
-        FROM merged m JOIN total USING (question_id) JOIN w USING (key))
-  SELECT question_id, key, round(0.40 * weight + 0.35 * greatest(0.5, agreement) + 0.25 * fusion / best, 9) AS score FROM s""")
-def r10_source_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, R10 with a constant in place of the relevance, which no SQL expresses."""
-    merged = selection.classify(selection.merge_results(_results(spark, sf_dir)), selection.host_table(spark, _TEST_HOSTS))
-    weighed = merged.withColumn("weight", selection.tier_weight(F.col("tier"))).withColumn("question", F.lit(""))
-    return selection.score(weighed, F.lit(0.5)).select("question_id", "key", F.round("score", 9).alias("score"))
+    """Candidates by canonical URL; a fifth query of each question was answered with nothing."""
+    found = _results(spark, sf_dir)
+    return selection.merge_results(found, _asked_queries(found)).select("question_id", "key", "fusion", "n_queries", "agreement")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,17 +429,125 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("question_id").agg(F.min_by("title", F.struct("query_idx", "rank")).alias("question"))
 
 
-@query()
+def _stem_sql(w: str) -> str:
+    cuts = "".join(f" WHEN {w} LIKE '%{suffix}' AND length({w}) >= {len(suffix) + 3} THEN left({w}, length({w}) - {len(suffix)})" for suffix in ("ing", "ed", "es", "e", "s"))
+    return f"CASE{cuts} ELSE {w} END"
+
+
+def _runs_sql(column: str, size: int) -> str:
+    """Initials of the runs of ``size`` words of a list."""
+    return f"list_transform(range(1, len({column}) - {size - 2}), lambda k: " + " || ".join(f"left({column}[k + {j}], 1)" for j in range(size)) + ")"
+
+
+def _covered_sql(p: str) -> str:
+    """Which places of w (anchors, with stems ws and runs w3, w4) the list ``p`` (with stems, runs {p}s, {p}3, {p}4) names."""
+    pair = "len(list_filter({p}s, lambda x: starts_with(x, w[{i}] || ws[{j}]))) > 0"
+    spelled = "".join(f" OR len(list_filter(range(1, len(w{n}) + 1), lambda k: k <= i AND i < k + {n} AND list_position(w{n}, w{n}[k]) = k AND list_contains({p}, w{n}[k]))) > 0" for n in (3, 4))
+    return (
+        f"list_filter(range(1, len(w) + 1), lambda i: list_contains({p}s, ws[i]) OR list_contains({p}3, w[i]) OR list_contains({p}4, w[i])"
+        f" OR (i < len(w) AND {pair.format(p=p, i='i', j='i + 1')}) OR (i > 1 AND {pair.format(p=p, i='i - 1', j='i')}){spelled})"
+    )
+
+
+def _relevance_sql(table: str, columns: str) -> str:
+    """CTEs that end in ``relevant``: ``columns`` of ``table`` (with question, title, snippet) and relevance."""
+    lists = ", ".join(f"list_transform({p}, lambda x: {_stem_sql('x')}) AS {p}s, {_runs_sql(p, 3)} AS {p}3, {_runs_sql(p, 4)} AS {p}4" for p in ("w", "t", "s"))
+    return f"""
+  rel0 AS (SELECT {columns}, {_anchors_sql("coalesce(question, '')")} AS w0, {_anchors_sql("coalesce(title, '')")} AS t, {_anchors_sql("coalesce(snippet, '')")} AS s FROM {table}),
+  rel1 AS (SELECT *, list_filter(w0, lambda x, i: list_position(w0, x) = i) AS w FROM rel0),
+  rel2 AS (SELECT *, {lists} FROM rel1),
+  rel3 AS (SELECT *, {_covered_sql('t')} AS ct, {_covered_sql('s')} AS cs FROM rel2),
+  relevant AS (SELECT {columns}, CASE WHEN len(w) = 0 THEN 1.0 ELSE 0.6 * len(ct) / len(w) + 0.4 * len(list_distinct(ct || cs)) / len(w) END AS relevance FROM rel3)"""
+
+
+_ASKED_SQL = "asked AS (SELECT question_id, arg_min(title, (query_idx, rank)) AS question FROM results GROUP BY question_id)"
+
+
+@query(f"""WITH {_RESULTS_SQL}, {_ASKED_SQL}, shown AS (SELECT * FROM results JOIN asked USING (question_id)),
+  {_relevance_sql('shown', 'question_id, query_idx, rank')} SELECT question_id, query_idx, rank, round(relevance, 9) AS relevance FROM relevant""")
 def r7_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the question's subject title and snippet name."""
+    """How much of the question's subject title and snippet name."""
     r = _results(spark, sf_dir).join(_asked(spark, sf_dir), "question_id")
-    return r.select("question_id", "query_idx", "rank", F.round(prose.relevance_udf("question", "title", "snippet"), 9).alias("relevance"))
+    return r.select("question_id", "query_idx", "rank", F.round(text.relevance("question", "title", "snippet"), 9).alias("relevance"))
 
 
-@query()
+def _label_sql(column: str) -> str:
+    """X2's first readable segment, and its cut."""
+    edge = r"[ \-–—:;,\|]+"
+    flat = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({column}, ''), '{K.LABEL_IMAGE}', ' ', 'g'), '{K.LABEL_LINK}', '\\1', 'g'), '{K.LABEL_TAG}', ' ', 'g'), '{K.LABEL_URL}', ' ', 'g'), '{K.LABEL_EMPHASIS}', '', 'g')"
+    clean = f"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(s, '{K.LABEL_BULLET}', ''), '[\\s\\p{{Z}}]+', ' ', 'g')), '{K.LABEL_FIELD}', ''), '^{edge}|{edge}$', '', 'g')"
+    return f"coalesce(list_filter(list_transform(string_split_regex({flat}, '{K.LABEL_BOUNDARY}'), lambda s: {clean}), lambda s: length(regexp_replace(s, '[^\\p{{L}}\\p{{Nl}}\\p{{No}}]', '', 'g')) >= 12)[1], '')"
+
+
+def _cut_sql(first: str) -> str:
+    head = f"substr({first}, 1, 111)"
+    space = f"length({head}) - instr(reverse({head}), ' ')"
+    cut = f"CASE WHEN contains({head}, ' ') AND {space} > 55 THEN {space} ELSE 110 END"
+    return rf"CASE WHEN length({first}) <= 110 THEN {first} ELSE regexp_replace(substr({first}, 1, {cut}), '[ \-–—:;,\|.]+$', '') || '…' END"
+
+
+def _title_key_sql(column: str) -> str:
+    """CTE steps in one expression over ``column``, whose label is ``{column}_label``: R9's words in order."""
+    shown = f"coalesce(nullif({_cut_sql(column + '_label')}, ''), {column})"
+    bare = f"regexp_replace(regexp_replace(regexp_replace({shown}, '{K.TITLE_PREFIX}', ''), '{K.TITLE_SUFFIX}', ''), '[ .…]+$', '')"
+    return f"list_sort(list_distinct(regexp_extract_all(lower({bare}), '{K.WORD}')))"
+
+
+def _known_words_sql(words: str) -> str:
+    return f"CASE WHEN len({words}) >= {K.LEAST_TITLE_WORDS} THEN {words} ELSE [] END"
+
+
+_PAPER_SQL = f"least(0.3, 0.1 * (regexp_matches({_PATH_SQL}, '{K.PAPER_PATH}')::INT + len(regexp_extract_all(title || chr(10) || snippet, '{K.PAPER_TEXT}'))))"
+_SCORED_SQL = f"""{_MERGED_SQL}, {_ASKED_SQL},
+  firsts AS (SELECT question_id, {_KEY_SQL} AS key, arg_min({{'title': title, 'url': url, 'snippet': snippet}}, (query_idx, rank)) AS f, min((query_idx, rank)) AS seen, list_sort(list_distinct(list(query_idx))) AS query_set FROM results GROUP BY ALL),
+  merged1 AS (SELECT m.question_id, m.key, fusion, n_queries, queries, question, f.title AS title, f.url AS url, f.snippet AS snippet, seen, query_set,
+              max(fusion) OVER (PARTITION BY m.question_id) AS best FROM merged m JOIN firsts USING (question_id, key) JOIN total USING (question_id) JOIN asked USING (question_id)),
+  labelled AS (SELECT *, title AS raw_title, {_label_sql('title')} AS title_label FROM merged1),
+  named AS (SELECT question_id, key, question, coalesce(nullif({_cut_sql('title_label')}, ''), title) AS title, snippet FROM labelled),
+  {_relevance_sql('named', 'question_id, key')},
+  scored AS (SELECT l.*, relevance, {_TIER_SQL} AS tier, CASE WHEN {_TIER_SQL} = 'unknown' THEN {_HOST_SQL} ELSE regexp_extract({_HOST_SQL}, 'example[.][a-z]+$') END AS host_group,
+    0.40 * CASE {_TIER_SQL} WHEN 'scholarly' THEN 1.0 WHEN 'reference' THEN 0.65 WHEN 'low' THEN 0.2 ELSE 0.5 + {_PAPER_SQL} END
+    + 0.35 * greatest(relevance, CASE WHEN queries < 2 THEN 0.0 ELSE (n_queries - 1) / (queries - 1)::DOUBLE END) + 0.25 * fusion / best AS score
+    FROM labelled l JOIN relevant USING (question_id, key))"""
+
+
+@query(f"WITH {_SCORED_SQL} SELECT question_id, key, round(relevance, 9) AS relevance, round(score, 9) AS score FROM scored")
+def r10_source_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a candidate is worth."""
+    found = _results(spark, sf_dir)
+    merged = selection.merge_results(found, _asked_queries(found)).join(_asked(spark, sf_dir), "question_id")
+    weighed = selection.scholarly_weight(selection.classify(merged, selection.host_table(spark, _TEST_HOSTS)))
+    return selection.score(weighed).select("question_id", "key", F.round("relevance", 9).alias("relevance"), F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_SCORED_SQL},
+  worded AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seen, key) - 1 AS idx, {_title_key_sql('title')} AS words0 FROM scored),
+  cand AS (SELECT *, {_known_words_sql('words0')} AS words FROM worded),
+  twins AS (SELECT a.question_id, a.idx, list(b.idx) FILTER (len(list_intersect(a.words, b.words)) > 0 AND len(list_intersect(a.words, b.words)) >= 0.85 * len(list_distinct(a.words || b.words)) - 1e-9) AS twins,
+            list(b.idx) FILTER (a.host_group = b.host_group) AS crowd FROM cand a JOIN cand b USING (question_id) GROUP BY ALL),
+  full_cand AS (SELECT c.*, coalesce(t.twins, []) AS twins, t.crowd FROM cand c JOIN twins t USING (question_id, idx)),
+  sizes AS (SELECT question_id, count(*) AS n, list_sort(list_distinct(flatten(list(query_set)))) AS queries FROM cand GROUP BY question_id),
+  pick(question_id, turn, taken) AS (
+    SELECT question_id, 0, []::BIGINT[] FROM sizes
+    UNION ALL
+    SELECT p.question_id, p.turn + 1, CASE WHEN max(c.idx) IS NULL THEN any_value(p.taken) ELSE any_value(p.taken) || [-(max({{'w': round(c.score - 0.15 * len(list_intersect(p.taken, c.crowd)) - 0.6 * (len(list_intersect(p.taken, c.twins)) > 0)::INT, 9), 'i': -c.idx}})).i] END
+    FROM pick p JOIN sizes z USING (question_id)
+    LEFT JOIN full_cand c ON c.question_id = p.question_id AND NOT list_contains(p.taken, c.idx) AND len(p.taken) < 12
+         AND (p.turn >= len(z.queries) OR list_contains(c.query_set, z.queries[p.turn + 1]))
+    WHERE p.turn < len(z.queries) + z.n
+    GROUP BY p.question_id, p.turn
+  ),
+  done AS (SELECT p.question_id, arg_max(taken, turn) AS taken FROM pick p GROUP BY p.question_id),
+  chosen AS (SELECT f.*, d.taken, list_position(d.taken, f.idx) AS spot FROM full_cand f JOIN done d USING (question_id))
+  SELECT question_id, key, raw_title AS title, url, tier, round(score, 9) AS score, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, spot) - 1)::INT AS place,
+         n::INT AS considered, aside::INT AS mirrors_set_aside
+  FROM chosen JOIN sizes USING (question_id) JOIN (SELECT question_id, count(*) FILTER (spot IS NULL AND len(list_intersect(taken, twins)) > 0) AS aside FROM chosen GROUP BY question_id) USING (question_id)
+  WHERE spot IS NOT NULL""")
 def r11_select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages to read."""
-    return selection.select_sources(_results(spark, sf_dir), _asked(spark, sf_dir), selection.host_table(spark, _TEST_HOSTS))
+    found = _results(spark, sf_dir)
+    chosen = selection.select_sources(found, _asked(spark, sf_dir), selection.host_table(spark, _TEST_HOSTS), asked=_asked_queries(found))
+    return chosen.withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {_MERGED_SQL}, w AS (SELECT DISTINCT question_id, {_KEY_SQL} AS key, {_TIER_SQL} AS tier FROM results) SELECT question_id, count(*) FILTER (tier = 'scholarly') AS scholarly, count(*) FILTER (tier = 'reference') AS reference, count(*) FILTER (tier NOT IN ('scholarly', 'reference')) AS other FROM w GROUP BY question_id")
@@ -484,7 +569,8 @@ def r4_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("item_id", "w", text.stem("w").alias("stem"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, '[PDF] ' || regexp_extract(html, '(?s)<title>(.*?)</title>', 1) || ' - Example Site' AS title FROM pages), l AS (SELECT *, {_label_sql('title')} AS title_label FROM p),
+  k AS (SELECT page_id, {_title_key_sql('title')} AS words FROM l) SELECT page_id, array_to_string({_known_words_sql('words')}, ' ') AS title_key FROM k""")
 def r9_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", F.array_join(F.array_sort(text.title_key(F.concat(F.lit("[PDF] "), tables.page_title(F.col("html")), F.lit(" - Example Site")))), " ").alias("title_key"))
@@ -497,6 +583,40 @@ def s10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.documents(provider, provider.pages).groupBy("url", "title").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+_LISTED = [(e, t) for t, entries in (("scholarly", K.SCHOLARLY_HOSTS), ("reference", K.REFERENCE_HOSTS), ("low", K.LOW_HOSTS)) for e in entries]
+_ELSEWHERE = ["nowhere.example", "uni-x.de", "physics.univ.edu"]
+_ENTRIES = [e for e, _ in _LISTED] + _ELSEWHERE
+_BELOW = ["", "www.", "docs.mirror."]
+
+
+def _listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages at the hosts that are listed, with www. and at hosts below them."""
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.concat(F.lit("https://"), choice(F.col("page_id"), _BELOW), choice(F.col("page_id"), _ENTRIES), F.lit("/a")).alias("url"))
+
+
+_LISTED_SQL = f"""
+  entries AS (SELECT unnest({sql_list(_ENTRIES)}) AS entry, unnest({sql_list([t for _, t in _LISTED])} || ['', '', '']) AS listed_tier, unnest(range({len(_ENTRIES)})) AS i),
+  placed AS (SELECT page_id, 'https://' || {sql_list(_BELOW)}[1 + page_id % 3] || entry || '/a' AS url FROM pages JOIN entries ON i = page_id % {len(_ENTRIES)}),
+  hosted AS (SELECT page_id, {_HOST_SQL} AS host FROM placed)"""
+
+
+@query(f"""WITH {_LISTED_SQL},
+  hits AS (SELECT page_id, entry, listed_tier, row_number() OVER (PARTITION BY page_id ORDER BY length(entry) - length(replace(entry, '.', '')) DESC, i) AS nth FROM hosted JOIN entries ON listed_tier <> '' AND (host = entry OR ends_with(host, '.' || entry)))
+  SELECT page_id, coalesce(listed_tier, CASE WHEN regexp_matches(host, '{K.ACADEMIC_HOST}') THEN 'scholarly' ELSE 'unknown' END) AS tier, coalesce(entry, host) AS host_group FROM hosted LEFT JOIN (SELECT * FROM hits WHERE nth = 1) USING (page_id)""")
+def r2_listed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2, J5 over the list of hosts itself."""
+    return selection.classify(_listed_pages(spark, sf_dir), selection.host_table(spark)).select("page_id", "tier", "host_group")
+
+
+@query(f"""WITH {_LISTED_SQL}, names AS (SELECT unnest({sql_list(list(K.SITE_NAMES))}) AS name_of, unnest({sql_list(list(K.SITE_NAMES.values()))}) AS site),
+  hits AS (SELECT page_id, site, row_number() OVER (PARTITION BY page_id ORDER BY length(name_of) DESC) AS nth FROM hosted JOIN names ON host = name_of OR ends_with(host, '.' || name_of))
+  SELECT page_id, coalesce(site, host) AS site FROM hosted LEFT JOIN (SELECT * FROM hits WHERE nth = 1) USING (page_id)""")
+def r12_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12 over hosts that have a name of their own."""
+    return selection.site_names(_listed_pages(spark, sf_dir)).select("page_id", "site")
+
+
 @query(f"SELECT page_id, {_HOST_SQL} AS site FROM pages")
 def r12_site_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.site_names(read_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "site")
@@ -507,6 +627,29 @@ def a15_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"))
 
 
+@query(f"""WITH p AS (SELECT page_id // 12 AS question_id, page_id % 12 AS place, {_HOST_SQL} AS host, {_TIER_SQL} AS tier, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+  l AS (SELECT *, {_label_sql('title')} AS title_label FROM p), k AS (SELECT *, {_title_key_sql('title')} AS words0 FROM l), w AS (SELECT *, {_known_words_sql('words0')} AS words FROM k),
+  c AS (SELECT b.question_id, count(DISTINCT b.place) AS copies FROM w a JOIN w b ON a.question_id = b.question_id AND a.place < b.place AND len(list_intersect(a.words, b.words)) > 0 AND len(list_intersect(a.words, b.words)) >= 0.85 * len(list_distinct(a.words || b.words)) - 1e-9 GROUP BY ALL)
+  SELECT question_id, count(*) AS pages, count(DISTINCT host) AS hosts, {", ".join(f"count(*) FILTER (tier = '{t}') AS {t}" for t in K.TIER_WEIGHTS)}, coalesce(any_value(copies), 0) AS copies FROM w LEFT JOIN c USING (question_id) GROUP BY question_id""")
+def a15_choice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve pages as a question's choice: copies, hosts, tiers."""
+    pages = _classified(spark, sf_dir).withColumns({"question_id": F.floor(F.col("page_id") / 12), "place": F.col("page_id") % 12})
+    return selection.choice_summary(pages)
+
+
+@query("SELECT user_id AS run_id, max(value) AS slowest, round(sum(value), 6) AS total FROM events GROUP BY user_id")
+def a15_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps that took some seconds."""
+    return selection.timing_summary(read_table(spark, sf_dir, "events").withColumnRenamed("user_id", "run_id"), "run_id", "value")
+
+
+@query("SELECT user_id AS run_id, event_id AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events")
+def t4_completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: events as steps, by the time at which they ended."""
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("ordinal"), F.col("ts").alias("finished_at"))
+    return activity.completion_order(e).select("run_id", "ordinal", "seq")
+
+
 # Duplicates.
 
 
@@ -560,7 +703,22 @@ def d4_title_identity_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirrors.corpus_titles(read_table(spark, sf_dir, "pages").select("page_id", tables.page_title(F.col("html")).alias("title")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SHINGLES_SQL}, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+  t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '{K.WORD}')) AS w FROM documents),
+  met AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / least(x.n, y.n)::DOUBLE >= 0.55
+    UNION SELECT x.doc_id, y.doc_id FROM t x JOIN t y ON x.doc_id < y.doc_id WHERE len(x.w) >= 4 AND len(y.w) >= 4 AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE >= 0.85),
+  turn AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS place FROM documents),
+  edge AS (SELECT greatest(x.place, y.place) AS later, least(x.place, y.place) AS earlier FROM met JOIN turn x ON x.doc_id = a JOIN turn y ON y.doc_id = b),
+  waits AS (SELECT later, list(earlier) AS before, row_number() OVER (ORDER BY later) AS step FROM edge GROUP BY later),
+  go(step, dropped) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT go.step + 1, CASE WHEN len(list_filter(before, lambda e: NOT list_contains(dropped, e))) > 0 THEN list_append(dropped, later) ELSE dropped END FROM go JOIN waits ON waits.step = go.step + 1
+  ),
+  gone AS (SELECT unnest(dropped) AS place FROM (SELECT dropped FROM go ORDER BY step DESC LIMIT 1)),
+  firsts AS (SELECT later, min(earlier) AS keeper FROM edge WHERE later IN (SELECT place FROM gone) AND earlier NOT IN (SELECT place FROM gone) GROUP BY later)
+  SELECT turn.doc_id, k.doc_id AS mirror_of FROM turn LEFT JOIN firsts ON firsts.later = turn.place LEFT JOIN turn k ON k.place = firsts.keeper""")
 def d5_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 over all documents."""
     return mirrors.corpus_mirrors(_pages_read(spark, sf_dir))
@@ -593,11 +751,6 @@ def w9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.paragraphs(kept).select("doc_id", "line_number", "paragraph")
 
 
-@query()
-def c8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(prose.sentences_udf("text")).alias("n_sentences"))
-
-
 # Text functions.
 
 
@@ -606,43 +759,18 @@ def x1_fold_plural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(text.words("text"), text.fold_plural), " ").alias("folded"))
 
 
-def _label_sql(column: str) -> str:
-    edge = r"[ \-–—:;,\|]+"
-    flat = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({column}, ''), '{K.LABEL_IMAGE}', ' ', 'g'), '{K.LABEL_LINK}', '\\1', 'g'), '{K.LABEL_TAG}', ' ', 'g'), '{K.LABEL_URL}', ' ', 'g'), '{K.LABEL_EMPHASIS}', '', 'g')"
-    clean = f"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(s, '{K.LABEL_BULLET}', ''), '[\\s\\p{{Z}}]+', ' ', 'g')), '{K.LABEL_FIELD}', ''), '^{edge}|{edge}$', '', 'g')"
-    return f"coalesce(list_filter(list_transform(string_split_regex({flat}, '{K.LABEL_BOUNDARY}'), lambda s: {clean}), lambda s: length(regexp_replace(s, '[^\\p{{L}}\\p{{Nl}}\\p{{No}}]', '', 'g')) >= 12)[1], '')"
-
-
-@query(rf"""WITH f AS (SELECT page_id, {_label_sql("regexp_extract(html, '(?s)<body>(.*)$', 1)")} AS first FROM pages),
-  h AS (SELECT *, substr(first, 1, 111) AS head FROM f),
-  c AS (SELECT *, CASE WHEN contains(head, ' ') AND length(head) - instr(reverse(head), ' ') > 55 THEN length(head) - instr(reverse(head), ' ') ELSE 110 END AS cut FROM h)
-  SELECT page_id, CASE WHEN length(first) <= 110 THEN first ELSE regexp_replace(substr(first, 1, cut), '[ \-–—:;,\|.]+$', '') || '…' END AS label FROM c""")
+@query(f"""WITH f AS (SELECT page_id, {_label_sql("regexp_extract(html, '(?s)<body>(.*)$', 1)")} AS first FROM pages) SELECT page_id, {_cut_sql('first')} AS label FROM f""")
 def x2_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", text.label(F.regexp_extract("html", "(?s)<body>(.*)$", 1)).alias("label"))
 
 
-@query(rf"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(trim('## 2. ' || substr(text, 1, 40) || ' :'), '{K.THEME_PREFIX}', ''), '{K.THEME_TAIL}', '') AS b FROM benchmark),
+@query(rf"""WITH t AS (SELECT item_id, regexp_replace(regexp_replace(trim('## 2. ' || text || ' :'), '{K.THEME_PREFIX}', ''), '{K.THEME_TAIL}', '') AS b FROM benchmark),
   f AS (SELECT *, regexp_extract(b, '^(\S+)', 1) AS w FROM t) SELECT item_id, CASE WHEN lower(w) = w AND upper(w) <> w THEN upper(substr(b, 1, 1)) || substr(b, 2) ELSE b END AS theme FROM f""")
 def x3_tidy_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.concat(F.lit("## 2. "), F.substring("text", 1, 40), F.lit(" :"))
+    written = F.concat(F.lit("## 2. "), F.col("text"), F.lit(" :"))
     return read_table(spark, sf_dir, "benchmark").select("item_id", text.tidy_theme(written).alias("theme"))
 
 
-@query()
-def x4_move_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read_table(spark, sf_dir, "benchmark")
-    moved = prose.move_attribution_udf(F.lit("Adaptive correction — Jiang et al. (2026)"), F.col("text"))
-    return b.select("item_id", moved.alias("m")).select("item_id", "m.theme", "m.text")
-
-
-@query()
-def x6_strip_evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that were put into conversations go again."""
-    c = read_table(spark, sf_dir, "conversations")
-    leaked = F.concat(F.col("text"), F.lit(" [evidence_id: 72cacfe1-cb0a-4d2e-9f1b-0a1b2c3d4e5f]."))
-    return c.select("conv_id", "turn", prose.strip_ids_udf(leaked).alias("clean"), text.without_ids(leaked).alias("clean_jvm"))
-
-
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'evidence_id' END AS leak FROM conversations")
 def x7_id_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
@@ -650,31 +778,6 @@ def x7_id_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.id_leak(leaked).alias("leak"))
 
 
-@query()
-def x9_restore_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A formula whose commands a decoder ate."""
-    c = read_table(spark, sf_dir, "conversations")
-    eaten = F.concat(F.col("text"), F.lit(" $S = k_B \text{ln} @Omega$"))
-    return c.select("conv_id", "turn", prose.restore_latex_udf(eaten).alias("restored"), prose.damaged_maths_udf(eaten).alias("damaged"), prose.to_channel_udf(eaten).alias("channel"), prose.presentable_udf(eaten).alias("shown"))
-
-
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s){K.MATH_SPAN}') AS m FROM documents) SELECT doc_id, len(m) AS n_spans FROM t""")
-def x12_math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(text.math_spans("text")).cast("long").alias("n_spans"))
-
-
-@query()
-def x13_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What formulas a document sets, and how."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(prose.display_equations_udf("text")).alias("n_display"), F.size(prose.plain_equations_udf("text")).alias("n_plain"), text.states_equation("text").alias("states"), F.size(prose.parse_math_udf("text")).alias("n_segments"))
-
-
-@query()
-def x15_wiki_maths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.length(prose.collapse_wiki_maths_udf("text")).alias("n_chars"))
-
-
 @query("SELECT page_id, array_to_string(string_split(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), chr(10))[1:5], chr(10)) AS quote FROM pages")
 def x17_readable_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", text.readable_quote("html").alias("quote"))
@@ -688,11 +791,11 @@ def x18_activity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHORTFALL_SQL = "CASE " + " ".join(f"WHEN problem = '{k}' THEN '{v}'" for k, v in K.SHORTFALLS.items()) + f" ELSE '{K.SHORTFALL_OTHERWISE}' END"
 
 
-@query(f"""WITH p AS (SELECT item_id, {sql_list([*K.SHORTFALLS, 'none'])}[1 + item_id % 6] AS problem, CASE WHEN item_id % 3 = 0 THEN ' ' ELSE substr(text, 1, 20) END AS missing FROM benchmark)
+@query(f"""WITH p AS (SELECT item_id, {sql_list([*K.SHORTFALLS, 'none'])}[1 + item_id % 6] AS problem, CASE WHEN item_id % 3 = 0 THEN ' ' ELSE text END AS missing FROM benchmark)
   SELECT item_id, 'The answer was ' || {_SHORTFALL_SQL} || '.' || CASE WHEN trim(missing) <> '' THEN ' It needed: ' || trim(missing) ELSE '' END AS said FROM p""")
 def x19_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array(*[F.lit(c) for c in [*K.SHORTFALLS, "none"]])
-    b = read_table(spark, sf_dir, "benchmark").withColumn("problem", F.get(codes, (F.col("item_id") % 6).cast("int"))).withColumn("missing", F.when(F.col("item_id") % 3 == 0, " ").otherwise(F.substring("text", 1, 20)))
+    b = read_table(spark, sf_dir, "benchmark").withColumn("problem", F.get(codes, (F.col("item_id") % 6).cast("int"))).withColumn("missing", F.when(F.col("item_id") % 3 == 0, " ").otherwise(F.col("text")))
     return b.select("item_id", text.shortfall("problem", "missing", F.lit("")).alias("said"))
 
 
@@ -735,7 +838,10 @@ def s2_since_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.since(rows.select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("published_year")), 1997).select("l_orderkey", "l_linenumber")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, url, html, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g') AS b FROM pages),
+  p AS (SELECT *, regexp_replace(regexp_replace(b, '(?i)<(?:br|p|/p|div|/div|li|h[1-6]|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS v FROM t),
+  e AS (SELECT *, replace(replace(replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS w FROM p)
+  SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace(w, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS markdown FROM e""")
 def s3_scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scraped_pages(read_table(spark, sf_dir, "pages"))
 
