@@ -14,8 +14,9 @@ Which pairs are compared, without losing a link and without emitting all pairs o
    the global order. Nodes that share such a token are a posting group. If the first token that two
    sets share stands at places p and q, the overlap is at most 1 + min(|x| - p - 1, |y| - q - 1): what
    is too far back in its set for the sizes of a group takes no part in it.
-3. Stars: every node is compared with two leaders of its groups, the one that shares most tokens and any
-   other, so with no more than two pairs for each node. Verified links give components.
+3. Stars: every node is compared with two leaders of its groups: the one with the fewest rare n-grams of its
+   own before the shared one, as the original of edited copies has it, and any other; so with no more
+   than two pairs for each node. Verified links give components.
 4. Groups whose nodes are by now in one component need nothing more. In the others, only pairs from
    different components are looked at. A group of more than ``block`` nodes is split by the next token
    that its nodes share (for t above one half two linked sets share two of their first
@@ -26,18 +27,18 @@ Which pairs are compared, without losing a link and without emitting all pairs o
 
 Components of all verified links then give each document the smallest doc_id it reaches. Joins whose
 keys can be hot (tokens, nodes with many copies, leaders) deal the rows of these to salts, so no task
-gathers a key's rows.
+gathers a key's rows. The sketch says which tokens can be hot; the others take one shuffle and a window.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.base import bound_batches, join_counted, materialize, record_batch, spans_of_chars, texts_of
@@ -53,8 +54,14 @@ SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 14
 #: Rows of a posting group that one task compares with each other at a time.
 BLOCK = 400
+#: In larger groups pairs are held against small bitmaps before they leave the task.
+PLAIN = 16
+#: Bytes of a small bitmap, at most.
+SMALL_BITMAP = 64
 #: Pairs of one leader whose segments travel together.
 PAIRS_PER_SALT = 500
+#: A token is hot if its counter in the sketch holds so many n-grams, or so many times the mean counter.
+HOT_COUNT, HOT_SHARE = 5000, 4
 #: Bits of the filter that says which documents to read again (1 MB; more for more documents, to 16 MB).
 FILTER_BITS = (1 << 23, 1 << 27)
 #: Dropped ids up to this many are broadcast (16 MB).
@@ -156,6 +163,14 @@ def parity_bitmap(grams: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded_bitmap(bitmap: bytes, width: int) -> bytes:
+    """A bitmap folded to at most ``width`` bytes."""
+    m = np.frombuffer(bitmap, dtype=np.uint8)
+    while len(m) > width:
+        m = m[: len(m) // 2] ^ m[len(m) // 2 :]
+    return m.tobytes()
+
+
 def differing_bits(a: int, a_bits: int, b: int, b_bits: int) -> int:
     """A lower bound of the symmetric difference: the larger bitmap is folded onto the smaller one."""
     while a_bits > b_bits:
@@ -169,10 +184,16 @@ def differing_bits(a: int, a_bits: int, b: int, b_bits: int) -> int:
 
 @dataclass
 class GlobalOrder:
-    """Place of each counter in the order of frequencies (uint64), and the places that fragments begin at."""
+    """Place of each counter in the order of frequencies (uint64), the places that fragments begin at, and the
+    place from which tokens can be hot."""
 
     rank: np.ndarray
     cuts: np.ndarray
+    hot_from: int = 1 << SKETCH_BITS
+
+    def hot(self) -> Column:
+        """Whether many sets can have a token."""
+        return F.shiftrightunsigned("token", 64 - SKETCH_BITS) >= self.hot_from
 
     def ordered(self, grams: np.ndarray) -> np.ndarray:
         """The n-grams as numbers that sort by the global order; one for one with their hashes."""
@@ -239,10 +260,11 @@ def read_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, GlobalOrd
     rank[by_frequency] = np.arange(len(sketch), dtype=np.uint64)
     mass = np.cumsum(sketch[by_frequency])
     cuts = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS).astype(np.uint64)
-    return table.where("chunk is null").select("doc_id", "n", "node"), GlobalOrder(rank, cuts)
+    hot_from = int(np.searchsorted(sketch[by_frequency], max(HOT_COUNT, HOT_SHARE * int(mass[-1]) // len(sketch))))
+    return table.where("chunk is null").select("doc_id", "n", "node"), GlobalOrder(rank, cuts, hot_from)
 
 
-_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("bitmap", pa.binary())]
+_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("bitmap", pa.binary()), ("small", pa.binary())]
 
 
 def in_first_prefix(percent: int) -> Column:
@@ -251,7 +273,7 @@ def in_first_prefix(percent: int) -> Column:
 
 
 def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(token, node, place) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap).
+    """(token, node, place) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap, small).
 
     ``place`` is the token's place in the set and, in its low 32 bits, the set's size. A node may come more than once. Sets of one n-gram are left out where they can't be linked with any other.
     """
@@ -279,20 +301,39 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, w
             lengths = np.array([len(t) for t in tokens])
             token, owner, size = np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes), lengths)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, place=sizes, bitmap=maps)
+            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, place=sizes, bitmap=maps, small=[folded_bitmap(m, SMALL_BITMAP) for m in maps])
             for i in range(0, len(token), 200_000):
                 part = slice(i, i + 200_000)
-                yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=pa.nulls(len(token[part]), pa.binary()))
+                none = pa.nulls(len(token[part]), pa.binary())
+                yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=none, small=none)
+
+    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary, small binary"), "tokens")
+    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap", "small")
+
+
+def by_token(rows: DataFrame, hot: Column, total: int, then: Callable[[DataFrame], DataFrame], **aggregates: Column) -> DataFrame:
+    """``then`` of ``rows`` with aggregates over the rows of their token: by a window, and for hot tokens by a salted join."""
+    w = Window.partitionBy("token")
+    cold = rows.where(~hot).withColumns({name: a.over(w) for name, a in aggregates.items()})
+    warm = rows.where(hot)
+    groups = materialize(warm.groupBy("token").agg(*[a.alias(name) for name, a in aggregates.items()], F.count(F.lit(1)).alias("__rows")), "hot-groups")
+    met = join_counted(warm, groups, "token", "__rows", total).select(*rows.columns, *aggregates)
+    return then(cold).unionByName(then(met))
 
-    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary"), "tokens")
-    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap")
 
+def shared_postings(tokens: DataFrame, order: GlobalOrder) -> DataFrame:
+    """(token, node, pos, n) of the ``tokens`` that two different nodes have, each row once; with two leaders of the
+    group (node, pos, n): foremost, whose token comes first in its set, and other, the largest node."""
 
-def shared_postings(tokens: DataFrame) -> DataFrame:
-    """(token, node, pos, n) of the ``tokens`` that two different nodes have, each row once."""
-    shared = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "size")
-    found = join_counted(tokens, materialize(shared, "shared"), "token", "size", tokens.count()).dropDuplicates(["token", "node"])
-    return materialize(found.select("token", "node", F.shiftright("place", 32).cast("int").alias("pos"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")), "postings")
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.where("smallest <> other.node").dropDuplicates(["token", "node"])
+
+    def unpacked(place: str) -> list[Column]:
+        return [F.shiftright(place, 32).cast("int").alias("pos"), F.col(place).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("n")]
+
+    found = by_token(tokens, order.hot(), tokens.count(), shared, smallest=F.min("node"), other=F.max(F.struct("node", "place")), foremost=F.min(F.struct("place", "node")))
+    ends = [F.struct(F.col(f"{x}.node").alias("node"), *unpacked(f"{x}.place")).alias(x) for x in ("foremost", "other")]
+    return materialize(found.select("token", "node", *unpacked("place"), *ends), "postings")
 
 
 def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words: int = WORDS) -> DataFrame:
@@ -415,25 +456,20 @@ def _places_allow(n: str, pos: str, m: str, other_pos: str, percent: int) -> Col
 
 
 def star_pairs(postings: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each node with two leaders of its posting groups, as far as sizes, places and bitmaps allow a link.
+    """Each node with two leaders of its posting groups that sizes, places and bitmaps allow a link with.
 
-    The leaders of a group are the node that shares most tokens and the one with the greatest hash; a
-    node takes the foremost of either kind.
+    Of foremost nodes it takes the one that stands foremost; near copies of one text so have the same
+    leader, whichever tokens they share with it.
     """
-    first = postings.where(in_first_prefix(percent))
-    placed = first.join(postings.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node")
-    kinds = {"most": F.col("degree"), "any": F.xxhash64("node", F.lit(1))}
-    tops = [F.max(F.struct(weight.alias("weight"), "node", "pos", "n")).alias(kind) for kind, weight in kinds.items()]
-    leaders = materialize(placed.groupBy("token").agg(*tops, F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
-    met = join_counted(first, leaders, "token", "size", 2 * leaders.count())
-
-    def best(kind: str) -> Column:
+
+    def leader(kind: str) -> Column:
         fits = (F.col("node") != F.col(f"{kind}.node")) & _places_allow("n", "pos", f"{kind}.n", f"{kind}.pos", percent)
-        return F.max(F.when(fits, F.struct(f"{kind}.weight", f"{kind}.node")))["node"].alias(kind)
+        return F.min(F.when(fits, F.struct(f"{kind}.pos", f"{kind}.n", f"{kind}.node")))["node"].alias(kind)
 
-    chosen = met.groupBy("node").agg(*[best(kind) for kind in kinds])
-    leader = chosen.select("node", F.explode(F.array_distinct(F.array(*kinds))).alias("leader")).where("leader is not null")
-    return allowed_pairs(leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), nodes, percent)
+    kinds = ["foremost", "other"]
+    chosen = postings.where(in_first_prefix(percent)).groupBy("node").agg(*map(leader, kinds))
+    pairs = chosen.select("node", F.explode(F.array_distinct(F.array(*kinds))).alias("leader")).where("leader is not null")
+    return allowed_pairs(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), nodes, percent)
 
 
 def allowed_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -447,34 +483,38 @@ def allowed_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
     return table.where(_bitmaps_allow(percent)("n_a", "map_a", "n_b", "map_b")).select("a", "b", "n_a", "n_b")
 
 
-def _opened(rows: DataFrame, percent: int, tag: str) -> DataFrame:
+def _opened(rows: DataFrame, hot: Column, percent: int, tag: str) -> DataFrame:
     """Of ``rows`` (token, node, component, pos, n) those of groups with several components whose place allows a link
-    with the smallest set of the group; with ``size``, the number of a group's rows that this leaves."""
-    several = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
-    groups = materialize(rows.groupBy("token").agg(*several, F.min("n").alias("least")).where("low <> high").select("token", "least", "size"), f"{tag}-groups")
-    met = join_counted(rows, groups, "token", "size", rows.count())
-    left = materialize(met.where((F.col("n") - F.col("pos")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least", "size"), f"{tag}-rows")
-    sizes = left.groupBy("token").agg(*several).where("low <> high").select("token", "size")
-    return join_counted(left, sizes, "token", "size", left.count())
+    with the smallest set of the group; with ``size``, at least the number of a group's rows that this leaves."""
+
+    def several(rows: DataFrame) -> DataFrame:
+        fits = (F.col("n") - F.col("pos")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("least"))
+        return rows.where("low <> high").where(fits).drop("low", "high", "least")
+
+    component = {"low": F.min("component"), "high": F.max("component")}
+    return materialize(by_token(rows, hot, rows.count(), several, **component, least=F.min("n"), size=F.count(F.lit(1))), tag)
 
 
-def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, order: GlobalOrder, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links."""
-    placed = materialize(postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    rows = materialize(_opened(placed.where(in_first_prefix(percent)), percent, "open"), "open")
+    few = F.broadcast(components) if components.count() <= BROADCAST_IDS else components
+    placed = postings.select("token", "node", "pos", "n").join(few, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed, "placed")
+    rows = _opened(placed.where(in_first_prefix(percent)), order.hot(), percent, "open")
     hot = rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at"))
     if percent > 50 and not hot.isEmpty():
         # by the next token that the sets share: what stands after it is one place further back for the bound
         after = placed.select("node", "component", "n", "pos", F.col("token").alias("next")).join(hot, "node").where("pos > at")
         split = materialize(after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n"), "split")
-        rows = rows.where(F.col("size") <= block).unionByName(_opened(split, percent, "split"))
+        rows = rows.where(F.col("size") <= block).unionByName(_opened(split, F.lit(True), percent, "split-open").select(*rows.columns))
     # A group of more than ``block`` rows is compared block by block: each row meets each block once.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(nodes.select("node", "bitmap"), "node")
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos", "bitmap")
-    sorted_rows = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64())]
+    kept = ["token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos"]
+    plain = dealt.where(F.col("size") <= PLAIN).select(*kept, F.lit(None).cast("binary").alias("bitmap"))
+    mapped = dealt.where(F.col("size") > PLAIN).join(nodes.select("node", "small"), "node").select(*kept, F.col("small").alias("bitmap"))
+    sorted_rows = plain.unionByName(mapped).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
+    fields = [("a", pa.int64()), ("b", pa.int64())]
 
     def close(group: list[tuple]) -> pa.RecordBatch | None:
         token, i, j, own, node, component, n, pos, bitmap = zip(*group)
@@ -487,14 +527,15 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
         x, y = np.nonzero(ok)
         if not len(x):
             return None
-        fits = may_link_all(n[x], n[y], _Bitmaps(list(bitmap)).differing(x, y), percent)
-        x, y = x[fits], y[fits]
+        if bitmap[0] is not None:
+            fits = may_link_all(n[x], n[y], _Bitmaps(list(bitmap)).differing(x, y), percent)
+            x, y = x[fits], y[fits]
         if not len(x):
             return None
         ids = np.array(node)
         swap = ids[x] > ids[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return record_batch(fields, a=ids[x], b=ids[y], n_a=n[x], n_b=n[y])
+        return record_batch(fields, a=ids[x], b=ids[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -508,7 +549,7 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
         if len(group) > 1 and (found := close(group)):
             yield found
 
-    return sorted_rows.mapInArrow(compare, "a long, b long, n_a long, n_b long").distinct()
+    return allowed_pairs(sorted_rows.mapInArrow(compare, "a long, b long").select("a", "b").distinct(), nodes, percent)
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -522,12 +563,12 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     rows, order = read_sets(docs, words)
     tokens, described = prefix_tokens(docs, order, percent, words)
     by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
-    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id"), "nodes")
-    postings = shared_postings(tokens)
+    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "small", "doc_id"), "nodes")
+    postings = shared_postings(tokens, order)
     stars = materialize(star_pairs(postings, nodes, percent), "stars")
     links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
-    crossing = materialize(crossing_pairs(postings, nodes, components, percent), "crossing")
+    crossing = materialize(crossing_pairs(postings, nodes, components, order, percent), "crossing")
     if not crossing.isEmpty():
         components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
     linked = by_node.join(components, "node").select("node", "component", "doc_id", "copies")

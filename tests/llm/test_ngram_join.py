@@ -140,15 +140,16 @@ def test_unlike_nodes_of_one_token_hardly_meet(spark):
         own = ids.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"), F.col("id").alias("node"))
         token = F.when(F.col("pos") == 1, F.lit(7).cast("long")).otherwise(F.col("node") * 10 + F.col("pos") + 100)
         postings = own.withColumn("token", token).select("token", "node", "pos", (F.shiftleft(F.col("pos").cast("long"), 32) + 30).alias("place"))
-        shared = J.shared_postings(postings.drop("pos"))
+        order = J.GlobalOrder(np.zeros(1, np.uint64), np.zeros(0, np.uint64), 0 if n == 4000 else 1 << J.SKETCH_BITS)  # hot or not
+        shared = J.shared_postings(postings.drop("pos"), order)
         assert shared.select("token").distinct().count() == 1
-        nodes = ids.select(F.col("id").alias("node"), F.lit(30).alias("n"), F.lit(b"\x00" * 8).alias("bitmap"), F.col("id").alias("doc_id"))
+        nodes = ids.select(F.col("id").alias("node"), F.lit(30).alias("n"), F.lit(b"\x00" * 8).alias("bitmap"), F.lit(b"\x00" * 8).alias("small"), F.col("id").alias("doc_id"))
         none = spark.createDataFrame([], "node long, component long")
-        assert J.crossing_pairs(shared, nodes, none).count() == 0  # nothing after the shared token is shared
+        assert J.crossing_pairs(shared, nodes, none, order).count() == 0  # nothing after the shared token is shared
         # with a second shared token in a tenth of them, only these meet
         second = F.when((F.col("pos") == 2) & (F.col("node") % 10 == 0), F.floor(F.col("node") / 100) + 10**7).otherwise(F.col("token"))
-        paired = J.shared_postings(postings.withColumn("token", second.cast("long")).drop("pos"))
-        met.append(J.crossing_pairs(paired, nodes, none).count())
+        paired = J.shared_postings(postings.withColumn("token", second.cast("long")).drop("pos"), order)
+        met.append(J.crossing_pairs(paired, nodes, none, order).count())
     assert met == [450, 1800, 7200]  # 10 of each hundred
 
 
@@ -160,6 +161,9 @@ def test_small_bounds_give_the_same(spark, monkeypatch, docs, constants):
     monkeypatch.setattr(stage, "LEAST_HOT", 2)
     monkeypatch.setattr(stage, "HOT_KEYS", 10)
     monkeypatch.setattr(J, "HOT_KEYS", 10)
+    monkeypatch.setattr(J, "HOT_COUNT", 2)
+    monkeypatch.setattr(J, "HOT_SHARE", 0)
+    monkeypatch.setattr(J, "PLAIN", 3)
     check(chains_and_stars(spark, 60), 60)
     check(docs)
     assert J.keep_one_of_each_group(docs).count() == len({r.component_id for r in J.near_duplicate_groups(docs).collect()})
