@@ -7,29 +7,42 @@ interpolation weights of all contexts come from joins and aggregations of those
 A document's perplexity is taken over every character of its whole text. Thresholds are quantiles for
 each language, of trusted text that the model has not seen.
 
-A character is 12 bits of an n-gram's key (code points from 4096 on are hashed into 12 bits), so a
-5-gram fits a long. If the finished tables have no more than ``broadcast_rows`` rows (24 bytes each),
-every task probes them as hash tables; beyond that, the documents' distinct n-grams are joined with
-the sharded tables. Both ways give the same numbers.
+A character is 12 bits of an n-gram's key, so a 5-gram fits a long: the 4094 characters that trusted
+text has most of have a number each, all others share one. Perplexities come from count joins at any
+size: documents are taken in shards of some megabytes of text, as their scan tasks meet them; each shard
+asks the sharded tables for its own distinct n-grams, backing off order by order, and what they answer
+is written for that shard alone, whose documents are then scored with it. No table goes through the
+driver or to every task. The two passes must cut the same shards: a table that isn't a plain scan is
+materialised first, and each shard's texts are held against a check sum.
 """
 
 from __future__ import annotations
 
-import math
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
+from pyarrow.dataset import dataset
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lodestone.llm.base import bound_batches, held_out, may_learn, materialize, record_batch, segment_sums, spans_of_chars
+from lodestone.llm.base import bound_batches, held_out, materialize, may_learn, record_batch, segment_sums, session_folder, spans_of_chars, texts_of
 
 ORDER = 5
 BITS = 12
-#: 120 MB at most on each Python worker and on the driver.
-BROADCAST_ROWS = 3_000_000
+#: Characters of a shard of documents, at least, but for the last of a task; its tables are some dozens of MB.
+SHARD_CHARS = 24 << 20
+#: Keys of a shard that were met lately, by a hash (8 MB).
+RECENT = 1 << 20
 #: Labelled ids up to this many are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 QUANTILE = 0.995
@@ -37,24 +50,46 @@ QUANTILE = 0.995
 PRIOR_CHARS = 150
 #: Added to the quantile of the log-perplexity.
 MARGIN = 0.05
-#: With fewer trusted documents than this a language takes the threshold of all.
-LEAST_DOCS = 30
 #: Languages up to this many are broadcast with their thresholds; more are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 
 
-def char_codes(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    high = c >= 1 << BITS
-    if high.any():
-        c = c.copy()
-        c[high] = (c[high] * 2654435761 >> 7) & ((1 << BITS) - 1)
-    return c
+class Alphabet:
+    """The number of each character: 1 to 4094 for those that are known, 4095 for all others; 0 is none."""
 
+    def __init__(self, known: list[int]) -> None:
+        self.codes = np.full(0x110000, (1 << BITS) - 1, dtype=np.uint16)
+        self.codes[np.array(known, dtype=np.int64)] = np.arange(1, len(known) + 1)
 
-def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, texts: DataFrame) -> Alphabet:
+        """The characters that the texts have most of."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(0x110000, dtype=np.int64)
+            for batch in batches:
+                for t in texts_of(batch):
+                    total += np.bincount(_points(t), minlength=0x110000) if len(t) > 1 << 16 else 0
+                    if len(t) <= 1 << 16:
+                        points, n = np.unique(_points(t), return_counts=True)
+                        total[points] += n
+            full = np.flatnonzero(total)
+            yield record_batch([("c", pa.int64()), ("n", pa.int64())], c=full, n=total[full])
+
+        counted = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+        return cls([r["c"] for r in counted.orderBy(F.desc("n"), "c").limit((1 << BITS) - 2).collect()])
+
+    def numbers(self, text: str) -> np.ndarray:
+        return self.codes[_points(text)].astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
+def ngram_keys(texts: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the 5-gram that ends at each character of each text (zeros before its start), and the texts' lengths."""
-    each = [char_codes(t) for t in texts]
+    each = [alphabet.numbers(t) for t in texts]
     lengths = np.array([len(c) for c in each], dtype=np.int64)
     pad = np.zeros(ORDER - 1, dtype=np.int64)
     flat = np.concatenate([x for c in each for x in (pad, c)]) if each else np.empty(0, np.int64)
@@ -128,22 +163,23 @@ class KneserNey:
     grams: DataFrame
     weights: DataFrame
     floor: float
-
-    def tables(self) -> Tables:
-        out = []
-        for frame, key, value in ((self.grams, "key", "p"), (self.weights, "context", "share")):
-            t = frame.select("order", key, value).toArrow()
-            order, k, v = (t.column(i).to_numpy() for i in range(3))
-            out.append({o: HashTable.of(k[order == o], v[order == o]) for o in range(1, ORDER + 1)})
-        return Tables(out[0], out[1], self.floor)
+    alphabet: Alphabet
 
 
 @dataclass
 class Tables:
+    """What a shard of documents was told, by order."""
+
     grams: dict[int, HashTable]
     weights: dict[int, HashTable]
     floor: float
 
+    @classmethod
+    def of(cls, answers: pa.Table, floor: float) -> Tables:
+        order, kind, key, value = (answers.column(c).to_numpy() for c in ("order", "kind", "key", "value"))
+        both = [{o: HashTable.of(key[at], value[at]) for o in range(1, ORDER + 1) for at in [(order == o) & (kind == k)]} for k in (GRAM, SHARE)]
+        return cls(*both, floor)
+
     def probability(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Of each n-gram's last character after the others; unseen n-grams back off through their contexts' shares."""
         if order == 0:
@@ -159,6 +195,8 @@ class Tables:
 
 def train(trusted: DataFrame) -> KneserNey:
     """The model of the texts of ``trusted``: counts of all of it."""
+    alphabet = Alphabet.of(trusted)
+    shared = trusted.sparkSession.sparkContext.broadcast(alphabet)  # 2 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -166,7 +204,7 @@ def train(trusted: DataFrame) -> KneserNey:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in spans_of_chars(texts, 1 << 21):
-                keys, n = np.unique(ngram_keys(texts[a:b])[0], return_counts=True)
+                keys, n = np.unique(ngram_keys(texts[a:b], shared.value)[0], return_counts=True)
                 held.append((keys, n))
                 waiting += len(keys)
                 if waiting > 4_000_000:
@@ -203,7 +241,7 @@ def train(trusted: DataFrame) -> KneserNey:
         share = contexts.select(F.lit(order).alias("order"), "context", "share")
         grams = part if grams is None else grams.unionByName(part)
         weights = share if weights is None else weights.unionByName(share)
-    return KneserNey(grams, materialize(weights, "shares"), floor)
+    return KneserNey(grams, materialize(weights, "shares"), floor, alphabet)
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,78 +249,178 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
 
 
-def log_likelihoods(docs: DataFrame, model: KneserNey, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` (any columns, with text) with n_chars and log_p, the sum over all characters, in place of text."""
-    names = [c for c in docs.columns if c not in ("text", "scored_chars", "log_p")]
-    rows = model.grams.count() + model.weights.count()
-    if rows > broadcast_rows:
-        return _joined_likelihoods(docs.select(*names, "text"), names, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
+GRAM, SHARE, CHECK = 0, 1, 2
 
-    @F.arrow_udf("scored_chars long, log_p double")
-    def score(texts: pa.Array) -> pa.Array:
-        plain = [t or "" for t in texts.to_pylist()]
-        chars, log_p = np.zeros(len(plain), np.int64), np.zeros(len(plain))
-        for a, b in spans_of_chars(plain, 1 << 19):
-            keys, lengths = ngram_keys(plain[a:b])
-            chars[a:b] = lengths
-            log_p[a:b] = segment_sums(np.log(shared.value.probability(keys)), lengths)
-        return pa.StructArray.from_arrays([pa.array(chars, pa.int64()), pa.array(log_p)], ["scored_chars", "log_p"])
 
-    return docs.select(*names, score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__s")).select(*names, "__s.*")
+class _Shards:
+    """Cuts the rows of a task into shards by their texts alone, whatever batches they come in."""
 
+    def __init__(self, task: int, chars: int) -> None:
+        self.number, self.chars, self.size = task << 24, chars, 0
 
-def _joined_likelihoods(docs: DataFrame, names: list[str], model: KneserNey) -> DataFrame:
-    """The same by joins: each row's distinct n-grams meet the shards of the tables, and their sums meet the row."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    def cut(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(shard, from, to) of the texts of a batch."""
+        start = 0
+        for i, t in enumerate(texts):
+            self.size += len(t)
+            if self.size >= self.chars:
+                yield self.number, start, i + 1
+                self.number, self.size, start = self.number + 1, 0, i + 1
+        if start < len(texts):
+            yield self.number, start, len(texts)
+
+
+class _Check:
+    """A sum over the texts of a shard, in their order."""
+
+    def __init__(self) -> None:
+        self.rows = self.sum = 0
+
+    def add(self, texts: list[str]) -> None:
+        for t in texts:
+            self.rows += 1
+            self.sum = zlib.crc32(t.encode("utf-8", "surrogatepass"), self.sum + self.rows & 0xFFFFFFFF)
+
+
+def _asked(docs: DataFrame, alphabet: Broadcast, chars: int) -> DataFrame:
+    """(shard, key, rows) of the distinct 5-grams of each shard; and with its number of rows its check sum, as key."""
+    fields = [("shard", pa.int64()), ("key", pa.int64()), ("rows", pa.int64())]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shards, now, check, held, waiting = _Shards(TaskContext.get().partitionId(), chars), None, _Check(), [], 0
+        recent = np.full(RECENT, -1, dtype=np.int64)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+            yield record_batch(fields, shard=[now], key=[check.sum], rows=[check.rows])
+            for i in range(0, len(keys), 200_000):
+                part = keys[i : i + 200_000]
+                yield record_batch(fields, shard=np.full(len(part), now), key=part, rows=pa.nulls(len(part), pa.int64()))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = np.unique(ngram_keys([text or ""])[0], return_counts=True)
-                yield record_batch([("__row", pa.int64()), ("key", pa.int64()), ("n", pa.int64())], __row=[row] * len(keys), key=keys, n=n)
+            texts = texts_of(batch)
+            for shard, i, j in shards.cut(texts):
+                if shard != now:
+                    if now is not None:
+                        yield from close()
+                    now, check, held, waiting = shard, _Check(), [], 0
+                    recent.fill(-1)
+                check.add(texts[i:j])
+                for a, b in spans_of_chars(texts[i:j], 1 << 19):
+                    keys = ngram_keys(texts[i + a : i + b], alphabet.value)[0]
+                    slots = HashTable._slots(keys, RECENT - 1)
+                    new = recent[slots] != keys
+                    recent[slots[new]] = keys[new]
+                    held.append(np.unique(keys[new]))
+                    waiting += len(held[-1])
+                    if waiting > 8_000_000:
+                        held = [np.unique(np.concatenate(held))]
+                        waiting = 0
+        if now is not None:
+            yield from close()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(ask, "shard long, key long, rows long")
+
+
+def _answered(asked: DataFrame, model: KneserNey) -> DataFrame:
+    """(shard, order, kind, key, value) of all that the shards' n-grams need of the model, by joins of each order."""
+    need = asked.where("rows is null").select("shard", "key")
+    answers = asked.where("rows is not null").select("shard", F.lit(0).alias("order"), F.lit(CHECK).alias("kind"), "key", F.col("rows").cast("double").alias("value"))
+    for order in range(ORDER, 0, -1):
+        known = model.grams.where(F.col("order") == order).select("key", "p")
+        met = materialize(need.join(known, "key", "left"), f"asked{order}")
+        missing = met.where("p is null")
+        shares = model.weights.where(F.col("order") == order).select("context", "share")
+        contexts = missing.select("shard", _context("key").alias("context")).distinct().join(shares, "context")
+        answers = answers.unionByName(met.where("p is not null").select("shard", F.lit(order).alias("order"), F.lit(GRAM).alias("kind"), "key", F.col("p").alias("value")))
+        answers = answers.unionByName(contexts.select("shard", F.lit(order).alias("order"), F.lit(SHARE).alias("kind"), F.col("context").alias("key"), F.col("share").alias("value")))
+        need = missing.select("shard", _suffix("key", order).alias("key")).distinct()
+    return answers
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a table's rows come straight from files, so that each reading deals them alike."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return "Scan parquet" in plan and not re.search(r"Join|Aggregate|Limit|Sample|Sort|Window|Repartition|Exchange|Coalesce|Union", plan)
+
+
+def log_likelihoods(docs: DataFrame, model: KneserNey, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """``docs`` (any columns, with text) with scored_chars and log_p, the sum over all characters, in place of text."""
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in ("text", "scored_chars", "log_p")]
+    rows = docs.select(*names, F.col("text").cast("string").alias("text"))
+    rows = rows if _is_scan(rows) else materialize(rows, "texts")
+    alphabet = spark.sparkContext.broadcast(model.alphabet)
+    asked = materialize(_asked(rows, alphabet, shard_chars), "asked")
+    path = f"{session_folder(spark)}/answers-{uuid.uuid4().hex}"
+    # a shard is one file that its own documents' task reads
+    _answered(asked, model).repartition("shard").write.partitionBy("shard").parquet(path)
+    floor = model.floor
+    schema = StructType([*rows.select(*names).schema.fields, StructField("scored_chars", LongType()), StructField("log_p", DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, root = pafs.FileSystem.from_uri(path)
+        shards, now, check, tables, told = _Shards(TaskContext.get().partitionId(), shard_chars), None, _Check(), None, (0, 0)
+
+        def verify() -> None:
+            if (check.rows, check.sum) != told:
+                raise RuntimeError(f"shard {now} was dealt other texts than before")
 
-    grams = rows.select("__row", F.col("text").cast("string")).mapInArrow(explode, "__row long, key long, n long")
-    distinct = grams.select("key").distinct()
-    p: Column = F.lit(model.floor)
-    for order in range(1, ORDER + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-        of = model.grams.where(F.col("order") == order).select(F.col("key").alias("__k"), F.col("p").alias(f"__p{order}"))
-        share = model.weights.where(F.col("order") == order).select(F.col("context").alias("__c"), F.col("share").alias(f"__s{order}"))
-        distinct = distinct.join(of, key == F.col("__k"), "left").drop("__k").join(share, F.shiftright(key, BITS) == F.col("__c"), "left").drop("__c")
-        p = F.coalesce(F.col(f"__p{order}"), F.coalesce(F.col(f"__s{order}"), F.lit(1.0)) * p)
-    scored = distinct.select("key", F.log(p).alias("log_p"))
-    sums = grams.join(scored, "key").groupBy("__row").agg(F.sum("n").alias("scored_chars"), F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
-    joined = rows.join(sums, "__row", "left")
-    return joined.select(*names, F.coalesce("scored_chars", F.lit(0).cast("long")).alias("scored_chars"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_chars: int = PRIOR_CHARS, margin: float = MARGIN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        for batch in batches:
+            texts = texts_of(batch)
+            chars, log_p = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for shard, i, j in shards.cut(texts):
+                if shard != now:
+                    if now is not None:
+                        verify()
+                    now, check, tables = shard, _Check(), None
+                    answers = dataset(f"{root}/shard={shard}", filesystem=store, format="parquet").to_table()
+                    first = answers.filter(pc.equal(answers.column("kind"), CHECK)).to_pylist()[0]
+                    told, tables = (int(first["value"]), first["key"]), Tables.of(answers, floor)
+                    del answers
+                check.add(texts[i:j])
+                for a, b in spans_of_chars(texts[i:j], 1 << 19):
+                    keys, lengths = ngram_keys(texts[i + a : i + b], alphabet.value)
+                    chars[i + a : i + b] = lengths
+                    log_p[i + a : i + b] = segment_sums(np.log(tables.probability(keys)), lengths)
+            own = [batch.column(k).cast(arrow.field(k).type) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(log_p)], schema=arrow)
+        if now is not None:
+            verify()
+
+    return rows.mapInArrow(score, schema)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_chars: int = PRIOR_CHARS, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, scored_chars, perplexity, threshold, kept for each row.
 
     Perplexity is for each character, drawn to the language's mean as ``prior_chars`` more characters
     would. A document is kept if it is not above its language's threshold. Empty and null texts have
-    nothing to score: perplexity is null and they are not kept. A null language is ``und``. Without
-    trusted text all else is kept, with null thresholds. Ids may be null or repeated.
+    nothing to score: perplexity is null and they are not kept. A null language is ``und``. A language
+    has a threshold of its own however few its trusted texts are; without any that the model has not
+    seen nothing is known, and all its texts are kept, with null thresholds. Ids may be null or repeated.
     """
     bound_batches(docs.sparkSession)
     ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     known = ids.withColumn("__trusted", F.lit(True))
     known = F.broadcast(known) if ids.count() <= BROADCAST_IDS else known
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    marked = plain.join(known, "doc_id", "left")
-    model = train(marked.where("__trusted").where(may_learn()))
-    scored = materialize(log_likelihoods(marked.withColumn("__unseen", F.coalesce("__trusted", F.lit(False)) & held_out()).drop("__trusted"), model, broadcast_rows), "likelihoods")
+    model = train(plain.join(known, "doc_id", "left_semi").where(may_learn()))
+    unseen = F.coalesce("__trusted", F.lit(False)) & held_out()
+    scored = materialize(log_likelihoods(plain, model).join(known, "doc_id", "left").withColumn("__unseen", unseen).drop("__trusted"), "likelihoods")
     trusted = scored.where("__unseen and scored_chars > 0")
-    means = materialize(trusted.groupBy("lang").agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean"), F.count(F.lit(1)).alias("docs")), "means")
+    means = materialize(trusted.groupBy("lang").agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean")), "means")
     few = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda df: df)  # a hot language is then no hot key
     everywhere = trusted.agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean")).first()["mean"]
-    mean = F.when(F.col("docs") >= LEAST_DOCS, F.col("mean")).otherwise(F.lit(everywhere))
-    drawn = (-(F.col("log_p") + F.lit(prior_chars) * F.coalesce(mean, F.lit(everywhere).cast("double"))) / (F.col("scored_chars") + prior_chars)).alias("__log")
-    base = scored.join(few(means), "lang", "left").select("doc_id", "lang", "scored_chars", "__unseen", "docs", F.when(F.col("scored_chars") > 0, drawn).alias("__log"))
+    drawn = (-(F.col("log_p") + F.lit(prior_chars) * F.coalesce("mean", F.lit(everywhere).cast("double"))) / (F.col("scored_chars") + prior_chars)).alias("__log")
+    base = scored.join(few(means), "lang", "left").select("doc_id", "lang", "scored_chars", "__unseen", F.when(F.col("scored_chars") > 0, drawn).alias("__log"))
     judged = base.where("__unseen and scored_chars > 0")
     cut = judged.groupBy("lang").agg(F.percentile_approx("__log", quantile, 20_000).alias("__cut"))
-    overall = judged.agg(F.percentile_approx("__log", quantile, 20_000).alias("c")).first()["c"]
-    threshold = F.coalesce(F.when(F.col("docs") >= LEAST_DOCS, F.col("__cut")), F.lit(overall).cast("double")) + margin
+    threshold = F.col("__cut") + margin
     kept = (F.col("scored_chars") > 0) & F.coalesce(F.col("__log") <= threshold, F.lit(True))
     return base.join(few(cut), "lang", "left").select("doc_id", "lang", "scored_chars", F.exp("__log").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"))

@@ -188,8 +188,9 @@ def test_quality_rules(spark, odd, empty, labels, no_labels):
 class Plain:
     """Interpolated modified Kneser-Ney with dictionaries."""
 
-    def __init__(self, texts):
-        codes = [[0] * (kneser_ney.ORDER - 1) + [int(c) for c in kneser_ney.char_codes(t)] for t in texts]
+    def __init__(self, texts, alphabet):
+        self.alphabet = alphabet
+        codes = [[0] * (kneser_ney.ORDER - 1) + alphabet.numbers(t).tolist() for t in texts]
         counts = Counter(tuple(c[i : i + 5]) for c in codes for i in range(len(c) - 4))
         self.counts = {5: counts}
         for k in (4, 3, 2, 1):
@@ -219,7 +220,7 @@ class Plain:
         return own + cut / total * lower
 
     def log_p(self, text):
-        c = [0] * 4 + [int(x) for x in kneser_ney.char_codes(text or "")]
+        c = [0] * 4 + self.alphabet.numbers(text or "").tolist()
         return sum(math.log(self.p(tuple(c[i : i + 5]))) for i in range(len(c) - 4))
 
 
@@ -227,17 +228,57 @@ def test_perplexity_against_dictionaries(spark):
     rng = random.Random(4)
     trusted = [words(rng, 30, "ta re mi no ka".split()) for _ in range(40)]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in [*trusted, None, ""]], "text string").repartition(3))
-    plain = Plain(trusted)
-    texts = [*trusted[:5], "unseen % text 日本", "ta", "", None]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for limit in (10**9, 0):  # by broadcast and by joins
-        got = {r.doc_id: (r.scored_chars, r.log_p) for r in kneser_ney.log_likelihoods(d, model, limit).collect()}
+    plain = Plain(trusted, model.alphabet)
+    texts = [*trusted[:5], "unseen % text 日本", "ta", "", None] * 3
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, shard int").repartition(2)
+    for chars in (1 << 20, 150, 1):  # shards of a task, of some texts, of one
+        got = {r.doc_id: (r.scored_chars, r.log_p, r.key, r.shard) for r in kneser_ney.log_likelihoods(d, model, chars).collect()}
         for i, t in enumerate(texts):
-            assert got[i][0] == len(t or "") and got[i][1] == pytest.approx(plain.log_p(t), rel=1e-9)
-    total = sum(plain.p((ord("t"), ord("a"), ord(" "), ord("r"), c)) for (c,) in plain.counts[1])
+            assert got[i][0] == len(t or "") and got[i][1] == pytest.approx(plain.log_p(t), rel=1e-9) and got[i][2:] == ("x", 1)
+    number = model.alphabet.numbers
+    total = sum(plain.p((*number("ta r").tolist(), c)) for (c,) in plain.counts[1])
     assert total == pytest.approx(1 - plain.floor * 0, abs=0.02)
 
 
+def test_alphabet_has_the_commonest_characters(spark):
+    many = "".join(chr(0x4E00 + i) for i in range(5000))
+    texts = [many, many[:3000] * 2, "plain" * 20_000, None, "\U0001f600"]
+    numbers = kneser_ney.Alphabet.of(spark.createDataFrame([(t,) for t in texts], "text string")).numbers
+    assert len(set(numbers("plain").tolist())) == 5 and numbers("p")[0] == 5 and 4095 not in numbers("plain")
+    assert len(set(numbers(many[:3000]).tolist()) | set(numbers("plain").tolist())) == 3005  # no two of them share a number
+    assert len(set(numbers(many).tolist()) - {4095}) == 4094 - 5 and (numbers("\U0001f601é") == 4095).all()
+
+
+def test_other_texts_in_a_shard_are_seen(spark):
+    model = kneser_ney.train(spark.createDataFrame([("some text",)], "text string"))
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    check = kneser_ney._Check()
+    check.add(["a", "b"])
+    other = kneser_ney._Check()
+    other.add(["b", "a"])
+    assert (check.rows, check.sum) != (other.rows, other.sum)
+    again = kneser_ney._Check()
+    again.add(["a"])
+    again.add(["b"])
+    assert (check.rows, check.sum) == (again.rows, again.sum)
+    assert not kneser_ney._is_scan(d) and not kneser_ney._is_scan(d.orderBy("doc_id"))
+
+
+def test_thresholds_of_each_language(spark, labels):
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randint(1, 60), ("ta re mi" if i % 5 else "kö lü").split()), ("aa", "bb", None)[0 if i % 5 else 1 + (i % 2)]) for i in range(900)]
+    marks = [(i, int(i % 3 == 0), 0) for i, _, lang in rows if lang != "bb" or i % 90 == 0]
+    out = {r.doc_id: r for r in kneser_ney.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, labels.schema), quantile=0.9, margin=0.1).collect()}
+    trusted = {i for i, q, _ in marks if q and zlib.crc32(str(i).encode()) % 3 == 1}
+    for lang in ("aa", "bb", "und"):
+        own = sorted(math.log(out[i].perplexity) for i in trusted if out[i].lang == lang)
+        cut = own[math.ceil(0.9 * len(own)) - 1] + 0.1 if own else math.inf
+        for r in out.values():
+            if r.lang == lang:
+                assert r.kept == (math.log(r.perplexity) <= cut + 1e-12), (lang, r, cut)
+                assert (r.threshold is None) == (not own) and (not own or r.threshold == pytest.approx(math.exp(cut), rel=1e-6))
+
+
 def test_clean_documents_stay(spark, labels):
     rng = random.Random(6)
     rows, marks = [], []
