@@ -23,6 +23,9 @@ THRESHOLD = 0.6
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeat_words", "capitals", "digits", "marks", "distinct", "line_words", "top_word")
 INCREASING = tuple(FEATURES.index(f) for f in ("symbols", "dup_lines", "repeat_words", "capitals"))
 
+#: So many different words that three of their numbers fit a long.
+THREE_FIT = 1 << 21
+
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _DIGITS = np.zeros(256, dtype=bool)
@@ -48,10 +51,11 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     codes = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
     repeat_words = 0
     if n > 3:
-        if len(ids) < 1 << 21:
-            windows = ((codes[:-2] << 42) | (codes[1:-1] << 21)) | codes[2:]
-        else:
-            windows = np.array([hash(w) for w in zip(words, words[1:], words[2:])], dtype=np.int64)
+        pairs = codes[:-1] * len(ids) + codes[1:]
+        if len(ids) < THREE_FIT:
+            windows = pairs[:-1] * len(ids) + codes[2:]
+        else:  # three numbers don't fit; those of the pairs that occur do
+            windows = np.unique(pairs, return_inverse=True)[1][:-1] * len(ids) + codes[2:]
         order = np.argsort(windows, kind="stable")
         ranked = windows[order]
         same = ranked[1:] == ranked[:-1]

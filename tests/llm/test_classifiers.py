@@ -182,6 +182,33 @@ def test_quality_rules(spark, odd, empty, labels, no_labels):
     assert quality_rules.apply_rules(odd, labels).count() == odd.count() and quality_rules.apply_rules(empty, labels).count() == 0
 
 
+def test_repeats_with_very_many_words(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    plain = [quality_rules.statistics(t)[0] for t in texts]
+    assert plain == [brute_counts(t) for t in texts]
+    monkeypatch.setattr(quality_rules, "THREE_FIT", 0)
+    assert [quality_rules.statistics(t)[0] for t in texts] == plain
+
+
+def test_verdicts_by_walking_the_trees(docs, odd, labels):
+    trees = quality_rules.train(docs, labels)
+
+    def margin(x):
+        total = trees.base
+        for node in trees.roots.tolist():
+            while trees.left[node] != node:
+                node = trees.left[node] if x[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return total
+
+    for r in quality_rules.judge(odd, trees).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        counts, x = quality_rules.statistics(r.text or "")
+        p = 1 / (1 + math.exp(-margin(x)))
+        assert r.p_low == pytest.approx(p, abs=1e-12)
+        assert r.kept == (not (counts[0] < 50 or 100 * counts[4] > 50 * counts[0]) and p < 0.6)
+
+
 # Quality by perplexity.
 
 

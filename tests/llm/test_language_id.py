@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -29,6 +31,30 @@ def test_scores_do_not_depend_on_the_batch(docs):
     assert np.allclose(model.score([long], piece=1000)[0], plain)
 
 
+def test_training_against_plain_counts(docs):
+    """Counting, smoothing and prior by dictionaries, n-gram by n-gram, and what they predict."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts, sizes = defaultdict(Counter), Counter()
+
+    def grams(text):
+        codes = L._codes(text)
+        return [int(L.ngram_buckets(codes[i : i + k], k)[0]) for k in L.ORDERS for i in range(len(codes) - k + 1)]
+
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(grams(r.text))
+            sizes[r.lang] += 1
+    total = {lang: sum(c.values()) + 0.5 * 2**L.BUCKET_BITS for lang, c in counts.items()}
+    predicted = {r.doc_id: r for r in L.identify(docs).collect()}
+    for r in rows[:60]:
+        if len(r.text or "") < 2000 and any(map(str.isalpha, r.text or "")):
+            found = grams(r.text)
+            log = {lang: math.log(sizes[lang] / sum(sizes.values())) + sum(math.log((counts[lang][g] + 0.5) / total[lang]) for g in found) for lang in counts}
+            best = max(sorted(log), key=log.get)
+            score = 1 / sum(math.exp((v - log[best]) / math.sqrt(len(r.text))) for v in log.values())
+            assert predicted[r.doc_id].lang_pred == best and abs(predicted[r.doc_id].score - score) < 1e-9
+
+
 def test_odd_tables(odd, empty, spark):
     assert L.identify(odd).count() == odd.count()
     assert L.identify(empty).count() == 0
