@@ -872,6 +872,29 @@ def t2_heartbeat_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.heartbeat_gaps(read_table(spark, sf_dir, "events"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as files that arrive in a folder."""
+    rows = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 15000000 THEN 0 ELSE 1 END AS new FROM events),
+  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g),
+  w AS (SELECT user_id, min(epoch_us(ts)) AS began_us, max(epoch_us(ts)) + 15000000 AS silent_from_us, count(*) AS n_events FROM s GROUP BY user_id, n)
+  SELECT * FROM w WHERE silent_from_us <= (SELECT max(epoch_us(ts)) - 60000000 FROM events)""")
+def t2_stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2, T3 over a stream: the sessions of events that a silence ended, as far as the watermark has come."""
+    found = activity.drained(activity.silences(_event_stream(spark, sf_dir)), "silences")
+    return found.select("user_id", F.unix_micros("began").alias("began_us"), F.unix_micros("silent_from").alias("silent_from_us"), "n_events")
+
+
+@query("SELECT user_id, event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def t3_streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3, S11 over a stream: every event as a frame, in micro-batches, to the end of what there is."""
+    rows = _event_stream(spark, sf_dir).select("user_id", "event_id", activity.frame(F.col("event_type"), F.col("props")).alias("frame"))
+    return activity.drained(rows, "frames")
+
+
 @query("""WITH t AS (SELECT user_id AS question_id, event_type, props, event_id, event_id % 2 AS attempt FROM events)
   SELECT question_id, count(DISTINCT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN props END) AS sources, count(*) FILTER (event_type = (SELECT max(event_type) FROM events)) AS read, count(DISTINCT attempt) AS passes FROM t GROUP BY question_id""")
 def a12_trail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

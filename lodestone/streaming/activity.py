@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
+from lodestone.plans.stage import session_folder
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +47,15 @@ def silences(stream: DataFrame, key: str = "user_id", ts: str = "ts", seconds: i
     return stream.withWatermark(ts, late).groupBy(session.alias("session"), key).agg(F.count(F.lit(1)).alias("n_events")).select(key, F.col("session.start").alias("began"), F.col("session.end").alias("silent_from"), "n_events")
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream has now, as a table in the shared folder: micro-batches take the place of a producer's
+    queue, and the end of what is available that of its sentinel."""
+    folder = f"{session_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def completion_order(steps: DataFrame, run: str = "run_id", ordinal: str = "ordinal", finished: str = "finished_at") -> DataFrame:
     """T4: adds ``seq``, the place of a step in the order in which a run's steps ended, which its trail shows; what
     is computed from the steps takes them by ``ordinal``, as they were planned."""
