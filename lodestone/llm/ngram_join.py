@@ -516,6 +516,13 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
     sorted_rows = plain.unionByName(mapped).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
     fields = [("a", pa.int64()), ("b", pa.int64())]
 
+    def few(group: list[tuple], out: list[tuple[int, int]]) -> None:
+        """Pairs of a group of a few rows, which is of one block."""
+        for at, (*_, node, component, n, pos, _) in enumerate(group):
+            for *_, other, other_component, m, other_pos, _ in group[:at]:  # sizes ascend
+                if component != other_component and 100 * m >= percent * n and min(n - pos, m - other_pos) * (100 + percent) >= percent * (n + m):
+                    out.append((min(node, other), max(node, other)))
+
     def close(group: list[tuple]) -> pa.RecordBatch | None:
         token, i, j, own, node, component, n, pos, bitmap = zip(*group)
         n, rest, component, own = np.array(n, np.int64), np.array(n, np.int64) - np.array(pos), np.array(component), np.array(own)
@@ -539,15 +546,26 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        out: list[tuple[int, int]] = []
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if 1 < len(group) <= PLAIN and group[0][-1] is None:
+                few(group, out)
+            elif len(group) > 1 and (found := close(group)):
+                yield found
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and row[:3] != group[0][:3]:
-                    if len(group) > 1 and (found := close(group)):
-                        yield found
+                    yield from end()
                     group = []
                 group.append(row)
-        if len(group) > 1 and (found := close(group)):
-            yield found
+            if out:
+                yield record_batch(fields, a=[p[0] for p in out], b=[p[1] for p in out])
+                out.clear()
+        yield from end()
+        if out:
+            yield record_batch(fields, a=[p[0] for p in out], b=[p[1] for p in out])
 
     return allowed_pairs(sorted_rows.mapInArrow(compare, "a long, b long").select("a", "b").distinct(), nodes, percent)
 
