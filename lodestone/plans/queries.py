@@ -735,12 +735,6 @@ def t1_trail_with_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Passages.
 
 
-@query()
-def c1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 to C8."""
-    return passages.chunk(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1)::INT AS line_number FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents)),
   k AS (SELECT doc_id, line_number, text FROM l WHERE regexp_matches(text, '[^\s\p{Z}]') AND length(text) % 5 <> 0),
   g AS (SELECT *, CASE WHEN line_number - lag(line_number) OVER (PARTITION BY doc_id ORDER BY line_number) > 1 THEN 1 ELSE 0 END AS leap FROM k)

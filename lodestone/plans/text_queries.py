@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
 from lodestone.functions import markup, prose
-from lodestone.operators import evidence
+from lodestone.operators import evidence, passages
 from lodestone.plans.registry import choice, query, quoted, sql_list, strip_sql
 from lodestone.session import read_table
 
@@ -29,6 +29,92 @@ def c8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", "\n").alias("sentences"))
 
 
+# Passages.
+
+
+def _passages_sql(source: str, budget: int = K.PASSAGE_CHARS, overlap: int = K.OVERLAP_CHARS) -> str:
+    """CTEs that end in ``passages`` (doc_id, ordinal, text, start_line, end_line) of ``source`` (doc_id, text).
+
+    lines, paragraphs (a heading alone goes with the next), sentences, units of at most ``budget``
+    characters; then a machine for each document that appends its next unit, closes a passage or drops
+    a carried unit, one step at a time.
+    """
+    lens = "list_transform({}, lambda x: length(x))"
+    size = f"(coalesce(list_sum({lens.format('t')}), 0) + coalesce(list_sum({lens.format('j[2:]')}), 0))"
+    waiting = "len(list_filter(range(1, n - carried), lambda k: len(list_filter(h[n - k + 1:n], lambda x: x)) = k))"  # headings at the end that the passage can spare
+    fits = f"len(list_filter(range(1, m), lambda k: list_sum({lens.format('t[m - k + 1:m]')}) + coalesce(list_sum({lens.format('j[m - k + 2:m]')}), 0) <= {overlap}))"
+    joined = "t[1] || coalesce(array_to_string(list_transform(range(2, m + 1), lambda k: j[k] || t[k]), ''), '')"
+    return rf"""
+  ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS number FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM {source})),
+  solid AS (SELECT *, regexp_matches(line, '{K.HEADING}') AS heading, number - row_number() OVER (PARTITION BY doc_id ORDER BY number) AS run FROM ln WHERE regexp_matches(line, '[^\s\p{{Z}}]')),
+  runs AS (SELECT doc_id, run, count(*) = 1 AND bool_or(heading) AS alone FROM solid GROUP BY ALL),
+  numbered AS (SELECT doc_id, run, sum((NOT (coalesce(lag_alone, false) AND NOT alone))::INT) OVER (PARTITION BY doc_id ORDER BY run) AS paragraph FROM (SELECT *, lag(alone) OVER (PARTITION BY doc_id ORDER BY run) AS lag_alone FROM runs)),
+  placed AS (SELECT s.*, paragraph, row_number() OVER (PARTITION BY doc_id, paragraph ORDER BY number) AS in_paragraph FROM solid s JOIN numbered USING (doc_id, run)),
+  cut AS (SELECT *, CASE WHEN heading THEN [line] ELSE string_split(regexp_replace(line, {quoted(K.SENTENCE_CUT)}, '\1\2' || chr(64976) || '\3', 'g'), chr(64976)) END AS l FROM placed),
+  piece AS (SELECT doc_id, number, heading, paragraph, in_paragraph, unnest(l) AS piece, generate_subscripts(l, 1) AS k FROM cut),
+  word AS (SELECT *, regexp_replace(lower(regexp_extract(piece, {quoted(K.LAST_WORD)}, 1)), {quoted('^[("' + "'" + '“‘]+')}, '') AS word, sum(length(piece) - length(replace(piece, '$', ''))) OVER (PARTITION BY doc_id, number ORDER BY k) AS dollars FROM piece),
+  ends AS (SELECT *, (dollars % 2 = 1 OR list_contains({sql_list(K.ABBREVIATIONS)}, word) OR regexp_matches(word, '^\p{{L}}$'))::INT AS goes_on FROM word),
+  sent AS (SELECT *, coalesce(sum(1 - goes_on) OVER (PARTITION BY doc_id, number ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM ends),
+  whole AS (SELECT doc_id, number, heading, paragraph, in_paragraph, sentence, CASE WHEN heading THEN string_agg(piece, '' ORDER BY k) ELSE {strip_sql("string_agg(piece, '' ORDER BY k)")} END AS t FROM sent GROUP BY doc_id, number, heading, paragraph, in_paragraph, sentence),
+  cutting(doc_id, number, heading, paragraph, in_paragraph, sentence, part, now, rest) AS (
+    SELECT doc_id, number, heading, paragraph, in_paragraph, sentence, 0, NULL::VARCHAR, t FROM whole WHERE t <> ''
+    UNION ALL
+    SELECT doc_id, number, heading, paragraph, in_paragraph, sentence, part + 1, CASE WHEN length(rest) <= {budget} THEN rest ELSE {strip_sql("substr(rest, 1, edge)")} END, CASE WHEN length(rest) <= {budget} THEN '' ELSE regexp_replace(substr(rest, edge + 1), '^[\s\p{{Z}}]+', '') END
+    FROM (SELECT *, CASE WHEN contains(substr(rest, 1, {budget + 1}), ' ') AND instr(reverse(substr(rest, 1, {budget + 1})), ' ') <= {budget} THEN {budget + 1} - instr(reverse(substr(rest, 1, {budget + 1})), ' ') ELSE {budget} END AS edge FROM cutting WHERE rest <> '')
+  ),
+  parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY sentence, part) AS in_line FROM cutting WHERE now <> ''),
+  unit AS (SELECT *, CASE WHEN in_line > 1 THEN ' ' WHEN in_paragraph > 1 THEN chr(10) ELSE chr(10) || chr(10) END AS joiner, row_number() OVER (PARTITION BY doc_id ORDER BY number, in_line) AS i FROM parts),
+  units AS (SELECT *, sum(length(joiner) + length(now)) OVER (PARTITION BY doc_id, paragraph) AS paragraph_size FROM unit),
+  machine(doc_id, step, i, t, j, ln, h, carried, weighed, emitted, first_line, last_line) AS (
+    SELECT DISTINCT doc_id, 0, 1::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[], []::BOOLEAN[], 0::BIGINT, false, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM units
+    UNION ALL
+    SELECT doc_id, step + 1,
+      CASE WHEN act = 'append' THEN i + 1 WHEN act = 'end' THEN NULL ELSE i END,
+      CASE act WHEN 'append' THEN t || [u] WHEN 'drop' THEN t[2:] WHEN 'close' THEN (CASE WHEN tailed THEN [tail] ELSE t[m - fit + 1:m] END) || t[m + 1:n] END,
+      CASE act WHEN 'append' THEN j || [uj] WHEN 'drop' THEN j[2:] WHEN 'close' THEN (CASE WHEN tailed THEN [j[m]] ELSE j[m - fit + 1:m] END) || j[m + 1:n] END,
+      CASE act WHEN 'append' THEN ln || [ul] WHEN 'drop' THEN ln[2:] WHEN 'close' THEN (CASE WHEN tailed THEN [ln[m]] ELSE ln[m - fit + 1:m] END) || ln[m + 1:n] END,
+      CASE act WHEN 'append' THEN h || [uh] WHEN 'drop' THEN h[2:] WHEN 'close' THEN (CASE WHEN tailed THEN [false] ELSE h[m - fit + 1:m] END) || h[m + 1:n] END,
+      CASE act WHEN 'append' THEN carried WHEN 'drop' THEN carried - 1 WHEN 'close' THEN CASE WHEN tailed THEN 1 ELSE fit END END,
+      act <> 'append', CASE WHEN act IN ('close', 'end') THEN shown END, CASE WHEN act IN ('close', 'end') THEN ln[1] END, CASE WHEN act IN ('close', 'end') THEN ln[m] END
+    FROM (
+      SELECT *, CASE WHEN length(t[m]) > {overlap} THEN (CASE WHEN instr(substr(t[m], length(t[m]) - {overlap} + 1), ' ') BETWEEN 1 AND {overlap - 1} THEN substr(t[m], length(t[m]) - {overlap} + instr(substr(t[m], length(t[m]) - {overlap} + 1), ' ') + 1) ELSE substr(t[m], length(t[m]) - {overlap} + 1) END) ELSE t[m] END AS tail,
+             fit = 0 AND kept_size > {overlap} AS tailed
+      FROM (
+        SELECT *, {joined} AS shown, {fits} AS fit, list_sum({lens.format('t[1:m]')}) + coalesce(list_sum({lens.format('j[2:m]')}), 0) AS kept_size
+        FROM (
+          SELECT *, n - CASE WHEN act = 'close' THEN {waiting} ELSE 0 END AS m
+          FROM (
+            SELECT *, CASE WHEN u IS NULL THEN 'end'
+              WHEN NOT weighed AND n > carried AND uj = chr(10) || chr(10) AND up > {budget} - size AND size >= {budget // 2} THEN 'close'
+              WHEN n > 0 AND size + length(uj) + length(u) > {budget} THEN CASE WHEN n > carried THEN 'close' ELSE 'drop' END
+              ELSE 'append' END AS act
+            FROM (SELECT mc.*, len(t) AS n, {size} AS size, x.now AS u, x.joiner AS uj, x.number AS ul, x.heading AS uh, x.paragraph_size AS up FROM machine mc LEFT JOIN units x ON x.doc_id = mc.doc_id AND x.i = mc.i WHERE mc.i IS NOT NULL)
+          ) WHERE act <> 'end' OR n > carried
+        )
+      )
+    )
+  ),
+  passages AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS ordinal, emitted AS text, first_line::INT AS start_line, last_line::INT AS end_line FROM machine WHERE emitted IS NOT NULL)"""
+
+
+_CHUNKS = "SELECT doc_id, ordinal, text, start_line, end_line, sha256(doc_id || chr(0) || ordinal || chr(0) || text) AS chunk_id FROM passages"
+
+
+@query(f"WITH RECURSIVE {_passages_sql('documents')} {_CHUNKS}")
+def c1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 to C8."""
+    return passages.chunk(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"""WITH RECURSIVE headed AS (SELECT doc_id, '# About' || chr(10) || chr(10) || '## First' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10) || '### Next part' || chr(10) || chr(10)) || chr(10) || '# End' AS text FROM documents),
+  {_passages_sql('headed')} {_CHUNKS}""")
+def c3_headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 to C8 of texts whose lines are paragraphs under headings."""
+    parts = F.replace("text", F.lit("\n"), F.lit("\n\n### Next part\n\n"))
+    headed = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# About\n\n## First\n\n"), parts, F.lit("\n# End")).alias("text"))
+    return passages.chunk(headed)
+
+
 # Attributions.
 
 _HEADINGS = ["Adaptive correction — Jiang et al. (2026)", "A plain heading", "Hu (2019): codes of light", "Waves, Hu and Li (2019)"]
