@@ -27,13 +27,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = materialize(join_counted(parents, up, "parent", "children", total).select("node", "parent", "grand", "degree"), "grandparents")
         near = join_counted(both, state.select(F.col("node").alias("b"), "grand", "degree"), "b", "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("best"))
         with_best = state.join(near, "node")
-        own = with_best.select("node", F.least("parent", "grand", "best").alias("p"), "degree")
-        hooked = with_best.groupBy(F.col("parent").alias("node")).agg(F.min("best").alias("p")).withColumn("degree", F.lit(None).cast("long"))
-        new = materialize(own.unionByName(hooked).groupBy("node").agg(F.min("p").alias("parent"), F.max("degree").alias("degree")), "parents")
-        changed = new.join(parents.select("node", F.col("parent").alias("old")), "node").where("parent <> old").limit(1).count()
+        none = F.lit(None).cast("long")
+        own = with_best.select("node", F.least("parent", "grand", "best").alias("p"), "degree", F.col("parent").alias("before"))
+        hooked = with_best.groupBy(F.col("parent").alias("node")).agg(F.min("best").alias("p")).select("node", "p", none.alias("degree"), none.alias("before"))
+        new = materialize(own.unionByName(hooked).groupBy("node").agg(F.min("p").alias("parent"), F.max("degree").alias("degree"), F.max("before").alias("before")), "parents")
         discard(state, parents)
-        parents = new
-        if not changed:
+        parents = new.select("node", "parent", "degree")
+        parents.staged_at = new.staged_at
+        if new.where("parent <> before").isEmpty():
             break
     discard(both)
     return parents.select("node", F.col("parent").alias("component"))

@@ -117,3 +117,11 @@ def test_repeated_rows_beyond_one_array(spark):
     out = E.exact_duplicates(df).groupBy("kept", "group_size").count().collect()
     assert sorted((r["kept"], r["group_size"], r["count"]) for r in out) == [(False, 25_001, 25_000), (True, 25_001, 1)]
     assert E.deduplicate(df).count() == 1
+
+
+def test_losers_joined_by_shuffle(docs, odd, monkeypatch):
+    for df in (docs, odd):
+        few = sorted(map(str, E.deduplicate(df).select("doc_id", "text").collect()))
+        monkeypatch.setattr(E, "BROADCAST_LOSERS", -1)
+        assert sorted(map(str, E.deduplicate(df).select("doc_id", "text").collect())) == few
+        monkeypatch.undo()

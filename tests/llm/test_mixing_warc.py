@@ -55,6 +55,12 @@ def test_large_means_are_sums(spark):
     assert len(counts) == 300 and sum(counts) / 300 == pytest.approx(1200, rel=0.01)
 
 
+def test_sources_joined_by_shuffle(docs, monkeypatch):
+    few = sorted((r.doc_id, r.copy) for r in M.mix_sources(docs).select("doc_id", "copy").collect())
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", -1)
+    assert sorted((r.doc_id, r.copy) for r in M.mix_sources(docs).select("doc_id", "copy").collect()) == few
+
+
 def test_partitions_change_nothing(docs):
     a = sorted((r.doc_id, r.copy) for r in M.mix(docs, M.source_rates(docs), partitions=2).select("doc_id", "copy").collect())
     b = sorted((r.doc_id, r.copy) for r in M.mix(docs.repartition(7), M.source_rates(docs), partitions=9).select("doc_id", "copy").collect())

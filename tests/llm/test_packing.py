@@ -95,3 +95,13 @@ def test_documents(docs, odd, empty, library):
             assert at <= K.CAPACITY
         total = sum(r.length for r in rows)
         assert len(places) <= total / K.CAPACITY * 1.25 + 2
+
+
+def test_sequences_are_few():
+    """On lengths as texts have them the number of sequences is within a hundredth of the least that tokens allow."""
+    rng = np.random.default_rng(7)
+    for lengths in (rng.integers(1, 1024, 20_000), np.minimum(1023, rng.lognormal(5, 1.2, 20_000).astype(int) + 1)):
+        histogram = dict(Counter(lengths.tolist()))
+        large = sum(n for length, n in histogram.items() if length > K.CAPACITY // 2)
+        least = max(large, -(-int(lengths.sum()) // K.CAPACITY))
+        assert K.plan_bins(histogram).n_bins <= 1.01 * least + 1
