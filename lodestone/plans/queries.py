@@ -556,6 +556,12 @@ def a8_mix_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.mix_tally(selection.classify(selection.merge_results(_results(spark, sf_dir)), selection.host_table(spark, _TEST_HOSTS)))
 
 
+@query(f"SELECT question_id, count(*) FILTER (tier = 'scholarly') AS scholarly, count(*) FILTER (tier = 'reference') AS reference, count(*) FILTER (tier NOT IN ('scholarly', 'reference')) AS other FROM ({ORACLE_SQL['r11_select_sources']}) GROUP BY question_id")
+def a8_chosen_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 over the pages that were chosen."""
+    return selection.mix_tally(r11_select_sources(spark, sf_dir))
+
+
 @query(f"""WITH {_RESULTS_SQL}, f AS (SELECT question_id, url, min((rank, query_idx)) AS pos FROM results WHERE rank < 5 GROUP BY ALL), p AS (SELECT question_id, url, row_number() OVER (PARTITION BY question_id ORDER BY pos) - 1 AS place FROM f) SELECT question_id, url, place FROM p WHERE place < 12""")
 def w13_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.round_robin(_results(spark, sf_dir))

@@ -3,6 +3,7 @@
 import os
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,37 @@ def test_rounds_decide_like_the_loop(spark):
     assert {r.node: r.kept_node for r in mirrors.decide(edges, pages).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_terms_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "maxwell law of light"), (2, "light and sound"), (3, ""), (4, None), (5, "other words")], "doc_id long, text string")
+    questions = spark.createDataFrame([(1, "maxwell laws"), (2, "sound of light"), (3, "the")], "question_id long, question string")
+    few = sorted(map(tuple, ranking.bm25(questions, docs).collect()))
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", -1)
+    assert sorted(map(tuple, ranking.bm25(questions, docs).collect())) == few and len(few) == 3
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_nearest_by_products_are_those_by_differences(spark, k):
+    rng = np.random.default_rng(k)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)] + [(300, None), (301, [])]  # many ties
+    df = spark.createDataFrame(vectors, "chunk_id long, embedding array<double>").repartition(3)
+    queries = df.where("chunk_id % 7 = 0").withColumnRenamed("chunk_id", "question_id")
+    got = {(r.question_id, r.rank): (r.chunk_id, r.distance) for r in ranking.rank_by_distance(queries, df, k, block=20).collect()}
+    known = {i: np.array(v) for i, v in vectors if v}
+    for q in [i for i in known if i % 7 == 0]:
+        best = sorted((round(float(((v - known[q]) ** 2).sum()), 9), i) for i, v in known.items())[:k]
+        assert [got[q, n] for n in range(len(best))] == [(i, d) for d, i in best]
+
+
+def test_spread_of_the_best_is_that_of_all(spark):
+    rng = np.random.default_rng(3)
+    rows = [(q, i, f"s{int(i % 17 % 4)}", float(np.round(rng.integers(0, 30) / 7, 9))) for q in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "question_id long, doc_id long, source_url string, score double")
+    ranked = ranking.top_k(df, 1 << 30, [F.desc("score"), F.col("doc_id")])
+    for limit in (0, 1, 10, 60):
+        a, b = (sorted(map(tuple, x.select("question_id", "doc_id", "rank", "place").collect())) for x in (ranking.spread(ranked, limit), ranking.spread_best(df, limit)))
+        assert a == b and len(a) == 3 * limit
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_mirrors_of_a_corpus(spark, block):
     nine = NINE
