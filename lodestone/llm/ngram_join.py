@@ -54,6 +54,8 @@ SKETCH_BITS = 20
 SKETCH_CHUNK = 1 << 14
 #: Rows of a posting group that one task compares with each other at a time.
 BLOCK = 400
+#: Rows of posting groups that a task compares, on average, at most.
+ROWS_PER_TASK = 50_000
 #: In larger groups pairs are held against small bitmaps before they leave the task.
 PLAIN = 16
 #: Bytes of a small bitmap, at most.
@@ -513,7 +515,9 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
     kept = ["token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos"]
     plain = dealt.where(F.col("size") <= PLAIN).select(*kept, F.lit(None).cast("binary").alias("bitmap"))
     mapped = dealt.where(F.col("size") > PLAIN).join(nodes.select("node", "small"), "node").select(*kept, F.col("small").alias("bitmap"))
-    sorted_rows = plain.unionByName(mapped).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
+    # comparing is dear for the bytes it reads, so the number of tasks is not left to their sizes
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_TASK))
+    sorted_rows = plain.unionByName(mapped).repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
     fields = [("a", pa.int64()), ("b", pa.int64())]
 
     def few(group: list[tuple], out: list[tuple[int, int]]) -> None:
