@@ -68,11 +68,10 @@ class Alphabet:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(0x110000, dtype=np.int64)
             for batch in batches:
-                for t in texts_of(batch):
-                    total += np.bincount(_points(t), minlength=0x110000) if len(t) > 1 << 16 else 0
-                    if len(t) <= 1 << 16:
-                        points, n = np.unique(_points(t), return_counts=True)
-                        total[points] += n
+                texts = texts_of(batch)
+                for i, j in spans_of_chars(texts, 1 << 20):
+                    n = np.bincount(_points("".join(texts[i:j])))
+                    total[: len(n)] += n
             full = np.flatnonzero(total)
             yield record_batch([("c", pa.int64()), ("n", pa.int64())], c=full, n=total[full])
 
@@ -112,18 +111,17 @@ class HashTable:
 
     @classmethod
     def of(cls, keys: np.ndarray, values: np.ndarray) -> HashTable:
+        """Of different keys, none negative."""
         size = 1 << max(4, int(len(keys) * 2.2).bit_length())
-        table, out = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float64)
-        left, slots = np.arange(len(keys)), cls._slots(keys, size - 1)
+        owner, left, slots = np.full(size, -1, dtype=np.int64), np.arange(len(keys)), cls._slots(keys, size - 1)
         while len(left):
-            free = table[slots] < 0
-            order = left[free]
-            where, first = np.unique(slots[free], return_index=True)
-            table[where], out[where] = keys[order[first]], values[order[first]]
-            placed = np.zeros(len(keys), dtype=bool)
-            placed[order[first]] = True
-            rest = ~placed[left]
+            free = np.flatnonzero(owner[slots] < 0)
+            owner[slots[free]] = left[free]  # of several that want a slot one gets it
+            rest = owner[slots] != left
             left, slots = left[rest], (slots[rest] + 1) & (size - 1)
+        table, out = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.float64)
+        full = np.flatnonzero(owner >= 0)
+        table[full], out[full] = keys[owner[full]], values[owner[full]]
         return cls(table, out, size - 1)
 
     @staticmethod
