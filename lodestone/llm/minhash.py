@@ -13,15 +13,19 @@ of similarity 0.8 share none of the 40 bands with a probability of (1 - 0.8**5)*
 2. Buckets (nodes that share a band) are counted; only those with two nodes or more go on.
 3. Every node is held against two leaders of its buckets, the smallest nodes, with which it shares most
    bands. Sizes and signatures drop pairs that can't be links (a pair of similarity 0.8 has fewer than
-   LEAST_EQUAL equal values with a probability below 1e-8); the rest is counted on the full sets, by fragments of the
-   hash space that are summed for each pair. Links give components.
+   LEAST_EQUAL of its expected equal values with a probability of about 1e-6); the rest is counted on the full sets,
+   which one more pass writes for nodes of buckets. Links give components.
 4. Buckets whose nodes are by then in one component need nothing more. In the others only pairs of
-   different components are looked at. A bucket of more than BLOCK nodes is split by every later band
-   that its nodes share, so nodes that share a passage and little else part. A linked pair shares 13 of
-   40 bands on average; it shares a single one, and would be lost if that one's bucket is large, with a probability below 3e-6.
-   Each further split would lose more (two bands: 3e-5), so what is still large after DEPTH splits is
-   compared block by block, block pairs dealt over tasks.
-5. Pairs that signatures allow are counted on the full sets again.
+   different components are looked at: first each node with its most similar partners by signature, PROBES of
+   them, again and again while that gives links, which joins what is left of large groups with a few pairs for each node; at
+   last all pairs that are still of different components and that signatures allow, so no candidate stays uncounted. For
+   these, tasks hold the sets with 32 bits an n-gram, which bound an overlap from above, so that pairs
+   just below the threshold, of which a large group has many, are not written; what passes is counted on the full sets.
+   Buckets are compared block by block, block pairs dealt over tasks. A bucket in which a row has on average more
+   than BLOCK / 2 rows of other components is split by every later band that its nodes share before, so nodes that
+   share a passage and little else part. A linked pair shares 13 of 40 bands on average; it shares a single
+   one, and would be lost if that one's bucket is split, with a probability below 3e-6. Each further
+   split would lose more (two bands: 3e-5), so buckets are split DEPTH times.
 
 No bucket is gathered in one task: buckets are aggregated before they are shuffled, joins of hot keys are
 salted (``join_counted``), comparisons run on blocks. Nothing is capped. Work grows with the square
@@ -37,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import bound_batches, join_counted, materialize, record_batch, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, discard, join_counted, materialize, record_batch, spans_of_chars, texts_of
 from lodestone.llm.components import connected_components
-from lodestone.llm.ngram_join import SKETCH_BITS, GlobalOrder, fingerprint, shingle_sets, verified
+from lodestone.llm.ngram_join import SKETCH_BITS, GlobalOrder, fingerprint, segments_of, shingle_sets
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -48,13 +52,15 @@ WORDS = 4
 ROWS, BANDS = 5, 40
 PERMUTATIONS = ROWS * BANDS // 2
 #: Signatures with a smaller share of equal values than this times the threshold can't be those of a link.
-LEAST_EQUAL = 0.75
+LEAST_EQUAL = 0.825
 #: Nodes of a bucket that one task compares with each other at a time.
-BLOCK = 400
+BLOCK = 1500
+#: Partners of a node, each the most similar of its share of the nodes, that are counted before all others are.
+PROBES = 4
 #: Times that a large bucket is split.
 DEPTH = 1
-#: Parts that full sets are compared in.
-FRAGMENTS = 8
+#: n-grams of the sets that travel to the blocks, at most; pairs of larger sets are counted on the full sets.
+SMALL_SET = 8192
 #: n-grams whose permutations are held at a time.
 GRAMS_AT_A_TIME = 1 << 14
 
@@ -143,10 +149,14 @@ def read_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _open(rows: DataFrame, low: str, tag: str) -> DataFrame:
-    """Of ``rows`` (key, node, ...) those whose key has different values of ``low``; with ``least``, its smallest, and ``size``, the key's rows."""
-    groups = rows.groupBy("key").agg(F.min(low).alias("least"), F.max(low).alias("most"), F.count(F.lit(1)).alias("size"))
-    several = materialize(groups.where("least <> most").select("key", "least", "size"), f"{tag}-keys")
-    return materialize(join_counted(rows, several, "key", "size", max(1, several.agg(F.sum("size").alias("n")).first()["n"] or 0)), tag)
+    """Of ``rows`` (key, node, ...) those whose key has different values of ``low``; with ``least``, its smallest, ``size``,
+    the key's rows, and ``apart``, the pairs of them with different values."""
+    each = rows.groupBy("key", low).agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("key").agg(F.min(low).alias("least"), F.count(F.lit(1)).alias("values"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    several = materialize(groups.where("values > 1").select("key", "least", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("apart")), f"{tag}-keys")
+    found = materialize(join_counted(rows, several, "key", "size", max(1, several.agg(F.sum("size").alias("n")).first()["n"] or 0)), tag)
+    discard(several)
+    return found
 
 
 def _equal_enough(percent: int):
@@ -182,48 +192,98 @@ def leader_pairs(met: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def crossing_pairs(met: DataFrame, nodes: DataFrame, components: DataFrame, percent: int = PERCENT, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """(a, b): pairs of nodes of different components that share a band and that sizes and signatures allow to be links."""
+def _within_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, sets: list[np.ndarray | None], percent: int) -> np.ndarray:
+    """Which pairs (x ascends) shortened sets allow to be links: what of y's set occurs in x's is the overlap or more."""
+    ok = np.ones(len(x), dtype=bool)
+    ends = np.flatnonzero(np.concatenate([x[1:] != x[:-1], [True]])) + 1
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        at = [k for k in range(lo, hi) if sets[y[k]] is not None]
+        if (own := sets[x[lo]]) is None or not at:
+            continue
+        others = [sets[y[k]] for k in at]
+        values, own = np.concatenate(others), np.sort(own)
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        lengths = np.array([len(o) for o in others])
+        shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths)
+        ok[at] = 100 * shared >= percent * (n[x[lo]] + n[y[at]] - shared)
+    return ok
+
+
+def crossing_pairs(met: DataFrame, nodes: DataFrame, components: DataFrame, percent: int = PERCENT, probes: int | None = None, sets: DataFrame | None = None, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of nodes of different components that share a band and that sizes and signatures, and
+    shortened ``sets`` if given, allow to be links; with ``probes``, of each node only those with its most similar partners, so many at most."""
     mapped = met.select("key", "band", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = _open(mapped, "component", "open").drop("least")
+    placed = _open(mapped, "component", "open")
+    scratch = [placed]
+    many = F.col("apart") > F.col("size") * (block / 2)
     bands = placed.select("node", F.col("key").alias("next"), F.col("band").alias("later"))
-    large = placed.where(F.col("size") > block)
-    ready = placed.where(F.col("size") <= block)
+    columns = ["key", "band", "node", "component", "size"]
+    ready, large = placed.where(~many).select(*columns), placed.where(many).select(*columns)
     for _ in range(depth):
         if large.isEmpty():
             break
         split = large.drop("size").join(bands, "node").where("later > band").select(F.xxhash64("key", "next").alias("key"), F.col("later").alias("band"), "node", "component")
-        parts = _open(split, "component", "split").drop("least")
-        ready = ready.unionByName(parts.where(F.col("size") <= block).select(*ready.columns))
-        large = parts.where(F.col("size") > block).select(*ready.columns)
-    rows = materialize(ready.unionByName(large).select("key", "node", "component", "size"), "to-compare")
+        scratch.append(parts := _open(split, "component", "split"))
+        ready, large = ready.unionByName(parts.where(~many).select(*columns)), parts.where(many).select(*columns)
+    rows = ready.unionByName(large)
     # a bucket of more than ``block`` rows is compared block by block: each row meets each block once
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    with_sets = dealt.join(nodes.select("node", "n", "signature"), "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "signature")
-    least = least_equal(percent)
-    fields = [("a", pa.int64()), ("b", pa.int64())]
+    described = nodes.select("node", "n", "signature")
+    if sets is None:
+        described = described.withColumn("small", F.lit(None).cast("array<int>"))
+    else:
+        # the number of n-grams is in both tables, but a large set's need not be shuffled
+        small = sets.where(F.size("items") <= SMALL_SET).select("node", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("small"))
+        described = described.join(small, "node", "left")
+    with_sets = dealt.join(described, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "signature", "small")
+    least, by_sets = least_equal(percent), sets is not None
+    fields = [("node", pa.int64()), ("probe", pa.int32()), ("equal", pa.int32())] + [(c, pa.int64()) for c in ("a", "b", "n_a", "n_b")]
 
     def close(group: list[tuple]) -> pa.RecordBatch | None:
-        _, i, j, own, node, component, n, marks = zip(*group)
+        _, i, j, own, node, component, n, marks, small = zip(*group)
         own, node, component, n = (np.array(c) for c in (own, node, component, n))
-        ok = np.triu(component[:, None] != component, 1)
-        ok &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-        if i[0] != j[0]:
-            ok &= own[:, None] != own
-        x, y = np.nonzero(ok)
         m = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(len(group), -1)
-        found = [np.flatnonzero((m[x[at : at + 20_000]] == m[y[at : at + 20_000]]).sum(axis=1) >= least) + at for at in range(0, len(x), 20_000)]
-        if not found or not len(kept := np.concatenate(found)):
+        found = []
+        step = max(1, 200_000 // len(group))
+        for lo in range(0, len(group), step):
+            ok = component[lo : lo + step, None] != component
+            ok &= np.arange(lo, lo + len(ok))[:, None] < np.arange(len(group))
+            ok &= 100 * np.minimum(n[lo : lo + step, None], n) >= percent * np.maximum(n[lo : lo + step, None], n)
+            if i[0] != j[0]:
+                ok &= own[lo : lo + step, None] != own
+            x, y = np.nonzero(ok)
+            for at in range(0, len(x), 20_000):
+                p, q = x[at : at + 20_000] + lo, y[at : at + 20_000]
+                equal = (m[p] == m[q]).sum(axis=1)
+                p, q, equal = np.stack([p, q, equal])[:, equal >= least]
+                if len(p) and by_sets:
+                    p, q, equal = np.stack([p, q, equal])[:, _within_reach(p, q, n, small, percent)]
+                found.append(np.stack([p, q, equal]))
+        if not found or not len((all_found := np.concatenate(found, axis=1))[0]):
             return None
-        a, b = node[x[kept]], node[y[kept]]
-        return record_batch(fields, a=np.minimum(a, b), b=np.maximum(a, b))
+        x, y, equal = all_found
+        if probes is None:
+            of = probe = np.full(len(x), -1)
+        else:
+            of, to, equal = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([equal, equal])
+            probe = node[to] % probes
+            order = np.lexsort((node[to], -equal, probe, of))
+            of, to, probe, equal = of[order], to[order], probe[order], equal[order]
+            first = np.concatenate([[True], (of[1:] != of[:-1]) | (probe[1:] != probe[:-1])])
+            x, y, of, probe, equal = of[first], to[first], of[first], probe[first], equal[first]
+        swap = node[x] > node[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return record_batch(fields, node=node[of], probe=probe.astype(np.int32), equal=equal.astype(np.int32), a=node[x], b=node[y], n_a=n[x], n_b=n[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            column = batch.column(8)
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            small = [values[lo:hi] if valid else None for lo, hi, valid in zip(ends[:-1], ends[1:], column.is_valid().to_pylist())]
+            for row in zip(*(c.to_pylist() for c in batch.columns[:8]), small):
                 if group and row[:3] != group[0][:3]:
                     if len(group) > 1 and (out := close(group)):
                         yield out
@@ -234,7 +294,24 @@ def crossing_pairs(met: DataFrame, nodes: DataFrame, components: DataFrame, perc
 
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = with_sets.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
+    found = sorted_rows.mapInArrow(compare, "node long, probe int, equal int, a long, b long, n_a long, n_b long")
+    if probes is not None:
+        found = found.groupBy("node", "probe").agg(F.max(F.struct("equal", "a", "b", "n_a", "n_b")).alias("best")).select("best.*")
+    pairs = materialize(found.select("a", "b", "n_a", "n_b").distinct(), "crossing")
+    discard(*scratch)
+    return pairs
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` (a, b, n_a, n_b) that are links, by the full ``sets`` (node, items) of both; a node of many pairs is salted."""
+    total, table = pairs.count(), pairs
+    for side in ("a", "b"):
+        counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("size"))
+        own = counts.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"items_{side}")), side)
+        table = join_counted(table, own, side, "size", total).drop("size")
+    shared = F.size(F.array_intersect("items_a", "items_b"))
+    links = table.where(F.lit(100) * shared >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - shared))
+    return materialize(links.select("a", "b").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -252,20 +329,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     given = read.where("signature is not null").select("node", "n", "bands", "signature")
     by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
     postings = given.select("node", F.posexplode("bands").alias("band", "key"))
-    met = _open(postings, "node", "met").dropDuplicates(["key", "node"])
-    met = materialize(met.select("key", "band", "node", "least"), "buckets")
+    shared = _open(postings, "node", "met")
+    met = materialize(shared.select("key", "band", "node", "least").dropDuplicates(["key", "node"]), "buckets")
+    discard(shared)
     candidates = met.select("node").distinct()
     nodes = materialize(given.select("node", "n", "signature").join(candidates, "node", "left_semi").dropDuplicates(["node"]).join(by_node.select("node", "doc_id"), "node"), "nodes")
-    places = np.arange(1 << SKETCH_BITS, dtype=np.uint64)
-    order = GlobalOrder(places, places[:: len(places) // FRAGMENTS][1:])
-    links = verified(materialize(plausible_pairs(leader_pairs(met), nodes, percent), "stars"), docs, nodes, order, percent, words)
+    whole = GlobalOrder(np.arange(1 << SKETCH_BITS, dtype=np.uint64), np.empty(0, np.uint64))  # sets in one piece
+    sets = segments_of(docs, nodes.select("node", "doc_id"), whole, words).select("node", "items")
+    links = linked(materialize(plausible_pairs(leader_pairs(met), nodes, percent), "stars"), sets, percent)
     components = connected_components(links)
-    crossing = materialize(plausible_pairs(crossing_pairs(met, nodes, components, percent), nodes, percent), "crossing")
-    if not crossing.isEmpty():
-        components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
-    linked = by_node.join(components, "node").select("node", "component", "doc_id", "copies")
-    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    reached = join_counted(linked, smallest, "component", "size", linked.count()).select("node", "component_id", "copies")
+    probes: int | None = PROBES
+    while True:
+        crossing = crossing_pairs(met, nodes, components, percent, probes, None if probes else sets)
+        more = None if crossing.isEmpty() else linked(crossing, sets, percent)
+        discard(crossing)
+        if more is not None and not more.isEmpty():
+            links = links.unionByName(more)
+            components = connected_components(links)
+        elif probes is not None and more is not None:
+            probes = None  # what probes did not find is looked for among all pairs
+            continue
+        if probes is None or more is None:
+            break
+    in_groups = by_node.join(components, "node").select("node", "component", "doc_id", "copies")
+    smallest = in_groups.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    reached = join_counted(in_groups, smallest, "component", "size", in_groups.count()).select("node", "component_id", "copies")
     copied = by_node.where("copies > 1").join(reached, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"), "copies")
     groups = materialize(reached.unionByName(copied), "reached")
     found = join_counted(rows, groups, "node", "copies", rows.count(), "left")

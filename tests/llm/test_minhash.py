@@ -105,7 +105,7 @@ def test_chains_families_and_thresholds(spark):
 
 def test_one_passage_in_all_texts(spark, monkeypatch):
     """Half of each text is the same passage: buckets are large and open, so they are split, and compared block by block."""
-    monkeypatch.setattr(M.crossing_pairs, "__defaults__", (M.PERCENT, 12, 1))
+    monkeypatch.setattr(M.crossing_pairs, "__defaults__", (M.PERCENT, None, None, 12, 1))
     rng, rows = random.Random(5), []
     passage = [f"p{k}" for k in range(60)]
     for k in range(150):
@@ -122,12 +122,37 @@ def test_splits_give_no_other_pairs(spark):
     met = spark.createDataFrame([(k, b, n) for n in range(60) for b, k in ((0, 1), (1, 2 + n % 2), (2, 10 + n % 3))], "key long, band int, node long")
     nodes = spark.createDataFrame([(n, 100, bytes(2 * M.PERMUTATIONS)) for n in range(60)], "node long, n long, signature binary")
     components = spark.createDataFrame([(n, n % 4) for n in range(60)], "node long, component long")
-    whole = {tuple(r) for r in M.crossing_pairs(met, nodes, components, block=100).collect()}
+
+    def pairs(**options):
+        return {(r.a, r.b) for r in M.crossing_pairs(met, nodes, components, **options).collect()}
+
+    whole = pairs(block=100)
     assert whole == {(a, b) for b in range(60) for a in range(b) if a % 4 != b % 4}
-    by_blocks = {tuple(r) for r in M.crossing_pairs(met, nodes, components, block=7, depth=0).collect()}
-    assert by_blocks == whole
-    split = {tuple(r) for r in M.crossing_pairs(met, nodes, components, block=25, depth=1).collect()}
-    assert split == {p for p in whole if (p[0] - p[1]) % 2 == 0 or (p[0] - p[1]) % 3 == 0}
+    assert pairs(block=7, depth=0) == whole
+    # the bucket of all nodes is split, those of every second and third node are not
+    assert pairs(block=38, depth=1) == {p for p in whole if (p[0] - p[1]) % 2 == 0 or (p[0] - p[1]) % 3 == 0}
+    probed = pairs(block=100, probes=4)
+    assert probed < whole and {n for p in probed for n in p} == set(range(60)) and len(probed) <= 4 * 60
+
+
+def test_probes_prefer_similar_nodes(spark):
+    rng = np.random.default_rng(4)
+    marks = [bytes(rng.integers(0, 2, 2 * M.PERMUTATIONS, dtype=np.uint8)) for _ in range(20)]
+    near = [bytes(m[:-9]) + bytes(9) for m in marks]
+    nodes = spark.createDataFrame([(n, 50, m) for n, m in enumerate(marks + near)], "node long, n long, signature binary")
+    met = spark.createDataFrame([(1, 0, n) for n in range(40)], "key long, band int, node long")
+    components = spark.createDataFrame([], "node long, component long")
+    assert {(n, n + 20) for n in range(20)} <= {(r.a, r.b) for r in M.crossing_pairs(met, nodes, components, probes=1).collect()}
+
+
+def test_shortened_sets_exclude_no_link():
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(300, int(rng.integers(1, 200)), replace=False).astype(np.int32) for _ in range(40)]
+    x, y = np.triu_indices(40, 1)
+    n = np.array([len(s) for s in sets])
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)])
+    assert np.array_equal(M._within_reach(x, y, n, sets, 40), 100 * shared >= 40 * (n[x] + n[y] - shared))
+    assert M._within_reach(x, y, n, [None] * 40, 40).all()
 
 
 def test_sets_are_those_of_the_contract():
