@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import constants as K
 from lodestone.functions import text
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
-from lodestone.plans import api, provider_queries, text_queries  # noqa: F401  they register their own
+from lodestone.plans import api, index_queries, provider_queries, text_queries  # noqa: F401  they register their own
 from lodestone.plans.registry import ORACLE_SQL, QUERIES, choice, query, sql_list
 from lodestone.plans.research import Research
 from lodestone.session import read_table
