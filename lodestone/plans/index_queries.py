@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.operators import inverted
+from lodestone.operators import inverted, ranking, vector_index
 from lodestone.plans.registry import query, sql_list
 from lodestone.session import read_table
 
@@ -48,3 +48,28 @@ def w3_index_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of each question's terms in the index; ``within`` says that the search reads no more than these."""
     read = inverted.postings_read(inverted.plan_search(_grown(spark, sf_dir), _questions(spark, sf_dir), K.RESULTS_PER_QUERY))
     return read.select("question_id", "of_terms", (F.col("read") <= F.col("of_terms")).alias("within"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame, DataFrame]:
+    """An index of six in seven vectors to which the others are added, all vectors, and every hundredth as a query."""
+    v = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index = vector_index.build_vector_index(v.where("chunk_id % 7 <> 0")).add(v.where("chunk_id % 7 = 0"))
+    return index, v, v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "question_id")
+
+
+@query("""WITH qv AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+  d AS (SELECT question_id, vec_id AS chunk_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM embeddings, qv)
+  SELECT question_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) - 1 AS rank FROM d) WHERE rank < 10""")
+def w1_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to every vector whose id is divisible by 100, by an index that grew once."""
+    index, _, queries = _vectors(spark, sf_dir)
+    return vector_index.search_vectors(index, queries, 10).rows
+
+
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) * least(10, count(*)) AS asked, true AS nine_in_ten FROM embeddings")
+def w1_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate search held against all vectors; ``nine_in_ten`` says whether it finds so many of the neighbours."""
+    index, v, queries = _vectors(spark, sf_dir)
+    few = vector_index.search_vectors(index, queries, 10, exact=False).rows
+    found = vector_index.recall(few, ranking.rank_by_distance(queries, v, 10))
+    return found.select("asked", (F.col("found") >= 0.9 * F.col("asked")).alias("nine_in_ten"))
