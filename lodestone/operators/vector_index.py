@@ -111,7 +111,8 @@ def build_vector_index(rows: DataFrame, lists: int | None = None, sample: int =
     known = [r["embedding"] for r in some.collect()]  # SAMPLE rows at most
     sizes = [len(v) for v in known]
     size = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
-    matrix = np.array([v for v in known if len(v) == size], dtype=np.float64).reshape(-1, size)
+    usual = [v for v in known if len(v) == size]
+    matrix = np.array(usual, dtype=np.float64).reshape(len(usual), size)
     centroids = fit_centroids(matrix, lists or max(1, min(LISTS, len(matrix) // VECTORS_A_LIST))) if len(matrix) else matrix
     placed, radii = _placed(rows, centroids)
     return VectorIndex(placed, centroids, radii)

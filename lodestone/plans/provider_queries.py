@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lodestone.functions.text import cache_key
 from lodestone.plans.registry import query, sql_list
 from lodestone.session import read_table
 from lodestone.sources import providers
+from lodestone.sources.cache import CacheTable
 
 _FOLDED = "CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
 
@@ -92,3 +95,35 @@ def s5_table_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = docs.join(read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
     vectors = good.select(cache_key("d", "text").alias("cache_key"), F.array(F.length("text").cast("double")).alias("embedding")).distinct()
     return providers.TableEmbeddings(vectors).embed(docs).select("doc_id", F.get("embedding", F.lit(0)).alias("size"))
+
+
+_FIRST_RUN, _SECOND_RUN = "2026-01-01 10:00:00", "2026-01-01 10:30:00"
+_CACHED_SQL = """k AS (SELECT doc_id, text, 'd:' || sha256(text) AS cache_key FROM documents),
+  good AS (SELECT DISTINCT cache_key FROM k JOIN labels USING (doc_id) WHERE quality = 1)"""
+
+
+def _filled_cache(spark: SparkSession, sf_dir: str, second: str) -> tuple[CacheTable, DataFrame]:
+    """A cache after two runs, over good documents and half an hour later over those that ``second`` says; and the latter."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", cache_key("d", "text").alias("cache_key"))
+    cache = CacheTable(spark, f"vectors-{uuid.uuid4().hex}")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    cache.through(docs.join(good, "doc_id", "left_semi"), _measured, _FIRST_RUN)
+    return cache, cache.through(docs.where(second), _measured, _SECOND_RUN)
+
+
+@query(f"""WITH {_CACHED_SQL}
+  SELECT doc_id, length(text)::DOUBLE AS size, cache_key NOT IN (SELECT cache_key FROM good) AS called_again FROM k""")
+def s6_write_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a cache that has those of good ones; only the others are sent to the service again."""
+    cache, found = _filled_cache(spark, sf_dir, "true")
+    kept = cache.read(_SECOND_RUN).select("cache_key", (F.col("cached_at") == F.lit(_SECOND_RUN).cast("timestamp")).alias("called_again"))
+    return found.join(kept, "cache_key").select("doc_id", F.get("value", F.lit(0)).alias("size"), "called_again")
+
+
+@query(f"""WITH {_CACHED_SQL}, used AS (SELECT cache_key, max(doc_id % 3 = 0) AS again FROM k GROUP BY cache_key)
+  SELECT cache_key FROM used WHERE again OR cache_key IN (SELECT cache_key FROM good) ORDER BY again DESC, cache_key LIMIT {K.PAGE_CACHE_ROWS}""")
+def s4_evicted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache keeps of two runs: the entries that were used last."""
+    cache, _ = _filled_cache(spark, sf_dir, "doc_id % 3 = 0")
+    cache.evict(_SECOND_RUN, K.PAGE_CACHE_ROWS)
+    return cache.read(_SECOND_RUN).select("cache_key")

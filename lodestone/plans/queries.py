@@ -352,10 +352,12 @@ def _contains_sql(signs: list[str], column: str = "m") -> str:
     return "(" + " OR ".join(f"contains({column}, '{s}')" for s in signs) + ")"
 
 
-@query(f"""WITH e AS (SELECT unnest({sql_list(_ERRORS)}) AS message), l AS (SELECT message, lower(message) AS m FROM e)
-  SELECT message, CASE WHEN {_contains_sql(K.BILLING_SIGNS)} AND NOT contains(m, '{K.IN_FLIGHT}') THEN 'billing' WHEN {_contains_sql(K.RATE_SIGNS)} THEN 'rate_limit' WHEN {_contains_sql(K.TRANSIENT_SIGNS)} THEN 'transient' ELSE 'other' END AS kind FROM l""")
+@query(f"""WITH l AS (SELECT event_id, {sql_list(_ERRORS)}[1 + event_id % {len(_ERRORS)}] AS message, lower(message) AS m FROM events WHERE event_type = 'error')
+  SELECT event_id, message, CASE WHEN {_contains_sql(K.BILLING_SIGNS)} AND NOT contains(m, '{K.IN_FLIGHT}') THEN 'billing' WHEN {_contains_sql(K.RATE_SIGNS)} THEN 'rate_limit' WHEN {_contains_sql(K.TRANSIENT_SIGNS)} THEN 'transient' ELSE 'other' END AS kind FROM l""")
 def f9_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in _ERRORS], "message string").select("message", text.error_kind("message").alias("kind"))
+    """error events, each with the message that its id stands for."""
+    errors = read_table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", choice(F.col("event_id"), _ERRORS).alias("message"))
+    return errors.withColumn("kind", text.error_kind("message"))
 
 
 @query("""SELECT doc_id AS question_id, quality = 1 AS sufficient, (doc_id % 2)::INT AS retry_count, CASE WHEN toxic = 1 THEN 'not_a_research_question' ELSE 'too_thin' END AS problem,

@@ -122,12 +122,6 @@ def test_relevance(spark):
     assert ask(spark, text.covered, ("large language model", "an llm"), ("llm", "large language model"), ("one word", "")) == [[True] * 3, [True], [False] * 2]
 
 
-def test_parse_math():
-    assert prose.parse_math("a $x$ b") == [("text", "a ", None), ("math", "x", False), ("text", " b", None)]
-    assert prose.parse_math("$5 and $10") == [("text", "$5 and $10", None)]
-    assert prose.parse_math("$$\nx\n$$") == [("math", "x", True)]
-
-
 def sentence(i, n=100):
     return (f"Sentence {i} " + "word " * 60)[: n - 1].rstrip() + "."
 
