@@ -17,8 +17,7 @@ of similarity 0.8 share none of the 40 bands with a probability of (1 - 0.8**5)*
    which one more pass writes for nodes of buckets. Links give components.
 4. Buckets whose nodes are by then in one component need nothing more. In the others only pairs of
    different components are looked at: first each node with its most similar partners by signature, PROBES of
-   them, again and again while that gives links, which joins what is left of large groups with a few pairs for each node; at
-   last all pairs that are still of different components and that signatures allow, so no candidate stays uncounted. For
+   them, which joins most of what is left of large groups with a few pairs for each node; then all pairs that are still of different components and that signatures allow, so no candidate stays uncounted. For
    these, tasks hold the sets with 32 bits an n-gram, which bound an overlap from above, so that pairs
    just below the threshold, of which a large group has many, are not written; what passes is counted on the full sets.
    Buckets are compared block by block, block pairs dealt over tasks. A bucket in which a row has on average more
@@ -56,7 +55,7 @@ LEAST_EQUAL = 0.825
 #: Nodes of a bucket that one task compares with each other at a time.
 BLOCK = 1500
 #: Partners of a node, each the most similar of its share of the nodes, that are counted before all others are.
-PROBES = 4
+PROBES = 2
 #: Times that a large bucket is split.
 DEPTH = 1
 #: n-grams of the sets that travel to the blocks, at most; pairs of larger sets are counted on the full sets.
@@ -338,19 +337,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     sets = segments_of(docs, nodes.select("node", "doc_id"), whole, words).select("node", "items")
     links = linked(materialize(plausible_pairs(leader_pairs(met), nodes, percent), "stars"), sets, percent)
     components = connected_components(links)
-    probes: int | None = PROBES
-    while True:
+    for probes in (PROBES, None):
         crossing = crossing_pairs(met, nodes, components, percent, probes, None if probes else sets)
         more = None if crossing.isEmpty() else linked(crossing, sets, percent)
         discard(crossing)
         if more is not None and not more.isEmpty():
             links = links.unionByName(more)
             components = connected_components(links)
-        elif probes is not None and more is not None:
-            probes = None  # what probes did not find is looked for among all pairs
-            continue
-        if probes is None or more is None:
-            break
     in_groups = by_node.join(components, "node").select("node", "component", "doc_id", "copies")
     smallest = in_groups.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     reached = join_counted(in_groups, smallest, "component", "size", in_groups.count()).select("node", "component_id", "copies")
