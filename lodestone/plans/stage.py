@@ -36,10 +36,10 @@ def _delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read again: later stages plan from a table, and a lost executor costs no earlier stage."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written (with the writer's ``options``) and read again: later stages plan from a table, and a lost executor costs no earlier stage."""
     path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.staged_at = path
     return table
