@@ -11,16 +11,14 @@ A character is 12 bits of an n-gram's key, so a 5-gram fits a long: the 4094 cha
 text has most of have a number each, all others share one. Perplexities come from count joins at any
 size: documents are taken in shards of some megabytes of text, as their scan tasks meet them; each shard
 asks the sharded tables for its own distinct n-grams, backing off order by order, and what they answer
-is written for that shard alone, whose documents are then scored with it. No table goes through the
-driver or to every task. The two passes must cut the same shards: a table that isn't a plain scan is
-materialised first, and each shard's texts are held against a check sum.
+is written by shard, whose documents are then scored with it. No table goes through the driver or to
+every task. Texts are written once with the number of their shard, which both passes read, so neither
+depends on how Spark deals that table to tasks.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lodestone.llm.base import bound_batches, held_out, materialize, may_learn, record_batch, segment_sums, session_folder, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, discard, held_out, materialize, may_learn, record_batch, segment_sums, session_folder, spans_of_chars, texts_of
 
 ORDER = 5
 BITS = 12
 #: Characters of a shard of documents, at least, but for the last of a task; its tables are some dozens of MB.
 SHARD_CHARS = 24 << 20
+#: A shard's number is that of its task, then so many bits for its place there.
+TASK_BITS = 24
+#: Shards whose answers lie in one folder, at most, unless there are fewer folders than shuffle partitions; bytes of their row groups.
+BUCKET_SHARDS = 64
+ROW_GROUP = 8 << 20
+ANSWERS = pa.schema([("shard", pa.int64()), ("order", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64())])
 #: Keys of a shard that were met lately, by a hash (8 MB).
 RECENT = 1 << 20
 #: Labelled ids up to this many are broadcast (16 MB); more are joined by shuffle.
@@ -247,65 +251,61 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
 
 
-GRAM, SHARE, CHECK = 0, 1, 2
+GRAM, SHARE = 0, 1
 
 
-class _Shards:
-    """Cuts the rows of a task into shards by their texts alone, whatever batches they come in."""
-
-    def __init__(self, task: int, chars: int) -> None:
-        self.number, self.chars, self.size = task << 24, chars, 0
+def _cut(docs: DataFrame, chars: int) -> DataFrame:
+    """(shard, row, text): ``docs`` dealt to shards of ``chars`` characters or a little more, as each task meets them."""
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*names).alias("row") if names else F.lit(None).cast("struct<none:int>").alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([StructField("shard", LongType()), *rows.schema.fields])
+    arrow = to_arrow_schema(schema)
 
-    def cut(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(shard, from, to) of the texts of a batch."""
-        start = 0
-        for i, t in enumerate(texts):
-            self.size += len(t)
-            if self.size >= self.chars:
-                yield self.number, start, i + 1
-                self.number, self.size, start = self.number + 1, 0, i + 1
-        if start < len(texts):
-            yield self.number, start, len(texts)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        number, size = TaskContext.get().partitionId() << TASK_BITS, 0
+        for batch in batches:
+            # a row's shard is the one that is open before it, which it may fill
+            shards = np.empty(batch.num_rows, dtype=np.int64)
+            for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+                shards[i], size = number, size + n
+                if size >= chars:
+                    number, size = number + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(shards), *[batch.column(k).cast(arrow.field(k + 1).type) for k in range(2)]], schema=arrow)
 
-class _Check:
-    """A sum over the texts of a shard, in their order."""
+    return rows.mapInArrow(cut, schema)
 
-    def __init__(self) -> None:
-        self.rows = self.sum = 0
 
-    def add(self, texts: list[str]) -> None:
-        for t in texts:
-            self.rows += 1
-            self.sum = zlib.crc32(t.encode("utf-8", "surrogatepass"), self.sum + self.rows & 0xFFFFFFFF)
+def _runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the rows of a batch that lie together."""
+    edges = np.flatnonzero(np.diff(shards)) + 1
+    for i, j in zip([0, *edges], [*edges, len(shards)]):
+        if i < j:
+            yield int(shards[i]), int(i), int(j)
 
 
-def _asked(docs: DataFrame, alphabet: Broadcast, chars: int) -> DataFrame:
-    """(shard, key, rows) of the distinct 5-grams of each shard; and with its number of rows its check sum, as key."""
-    fields = [("shard", pa.int64()), ("key", pa.int64()), ("rows", pa.int64())]
+def _asked(cut: DataFrame, alphabet: Broadcast) -> DataFrame:
+    """(shard, key) of the distinct 5-grams of each shard. A shard that two tasks read may ask twice for a key."""
+    fields = [("shard", pa.int64()), ("key", pa.int64())]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shards, now, check, held, waiting = _Shards(TaskContext.get().partitionId(), chars), None, _Check(), [], 0
+        now, held, waiting = None, [], 0
         recent = np.full(RECENT, -1, dtype=np.int64)
 
         def close() -> Iterator[pa.RecordBatch]:
             keys = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
-            yield record_batch(fields, shard=[now], key=[check.sum], rows=[check.rows])
             for i in range(0, len(keys), 200_000):
                 part = keys[i : i + 200_000]
-                yield record_batch(fields, shard=np.full(len(part), now), key=part, rows=pa.nulls(len(part), pa.int64()))
+                yield record_batch(fields, shard=np.full(len(part), now), key=part)
 
         for batch in batches:
             texts = texts_of(batch)
-            for shard, i, j in shards.cut(texts):
+            for shard, i, j in _runs(batch.column("shard").to_numpy()):
                 if shard != now:
-                    if now is not None:
-                        yield from close()
-                    now, check, held, waiting = shard, _Check(), [], 0
+                    yield from close()
+                    now, held, waiting = shard, [], 0
                     recent.fill(-1)
-                check.add(texts[i:j])
                 for a, b in spans_of_chars(texts[i:j], 1 << 19):
                     keys = ngram_keys(texts[i + a : i + b], alphabet.value)[0]
                     slots = HashTable._slots(keys, RECENT - 1)
@@ -316,82 +316,80 @@ def _asked(docs: DataFrame, alphabet: Broadcast, chars: int) -> DataFrame:
                     if waiting > 8_000_000:
                         held = [np.unique(np.concatenate(held))]
                         waiting = 0
-        if now is not None:
-            yield from close()
+        yield from close()
+
+    return cut.select("shard", "text").mapInArrow(ask, "shard long, key long")
+
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(ask, "shard long, key long, rows long")
+def _bucket(shard, buckets: int):
+    """Where the answers of a shard lie; of a column or of a number."""
+    low = (1 << TASK_BITS) - 1
+    if isinstance(shard, Column):
+        return (F.shiftright(shard, TASK_BITS) * 31 + shard.bitwiseAND(low)) % buckets
+    return ((shard >> TASK_BITS) * 31 + (shard & low)) % buckets
 
 
-def _answered(asked: DataFrame, model: KneserNey) -> DataFrame:
-    """(shard, order, kind, key, value) of all that the shards' n-grams need of the model, by joins of each order."""
-    need = asked.where("rows is null").select("shard", "key")
-    answers = asked.where("rows is not null").select("shard", F.lit(0).alias("order"), F.lit(CHECK).alias("kind"), "key", F.col("rows").cast("double").alias("value"))
+def _answer(asked: DataFrame, model: KneserNey, path: str, buckets: int) -> None:
+    """Writes (shard, order, kind, key, value), all that the shards' n-grams need of the model, by joins of each order."""
+    need, before = asked, asked
     for order in range(ORDER, 0, -1):
         known = model.grams.where(F.col("order") == order).select("key", "p")
         met = materialize(need.join(known, "key", "left"), f"asked{order}")
+        discard(before)
         missing = met.where("p is null")
         shares = model.weights.where(F.col("order") == order).select("context", "share")
         contexts = missing.select("shard", _context("key").alias("context")).distinct().join(shares, "context")
-        answers = answers.unionByName(met.where("p is not null").select("shard", F.lit(order).alias("order"), F.lit(GRAM).alias("kind"), "key", F.col("p").alias("value")))
-        answers = answers.unionByName(contexts.select("shard", F.lit(order).alias("order"), F.lit(SHARE).alias("kind"), F.col("context").alias("key"), F.col("share").alias("value")))
-        need = missing.select("shard", _suffix("key", order).alias("key")).distinct()
-    return answers
-
-
-def _is_scan(df: DataFrame) -> bool:
-    """Whether a table's rows come straight from files, so that each reading deals them alike."""
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    return "Scan parquet" in plan and not re.search(r"Join|Aggregate|Limit|Sample|Sort|Window|Repartition|Exchange|Coalesce|Union", plan)
+        grams = met.where("p is not null").select("shard", F.lit(GRAM).alias("kind"), "key", F.col("p").alias("value"))
+        answers = grams.unionByName(contexts.select("shard", F.lit(SHARE).alias("kind"), F.col("context").alias("key"), F.col("share").alias("value")))
+        placed = answers.select(_bucket(F.col("shard"), buckets).alias("bucket"), "shard", F.lit(order).alias("order"), "kind", "key", "value")
+        # a file has a bucket's shards one after the other, in small row groups: a shard's reader skips the others
+        sorted_ = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
+        sorted_.write.mode("append").option("parquet.block.size", str(ROW_GROUP)).partitionBy("bucket").parquet(path)
+        need, before = missing.select("shard", _suffix("key", order).alias("key")).distinct(), met
+    discard(before)
 
 
 def log_likelihoods(docs: DataFrame, model: KneserNey, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``docs`` (any columns, with text) with scored_chars and log_p, the sum over all characters, in place of text."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("text", "scored_chars", "log_p")]
-    rows = docs.select(*names, F.col("text").cast("string").alias("text"))
-    rows = rows if _is_scan(rows) else materialize(rows, "texts")
+    kept = docs.drop("scored_chars", "log_p")
+    cut = materialize(_cut(kept, shard_chars), "shards", compression="zstd")
     alphabet = spark.sparkContext.broadcast(model.alphabet)
-    asked = materialize(_asked(rows, alphabet, shard_chars), "asked")
+    shards = cut.select("shard").distinct().count()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // BUCKET_SHARDS))
     path = f"{session_folder(spark)}/answers-{uuid.uuid4().hex}"
-    # a shard is one file that its own documents' task reads
-    _answered(asked, model).repartition("shard").write.partitionBy("shard").parquet(path)
+    _answer(materialize(_asked(cut, alphabet), "asked"), model, path, buckets)
     floor = model.floor
-    schema = StructType([*rows.select(*names).schema.fields, StructField("scored_chars", LongType()), StructField("log_p", DoubleType())])
+    schema = StructType([cut.schema["row"], StructField("scored_chars", LongType()), StructField("log_p", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         store, root = pafs.FileSystem.from_uri(path)
-        shards, now, check, tables, told = _Shards(TaskContext.get().partitionId(), shard_chars), None, _Check(), None, (0, 0)
-
-        def verify() -> None:
-            if (check.rows, check.sum) != told:
-                raise RuntimeError(f"shard {now} was dealt other texts than before")
-
+        now = tables = None
         for batch in batches:
             texts = texts_of(batch)
             chars, log_p = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for shard, i, j in shards.cut(texts):
+            for shard, i, j in _runs(batch.column("shard").to_numpy()):
                 if shard != now:
-                    if now is not None:
-                        verify()
-                    now, check, tables = shard, _Check(), None
-                    answers = dataset(f"{root}/shard={shard}", filesystem=store, format="parquet").to_table()
-                    first = answers.filter(pc.equal(answers.column("kind"), CHECK)).to_pylist()[0]
-                    told, tables = (int(first["value"]), first["key"]), Tables.of(answers, floor)
-                    del answers
-                check.add(texts[i:j])
+                    now, tables = shard, None
+                    tables = Tables.of(_read_answers(store, root, shard, buckets), floor)
                 for a, b in spans_of_chars(texts[i:j], 1 << 19):
                     keys, lengths = ngram_keys(texts[i + a : i + b], alphabet.value)
                     chars[i + a : i + b] = lengths
                     log_p[i + a : i + b] = segment_sums(np.log(tables.probability(keys)), lengths)
-            own = [batch.column(k).cast(arrow.field(k).type) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(log_p)], schema=arrow)
-        if now is not None:
-            verify()
+            yield pa.RecordBatch.from_arrays([batch.column("row").cast(arrow.field("row").type), pa.array(chars), pa.array(log_p)], schema=arrow)
+
+    scored = cut.mapInArrow(score, schema)
+    names = [c for c in kept.columns if c != "text"]
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in names], "scored_chars", "log_p")
+
 
-    return rows.mapInArrow(score, schema)
+def _read_answers(store: pafs.FileSystem, root: str, shard: int, buckets: int) -> pa.Table:
+    """A shard's answers; none if all its texts are empty."""
+    folder = f"{root}/bucket={_bucket(shard, buckets)}"
+    if store.get_file_info(folder).type == pafs.FileType.NotFound:
+        return ANSWERS.empty_table()
+    return dataset(folder, filesystem=store, format="parquet", schema=ANSWERS).to_table(filter=pc.field("shard") == shard)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_chars: int = PRIOR_CHARS, margin: float = MARGIN) -> DataFrame:
@@ -413,7 +411,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     scored = materialize(log_likelihoods(plain, model).join(known, "doc_id", "left").withColumn("__unseen", unseen).drop("__trusted"), "likelihoods")
     trusted = scored.where("__unseen and scored_chars > 0")
     means = materialize(trusted.groupBy("lang").agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean")), "means")
-    few = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda df: df)  # a hot language is then no hot key
+    few = F.broadcast if means.count() <= BROADCAST_LANGUAGES else (lambda df: df)
     everywhere = trusted.agg((F.sum("log_p") / F.sum("scored_chars")).alias("mean")).first()["mean"]
     drawn = (-(F.col("log_p") + F.lit(prior_chars) * F.coalesce("mean", F.lit(everywhere).cast("double"))) / (F.col("scored_chars") + prior_chars)).alias("__log")
     base = scored.join(few(means), "lang", "left").select("doc_id", "lang", "scored_chars", "__unseen", F.when(F.col("scored_chars") > 0, drawn).alias("__log"))
