@@ -243,7 +243,9 @@ def train(trusted: DataFrame) -> KneserNey:
         share = contexts.select(F.lit(order).alias("order"), "context", "share")
         grams = part if grams is None else grams.unionByName(part)
         weights = share if weights is None else weights.unionByName(share)
-    return KneserNey(grams, materialize(weights, "shares"), floor, alphabet)
+    shares = materialize(weights, "shares")
+    discard(*tables.values())
+    return KneserNey(grams, shares, floor, alphabet)
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +336,7 @@ def _answer(asked: DataFrame, model: KneserNey, path: str, buckets: int) -> None
     need, before = asked, asked
     for order in range(ORDER, 0, -1):
         known = model.grams.where(F.col("order") == order).select("key", "p")
-        met = materialize(need.join(known, "key", "left"), f"asked{order}")
+        met = materialize(need.join(known, "key", "left"), f"asked{order}", compression="zstd")
         discard(before)
         missing = met.where("p is null")
         shares = model.weights.where(F.col("order") == order).select("context", "share")
@@ -344,7 +346,7 @@ def _answer(asked: DataFrame, model: KneserNey, path: str, buckets: int) -> None
         placed = answers.select(_bucket(F.col("shard"), buckets).alias("bucket"), "shard", F.lit(order).alias("order"), "kind", "key", "value")
         # a file has a bucket's shards one after the other, in small row groups: a shard's reader skips the others
         sorted_ = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "shard")
-        sorted_.write.mode("append").option("parquet.block.size", str(ROW_GROUP)).partitionBy("bucket").parquet(path)
+        sorted_.write.mode("append").option("parquet.block.size", str(ROW_GROUP)).option("compression", "zstd").partitionBy("bucket").parquet(path)
         need, before = missing.select("shard", _suffix("key", order).alias("key")).distinct(), met
     discard(before)
 
@@ -358,7 +360,7 @@ def log_likelihoods(docs: DataFrame, model: KneserNey, shard_chars: int = SHARD_
     shards = cut.select("shard").distinct().count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // BUCKET_SHARDS))
     path = f"{session_folder(spark)}/answers-{uuid.uuid4().hex}"
-    _answer(materialize(_asked(cut, alphabet), "asked"), model, path, buckets)
+    _answer(materialize(_asked(cut, alphabet), "asked", compression="zstd"), model, path, buckets)
     floor = model.floor
     schema = StructType([cut.schema["row"], StructField("scored_chars", LongType()), StructField("log_p", DoubleType())])
     arrow = to_arrow_schema(schema)
