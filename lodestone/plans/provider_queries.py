@@ -13,6 +13,7 @@ from lodestone.plans.registry import query, sql_list
 from lodestone.session import read_table
 from lodestone.sources import providers
 from lodestone.sources.cache import CacheTable
+from lodestone.sources.quota import Quota, call_within
 
 _FOLDED = "CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END"
 
@@ -87,6 +88,28 @@ def s7_embedded_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 
+def _moody(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a service that is refused or fails by what it is sent."""
+    for t in texts:
+        if len(t) % 11 == 0:
+            raise ValueError("this text can't be read")
+        if len(t) % 7 == 0:
+            raise ValueError("Error 429: rate limit")
+        if len(t) % 5 == 0:
+            raise ValueError("503 unavailable")
+    return [[float(len(t))] for t in texts]
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN length(text) % 11 = 0 THEN 'other' WHEN length(text) % 7 = 0 THEN 'rate_limit' WHEN length(text) % 5 = 0 THEN 'transient' END AS error_kind,
+  CASE WHEN length(text) % 11 <> 0 AND length(text) % 7 <> 0 AND length(text) % 5 <> 0 THEN length(text)::DOUBLE END AS size,
+  CASE WHEN length(text) % 11 <> 0 AND (length(text) % 7 = 0 OR length(text) % 5 = 0) THEN 3 ELSE 1 END AS calls FROM documents""")
+def s7_calls_within_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document sent by itself within a quota, again after refusals by rate and passing faults."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = call_within(docs, _moody, Quota(1_000_000, window=1.0, least=1e-6, most=1e-6), size=1)
+    return found.select("chunk_id", "error_kind", F.get("embedding", F.lit(0)).alias("size"), "calls")
+
+
 @query("""WITH v AS (SELECT DISTINCT 'd:' || sha256(text) AS cache_key, length(text)::DOUBLE AS size FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
   SELECT doc_id, size FROM (SELECT doc_id, 'd:' || sha256(text) AS cache_key FROM documents) LEFT JOIN v USING (cache_key)""")
 def s5_table_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
