@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import constants as K
 from lodestone.functions.text import cache_key
 from lodestone.plans.registry import query, sql_list
+from lodestone.plans.stage import session_folder
 from lodestone.session import read_table
-from lodestone.sources import providers
+from lodestone.sources import providers, tables
 from lodestone.sources.cache import CacheTable
 from lodestone.sources.quota import Quota, call_within
 
@@ -150,3 +151,19 @@ def s4_evicted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache, _ = _filled_cache(spark, sf_dir, "doc_id % 3 = 0")
     cache.evict(_SECOND_RUN, K.PAGE_CACHE_ROWS)
     return cache.read(_SECOND_RUN).select("cache_key")
+
+
+_LINE_SQL = """'{"event_id":' || event_id || ',"user_id":' || coalesce(user_id::VARCHAR, 'null') || ',"event_type":"' || event_type || '"}'"""
+
+
+@query(f"""WITH l AS (SELECT *, {_LINE_SQL} AS whole FROM events)
+  SELECT event_id, user_id, event_type, NULL AS rejected FROM l WHERE event_id % 10 <> 3 UNION ALL SELECT NULL, NULL, NULL, left(whole, length(whole) // 2) FROM l WHERE event_id % 10 = 3""")
+def s12_records_and_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, one in ten of them torn, written and read back; torn lines come as they are."""
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    line = F.when(F.col("event_id") % 10 == 3, F.left(whole, F.floor(F.length(whole) / 2).cast("int"))).otherwise(whole)
+    path = f"{session_folder(spark)}/records-{uuid.uuid4().hex}"
+    events.select(line.alias("value")).write.text(path)
+    records, rejects = tables.split_records(spark, path, "event_id long, user_id long, event_type string")
+    return records.withColumn("rejected", F.lit(None).cast("string")).unionByName(rejects.select(F.col("line").alias("rejected")), allowMissingColumns=True)

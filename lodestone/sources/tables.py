@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions import constants as K
 
@@ -49,3 +50,15 @@ def write_records(df: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).json(path)
+
+
+def split_records(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): the rows of JSON lines, and as (line) those that are no object or don't fit ``ddl``; blank lines are neither."""
+    fields = StructType.fromDDL(ddl)
+    whole = StructType([*fields.fields, StructField("__damaged", StringType())])
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", whole, {"columnNameOfCorruptRecord": "__damaged"}).alias("record"))
+    # other text than an object gives no record at all
+    damaged = F.col("record").isNull() | F.col("record").getField("__damaged").isNotNull()
+    records = parsed.where(~damaged).select(*[F.col("record").getField(f.name).alias(f.name) for f in fields])
+    return records, parsed.where(damaged).select(F.col("value").alias("line"))
