@@ -17,8 +17,9 @@ So a random value after a word that is in no list is found, and so is a plain wo
 
 Bounds, both parameters: trees are fitted on the candidates of at most ``texts`` whole texts by the
 hash of their ids, at most ``most`` that some view calls personal and ``most`` others by the hash of
-what they are. Where that leaves too
-few of either label, proven spans and random-looking values after a word of the lists are added.
+what they are. The candidates of ``prior_texts``, some hundreds that the lists of words make, join
+these at every size, so trees and thresholds exist for the smallest table and the corpus outweighs the
+prior as it grows.
 Base spans always stay; an added span that overlaps a base span or a better added one is dropped.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import bound_batches, hash_unit, record_batch
+from lodestone.llm.base import bound_batches, hash_unit, materialize, record_batch
 from lodestone.llm.boosting import FlatTrees, fit
 
 #: Texts whose candidates trees are trained on, at most, and candidates of either label, at most.
@@ -49,8 +50,8 @@ BINS = 4096
 ODDS = 24.0
 #: Least threshold: log-odds of 0.6.
 LEAST_ODDS = 0.4
-#: With fewer labelled candidates of either label in a view no trees are fitted.
-LEAST_CANDIDATES = 20
+#: Values that the prior draws for each word of the lists.
+PRIOR_DRAWS = 4
 #: Words before a value with fewer labelled values in the sample have no log-odds of their own.
 LEAST_WORD = 3
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -105,8 +106,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators of candidates. Each reads a text once; what they propose is as long as it is.
-_KEYED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]*+)[\"']?\s{0,3}(=>|:=|[=:])\s{0,3}[\"']?([^\s\"',;&<>]{4,}+)")
-_KEY = re.compile(r"[A-Za-z][A-Za-z0-9_.-]*\Z")
+#: A key is a whole run of letters of any script, digits and ``_.-`` from its first letter on, so ``--password`` is one.
+_KEYED = re.compile(r"(?<![\w.-])[0-9_.-]*+([^\W\d_][\w.-]*+)[\"']?\s{0,3}(=>|:=|[=:\uFF1A])\s{0,3}[\"']?([^\s\"',;&<>]{4,}+)")
+_KEY = re.compile(r"[^\W\d_][\w.-]*\Z")
 _SPOKEN = re.compile(r"\b(password|passwd|passphrase|passcode|pin|pwd|token|secret|key)\s{1,3}(?:is|was)\s{1,3}[\"']?([^\s\"',;&<>]{4,}+)", re.IGNORECASE)
 _RUN = re.compile(r"(?<![A-Za-z0-9_/+.-])[A-Za-z0-9_/+.-]{8,}+={0,2}")
 _LONG_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}")
@@ -133,7 +135,7 @@ _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\Z")
 _HEX = re.compile(r"[0-9a-f]{16,}\Z|[0-9A-F]{16,}\Z")
 _NUMBER = re.compile(r"[0-9().\x20-]+\Z")
 _DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}\Z|[0-9]{1,2}[.-][0-9]{1,2}[.-](?:[0-9]{2}|[0-9]{4})\Z")
-_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|(?:(?![A-Za-z])[^\W\d_])+")
 _BEFORE = re.compile(r"[^\W\d_]+")
 
 FORMAT = ("length", "digits", "upper", "lower", "other", "groups", "longest_digits", "switches", "case_switches", "entropy", "distinct", "hex", "luhn", "iban", "ssn", "dots", "slashes", "vowels", "longest_lower", "n_digits", "number", "spelt", "date", "opening")
@@ -174,7 +176,7 @@ def _keyed(text: str) -> Iterator[tuple[int, int, str, int]]:
     while m := _KEYED.search(text, at):
         start, end = m.span(3)
         at, value, key = end, m[3], m[1]
-        separator = 1 if m[2] == ":" else 2
+        separator = 1 if m[2] in ":\uFF1A" else 2
         if not (separator == 1 and value.startswith("//")):
             yield start, end, key, separator
         if "=" in value or ":" in value:
@@ -211,7 +213,7 @@ def proposals(text: str) -> dict[tuple[int, int], tuple[str, str, int, bool]]:
         if end - start >= 4 and not ((start, end) in found and not proven):
             found[start, end] = (how, key, separator, proven)
 
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "\uFF1A" in text:
         for start, end, key, separator in _keyed(text):
             if number := _NUMBERS.match(text, start):  # a number may go on after a blank
                 end = max(end, start + len(number.group().rstrip(" ().-")))
@@ -311,10 +313,10 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
 
 @dataclass
 class PiiModel:
-    """Trees over the format and over the context with the log-odds of words; without trees, rules (``added_spans``)."""
+    """Trees over the format and over the context with the log-odds of words, and a threshold for each kind."""
 
-    format: FlatTrees | None = None
-    context: FlatTrees | None = None
+    format: FlatTrees
+    context: FlatTrees
     words: dict[str, float] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
 
@@ -328,32 +330,71 @@ class PiiModel:
         return max((self.words.get(w, 0.0) for w in words), key=abs, default=0.0)
 
 
+def prior_texts() -> list[str]:
+    """Short texts that the lists of words make: random values, numbers and plain words after each word, drawn by its hash."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def drawn(seed: str, n: int, signs: str) -> str:
+        stream = b"".join(hashlib.sha256(f"{seed}:{i}".encode()).digest() for i in range(n // 32 + 1))
+        return "".join(signs[b % len(signs)] for b in stream[:n])
+
+    out = []
+    for group, words in enumerate(_WORDS):
+        for word in sorted(words):
+            for i in range(PRIOR_DRAWS):
+                seed, sign = f"{word}/{i}", (" = ", ": ", "=", " ")[i % 4]
+                value = drawn(seed, (20, 16, 32, 40)[i % 4], "0123456789abcdef" if i == 3 else letters)
+                number = f"0{drawn(seed, 3, '123456789')} {drawn(seed + 'n', 7, '0123456789')}"
+                if group == 0:
+                    out += [f"{word}{sign.strip() and sign or ': '}{value}", f"{word} = {drawn(seed, 9, letters[26:52])}"]
+                elif group == 1:
+                    out += [f"{word}{sign}{number}", f"{word}: {number.replace(' ', '-')}"]
+                elif group == 2:
+                    out += [f"{word}{sign}{drawn(seed, 9, '123456789')}", f"{word} 2{drawn(seed, 2, '123456789')}-{drawn(seed, 2, '123456789')}-{drawn(seed, 4, '123456789')}"]
+                else:
+                    out += [f"{word}{sign}{value}", f"{word}: {drawn(seed, 4, '123456789')}", f"{word} {drawn(seed, 10, '123456789')}"]
+    plain = sorted(_WORDS[3])
+    out += [f"and {w}: {w}{w}" for w in plain] + [f"in 19{i:02d} and {i}.{i}.{i}, then {i + 1}0{i:02d}.50 of them" for i in range(10, 50)]
+    return out
+
+
+def prior_candidates() -> list[Candidate]:
+    """The labelled candidates of ``prior_texts``."""
+    found = [c for t in prior_texts() for c in candidates(t, base_spans(t))]
+    return [c for c in found if max(c.by_format, c.by_context) >= 0]
+
+
 def is_negative(c: Candidate) -> bool:
     """What a threshold is read from: one view says no and the other doesn't say yes, or a word names something else."""
     return c.names_other or 0 in (c.by_format, c.by_context) and 1 not in (c.by_format, c.by_context)
 
 
-def calibrate(docs: DataFrame, model: PiiModel) -> dict[str, float]:
-    """For each kind the summed margin that no more than 1 in 200 labelled negatives of all texts exceed, however few there are.
+def calibrate(docs: DataFrame, model: PiiModel, prior: list[Candidate] | None = None) -> dict[str, float]:
+    """For each kind the summed margin that no more than 1 in 200 labelled negatives of all texts and of ``prior`` exceed.
 
-    A kind without any labelled negative takes the threshold of all kinds together.
+    A kind without any labelled negative takes the threshold of all kinds together, and that is the least
+    threshold where there is none at all.
     """
+
+    def count(found: list[Candidate], counts: np.ndarray, by: PiiModel) -> None:
+        for i in range(0, len(found), 20_000):
+            part = found[i : i + 20_000]
+            bins = np.clip((by.odds(part) + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
+            np.add.at(counts, ([ADDED_KINDS.index(c.kind) for c in part], bins), 1)
+
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(ADDED_KINDS), BINS), dtype=np.int64)
         for batch in batches:
-            found = [c for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)) if is_negative(c)]
-            for i in range(0, len(found), 20_000):
-                part = found[i : i + 20_000]
-                bins = np.clip((shared.value.odds(part) + ODDS) * (BINS / (2 * ODDS)), 0, BINS - 1).astype(np.int64)
-                np.add.at(counts, ([ADDED_KINDS.index(c.kind) for c in part], bins), 1)
+            count([c for t in batch.column("text").to_pylist() if t for c in candidates(t, base_spans(t)) if is_negative(c)], counts, shared.value)
         kind, place = np.nonzero(counts)
         yield record_batch([("kind", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())], kind=kind.astype(np.int32), bin=place.astype(np.int32), n=counts[kind, place])
 
     table = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(score, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(ADDED_KINDS), BINS), dtype=np.int64)
     counts[table.column("kind").to_numpy(), table.column("bin").to_numpy()] = table.column("n").to_numpy()
+    count([c for c in prior or () if is_negative(c)], counts, model)
 
     def edge(own: np.ndarray) -> float:
         place = int(np.searchsorted(200 * np.cumsum(own), 199 * own.sum()))
@@ -361,12 +402,12 @@ def calibrate(docs: DataFrame, model: PiiModel) -> dict[str, float]:
 
     pooled = counts.sum(axis=0)
     if not pooled.any():
-        return dict.fromkeys(ADDED_KINDS, 2.2)
+        return dict.fromkeys(ADDED_KINDS, LEAST_ODDS)
     return {kind: max(LEAST_ODDS, edge(own if own.any() else pooled)) for kind, own in zip(ADDED_KINDS, counts)}
 
 
-def fit_views(found: list[Candidate]) -> PiiModel | None:
-    """Trees of both views, each trained on the labels of the other; None where a view has too few of either label."""
+def fit_views(found: list[Candidate]) -> PiiModel:
+    """Trees of both views, each trained on the labels of the other, and the log-odds of words."""
     by_format, by_context = np.array([c.by_format for c in found]), np.array([c.by_context for c in found])
     # the log-odds of each word, from the labels of formats; a candidate's own label is left out of what it sees
     told = (by_format >= 0) | np.array([c.names_other for c in found], dtype=bool)
@@ -386,8 +427,6 @@ def fit_views(found: list[Candidate]) -> PiiModel | None:
     taught = (by_context >= 0) & ~((by_context == 0) & np.array([c.by_format == 1 for c in found], dtype=bool))
     views = []
     for x, y, use in ((form, by_context, taught), (context, by_format, told)):
-        if min((y[use] == k).sum() for k in (0, 1)) < LEAST_CANDIDATES:
-            return None
         views.append(fit(x[use], y[use].astype(float), trees=40, depth=4, least=5))
     return PiiModel(*views, {w: odds(w) for w in n[0].keys() | n[1].keys() if n[0][w] + n[1][w] >= LEAST_WORD})
 
@@ -419,30 +458,23 @@ def train(docs: DataFrame, texts: int = TRAINING_TEXTS, most: int = TRAINING_CAN
                 yield record_batch(_SAMPLE, u=[u for u, _ in part], **columns)
 
     ddl = "u long, kind string, by_format int, by_context int, format array<double>, context array<double>, words array<string>"
-    proposed = likely.where(F.col("u") < share).select("text").mapInArrow(propose, ddl)
+    proposed = materialize(likely.where(F.col("u") < share).select("text").mapInArrow(propose, ddl), "pii-sample")
     yes = F.greatest("by_format", "by_context") == 1
     tables = [proposed.where(test).orderBy("u").limit(most).toArrow() for test in (yes, ~yes)]
     rows = {r["u"]: r for t in tables for r in t.to_pylist()}
     found = [Candidate(r["kind"], 0, 0, tuple(r["format"]), tuple(r["context"]), tuple(r["words"]), r["by_format"], r["by_context"], False) for _, r in sorted(rows.items())]
-    model = fit_views(found)
-    if model is None:
-        return PiiModel()
-    model.thresholds = calibrate(docs, model)
+    prior = prior_candidates()
+    model = fit_views(found + prior)
+    model.thresholds = calibrate(docs, model, prior)
     return model
 
 
 def added_spans(text: str, base: list[Span], model: PiiModel) -> list[Span]:
-    """What is added to the base spans of a text, by kind and start: what is proven, then what the trees are surest of, none overlapping.
-
-    Without trees: what is proven, and random-looking values after a word of the lists.
-    """
+    """What is added to the base spans of a text, by kind and start: what is proven, then what the trees are surest of, none overlapping."""
     proposed = candidates(text, base)
     if not proposed:
         return []
-    if model.format is None:
-        odds = [math.inf if c.proven else float(c.by_context == 1 and (c.by_format == 1 or (c.by_format < 0 and c.kind == "secret"))) or -math.inf for c in proposed]
-    else:
-        odds = [math.inf if c.proven else o for c, o in zip(proposed, model.odds(proposed).tolist())]
+    odds = [math.inf if c.proven else o for c, o in zip(proposed, model.odds(proposed).tolist())]
     taken = sorted((a, b) for _, a, b in base)
     chosen = []
     for i in sorted(range(len(proposed)), key=lambda i: (-odds[i], proposed[i].start, -proposed[i].end)):

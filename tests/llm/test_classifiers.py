@@ -1,5 +1,6 @@
 """Operators whose models are trained here: toxicity, quality rules, quality by perplexity, personal data."""
 
+import hashlib
 import math
 import random
 import re
@@ -368,11 +369,12 @@ def test_secrets_are_added_and_clean_text_is_left_alone(spark):
     for i, t in rows:
         base = plain_spans(t)
         assert out[i].spans.startswith(pii.joined(base))
+        assert out[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert {k: getattr(out[i], f"n_{k}") for k in pii.BASE_KINDS} == {k: sum(s[0] == k for s in base) for k in pii.BASE_KINDS}
 
 
 def test_personal_data_of_odd_tables(odd, empty):
-    out = pii.find(odd, pii.PiiModel(), redacted=True)
+    out = pii.find(odd, pii.fit_views(pii.prior_candidates()), redacted=True)
     assert out.count() == odd.count() and out.where(F.col("base_sha256").isNull()).isEmpty()
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(empty).count() == 0
     assert pii.redact("me a@b.co now", [("email", 3, 9)]) == "me [EMAIL] now"
@@ -386,6 +388,8 @@ def test_secrets_without_digits(spark):
     assert "abcdefGHIJKLmnop" in values("see token=abcdefGHIJKLmnop, and so on")
     assert "ghp_" + "aB" * 18 in values("use ghp_" + "aB" * 18 + " here")
     assert "CorrectHorse" in values("note: password: CorrectHorse")
+    assert "hunterhunter" in values("run --password=hunterhunter") and "abcdefgh" in values("//host/:_authToken=abcdefgh")
+    assert "abcdefgh1" in values("\u043f\u0430\u0440\u043e\u043b\u044c: abcdefgh1") and "abcdefgh1" in values("\u5bc6\u7801\uff1aabcdefgh1")
     rng = random.Random(12)
     rows = []
     for i in range(1200):
@@ -454,9 +458,10 @@ def planted(rng, i):
     return f"{before} {shown} {after}", (kind, start, start + len(what))
 
 
-def test_planted_spans_of_each_kind_are_found(spark):
+@pytest.mark.parametrize("size", [60, 4500])
+def test_planted_spans_of_each_kind_are_found(spark, size):
     rng = random.Random(15)
-    cases = [planted(rng, i) for i in range(4500)]
+    cases = [planted(rng, i) for i in range(size)]
     out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     wrong, right, said = [], Counter(), Counter()
     for i, (text, truth) in enumerate(cases):
@@ -474,7 +479,7 @@ def test_planted_spans_of_each_kind_are_found(spark):
 
 
 def test_candidates_take_linear_time():
-    for unit in ("1", "1.", "a=", "a1", "+1 ", "@", "a@", "a at ", "x: ", "a:", "key is ", "-----BEGIN PRIVATE KEY----- "):
+    for unit in ("1", "1.", "a=", "a1", "+1 ", "@", "a@", "a at ", "x: ", "a:", "-", "a-", "-a", "_.", "\u5bc6", "\u5bc6\uff1a", "key is ", "-----BEGIN PRIVATE KEY----- "):
         text = unit * (1_000_000 // len(unit))
         began = time.perf_counter()
         pii.candidates(text, pii.base_spans(text))
