@@ -94,21 +94,17 @@ class CuckooIndex:
             self.content[at[0]][at[1]] = (key, value)
             return
         self.size += 1
-        homeless = self._place(key, value)
-        while homeless is not None:
-            stored = [*self.items(), homeless]
+        homeless, rest = self._place(key, value), []
+        while homeless is not None:  # grow, with what is placed, what fell out, and the rest, until all have a place
+            stored = [*self.items(), homeless, *rest]
+            if sum(k[:8] == homeless[0][:8] for k, _ in stored) > 2 * SLOTS:
+                raise ValueError("more keys begin with the same 8 bytes than two buckets hold: not digests")
             self.resizes += 1
             self._clear(2 * (self.mask + 1))
-            homeless = None
             for i, (k, v) in enumerate(stored):
                 homeless = self._place(k, v)
-                if homeless is not None:  # grow again, with what is placed, what fell out, and the rest
+                if homeless is not None:
                     rest = stored[i + 1 :]
-                    stored = [*self.items(), homeless, *rest]
-                    self._clear(2 * (self.mask + 1))
-                    for k2, v2 in stored:
-                        assert self._place(k2, v2) is None, "no place after two doublings"
-                    homeless = None
                     break
 
     def _place(self, key: bytes, value: object) -> tuple[bytes, object] | None:
@@ -181,12 +177,12 @@ def digest_groups(digests: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> D
     return rows.mapInArrow(lambda batches: merge(batches, keys_per_shard), _GROUP_DDL).repartition(shards, "digest").mapInArrow(merge, _GROUP_DDL)
 
 
-def retract(groups: DataFrame, gone: DataFrame) -> DataFrame:
+def retract(groups: DataFrame, gone: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
     """``groups`` without the digests of ``gone`` (digest): each shard's index is filled with the live ones, and those of the other table are deleted from it.
 
     Null digests of ``gone`` and those that aren't live change nothing.
     """
-    shards = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-groups.count() // keys_per_shard))
     none = F.lit(None).cast("long")
     dead = gone.where("digest is not null").select("digest", none.alias("keep_id"), none.alias("group_size"), none.alias("keep_times")).distinct()
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup as E
@@ -34,6 +35,17 @@ def test_cuckoo_index_verifies_equal_fingerprints():
     for i in range(7):  # two buckets of four slots are what keys with one fingerprint have
         index.insert(b"\1" * 8 + bytes([i]), i)
     assert len(index) == 8
+    with pytest.raises(ValueError, match="not digests"):
+        index.insert(b"\1" * 8 + b"z")
+
+
+def test_cuckoo_index_grows_until_all_are_placed():
+    # no kicks: buckets that are full at once overflow again and again while they grow
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    index = E.CuckooIndex(8, max_kicks=0)
+    for i, k in enumerate(keys):
+        index.insert(k, i)
+    assert dict(index.items()) == {k: i for i, k in enumerate(keys)} and len(index) == 3000
 
 
 def brute(rows):
