@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.functions.markup import damaged_maths, display_equations, plain_equations, presentable, states_equation
-from lodestone.functions.text import id_leak, on_topic, strip
+from lodestone.functions.markup import damaged_maths, display_equations, move_attribution, plain_equations, presentable, states_equation
+from lodestone.functions.text import id_leak, on_topic, strip, tidy_theme
 
 
 def clean_plan(planned: DataFrame, questions: DataFrame, limit: int = K.MAX_QUERIES) -> DataFrame:
@@ -104,10 +104,14 @@ def number_themes(claims: DataFrame) -> DataFrame:
     return joined.withColumn("new_section", F.col("theme_no").isNotNull() & ~F.col("theme").eqNullSafe(before))
 
 
+def flaw_score() -> Column:
+    """How flawed an attempt is, from leak, damaged, omitted and n_plain."""
+    return K.FLAW_LEAK * F.col("leak").cast("int") + K.FLAW_DAMAGED * F.col("damaged").cast("int") + K.FLAW_OMITTED * F.col("omitted").cast("int") + F.col("n_plain")
+
+
 def best_attempt(attempts: DataFrame) -> DataFrame:
     """The attempt of each question with fewest flaws, the earlier of equals; leak, damaged, omitted, n_plain."""
-    flaws = K.FLAW_LEAK * F.col("leak").cast("int") + K.FLAW_DAMAGED * F.col("damaged").cast("int") + K.FLAW_OMITTED * F.col("omitted").cast("int") + F.col("n_plain")
-    return attempts.withColumn("flaws", flaws).groupBy("question_id").agg(F.min(F.struct("flaws", "attempt")).alias("b")).select("question_id", "b.attempt", "b.flaws")
+    return attempts.withColumn("flaws", flaw_score()).groupBy("question_id").agg(F.min(F.struct("flaws", "attempt")).alias("b")).select("question_id", "b.attempt", "b.flaws")
 
 
 def evidence_block(passages: DataFrame, order: str = "rank") -> DataFrame:
@@ -131,6 +135,36 @@ def examine(attempts: DataFrame, stated: DataFrame) -> DataFrame:
     return joined.withColumns({"leak": id_leak("text").isNotNull(), "damaged": damaged_maths("text"), "omitted": omitted, "n_plain": F.size(plain_equations(presentable("text")))}).drop("stated")
 
 
+def presented(claims: DataFrame) -> DataFrame:
+    """Claims (text, theme) as a reader sees them; what the model wrote is kept in raw_text and raw_theme."""
+    moved = claims.withColumns({"raw_text": F.col("text"), "raw_theme": F.col("theme"), "__moved": move_attribution("theme", "text")})
+    return moved.withColumns({"text": presentable(F.col("__moved.text")), "theme": tidy_theme(F.col("__moved.theme"))}).drop("__moved")
+
+
+def examine_claims(shown: DataFrame, asked: DataFrame, stated: DataFrame) -> DataFrame:
+    """A11's flaws of each attempt in ``asked`` (question_id, attempt): leak, damaged, omitted, n_plain and flaws.
+
+    ``shown``: claims from ``presented`` with their attempt. Leaks and equations are looked for in what a
+    reader sees, damage in what the model wrote. An attempt without claims omits what passages state.
+    """
+
+    def some(test, text: str, theme: str) -> Column:
+        return F.bool_or(F.coalesce(test(text), F.lit(False)) | F.coalesce(test(theme), F.lit(False)))
+
+    plain = F.coalesce(F.size(plain_equations("text")), F.lit(0)) + F.coalesce(F.size(plain_equations("theme")), F.lit(0))
+    found = shown.groupBy("question_id", "attempt").agg(
+        some(lambda t: id_leak(t).isNotNull(), "text", "theme").alias("leak"), some(damaged_maths, "raw_text", "raw_theme").alias("damaged"), some(states_equation, "text", "theme").alias("__states"), F.sum(F.greatest(plain, F.lit(0))).cast("int").alias("n_plain")
+    )
+    joined = asked.join(found, ["question_id", "attempt"], "left").join(stated, "question_id", "left").fillna(False, ["leak", "damaged", "__states"]).fillna(0, ["n_plain", "stated"])
+    return joined.withColumn("omitted", (F.col("stated") > 0) & ~F.col("__states")).withColumn("flaws", flaw_score()).select("question_id", "attempt", "leak", "damaged", "omitted", "n_plain", "flaws")
+
+
+def least_flawed(shown: DataFrame, examined: DataFrame) -> DataFrame:
+    """The claims of each question's least flawed attempt, with its flaws; none where even that shows an id."""
+    best = best_attempt(examined).join(examined.where("not leak").select("question_id", "attempt"), ["question_id", "attempt"], "left_semi")
+    return shown.join(best, ["question_id", "attempt"]).drop("raw_text", "raw_theme")
+
+
 def trail_counts(trail: DataFrame) -> DataFrame:
     """For each question the sources found, pages read and passes of its trail."""
     kind = F.col("kind")

@@ -87,7 +87,7 @@ def bm25_within(questions: DataFrame, passages: DataFrame, key: str = "chunk_id"
     return weighed.groupBy("question_id", key).agg(F.round(F.sum("__w"), 9).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int, by: list, within: str = "question_id", rank: str = "rank") -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: list, within: str | list[str] = "question_id", rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, ranked from 0; Spark cuts each task's groups before the shuffle."""
     w = Window.partitionBy(within).orderBy(*by)
     return scored.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
@@ -149,6 +149,21 @@ def rank_by_distance(queries: DataFrame, vectors: DataFrame, k: int, block: int
     return top_k(merged, k, [F.col("distance"), F.col("chunk_id")])
 
 
+def distance_within(questions: DataFrame, passages: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """W1 over each question's own passages: (question_id, key, distance), squared L2 with nine places.
+
+    questions (question_id, embedding), passages (question_id, key, embedding). A question comes only if
+    its own vector and those of all its passages are there and of one length: a service that fails for
+    some of them has failed for the question.
+    """
+    asked = questions.where("size(embedding) > 0").select("question_id", F.col("embedding").cast("array<double>").alias("__q"))
+    met = passages.select("question_id", key, F.col("embedding").cast("array<double>").alias("__p")).join(asked, "question_id")
+    fits = F.coalesce(F.size("__p") == F.size("__q"), F.lit(False))
+    lacking = met.where(~fits).select("question_id").distinct()
+    distance = F.aggregate(F.zip_with("__p", "__q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return met.where(fits).select("question_id", key, F.round(distance, 9).alias("distance")).join(lacking, "question_id", "left_anti")
+
+
 def with_fallback(by_vector: DataFrame, by_terms: DataFrame, questions: DataFrame) -> DataFrame:
     """The vector ranking of the questions that have one, the term ranking of all others; (question_id, chunk_id, rank, method)."""
     ranked = by_vector.select("question_id", "chunk_id", "rank", F.lit("vector").alias("method"))

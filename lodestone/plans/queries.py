@@ -106,14 +106,17 @@ _VECTOR_SQL = """
   vr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) - 1 AS rank FROM d)"""
 
 
-@query(f"""WITH t AS (SELECT DISTINCT item_id AS question_id, unnest({_anchors_sql('text')}) AS term FROM benchmark),
+_WITHIN_SQL = f"""t AS (SELECT DISTINCT item_id AS question_id, unnest({_anchors_sql('text')}) AS term FROM benchmark),
   l AS (SELECT doc_id // 12 AS question_id, doc_id, len(regexp_extract_all(lower(text), '{K.WORD}')) AS length FROM documents),
   st AS (SELECT question_id, count(*) AS n, coalesce(nullif(avg(length::DOUBLE), 0), 1) AS a FROM l GROUP BY question_id),
   tok AS (SELECT doc_id // 12 AS question_id, doc_id, unnest(regexp_extract_all(lower(text), '{K.WORD}')) AS w FROM documents),
   tf AS (SELECT question_id, doc_id, term, count(*) AS tf FROM (SELECT question_id, doc_id, {_FOLDED} AS term FROM tok) JOIN t USING (question_id, term) GROUP BY ALL),
-  df AS (SELECT question_id, term, count(*) AS df FROM tf GROUP BY ALL)
-  SELECT question_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / a))), 9) AS score
-  FROM tf JOIN df USING (question_id, term) JOIN l USING (question_id, doc_id) JOIN st USING (question_id) GROUP BY question_id, doc_id""")
+  df AS (SELECT question_id, term, count(*) AS df FROM tf GROUP BY ALL),
+  own AS (SELECT question_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / a))), 9) AS score
+  FROM tf JOIN df USING (question_id, term) JOIN l USING (question_id, doc_id) JOIN st USING (question_id) GROUP BY question_id, doc_id)"""
+
+
+@query(f"WITH {_WITHIN_SQL} SELECT * FROM own")
 def w3_bm25_within_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 as the fallback uses it: among the passages that one question read."""
     return ranking.bm25_within(_questions(spark, sf_dir), _pages_read(spark, sf_dir).select("question_id", "doc_id", "text"), "doc_id")
@@ -142,6 +145,22 @@ def w2_ranking_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.with_fallback(nearest, terms, questions)
 
 
+@query(f"""WITH {_WITHIN_SQL}, qv AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS q FROM embeddings WHERE label % 2 = 0 AND vec_id IN (SELECT item_id FROM benchmark)),
+  d AS (SELECT question_id, vec_id AS chunk_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM embeddings JOIN qv ON question_id = vec_id // 12)
+  SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) - 1 AS rank, 'vector' AS method FROM d
+  UNION ALL SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) - 1, 'terms' FROM own WHERE question_id NOT IN (SELECT question_id FROM d)""")
+def w2_fallback_within_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, W2 as the plan ranks: each question's own twelve passages by distance, by terms where its vector is missing (odd label)."""
+    v = read_table(spark, sf_dir, "embeddings")
+    questions = _questions(spark, sf_dir)
+    asked = v.where("label % 2 = 0").select(F.col("vec_id").alias("question_id"), "embedding").join(questions.select("question_id"), "question_id", "left_semi")
+    own = v.select(F.floor(F.col("vec_id") / PAGES_A_QUESTION).alias("question_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    nearest = ranking.top_k(ranking.distance_within(asked, own), PAGES_A_QUESTION, [F.col("distance"), F.col("chunk_id")])
+    scores = ranking.bm25_within(questions, _pages_read(spark, sf_dir).select("question_id", F.col("doc_id").alias("chunk_id"), "text"))
+    terms = ranking.top_k(scores, PAGES_A_QUESTION, [F.desc("score"), F.col("chunk_id")])
+    return ranking.with_fallback(nearest, terms, questions)
+
+
 _SPREAD_SQL = f"""{_BM25_SQL},
   ranked AS (SELECT question_id, doc_id, source AS source_url, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) - 1 AS rank FROM bm JOIN documents USING (doc_id)),
   turned AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_url ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY question_id, source_url) AS lead_rank FROM ranked),

@@ -7,27 +7,33 @@ questions are split, not looped over. Tables are written at the fan-in points on
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.functions.markup import presentable
 from lodestone.functions.prose import collapse_wiki_maths_udf
-from lodestone.functions.text import shortfall, tidy_theme
+from lodestone.functions.text import shortfall, wants_recent
 from lodestone.operators import evidence, mirrors, passages, ranking, selection
 from lodestone.plans.stage import staged
 from lodestone.plans.trail import trail_of
-from lodestone.sources.providers import LanguageModel, RuleModel, SearchProvider
+from lodestone.sources.providers import EmbeddingsProvider, LanguageModel, RuleModel, SearchProvider
 
 
 @dataclass
 class Research:
-    """The pipeline with its services."""
+    """The pipeline with its services; without ``embeddings``, or where these fail, passages are ranked by their terms.
+
+    ``year`` is the present one, by which a question is told to ask for what is recent.
+    """
 
     search: SearchProvider
     model: LanguageModel = field(default_factory=RuleModel)
     limit: int = K.MAX_SOURCES
+    embeddings: EmbeddingsProvider | None = None
+    year: int = field(default_factory=lambda: date.today().year)
     passes: list[DataFrame] = field(default_factory=list, init=False, repr=False)
 
     def trail(self) -> DataFrame:
@@ -41,7 +47,8 @@ class Research:
 
     def plan(self, questions: DataFrame) -> DataFrame:
         """Stage 2: (question_id, query_idx, query) of the searches that stay on the subject, the question first."""
-        kept = evidence.clean_plan(self.model.plan_searches(questions.select("question_id", F.col("search_query").alias("question"))), questions)
+        asked = questions.select("question_id", F.col("search_query").alias("question"), wants_recent("question", self.year).alias("recent"))
+        kept = evidence.clean_plan(self.model.plan_searches(asked), questions)
         return kept.where("not drifted").select("question_id", F.col("place").alias("query_idx"), "query")
 
     def choose(self, questions: DataFrame, planned: DataFrame) -> DataFrame:
@@ -58,10 +65,23 @@ class Research:
         return passages.first_of_equal(cut.withColumnRenamed("place", "page_place"), ["page_place", "ordinal"], within=["question_id"])
 
     def rank(self, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-        """Stage 5: the passages of each question by its terms, those without any after them in page order, spread over pages."""
-        own = ranking.bm25_within(questions, chunks)
-        ranked = ranking.top_k(chunks.join(own, ["question_id", "chunk_id"], "left"), 1 << 30, [F.desc(F.coalesce("score", F.lit(0.0))), F.col("page_place"), F.col("ordinal")])
-        return ranking.spread(ranked, K.TOP_PASSAGES)
+        """Stage 5: the passages of each question by their distance, else by its terms (those without any after them), then
+        in page order, spread over pages."""
+
+        def ranked(scored: DataFrame, first: Column) -> DataFrame:
+            by = [first, F.col("page_place"), F.col("ordinal")]
+            # no more passages of a page than are wanted in all can be among them
+            own = ranking.top_k(scored, K.TOP_PASSAGES, by, ["question_id", "source_url"])
+            return ranking.top_k(own, K.TOP_PASSAGES * self.limit, by)
+
+        terms = chunks.join(ranking.bm25_within(questions, chunks), ["question_id", "chunk_id"], "left")
+        order = ranked(terms, F.desc(F.coalesce("score", F.lit(0.0)))).select("question_id", "chunk_id", "rank")
+        if self.embeddings is not None:
+            passage = self.embeddings.embed(chunks.select("question_id", "chunk_id", "text"), "d")
+            asked = self.embeddings.embed(questions.select("question_id", F.col("question").alias("text")), "q")
+            near = chunks.join(ranking.distance_within(asked, passage), ["question_id", "chunk_id"])
+            order = ranking.with_fallback(staged(ranked(near, F.col("distance")).select("question_id", "chunk_id", "rank"), "nearest"), order, questions).drop("method")
+        return ranking.spread(chunks.join(order, ["question_id", "chunk_id"]), K.TOP_PASSAGES)
 
     def judge(self, questions: DataFrame, spread: DataFrame) -> DataFrame:
         """Stage 6: the passages that bear on their question."""
@@ -69,10 +89,23 @@ class Research:
         return evidence.keep_relevant(batched, self.model.grade_relevance(questions, batched))
 
     def answer(self, questions: DataFrame, relevant: DataFrame) -> DataFrame:
-        """Stages 7 and 8: claims, presentable and grounded in passages that were read."""
-        claims = self.model.generate_answer(questions, relevant)
-        shown = claims.withColumn("text", presentable("text")).withColumn("theme", tidy_theme("theme"))
-        return evidence.verify_claims(shown, relevant)
+        """Stages 7 and 8: claims, presentable and grounded in passages that were read.
+
+        Questions whose answer has flaws that no filter mends are answered again, and the least flawed of
+        their answers is kept.
+        """
+        stated = staged(evidence.stated_equations(relevant), "stated")
+        waiting, passages, shown, examined = questions.join(stated.select("question_id"), "question_id", "left_semi"), relevant, [], []
+        for number in range(K.MAX_GENERATIONS):
+            claims = self.model.generate_answer(waiting, passages)
+            shown.append(staged(evidence.presented(claims).withColumn("attempt", F.lit(number)), "generated"))
+            examined.append(staged(evidence.examine_claims(shown[-1], waiting.select("question_id", F.lit(number).alias("attempt")), stated), "examined"))
+            flawed = examined[-1].where("flaws > 0").select("question_id")
+            if flawed.isEmpty():
+                break
+            waiting, passages = (df.join(flawed, "question_id", "left_semi") for df in (waiting, relevant))
+        best = evidence.least_flawed(reduce(DataFrame.unionByName, shown), reduce(DataFrame.unionByName, examined))
+        return evidence.verify_claims(best.drop("attempt", "flaws"), relevant)
 
     def attempt(self, questions: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
         """One pass over ``questions`` (question_id, question, search_query): grounded claims, and a grade for each question."""

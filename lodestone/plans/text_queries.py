@@ -234,6 +234,22 @@ def a11_examined_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.best_attempt(evidence.examine(answers, evidence.stated_equations(_stating(spark, sf_dir))))
 
 
+@query(f"""WITH {_equations_sql('conversations', 'conv_id, turn', '(conv_id + turn)')}, stated AS (SELECT conv_id, sum(len(display)) AS stated FROM eq GROUP BY conv_id),
+  c AS (SELECT conv_id AS question_id, turn % 2 AS attempt, turn AS claim_idx, (conv_id + turn // 2) % 5 AS v FROM conversations),
+  a AS (SELECT question_id, attempt, max((v = 1)::INT) AS leak, max((v = 2)::INT) AS damaged, max((v IN (2, 4))::INT) AS states, sum((v = 3)::INT) AS n_plain FROM c GROUP BY ALL),
+  f AS (SELECT question_id, attempt, leak, (100 * leak + 10 * damaged + 5 * (stated > 0 AND states = 0)::INT + n_plain)::BIGINT AS flaws FROM a JOIN stated ON conv_id = question_id),
+  b AS (SELECT question_id, attempt, leak, flaws FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY flaws, attempt) = 1)
+  SELECT question_id, attempt, claim_idx, flaws FROM c JOIN b USING (question_id, attempt) WHERE leak = 0""")
+def a11_least_flawed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11, X4, X7, X10, X13, X14, X20 as the plan joins them: even and odd turns as two answers of a claim each turn."""
+    c = read_table(spark, sf_dir, "conversations")
+    ended = F.concat(F.translate("text", _SIGNS, ""), choice(F.col("conv_id") + F.floor(F.col("turn") / 2), _ANSWERS))
+    claims = c.select(F.col("conv_id").alias("question_id"), (F.col("turn") % 2).alias("attempt"), F.col("turn").alias("claim_idx"), ended.alias("text"), F.lit("").alias("theme"))
+    shown = evidence.presented(claims)
+    examined = evidence.examine_claims(shown, claims.select("question_id", "attempt").distinct(), evidence.stated_equations(_stating(spark, sf_dir)))
+    return evidence.least_flawed(shown, examined).select("question_id", "attempt", "claim_idx", F.col("flaws").cast("long").alias("flaws"))
+
+
 # Formulas of a wiki.
 
 

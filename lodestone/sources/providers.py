@@ -117,8 +117,10 @@ class RuleModel:
     """S8, L1 to L5 by rules: the contract of a language model's calls without one."""
 
     def plan_searches(self, questions: DataFrame) -> DataFrame:
-        """(question_id, idx, query): the question, its anchors alone, and its anchors in pairs."""
+        """(question_id, idx, query): the question, its anchors alone, with a word for it where ``recent`` says so, and its first two."""
         subject = F.array_join(anchors("question"), " ")
+        if "recent" in questions.columns:
+            subject = F.when(F.col("recent"), F.concat(subject, F.lit(" recent"))).otherwise(subject)
         head = F.array_join(F.slice(anchor_sequence("question"), 1, 2), " ")
         return questions.select("question_id", F.posexplode(F.array(F.col("question"), subject, head)).alias("idx", "query"))
 

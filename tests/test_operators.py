@@ -318,6 +318,75 @@ def test_research_answers_and_retries(spark):
     assert not out[2].evidence_sufficient and out[2].claims == []
 
 
+class Careless(providers.RuleModel):
+    """Its first answers leak an id or lose the formula of the passages; ``told`` has the questions of each call."""
+
+    def __init__(self, leaks=(0,)):
+        self.leaks, self.told = leaks, []
+
+    def generate_answer(self, questions, passages):
+        number = len(self.told)
+        self.told.append(sorted(r.question_id for r in questions.select("question_id").collect()))
+        claims = super().generate_answer(questions, passages)
+        bad = (F.col("question_id") == 1) & F.lit(number in self.leaks)
+        return claims.withColumn("text", F.concat("text", F.when(bad, " evidence_id").otherwise(""))).withColumn("theme", F.when(F.col("claim_idx") == 0, "Heat, Carnot (1824)").otherwise("heat"))
+
+
+def research_pages(spark):
+    pages = [(f"https://site{i}.org/p", f"Entropy and heat part {w}", f"Entropy is a measure of heat number {i}. It grows. " * 4) for i, w in enumerate("alpha beta gamma delta".split())]
+    return providers.CorpusSearch(spark.createDataFrame(pages, "url string, title string, markdown string"))
+
+
+def test_flawed_answers_are_written_again(spark):
+    q = spark.createDataFrame([(1, "what is entropy of heat"), (2, "entropy and heat")], "question_id long, question string")
+    model = Careless()
+    out = {r.question_id: r for r in Research(research_pages(spark), model).run(q).collect()}
+    assert model.told[:2] == [[1, 2], [1]]
+    assert out[1].claims and not any("evidence_id" in c.text for c in out[1].claims) and out[1].attempt == 0
+    assert out[2].claims[0].theme == "Heat" and "(Carnot, 1824)" in out[2].claims[0].text and out[2].claims[1].theme == "Heat"
+    # an answer that shows an id each time is withheld
+    model = Careless(leaks=range(9))
+    out = {r.question_id: r for r in Research(research_pages(spark), model).run(q).collect()}
+    assert out[1].claims == [] and not out[1].evidence_sufficient and out[2].claims
+
+
+def test_least_flawed_attempts(spark):
+    rows = [(1, 0, 0, "F = ma here", ""), (1, 1, 0, "shown as $F = ma$", ""), (2, 0, 0, "no formula", ""), (3, 0, 0, "fine", None), (3, 0, 1, None, "x"), (4, 0, 0, "see evidence_id", "")]
+    claims = spark.createDataFrame(rows, "question_id long, attempt int, claim_idx int, text string, theme string")
+    asked = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0), (5, 0)], "question_id long, attempt int")
+    stated = spark.createDataFrame([(1, 2), (2, 1), (5, 1)], "question_id long, stated long")
+    shown = evidence.presented(claims)
+    found = {(r.question_id, r.attempt): r for r in evidence.examine_claims(shown, asked, stated).collect()}
+    assert [found[k].flaws for k in sorted(found)] == [6, 0, 5, 5, 0, 100, 5]
+    best = evidence.least_flawed(shown, evidence.examine_claims(shown, asked, stated)).collect()
+    assert sorted((r.question_id, r.attempt, r.claim_idx) for r in best) == [(1, 1, 0), (2, 0, 0), (3, 0, 0), (3, 0, 1)]
+    assert evidence.least_flawed(shown.limit(0), evidence.examine_claims(shown.limit(0), asked.limit(0), stated)).isEmpty()
+
+
+def test_plan_ranks_by_vectors_where_there_are_some(spark):
+    class Lengths:
+        def embed(self, texts, kind):
+            return texts.withColumn("embedding", F.when(F.lit(kind == "d") | (F.col("question_id") == 1), F.array(F.length("text").cast("double"))))
+
+    rows = [(q, f"c{q}{i}", "u", 0, i, "entropy " * (i + 1)) for q in (1, 2) for i in range(5)]
+    chunks = spark.createDataFrame(rows, "question_id long, chunk_id string, source_url string, page_place int, ordinal int, text string")
+    q = spark.createDataFrame([(1, "entropy entropy entropy"), (2, "what is entropy")], "question_id long, question string")
+    plan = Research(None, embeddings=Lengths())
+    order = {k: [r.chunk_id for r in plan.rank(q, chunks).where(F.col("question_id") == k).orderBy("place").collect()] for k in (1, 2)}
+    assert order[1] == ["c12", "c11", "c13", "c10", "c14"]
+    assert order[2] == [r.chunk_id for r in Research(None).rank(q, chunks).where("question_id = 2").orderBy("place").collect()]
+    # one passage without a vector: the question's ranking is that of its terms
+    short = spark.createDataFrame([(1, "a", [1.0]), (1, "b", None), (2, "c", [1.0]), (3, "d", [1.0, 2.0]), (4, "e", [])], "question_id long, chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0]), (2, [3.0]), (3, [0.0]), (4, [1.0]), (5, None)], "question_id long, embedding array<double>")
+    assert [tuple(r) for r in ranking.distance_within(asked, short).collect()] == [(2, "c", 4.0)]
+
+
+def test_recent_questions_are_searched_as_such(spark):
+    q = spark.createDataFrame([(1, "latest work on entropy"), (2, "work on entropy")], "question_id long, question string").withColumn("search_query", F.col("question"))
+    found = Research(None, year=2026).plan(q).collect()
+    assert {r.question_id for r in found if r["query"].endswith(" recent")} == {1}
+
+
 def test_entry_points(spark):
     pages = [(f"https://site{i}.org/p", f"Entropy and heat part {w}", f"Entropy is a measure of heat number {i}.\n\nIt grows. " * 4) for i, w in enumerate("alpha beta gamma delta".split())]
     search = providers.CorpusSearch(spark.createDataFrame(pages, "url string, title string, markdown string"))
