@@ -7,6 +7,8 @@ and events for trails.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from lodestone.operators import evidence, mirrors, passages, ranking, selection
 from lodestone.plans import api, index_queries, provider_queries, text_queries  # noqa: F401  they register their own
 from lodestone.plans.registry import ORACLE_SQL, QUERIES, choice, query, sql_list
 from lodestone.plans.research import Research
+from lodestone.plans.stage import session_folder
 from lodestone.session import read_table
 from lodestone.sources import providers, tables
 from lodestone.streaming import activity
@@ -916,6 +919,29 @@ def t3_streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.drained(rows, "frames")
 
 
+@query("""SELECT user_id AS run_id, event_id AS seq, event_type AS event FROM events
+  UNION ALL SELECT user_id, max(event_id) + 1, CASE WHEN user_id % 5 <> 0 AND user_id % 3 <> 0 THEN 'result' ELSE 'error' END FROM events GROUP BY user_id""")
+def t5_redelivered_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink that breaks twice after it has written gets every event once; a user's events are a run, with one end each."""
+    folder, tries = f"{session_folder(spark)}/trail-{uuid.uuid4().hex}", []
+    table = activity.batch_table(f"{folder}/rows")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        table(batch, number)
+        tries.append(number)
+        if tries.count(number) < 3:
+            raise ConnectionError("the client has gone")
+
+    rows = _event_stream(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.col("props").alias("data"))
+    activity.feed_kept(rows, sink, f"{folder}/checkpoint", f"{folder}/letters").awaitTermination()
+    while activity.redeliver(spark, sink, f"{folder}/letters"):
+        pass
+    trail = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    runs = trail.select("run_id").distinct().where("run_id % 5 <> 0")
+    outcome = runs.select("run_id", (F.col("run_id") % 3 != 0).alias("ok"), F.lit("done").alias("data"))
+    return activity.with_terminal(trail, outcome).select("run_id", "seq", "event")
+
+
 @query("""WITH t AS (SELECT user_id AS question_id, event_type, props, event_id, event_id % 2 AS attempt FROM events)
   SELECT question_id, count(DISTINCT CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN props END) AS sources, count(*) FILTER (event_type = (SELECT max(event_type) FROM events)) AS read, count(DISTINCT attempt) AS passes FROM t GROUP BY question_id""")
 def a12_trail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -929,13 +955,13 @@ def a12_trail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def l0_research_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline (L1 to L5 by rules): every question against the documents as pages."""
-    return Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir))).run(_questions(spark, sf_dir))
+    return Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir)), year=TODAY).run(_questions(spark, sf_dir))
 
 
 @query()
 def t1_answer_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with their trails as server-sent events."""
-    return api.answer_frames(Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir))), _questions(spark, sf_dir))
+    return api.answer_frames(Research(providers.CorpusSearch(_corpus_pages(spark, sf_dir)), year=TODAY), _questions(spark, sf_dir))
 
 
 FLAGSHIP = "w3_bm25_search"

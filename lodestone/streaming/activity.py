@@ -6,11 +6,11 @@ import logging
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import constants as K
-from lodestone.plans.stage import session_folder
+from lodestone.plans.stage import _delete, session_folder
 
 log = logging.getLogger(__name__)
 
@@ -87,3 +87,58 @@ def feed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
                 on_error(error, number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver).trigger(availableNow=True).start()
+
+
+def batch_table(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``feed`` and ``feed_kept``: batch ``n`` is the folder ``batch=n`` of a table, so one that comes again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        # the mark of a whole folder, by which ``kept_batches`` knows one
+        batch.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def feed_kept(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, letters: str):
+    """``feed`` that loses nothing: a batch that the sink refuses is kept in ``letters`` under its number.
+
+    The run goes on; ``redeliver`` offers the batch again. If it can't be kept either, the run fails, and its
+    restart begins with that batch. The sink has to take a number again without doubling its rows (``batch_table``).
+    """
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        try:
+            sink(batch, number)
+        except Exception as error:  # the trail is a by-product of the run
+            log.warning("batch %s of the trail is kept for later", number, exc_info=error)
+            batch_table(letters)(batch, number)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(deliver).trigger(availableNow=True).start()
+
+
+def kept_batches(spark: SparkSession, letters: str) -> list[int]:
+    """The numbers of the batches that wait in ``letters``; one whose write broke off is not among them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(letters)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    whole = [f.getPath() for f in store.listStatus(folder) if store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in whole)
+
+
+def redeliver(spark: SparkSession, sink: Callable[[DataFrame, int], None], letters: str) -> list[int]:
+    """T5: offers the batches in ``letters`` to the sink in order, each with its own number; returns those that it refused again.
+
+    A batch leaves ``letters`` after the sink has taken it; if the run breaks off in between, it is offered once more.
+    """
+    refused = []
+    for number in kept_batches(spark, letters):
+        path = f"{letters}/batch={number}"
+        try:
+            sink(spark.read.parquet(path), number)
+        except Exception as error:
+            log.warning("batch %s of the trail was refused again", number, exc_info=error)
+            refused.append(number)
+        else:
+            _delete(spark, path)
+    return refused

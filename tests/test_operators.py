@@ -303,6 +303,38 @@ def test_a_broken_sink_does_not_end_the_stream(spark, tmp_path):
     assert sessions.count() == 2
 
 
+def test_refused_batches_are_kept_and_delivered_later(spark, tmp_path):
+    for i in range(4):
+        spark.createDataFrame([(i, f"event {n}") for n in range(3)], "run_id long, event string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows, letters, refuses = (str(tmp_path / n) for n in ("rows", "letters", "none"))
+    table, refuses, seen = activity.batch_table(rows), {1, 3}, []
+
+    def sink(batch, number):
+        seen.append(number)
+        table(batch, number)
+        if number in refuses:
+            raise ConnectionError("gone")
+
+    def run():
+        stream = spark.readStream.schema("run_id long, event string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = activity.feed_kept(stream, sink, str(tmp_path / "checkpoint"), letters)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    assert activity.kept_batches(spark, letters) == [] and activity.redeliver(spark, sink, letters) == []
+    run()
+    run()  # a restart delivers nothing again
+    assert seen == [0, 1, 2, 3] and activity.kept_batches(spark, letters) == [1, 3]
+    (tmp_path / "letters" / "batch=9").mkdir()  # a write that broke off
+    refuses.discard(3)
+    assert activity.redeliver(spark, sink, letters) == [1] and activity.kept_batches(spark, letters) == [1]
+    refuses.clear()
+    assert activity.redeliver(spark, sink, letters) == [] and activity.kept_batches(spark, letters) == []
+    assert seen == [0, 1, 2, 3, 1, 3, 1]
+    got = sorted((r.run_id, r.event) for r in spark.read.parquet(rows).collect())
+    assert got == sorted((i, f"event {n}") for i in range(4) for n in range(3))
+
+
 def test_json_records(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "id long, note string")
     tables.write_records(df, str(tmp_path / "records"))
