@@ -5,7 +5,8 @@ distance from it. A list is a partition of a Parquet table, sorted by that dista
 needs and, by the bounds of row groups, no whole list. For a query at distance d from a centroid all vectors of
 the list whose distance from it is r are at least |d - r| away. The nearest PROBES lists of a query give a bound of its k-th
 distance; exact search then reads only lists, and of these vectors, that |d - r| lets be as near. Approximate
-search stops after the probes.
+search reads the nearest lists only, as many as neighbours within the sample need (``enough_probes``): vectors without
+clusters need half of the lists or more.
 
 A list that has many vectors is many files and tasks; what tasks share are the queries (a block of them at a time), the centroids
 (LISTS of them at most) and the bounds of each query with each list.
@@ -28,8 +29,10 @@ from lodestone.plans.stage import session_folder, staged
 SAMPLE, VECTORS_A_LIST = 20_000, 64
 LISTS = 1024
 ROUNDS = 8
-#: Lists that give the first bound, or the approximate answer.
+#: Lists that give the first bound; approximate search reads so many at least.
 PROBES = 8
+#: Share of the sample's neighbours that the lists of an approximate search hold, the neighbours of each, and sample vectors that ask.
+WANTED, NEIGHBOURS, ASKING = 0.95, 10, 512
 #: Distances have nine places; bounds must miss by more than rounding does.
 SLACK = 1e-7
 #: Vectors of one list in one file, about.
@@ -61,19 +64,41 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return near, np.sqrt(((x - centroids[near]) ** 2).sum(axis=1))
 
 
+def enough_probes(sample: np.ndarray, centroids: np.ndarray, wanted: float = WANTED) -> int:
+    """How many of the nearest lists hold that share of the NEIGHBOURS of sample vectors; itself is none of a vector's neighbours.
+
+    The neighbours of a whole table are nearer than those of a sample of it, so there the share is larger.
+    """
+    k = min(NEIGHBOURS, len(sample) - 1)
+    if k < 1:
+        return PROBES
+    own, squares = nearest(sample, centroids)[0], (sample**2).sum(axis=1)
+    places = []
+    for at in np.array_split(np.arange(min(ASKING, len(sample))), 8):
+        apart = squares - 2 * sample[at] @ sample.T
+        apart[np.arange(len(at)), at] = np.inf
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(distances(sample[at], centroids), axis=1, kind="stable"), axis=1)
+        places.append(np.take_along_axis(place, own[near], axis=1).ravel())
+    every = np.sort(np.concatenate(places))
+    return max(PROBES, int(every[int(np.ceil(wanted * len(every))) - 1]) + 1)
+
+
 @dataclass
 class VectorIndex:
-    """``vectors`` (list, chunk_id, radius, embedding), and of each list its least and largest radius (not a number if empty)."""
+    """``vectors`` (list, chunk_id, radius, embedding), of each list its least and largest radius (not a number if empty),
+    and how many lists an approximate search reads."""
 
     vectors: DataFrame
     centroids: np.ndarray
     radii: np.ndarray
+    probes: int = PROBES
 
     def add(self, rows: DataFrame) -> VectorIndex:
         """The index with further rows (chunk_id, embedding) in its lists; centroids stay, the old index too."""
         placed, radii = _placed(rows, self.centroids)
         both = np.stack([np.fmin(self.radii[:, 0], radii[:, 0]), np.fmax(self.radii[:, 1], radii[:, 1])], axis=1)
-        return VectorIndex(self.vectors.unionByName(placed), self.centroids, both)
+        return VectorIndex(self.vectors.unionByName(placed), self.centroids, both, self.probes)
 
 
 def _placed(rows: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -115,7 +140,7 @@ def build_vector_index(rows: DataFrame, lists: int | None = None, sample: int =
     matrix = np.array(usual, dtype=np.float64).reshape(len(usual), size)
     centroids = fit_centroids(matrix, lists or max(1, min(LISTS, len(matrix) // VECTORS_A_LIST))) if len(matrix) else matrix
     placed, radii = _placed(rows, centroids)
-    return VectorIndex(placed, centroids, radii)
+    return VectorIndex(placed, centroids, radii, enough_probes(matrix, centroids))
 
 
 _FOUND = "question_id long, chunk_id long, distance double"
@@ -164,12 +189,13 @@ class Found:
     pairs: int = 0
 
 
-def search_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES, exact: bool = True, block: int = VECTORS_AT_A_TIME) -> Found:
+def search_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, exact: bool = True, block: int = VECTORS_AT_A_TIME) -> Found:
     """The ``k`` nearest of all vectors to each of ``queries`` (question_id, embedding), as ``rank_by_distance`` gives them.
 
-    With ``exact`` false the nearest among those in the ``probes`` nearest lists. Queries that are null, empty or
+    With ``exact`` false the nearest among those in the ``probes`` nearest lists, by default as many as the index says. Queries that are null, empty or
     of another length have no rows. Repeated ids of the index are rows of their own; ids of queries must differ.
     """
+    probes = probes or (PROBES if exact else index.probes)
     size = index.centroids.shape[1] if index.centroids.size else -1
     rows = queries.where(F.size("embedding") == size).select(F.col("question_id").cast("long"), F.col("embedding").cast("array<double>")).orderBy("question_id")
     total = rows.count()

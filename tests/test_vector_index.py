@@ -45,6 +45,16 @@ def test_approximate_search_finds_nine_in_ten(clouds):
     assert told["found"] >= 0.9 * told["asked"] and few.read < 0.4 * few.pairs
 
 
+def test_approximate_search_finds_nine_in_ten_without_clusters(spark):
+    x = np.random.default_rng(5).normal(0, 1, (6000, 24))
+    plain = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_id long, embedding array<double>").cache()
+    queries = plain.where("chunk_id % 60 = 0").withColumnRenamed("chunk_id", "question_id")
+    index = V.build_vector_index(plain.where("chunk_id % 7 <> 0")).add(plain.where("chunk_id % 7 = 0"))
+    few = V.search_vectors(index, queries, 10, exact=False)
+    told = V.recall(few.rows, rank_by_distance(queries, plain, 10)).first()
+    assert told["found"] >= 0.9 * told["asked"] and few.read < few.pairs
+
+
 def test_large_lists_are_several_files(clouds, monkeypatch):
     monkeypatch.setattr(V, "FILE_ROWS", 100)
     index = V.build_vector_index(clouds, lists=2)
