@@ -1,6 +1,7 @@
 """Operators over small tables of known result, and whole queries against SQL."""
 
 import os
+import random
 import re
 
 import numpy as np
@@ -211,6 +212,26 @@ def test_mirrors_of_a_corpus(spark, block):
     assert {(r.a, r.b, r.jaccard) for r in mirrors.corpus_titles(docs, key="doc_id", block=block).collect()} == {(140, 141, 1.0)}
 
 
+@pytest.mark.parametrize("few", [0, 1])
+def test_copies_of_a_corpus_meet_what_is_kept_only(spark, monkeypatch, few):
+    """Near copies, equal copies and pages that quote others: as the loop has it, and copies aren't paired with each other."""
+    rng = random.Random(4)
+    plain = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    texts = [" ".join([*plain[:k], f"x{i}", *plain[k + 1 :], *["end"] * (i % 4)]) for i in range(120) for k in [rng.randrange(12, 60)]]
+    texts += texts[:20] + [" ".join(plain[:30] + [f"y{i}{j}" for j in range(22 + i)]) for i in range(8)] + ["", "one two", None]
+    titles = [(t or "")[:30] for t in texts]
+    numbers = list(range(100, 100 + len(texts)))
+    docs = spark.createDataFrame(list(zip(numbers, texts, titles)), "doc_id long, text string, title string")
+    paired = []
+    plain_staged = mirrors.staged
+    monkeypatch.setattr(mirrors, "staged", lambda df, name, **o: (t := plain_staged(df, name, **o), name == "pairs" and paired.append(t.count()))[0])
+    out = {r.doc_id: r.mirror_of for r in mirrors.corpus_mirrors(docs, few=few).collect()}
+    expected = {numbers[i]: numbers[k] for i, k in plain_mirrors([t or "" for t in texts], titles).items()}
+    assert {i: k for i, k in out.items() if k is not None} == expected and set(out) == set(numbers)
+    if not few:
+        assert sum(paired) < 6 * len(texts)
+
+
 def test_long_chains_are_decided(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(59)], "earlier long, later long").coalesce(1)
     pages = spark.range(60).select(F.col("id").alias("node")).coalesce(1)
