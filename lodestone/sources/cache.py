@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import constants as K
-from lodestone.plans.stage import shared_folder
+from lodestone.plans.stage import discard, shared_folder, staged
 
 #: Batches of a wave; a wave is what a failure costs at most.
 WAVE_BATCHES = 256
@@ -109,36 +109,42 @@ class CacheTable:
     def _fresh(self, entries: DataFrame, now) -> DataFrame:
         return entries.where(F.col("cached_at").cast("double") + self.seconds > F.lit(now).cast("timestamp").cast("double"))
 
-    def add(self, rows: DataFrame, now) -> int:
-        """Commits the ``rows`` (cache_key, value) that have no fresh entry, one for each key; how many these were."""
+    def add(self, rows: DataFrame, now, seen: list[str] | None = None) -> int:
+        """Commits the ``rows`` (cache_key, value) that have no fresh entry, one for each key; how many these were.
+
+        Of the parts in ``seen`` the caller knows that they have no fresh entry of these keys: they aren't read again. Parts that this call commits join them.
+        """
+        seen = [] if seen is None else seen
         stamped = rows.where("cache_key is not null and value is not null").groupBy("cache_key").agg(F.min("value").alias("value"))
         stamped = stamped.select("cache_key", F.lit(now).cast("timestamp").alias("cached_at"), F.lit(now).cast("timestamp").alias("used_at"), "value")
         own = self._write(stamped)
         while True:
             number, parts = self.version()
             mine = self.spark.read.schema(self.schema).parquet(f"{self.folder}/parts/{own}")
-            known = self._fresh(self._entries(parts), now).select("cache_key")
-            new = mine.join(known, "cache_key", "left_anti")
+            others = [p for p in parts if p not in seen]
+            new = mine.join(self._fresh(self._entries(others), now).select("cache_key"), "cache_key", "left_anti") if others else mine
             n = new.count()
             if n == 0:
                 return 0
-            part = own if n == mine.count() else self._write(new)
+            part = own if not others or n == mine.count() else self._write(new)
             if len(parts) >= MOST_PARTS:
                 parts = [self._write(self._entries(parts))]
             try:
                 self.commit(number + 1, [*parts, part])
+                seen += [p for p in (*(parts if not others else []), part) if p not in seen]
                 return n
             except Conflict:
                 continue
 
-    def use(self, keys: DataFrame, now) -> None:
-        """Notes that the ``keys`` (cache_key) were read at ``now``."""
+    def use(self, keys: DataFrame, now) -> str:
+        """Notes that the ``keys`` (cache_key) were read at ``now``; the part that says so."""
         none = F.lit(None)
         part = self._write(keys.select("cache_key").distinct().select("cache_key", none.alias("cached_at"), F.lit(now).cast("timestamp").alias("used_at"), none.cast(self.value).alias("value")))
         while True:
             number, parts = self.version()
             try:
-                return self.commit(number + 1, [*parts, part])
+                self.commit(number + 1, [*parts, part])
+                return part
             except Conflict:
                 continue
 
@@ -160,17 +166,31 @@ class CacheTable:
     def through(self, texts: DataFrame, call: Callable[[list[str]], list], now, size: int = K.EMBED_BATCH, wave: int = WAVE_BATCHES) -> DataFrame:
         """``texts`` (cache_key, text, ...) with the column value, from the cache or else from ``call``.
 
-        ``call`` takes ``size`` texts at most. Each missing key is asked for once, in waves that are committed as they
+        ``call`` takes ``size`` texts at most. What is missing is found once; a wave looks again only at parts that another writer has
+        committed since, so work grows with the texts. Each missing key is asked for once, in waves that are committed as they
         land; a failing call fails its wave, and the waves before it stay.
         """
-        wanted = texts.where("cache_key is not null and text is not null").select("cache_key", "text").dropDuplicates(["cache_key"])
-        self.use(wanted.join(self.read(now).select("cache_key"), "cache_key", "left_semi"), now)
-        while True:
-            missing = wanted.join(self.read(now).select("cache_key"), "cache_key", "left_anti")
-            some = missing.limit(size * wave)
-            found = some.repartition(max(1, min(wave, some.sparkSession.sparkContext.defaultParallelism))).mapInArrow(_calls(call, size, to_arrow_type(missing.sparkSession.createDataFrame([], self.schema).schema["value"].dataType)), f"cache_key string, value {self.value}")
-            if not self.add(found, now):
-                break
+        seen = self.version()[1]
+        keys = texts.where("cache_key is not null and text is not null").select("cache_key", "text").dropDuplicates(["cache_key"])
+        known = self._fresh(self._entries(seen), now).select("cache_key", F.lit(True).alias("known"))
+        asked = staged(keys.join(known, "cache_key", "left").select("cache_key", F.when(F.col("known").isNull(), F.col("text")).alias("text")), "asked")
+        seen = [*seen, self.use(asked.where("text is null"), now)]
+        missing = asked.where("text is not null")
+        waves = -(-missing.count() // (size * wave))
+        each = missing.withColumn("wave", F.pmod(F.xxhash64("cache_key"), F.lit(max(1, waves))).cast("int"))
+        if waves > 1:  # a wave reads its own texts only
+            path = f"{asked.staged_at}-waves"
+            each.repartition(waves, "wave").write.partitionBy("wave").parquet(path)
+            each = self.spark.read.schema(each.schema).parquet(path)
+            each.staged_at = path
+        arrow = to_arrow_type(self.spark.createDataFrame([], self.schema).schema["value"].dataType)
+        for number in range(waves):
+            some = each.where(F.col("wave") == number).select("cache_key", "text")
+            if others := [p for p in self.version()[1] if p not in seen]:
+                some = some.join(self._fresh(self._entries(others), now).select("cache_key"), "cache_key", "left_anti")
+            found = some.repartition(max(1, min(wave, self.spark.sparkContext.defaultParallelism))).mapInArrow(_calls(call, size, arrow), f"cache_key string, value {self.value}")
+            self.add(found, now, seen)
+        discard(asked, *([each] if waves > 1 else []))
         return texts.join(self.read(now).select("cache_key", "value"), "cache_key", "left")
 
 

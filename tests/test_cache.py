@@ -99,3 +99,12 @@ def test_empty_and_null(cache, texts, spark):
     found = cache.through(odd, lambda batch: [[0.0]] * len(batch), NOW)
     assert sorted((r.id, r.value) for r in found.collect()) == [(1, None), (2, None)]
     assert cache.through(texts.where("false"), lambda batch: [], NOW).collect() == []
+
+
+def test_waves_read_no_part_of_their_own_run(cache, texts, tmp_path, monkeypatch):
+    read = []
+    plain = cache._entries
+    monkeypatch.setattr(type(cache), "_entries", lambda self, parts: (read.append(len(parts)), plain(parts))[1])
+    found = cache.through(texts, counted(tmp_path / "a"), NOW, size=2, wave=1)
+    assert len(cache.version()[1]) > 8 and len(read) <= 3  # before the first wave, and for the result
+    assert found.where("value is null").isEmpty() and asked(tmp_path / "a") == sorted(f"text {k}" for k in range(30))
