@@ -13,7 +13,8 @@ Which pairs are compared, without losing a link and without emitting all pairs o
 2. Two sets with Jaccard of at least t share an n-gram among the first |x| - ceil(t|x|) + 1 of each in
    the global order. Nodes that share such a token are a posting group. If the first token that two
    sets share stands at places p and q, the overlap is at most 1 + min(|x| - p - 1, |y| - q - 1): what
-   is too far back in its set for the sizes of a group takes no part in it.
+   is too far back in its set for the sizes of a group takes no part in it. Tokens that only one set
+   has count as standing first, so sets that share few tokens by chance are too far back.
 3. Stars: every node is compared with two leaders of its groups: the one with the fewest rare n-grams of its
    own before the shared one, as the original of edited copies has it, and any other; so with no more
    than two pairs for each node. Verified links give components.
@@ -23,7 +24,11 @@ Which pairs are compared, without losing a link and without emitting all pairs o
    |x| - ceil(t|x|) + 2 tokens), so nodes that have nothing else in common never meet; what is still
    larger is compared in blocks of bounded size. A pair leaves its task only if sizes, places and the
    parity bitmaps of its sets allow the threshold (the number of differing bits never exceeds the
-   symmetric difference, so no link is lost). These are verified like the first ones.
+   symmetric difference, so no link is lost), and if no token is known that both sets have before the
+   one they meet by: they meet at the first token that they share too. These are verified like the
+   first ones. Where a group has more than ``block`` nodes there is a round before, in which each node
+   is paired with the nearest one of other components alone; its links join most of what a large group
+   of near copies still has apart, so few pairs cross components when all of them are looked at.
 
 Components of all verified links then give each document the smallest doc_id it reaches. Joins whose
 keys can be hot (tokens, nodes with many copies, leaders) deal the rows of these to salts, so no task
@@ -41,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import bound_batches, join_counted, materialize, record_batch, spans_of_chars, texts_of
+from lodestone.llm.base import bound_batches, discard, join_counted, materialize, record_batch, spans_of_chars, texts_of
 from lodestone.llm.components import connected_components
 from lodestone.plans.stage import HOT_KEYS
 
@@ -56,10 +61,10 @@ SKETCH_CHUNK = 1 << 14
 BLOCK = 400
 #: Rows of posting groups that a task compares, on average, at most.
 ROWS_PER_TASK = 50_000
-#: In larger groups pairs are held against small bitmaps before they leave the task.
+#: In larger groups pairs are held against the bitmaps of their sets before they leave the task.
 PLAIN = 16
-#: Bytes of a small bitmap, at most.
-SMALL_BITMAP = 64
+#: Tokens that a row of a group knows of its set before the group's own, at most.
+BEFORE = 4
 #: Pairs of one leader whose segments travel together.
 PAIRS_PER_SALT = 500
 #: A token is hot if its counter in the sketch holds so many n-grams, or so many times the mean counter.
@@ -266,7 +271,7 @@ def read_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, GlobalOrd
     return table.where("chunk is null").select("doc_id", "n", "node"), GlobalOrder(rank, cuts, hot_from)
 
 
-_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("bitmap", pa.binary()), ("small", pa.binary())]
+_TOKENS = [("token", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("bitmap", pa.binary())]
 
 
 def in_first_prefix(percent: int) -> Column:
@@ -275,7 +280,7 @@ def in_first_prefix(percent: int) -> Column:
 
 
 def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(token, node, place) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap, small).
+    """(token, node, place) of the prefixes, one token longer than what a pair must share one of; and (node, n, bitmap).
 
     ``place`` is the token's place in the set and, in its low 32 bits, the set's size. A node may come more than once. Sets of one n-gram are left out where they can't be linked with any other.
     """
@@ -303,14 +308,14 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, w
             lengths = np.array([len(t) for t in tokens])
             token, owner, size = np.concatenate(tokens), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes), lengths)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, place=sizes, bitmap=maps, small=[folded_bitmap(m, SMALL_BITMAP) for m in maps])
+            yield record_batch(_TOKENS, token=[None] * len(nodes), node=nodes, place=sizes, bitmap=maps)
             for i in range(0, len(token), 200_000):
                 part = slice(i, i + 200_000)
                 none = pa.nulls(len(token[part]), pa.binary())
-                yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=none, small=none)
+                yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=none)
 
-    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary, small binary"), "tokens")
-    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap", "small")
+    table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary"), "tokens")
+    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap")
 
 
 def by_token(rows: DataFrame, hot: Column, total: int, then: Callable[[DataFrame], DataFrame], **aggregates: Column) -> DataFrame:
@@ -338,6 +343,21 @@ def shared_postings(tokens: DataFrame, order: GlobalOrder) -> DataFrame:
     return materialize(found.select("token", "node", *unpacked("place"), *ends), "postings")
 
 
+def shared_places(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, node, pos, n) of ``postings`` with the places that tokens have when those of a prefix that no other set has stand first.
+
+    What only one set has is in no overlap, wherever it stands, so the bound by places holds for these
+    too. For t above one half a linked pair has two shared tokens in its prefixes and one more, so the
+    first of them stays in the prefix proper. Others keep their places.
+    """
+    rows = postings.select("token", "node", "pos", "n")
+    if percent <= 50:
+        return rows
+    after = F.count(F.lit(1)).over(Window.partitionBy("node").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
+    last = F.col("n") - F.expr(f"({percent}L * n + 99) div 100") + 1
+    return materialize(rows.withColumn("pos", (last - after).cast("int")), "places")
+
+
 def segments_of(docs: DataFrame, readers: DataFrame, order: GlobalOrder, words: int = WORDS) -> DataFrame:
     """(node, fragment, items) of the sets whose (node, doc_id) is in ``readers``; the others aren't read again."""
     spark = docs.sparkSession
@@ -497,38 +517,81 @@ def _opened(rows: DataFrame, hot: Column, percent: int, tag: str) -> DataFrame:
     return materialize(by_token(rows, hot, rows.count(), several, **component, least=F.min("n"), size=F.count(F.lit(1))), tag)
 
 
-def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, order: GlobalOrder, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links."""
+def _with_before(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``before``: the last tokens of the set that rows of the same ``keys`` have before their own."""
+    w = Window.partitionBy("node", *keys).orderBy("pos", "token").rowsBetween(-BEFORE, -1)
+    return rows.withColumn("before", F.collect_list("token" if not keys else "next").over(w))
+
+
+def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, order: GlobalOrder, percent: int = PERCENT, block: int = BLOCK, *, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links.
+
+    With ``nearest`` only the nearest of these by bitmaps for each row of the groups of more than PLAIN rows, and
+    none at all where no group has more than ``block`` rows.
+    """
     few = F.broadcast(components) if components.count() <= BROADCAST_IDS else components
     placed = postings.select("token", "node", "pos", "n").join(few, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
-    rows = _opened(placed.where(in_first_prefix(percent)), order.hot(), percent, "open")
-    hot = rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at"))
-    if percent > 50 and not hot.isEmpty():
+    opened = _opened(placed.where(in_first_prefix(percent)), order.hot(), percent, "open")
+    used = [placed, opened]
+    rows = _with_before(opened)
+    hot = rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at"), F.col("before").alias("first"))
+    some = not hot.isEmpty()
+    if percent > 50 and some:
         # by the next token that the sets share: what stands after it is one place further back for the bound
         after = placed.select("node", "component", "n", "pos", F.col("token").alias("next")).join(hot, "node").where("pos > at")
-        split = materialize(after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n"), "split")
-        rows = rows.where(F.col("size") <= block).unionByName(_opened(split, F.lit(True), percent, "split-open").select(*rows.columns))
+        split = after.select(F.xxhash64("token", "next").alias("token"), "node", "component", (F.col("pos") - 1).alias("pos"), "n", F.col("token").alias("by"), "next", "first")
+        split = materialize(split, "split")
+        split_opened = _opened(split, F.lit(True), percent, "split-open")
+        used += [split, split_opened]
+        again = _with_before(split_opened, "by").withColumn("before", F.concat("first", "before"))
+        rows = rows.where(F.col("size") <= block).unionByName(again.select(*rows.columns))
+    if nearest:
+        rows = rows.where(F.col("size") > PLAIN if some else F.lit(False))
     # A group of more than ``block`` rows is compared block by block: each row meets each block once.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    kept = ["token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos"]
+    kept = ["token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "pos", "before"]
     plain = dealt.where(F.col("size") <= PLAIN).select(*kept, F.lit(None).cast("binary").alias("bitmap"))
-    mapped = dealt.where(F.col("size") > PLAIN).join(nodes.select("node", "small"), "node").select(*kept, F.col("small").alias("bitmap"))
+    mapped = dealt.where(F.col("size") > PLAIN).join(nodes.select("node", "bitmap"), "node").select(*kept, "bitmap")
     # comparing is dear for the bytes it reads, so the number of tasks is not left to their sizes
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_TASK))
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-opened.count() // ROWS_PER_TASK))
     sorted_rows = plain.unionByName(mapped).repartition(tasks, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
     fields = [("a", pa.int64()), ("b", pa.int64())]
 
     def few(group: list[tuple], out: list[tuple[int, int]]) -> None:
         """Pairs of a group of a few rows, which is of one block."""
-        for at, (*_, node, component, n, pos, _) in enumerate(group):
-            for *_, other, other_component, m, other_pos, _ in group[:at]:  # sizes ascend
+        for at, (*_, node, component, n, pos, before, _) in enumerate(group):
+            for *_, other, other_component, m, other_pos, other_before, _ in group[:at]:  # sizes ascend
                 if component != other_component and 100 * m >= percent * n and min(n - pos, m - other_pos) * (100 + percent) >= percent * (n + m):
-                    out.append((min(node, other), max(node, other)))
+                    if not set(before).intersection(other_before):
+                        out.append((min(node, other), max(node, other)))
+
+    def met_before(before: list[list[int]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows know a token that both have before this one."""
+        width = max(map(len, before))
+        if not width:
+            return np.zeros(len(x), dtype=bool)
+        lengths = np.array([len(b) for b in before])
+        tokens = np.zeros((len(before), width), dtype=np.int64)
+        there = np.arange(width) < lengths[:, None]
+        tokens[there] = np.concatenate([np.array(b, np.int64) for b in before])
+        met = np.zeros(len(x), dtype=bool)
+        for k in range(width):
+            for m in range(width):
+                met |= (tokens[x, k] == tokens[y, m]) & there[x, k] & there[y, m]
+        return met
+
+    def nearest_of(x: np.ndarray, y: np.ndarray, far: np.ndarray, rows: int) -> np.ndarray:
+        """Which of the pairs is the nearest of one of its rows."""
+        place, best = np.empty(len(x), dtype=np.int64), np.full(rows, len(x))
+        place[np.argsort(far, kind="stable")] = np.arange(len(x))
+        np.minimum.at(best, x, place)
+        np.minimum.at(best, y, place)
+        return (best[x] == place) | (best[y] == place)
 
     def close(group: list[tuple]) -> pa.RecordBatch | None:
-        token, i, j, own, node, component, n, pos, bitmap = zip(*group)
+        token, i, j, own, node, component, n, pos, before, bitmap = zip(*group)
         n, rest, component, own = np.array(n, np.int64), np.array(n, np.int64) - np.array(pos), np.array(component), np.array(own)
         ok = np.triu(component[:, None] != component, 1)  # sizes ascend
         ok &= 100 * n[:, None] >= percent * n
@@ -536,11 +599,18 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
         if i[0] != j[0]:
             ok &= own[:, None] != own
         x, y = np.nonzero(ok)
+        if len(x):
+            new = ~met_before(before, x, y)
+            x, y = x[new], y[new]
         if not len(x):
             return None
         if bitmap[0] is not None:
-            fits = may_link_all(n[x], n[y], _Bitmaps(list(bitmap)).differing(x, y), percent)
-            x, y = x[fits], y[fits]
+            differ = _Bitmaps(list(bitmap)).differing(x, y)
+            fits = may_link_all(n[x], n[y], differ, percent)
+            x, y, differ = x[fits], y[fits], differ[fits]
+            if nearest and len(x):
+                chosen = nearest_of(x, y, differ / (n[x] + n[y]), len(n))
+                x, y = x[chosen], y[chosen]
         if not len(x):
             return None
         ids = np.array(node)
@@ -571,7 +641,9 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
         if out:
             yield record_batch(fields, a=[p[0] for p in out], b=[p[1] for p in out])
 
-    return allowed_pairs(sorted_rows.mapInArrow(compare, "a long, b long").select("a", "b").distinct(), nodes, percent)
+    allowed = allowed_pairs(sorted_rows.mapInArrow(compare, "a long, b long").select("a", "b").distinct(), nodes, percent)
+    discard(*used)  # the candidates are a table of their own
+    return allowed
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -585,12 +657,17 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     rows, order = read_sets(docs, words)
     tokens, described = prefix_tokens(docs, order, percent, words)
     by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
-    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "small", "doc_id"), "nodes")
+    nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id"), "nodes")
     postings = shared_postings(tokens, order)
     stars = materialize(star_pairs(postings, nodes, percent), "stars")
     links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
-    crossing = materialize(crossing_pairs(postings, nodes, components, order, percent), "crossing")
+    places = shared_places(postings, percent)
+    near = materialize(crossing_pairs(places, nodes, components, order, percent, nearest=True), "nearest")
+    if not near.isEmpty():
+        links = links.unionByName(verified(near, docs, nodes, order, percent, words))
+        components = connected_components(links)
+    crossing = materialize(crossing_pairs(places, nodes, components, order, percent), "crossing")
     if not crossing.isEmpty():
         components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
     linked = by_node.join(components, "node").select("node", "component", "doc_id", "copies")

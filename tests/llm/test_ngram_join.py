@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join as J
+from lodestone.llm.base import materialize
 from lodestone.llm.components import connected_components
 from lodestone.plans import stage
 
@@ -214,3 +215,47 @@ def test_five_words_and_four_fifths(spark):
     assert groups == {7: 2, 2: 2, 5: 2, 1: 1, 9: 9, 8: 8}
     assert {r.doc_id for r in J.keep_one_of_each_group(df, 80, 5).collect()} == {1, 2, 8, 9}
     assert {r.component_id for r in J.near_duplicate_groups(df).collect()} == {7, 2, 5, 1, 9, 8}
+
+
+def compared(spark, monkeypatch, df, percent, words):
+    """Rows that the comparison of groups makes over ``df``, and the groups found."""
+    kind, made = type(df), []
+    plain = kind.mapInArrow
+
+    def counted(self, function, *args, **kwargs):
+        out = plain(self, function, *args, **kwargs)
+        if function.__name__ == "compare":
+            out = materialize(out, "compared")
+            made.append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", counted)
+        groups = {r.doc_id: r.component_id for r in J.near_duplicate_groups(df, percent, words).collect()}
+    return sum(made), groups
+
+
+def test_sets_that_share_tokens_by_chance_are_not_paired(spark, monkeypatch):
+    rng, rows = random.Random(11), []
+    passages = [[f"p{i}x{k}" for k in range(8)] for i in range(30)]
+    for i in range(150):  # a quarter is common passages, two sets share one now and then
+        parts = [[f"u{i}y{k}" for k in range(60)], *rng.sample(passages, 3)]
+        rng.shuffle(parts)
+        rows.append((i, " ".join(w for part in parts for w in part)))
+    made, groups = compared(spark, monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), 80, 3)
+    assert made == 0 and groups == {i: i for i in range(150)}
+
+
+def test_near_copies_that_stay_apart_meet_once(spark, monkeypatch):
+    """Copies of one text with too many edits for a link: a pair is made by the first token it shares, not by each."""
+    rows = []
+    for i in range(12):
+        text = [f"w{k}" for k in range(200)]
+        for k in range(16):
+            text[(k * 12 + i) % 200] = f"e{i}z{k}"
+        rows.append((i, " ".join(text)))
+    made, groups = compared(spark, monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), 70, 1)
+    assert len(set(groups.values())) == 1
+    again, groups = compared(spark, monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), 86, 1)
+    assert groups == {i: i for i in range(12)}
+    assert max(made, again) <= 3 * 66
