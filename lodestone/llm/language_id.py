@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,15 +202,20 @@ def identify(docs: DataFrame, **train_options) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.0, **train_options) -> DataFrame:
     """The rows of ``docs`` that op8 does not call ``und``, with all columns; with ``min_score`` only those scored so high.
 
-    ``und`` is what has no letter, whatever the model; so a model is trained only for a ``min_score``.
+    Every row is judged by the model; where ``lang`` is null it becomes the language that op8 predicts.
     """
     bound_batches(docs.sparkSession)
-    shared = broadcast_model(docs, **train_options) if min_score > 0 else []
+    shared = broadcast_model(docs, **train_options)
+    at = docs.columns.index("lang")
 
-    @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        plain = [t or "" for t in texts.to_pylist()]
-        sure = judged(shared, plain)[1] >= min_score if shared else np.ones(len(plain), dtype=bool)
-        return pa.array([bool(s) and has_letter(t) for s, t in zip(sure, plain)], pa.bool_())
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [t or "" for t in batch.column("text").cast(pa.string()).to_pylist()]
+            names, score = judged(shared, texts)
+            known = pa.array([bool(s) and has_letter(t) for s, t in zip(score >= min_score, texts)], pa.bool_())
+            given = batch.column("lang")
+            yield batch.set_column(at, batch.schema.field(at), pc.coalesce(given, pa.array(names, given.type))).filter(known)
 
-    return docs.where(known(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.mapInArrow(keep, docs.schema)

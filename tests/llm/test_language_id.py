@@ -78,6 +78,14 @@ def test_short_clean_texts_stay(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in L.keep_identified(docs).collect()} == und == {103, 104, 105}
 
 
+def test_rows_without_a_language_get_the_predicted_one(spark):
+    """The stage judges rows by the model whatever ``min_score`` is."""
+    rows = [(i, ["le chat dort", "der hund bellt", "the dog barks"][i % 3], ["fr", "de", "en"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(100, "der hund", None), (101, "the dog", None), (102, "le chat", "de")], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in L.keep_identified(docs).collect()}
+    assert [kept[i] for i in (100, 101, 102)] == ["de", "en", "de"] and all(kept[i] == lang for i, _, lang in rows)
+
+
 def test_blocks_of_languages_agree(docs):
     whole, blocks = L.identify(docs), L.identify(docs, block=2)
     a, b = ({r.doc_id: r for r in df.collect()} for df in (whole, blocks))
