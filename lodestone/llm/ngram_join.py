@@ -315,7 +315,9 @@ def prefix_tokens(docs: DataFrame, order: GlobalOrder, percent: int = PERCENT, w
                 yield record_batch(_TOKENS, token=token[part], node=owner[part], place=(pos[part] << 32) | size[part], bitmap=none)
 
     table = materialize(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "token long, node long, place long, bitmap binary"), "tokens")
-    return table.where("token is not null").select("token", "node", "place"), table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap")
+    tokens = table.where("token is not null").select("token", "node", "place")
+    tokens.staged_at = table.staged_at
+    return tokens, table.where("token is null").select("node", F.col("place").cast("int").alias("n"), "bitmap")
 
 
 def by_token(rows: DataFrame, hot: Column, total: int, then: Callable[[DataFrame], DataFrame], **aggregates: Column) -> DataFrame:
@@ -420,7 +422,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order: GlobalO
     once = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared"))
     summed = once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     links = summed.where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    return materialize(links.select("a", "b"), "verified")
+    found = materialize(links.select("a", "b"), "verified")
+    discard(asked, readers, segments)
+    return found
 
 
 class _Bitmaps:
@@ -526,8 +530,8 @@ def _with_before(rows: DataFrame, *keys: str) -> DataFrame:
 def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame, order: GlobalOrder, percent: int = PERCENT, block: int = BLOCK, *, nearest: bool = False) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of a posting group from different components that sizes, places and bitmaps allow to be links.
 
-    With ``nearest`` only the nearest of these by bitmaps for each row of the groups of more than PLAIN rows, and
-    none at all where no group has more than ``block`` rows.
+    With ``nearest``, where a group has more than ``block`` rows, only the nearest of these by bitmaps for each row of
+    the groups of more than PLAIN rows; ``complete`` of the result says whether it has all.
     """
     few = F.broadcast(components) if components.count() <= BROADCAST_IDS else components
     placed = postings.select("token", "node", "pos", "n").join(few, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -536,7 +540,8 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
     used = [placed, opened]
     rows = _with_before(opened)
     hot = rows.where(F.col("size") > block).select("token", "node", F.col("pos").alias("at"), F.col("before").alias("first"))
-    some = not hot.isEmpty()
+    some = not opened.where(F.col("size") > block).isEmpty()
+    nearest = nearest and some
     if percent > 50 and some:
         # by the next token that the sets share: what stands after it is one place further back for the bound
         after = placed.select("node", "component", "n", "pos", F.col("token").alias("next")).join(hot, "node").where("pos > at")
@@ -547,7 +552,7 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
         again = _with_before(split_opened, "by").withColumn("before", F.concat("first", "before"))
         rows = rows.where(F.col("size") <= block).unionByName(again.select(*rows.columns))
     if nearest:
-        rows = rows.where(F.col("size") > PLAIN if some else F.lit(False))
+        rows = rows.where(F.col("size") > PLAIN)
     # A group of more than ``block`` rows is compared block by block: each row meets each block once.
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -643,6 +648,7 @@ def crossing_pairs(postings: DataFrame, nodes: DataFrame, components: DataFrame,
 
     allowed = allowed_pairs(sorted_rows.mapInArrow(compare, "a long, b long").select("a", "b").distinct(), nodes, percent)
     discard(*used)  # the candidates are a table of their own
+    allowed.complete = not nearest
     return allowed
 
 
@@ -659,17 +665,21 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, words: int =
     by_node = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "by-node")
     nodes = materialize(described.dropDuplicates(["node"]).join(by_node, "node").select("node", "n", "bitmap", "doc_id"), "nodes")
     postings = shared_postings(tokens, order)
+    discard(tokens)  # with what ``described`` reads
     stars = materialize(star_pairs(postings, nodes, percent), "stars")
     links = verified(stars, docs, nodes, order, percent, words)
     components = connected_components(links)
     places = shared_places(postings, percent)
-    near = materialize(crossing_pairs(places, nodes, components, order, percent, nearest=True), "nearest")
-    if not near.isEmpty():
-        links = links.unionByName(verified(near, docs, nodes, order, percent, words))
-        components = connected_components(links)
-    crossing = materialize(crossing_pairs(places, nodes, components, order, percent), "crossing")
-    if not crossing.isEmpty():
-        components = connected_components(links.unionByName(verified(crossing, docs, nodes, order, percent, words)))
+    if hasattr(places, "staged_at"):
+        discard(postings)
+    for nearest in (True, False):
+        pairs = crossing_pairs(places, nodes, components, order, percent, nearest=nearest)
+        crossing = materialize(pairs, "crossing")
+        if not crossing.isEmpty():
+            links = links.unionByName(verified(crossing, docs, nodes, order, percent, words))
+            components = connected_components(links)
+        if pairs.complete:
+            break
     linked = by_node.join(components, "node").select("node", "component", "doc_id", "copies")
     smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     reached = join_counted(linked, smallest, "component", "size", linked.count()).select("node", "component_id", "copies")
