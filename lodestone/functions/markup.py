@@ -221,22 +221,23 @@ CUT = "\ufdd0"
 def sentences(text: Column | str) -> Column:
     """Sentences in order, without outer white space; not cut after abbreviations, initials or within formulas.
 
-    Every place that looks like an end is marked, and pieces are put together again where it is none.
-    A sentence has an even number of dollars, so those of the last piece tell whether a formula is open.
+    Every place that looks like an end is marked, and marks go again where it is none. Sentences have even
+    numbers of dollars, so those up to a mark tell whether a formula is open; most texts have none to count.
     """
-    pieces = F.split(F.regexp_replace(_col(text), "(?U)" + K.SENTENCE_CUT, f"$1$2{CUT}$3"), CUT)
     short = "^(?:" + "|".join(w.replace(".", r"\.") for w in K.ABBREVIATIONS) + r"|\p{L})$"
 
-    def goes_on(piece: Column) -> Column:
-        word = F.regexp_replace(F.lower(F.regexp_extract(piece, K.LAST_WORD, 1)), "^[(\"'“‘]+", "")
-        dollars = F.length(piece) - F.length(F.replace(piece, F.lit("$"), F.lit("")))
-        return word.rlike(short) | (dollars % 2 == 1)
+    def abbreviated(piece: Column) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_extract(piece, K.LAST_WORD, 1)), "^[(\"'“‘]+", "").rlike(short)
+
+    def marked(piece: Column, goes_on: Column) -> Column:
+        return F.concat(piece, F.when(goes_on, "").otherwise(CUT))
 
-    def add(state: Column, piece: Column) -> Column:
-        on = goes_on(state["last"])
-        done = F.when(on, state["done"]).otherwise(F.array_append(state["done"], state["last"]))
-        return F.struct(done.alias("done"), F.when(on, F.concat(state["last"], piece)).otherwise(piece).alias("last"))
+    def count(state: Column, piece: Column) -> Column:
+        now = state["n"] + F.length(piece) - F.length(F.replace(piece, F.lit("$"), F.lit("")))
+        return F.struct(F.array_append(state["open"], now % 2 == 1).alias("open"), now.alias("n"))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.element_at(pieces, 1).alias("last"))
-    found = F.aggregate(F.slice(pieces, 2, F.greatest(F.lit(0), F.size(pieces) - 1)), start, add, lambda state: F.array_append(state["done"], state["last"]))
-    return F.filter(F.transform(found, strip), lambda s: s != "")
+    pieces = F.split(F.regexp_replace(_col(text), "(?U)" + K.SENTENCE_CUT, f"$1$2{CUT}$3"), CUT)
+    start = F.struct(F.array().cast("array<boolean>").alias("open"), F.lit(0).alias("n"))
+    with_formulas = F.zip_with(pieces, F.aggregate(pieces, start, count, lambda state: state["open"]), lambda p, on: marked(p, on | abbreviated(p)))
+    each = F.when(_col(text).contains("$"), with_formulas).otherwise(F.transform(pieces, lambda p: marked(p, abbreviated(p))))
+    return F.filter(F.transform(F.split(F.array_join(each, ""), CUT), strip), lambda s: s != "")
