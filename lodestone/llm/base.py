@@ -9,16 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.stage import discard, join_counted, session_folder
+from lodestone.plans.stage import bound_batches, discard, join_counted, session_folder
 from lodestone.plans.stage import staged as materialize
 
-__all__ = ["discard", "join_counted", "materialize", "session_folder"]
+__all__ = ["bound_batches", "discard", "join_counted", "materialize", "session_folder"]
 
 #: Rows whose crc32(doc_id as text) leaves this remainder by 3 are held out of all training.
 HELD_OUT_REMAINDER = 1
-#: Of an Arrow batch that goes to a Python worker.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
 
 
 def remainder3(doc_id: str = "doc_id") -> Column:
@@ -40,17 +37,6 @@ def hash_unit(*cols: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts to some megabytes, on both sides of the pipe; smaller settings stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        try:
-            now = int(spark.conf.get(key))
-        except Exception:  # noqa: BLE001  a version of Spark without this setting
-            continue
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
-
-
 def record_batch(schema: pa.Schema | list[tuple[str, pa.DataType]], **columns) -> pa.RecordBatch:
     fields = pa.schema(schema) if isinstance(schema, list) else schema
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in fields], schema=fields)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import markup, prose, text
+from lodestone.operators import passages
 from lodestone.operators.passages import passages_of
 
 
@@ -155,3 +156,12 @@ def test_overlap_is_whole_sentences():
 
 def test_no_lines_no_passages():
     assert passages_of("") == [] and passages_of("\n \n") == []
+
+
+def test_chunks_travel_in_small_batches(spark):
+    """A batch of texts for the passages has a bounded number of rows."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    passages.chunk(spark.createDataFrame([(1, "A text.")], "doc_id long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
