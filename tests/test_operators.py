@@ -212,6 +212,39 @@ def test_mirrors_of_a_corpus(spark, block):
     assert {(r.a, r.b, r.jaccard) for r in mirrors.corpus_titles(docs, key="doc_id", block=block).collect()} == {(140, 141, 1.0)}
 
 
+def near_copies(n: int) -> list[tuple[int, str]]:
+    """Copies of a text of 60 words with one word changed, parts of it, and texts that hold parts."""
+    words = [f"w{i}" for i in range(60)]
+    changed = [(i, " ".join(w if k != i % 50 else f"x{i}" for k, w in enumerate(words))) for i in range(n)]
+    parts = [(n + i, " ".join(words[i % 5 : i % 5 + 20])) for i in range(n // 4)]
+    return changed + parts + [(2 * n + i, " ".join([f"y{i}-{k}" for k in range(90)] + words[:30])) for i in range(n // 4)]
+
+
+def plain_containment(rows: list[tuple[int, str]], threshold: float = 0.55) -> set[tuple[int, int, float]]:
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.replace("-", " ").split()) for i, t in rows)}
+    found = ((a, b, len(x & y) / min(len(x), len(y))) for a, x in sets.items() for b, y in sets.items() if a < b)
+    return {(a, b, round(c, 9)) for a, b, c in found if c >= threshold}
+
+
+@pytest.mark.parametrize("least", [7, 256])
+def test_containment_sends_no_pairs(spark, monkeypatch, least):
+    rows = near_copies(80)
+    expected, staged, counts = plain_containment(rows), mirrors.staged, {}
+
+    def counted(df, name, **options):
+        table = staged(df, name, **options)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(mirrors, "staged", counted)
+    monkeypatch.setattr(mirrors, "BLOCK_SETS", least, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in mirrors.corpus_containment(docs).collect()]
+    assert set(found) == expected and len(found) == len(expected) > 3000
+    if least == 256:  # tables of pairs grow with the square of a group; tokens have a row for each shingle of a text
+        assert max(n for name, n in counts.items() if name not in ("tokens", "shingles", "postings")) < 500
+
+
 @pytest.mark.parametrize("few", [0, 1])
 def test_copies_of_a_corpus_meet_what_is_kept_only(spark, monkeypatch, few):
     """Near copies, equal copies and pages that quote others: as the loop has it, and copies aren't paired with each other."""
