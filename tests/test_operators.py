@@ -243,6 +243,8 @@ def test_containment_sends_no_pairs(spark, monkeypatch, least):
     assert set(found) == expected and len(found) == len(expected) > 3000
     if least == 256:  # tables of pairs grow with the square of a group; tokens have a row for each shingle of a text
         assert max(n for name, n in counts.items() if name not in ("tokens", "shingles", "postings")) < 500
+    one = docs.select(F.lit(1).cast("long").alias("question_id"), "doc_id", "text")
+    assert {(r.a, r.b, r.containment) for r in mirrors.containment_pairs(one).collect()} == expected
 
 
 @pytest.mark.parametrize("few", [0, 1])
