@@ -10,27 +10,35 @@ term, whose sums are lower bounds of scores: the k-th of them is a score that th
 a block can reach it only if the block's bound and the best of the question's other terms do together;
 all other blocks are skipped. What the result needs stands in blocks that are read, so it is exact.
 
-Terms of every document are many blocks, dealt by salted joins (``join_counted``); no task holds a term.
+Postings of a frequent term are dealt to runs, so no task holds a term of every document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from lodestone.functions import constants as K
-from lodestone.functions.text import words
-from lodestone.operators.ranking import question_terms, tokens_of, top_k
-from lodestone.plans.stage import join_counted, session_folder, staged
+from lodestone.functions.text import fold_plural, words
+from lodestone.operators.ranking import question_terms, top_k
+from lodestone.plans.stage import bound_batches, session_folder, staged
 
 #: Postings of a segment's partition, about, and partitions of a segment at most.
 BUCKET_POSTINGS, MOST_BUCKETS = 4_000_000, 4096
 #: Postings of a block, about.
 BLOCK = 128
-#: Blocks of a frequent term hold postings whose lengths are within so many steps for each doubling, and whose
-#: frequencies are equal, or above EXACT_TF within a doubling; so the bound of a block is close to its postings.
+#: Postings of a term that one task orders; more are dealt to runs. A bucket is written by so many tasks at most.
+RUN, PARTS = 65_536, 8
+#: A run is cut to blocks in the order of frequencies (above EXACT_TF of their doublings), then of lengths in so many
+#: steps for each doubling; so the bound of a block is close to its postings.
 LENGTH_STEPS, EXACT_TF = 8, 16
 #: Postings of each term that are read for a first bound of the k-th score, at least.
 FIRST = 512
@@ -42,6 +50,27 @@ NAMED_TERMS = 2000
 BROADCAST_ROWS = 200_000
 
 
+def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, length, term, tf) of the terms of each text, counted where it is read; keys are those of whole texts."""
+    split = docs.select(key, F.transform(words(F.coalesce(F.col(text), F.lit(""))), fold_plural).alias("terms"))
+    fields = pa.schema([to_arrow_schema(split.select(key).schema).field(0), pa.field("length", pa.int32()), pa.field("term", pa.string()), pa.field("tf", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(1)
+            flat = terms.flatten().dictionary_encode()
+            known = max(1, len(flat.dictionary))
+            place = pc.list_parent_indices(terms).to_numpy().astype(np.int64) * known + flat.indices.to_numpy()
+            found, tf = np.unique(place, return_counts=True)
+            row, term = pa.array(found // known), pa.array(found % known)
+            columns = [batch.column(0).take(row), pc.list_value_length(terms).take(row), flat.dictionary.take(term), pa.array(tf)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    bound_batches(docs.sparkSession)
+    schema = StructType([*split.select(key).schema.fields, StructField("length", IntegerType()), StructField("term", StringType()), StructField("tf", LongType())])
+    return split.mapInArrow(count, schema)
+
+
 @dataclass
 class InvertedIndex:
     """Segments, each with its number of partitions; ``n`` and ``words`` count all texts and their words."""
@@ -60,28 +89,27 @@ class InvertedIndex:
 
         Null texts count as empty: they have no postings but count as texts. This index stays as it was.
         """
-        each = tokens_of(docs.select(self.key, F.coalesce(F.col(text), F.lit("")).alias(text)), [self.key], text)
-        counted = each.groupBy(self.key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        table = staged(counted.where("term is not null"), "frequencies")
+        table = staged(frequencies(docs, self.key, text), "frequencies")
         # a text's length from its words, so that texts without any count too
         size = docs.select(F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")).first()
+        buckets = max(1, min(MOST_BUCKETS, table.count() // BUCKET_POSTINGS))
+        # postings cross once, to where their block is written; there can't be more than one such term for each RUN postings
+        hot = table.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > RUN).select("term", F.ceil(F.col("df") / F.lit(RUN)).alias("runs"))
+        run = F.pmod(F.xxhash64(self.key), F.coalesce("runs", F.lit(1))).cast("int").alias("run")
+        rows = table.join(F.broadcast(hot), "term", "left").select("term", run, F.col(self.key).alias("key"), "tf", "length")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        sent = rows.select(bucket, F.pmod(F.xxhash64("term", "run"), F.lit(PARTS)).cast("int").alias("part"), "*").repartition("bucket", "part")
         alike = F.when(F.col("tf") <= EXACT_TF, F.col("tf")).otherwise(EXACT_TF + F.floor(F.log2("tf"))) * 1000 + F.floor(F.log2(F.col("length") + 1) * LENGTH_STEPS)
-        rows = table.withColumn("slot", F.struct("term", alike.cast("int").alias("alike")))
-        sizes = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("size"))
-        groups = sizes.withColumn("of_term", F.sum("size").over(Window.partitionBy("slot.term")))
-        total = table.count()
-        buckets = max(1, min(MOST_BUCKETS, total // BUCKET_POSTINGS))
-        placed = join_counted(rows.select("slot", self.key, "tf", "length"), groups, "slot", "size", max(1, total))
-        rare = F.col("of_term") <= BLOCK  # all of a rare term is one block
-        block = F.when(~rare, F.pmod(F.xxhash64(self.key), F.ceil(F.col("size") / F.lit(BLOCK))))
-        grouped = placed.groupBy("slot.term", F.when(~rare, F.col("slot.alike")).alias("alike"), block.alias("block")).agg(
-            F.collect_list(F.struct(F.col(self.key).alias("key"), "tf", "length")).alias("postings"),
+        at = ["bucket", "part", "term", "run"]
+        nth = F.row_number().over(Window.partitionBy(*at).orderBy(alike, "length", "key"))
+        grouped = sent.withColumn("block", F.floor((nth - 1) / BLOCK).cast("int")).groupBy(*at, "block").agg(
+            F.collect_list(F.struct("key", "tf", "length")).alias("postings"),
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"),
         )
-        named = grouped.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "n", "most", "shortest", "postings")
-        ordered = named.withColumn("block", F.concat(F.lit(f"{len(self.segments)}:"), F.xxhash64("term", "most", "shortest", "postings").cast("string")))
+        named = F.concat(F.lit(f"{len(self.segments)}:"), F.concat_ws(":", "run", "block")).alias("block")
+        ordered = grouped.select("bucket", "term", "n", "most", "shortest", "postings", named)
         path = f"{session_folder(docs.sparkSession)}/segment-{len(self.segments)}-{table.staged_at.rsplit('-', 1)[-1]}"
-        ordered.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+        ordered.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
         segment = docs.sparkSession.read.schema(ordered.schema).parquet(path)
         return InvertedIndex(self.key, [*self.segments, (segment, buckets)], self.n + size["n"], self.words + (size["words"] or 0))
 

@@ -68,3 +68,18 @@ def test_empty_tables(docs, questions):
     index = inverted.build_index(docs.where("false"))
     assert inverted.search_index(index, questions).collect() == []
     assert inverted.search_index(inverted.build_index(docs), questions.where("false")).collect() == []
+
+
+def test_blocks_of_a_term_are_full_and_runs_agree(spark, monkeypatch):
+    texts = [(i, " ".join(["light"] * (1 + i % 7) + [f"w{k}" for k in range(i % 90)])) for i in range(1000)]
+    docs = spark.createDataFrame([*texts, (1000, None), (1001, "")], "doc_id long, text string").repartition(3)
+    questions = spark.createDataFrame([(1, "light"), (2, "light w89"), (3, "w3 w88")], "question_id long, question string")
+    expected = sorted(map(tuple, ranking.rank_by_terms(questions, docs).collect()))
+    for run, most in ((inverted.RUN, 8), (100, 20)):  # 1000 postings are eight blocks, or one or two for each of ten runs
+        monkeypatch.setattr(inverted, "RUN", run, raising=False)
+        index = inverted.build_index(docs)
+        (segment, _), = index.segments
+        blocks = segment.where("term = 'light'").select("n", "block").collect()
+        assert sum(b.n for b in blocks) == 1000 and len({b.block for b in blocks}) == len(blocks) <= most
+        assert (index.n, index.words) == (1002, sum(len(t.split()) for _, t in texts))
+        assert sorted(map(tuple, inverted.search_index(index, questions).collect())) == expected
