@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,6 +248,31 @@ def test_containment_sends_no_pairs(spark, monkeypatch, least):
     assert {(r.a, r.b, r.containment) for r in mirrors.containment_pairs(one).collect()} == expected
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_equal_titles_are_compared_once(spark, monkeypatch, block):
+    """Pages of few titles, near ones among these, and a repeated id: as its SQL has it, and tables hold titles and pages, not their meetings."""
+    plain, rng = NINE.split(), random.Random(5)
+    kinds = [plain, [*plain, "ten"], [*plain[::-1], "eleven"], plain[:8], plain[:3], [], ["other", *plain[:5]], [*plain, "ten", "eleven"]]
+    rows = [(i, " ".join(rng.choice(kinds[:3] if i % 4 else kinds))) for i in range(200)]
+    rows += [(7, NINE), (7, NINE + " ten"), (300, None)]
+    sets, expected = [(i, set((t or "").split())) for i, t in rows], Counter()
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and min(len(x), len(y)) >= 4 and len(x & y) / len(x | y) >= 0.85:
+                expected[a, b, round(len(x & y) / len(x | y), 9)] += 1
+    staged, counts = mirrors.staged, {}
+
+    def counted(df, name, **options):
+        table = staged(df, name, **options)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(mirrors, "staged", counted)
+    pages = spark.createDataFrame(rows, "page_id long, title string")
+    assert Counter(tuple(r) for r in mirrors.corpus_titles(pages, block=block).collect()) == expected
+    assert len(expected) > 5000 and max(counts.values()) <= len(rows)
+
+
 @pytest.mark.parametrize("few", [0, 1])
 def test_copies_of_a_corpus_meet_what_is_kept_only(spark, monkeypatch, few):
     """Near copies, equal copies and pages that quote others: as the loop has it, and copies aren't paired with each other."""
