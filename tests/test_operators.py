@@ -293,6 +293,21 @@ def test_copies_of_a_corpus_meet_what_is_kept_only(spark, monkeypatch, few):
         assert sum(paired) < 6 * len(texts)
 
 
+def test_pages_of_a_corpus_are_compared_with_few(spark, monkeypatch):
+    """Titles that share words by chance make no pairs; a page that many kept ones contain is compared with few of these."""
+    rng = random.Random(6)
+    pool, passage = [f"t{i}" for i in range(15)], [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"a{i}b{k}" for k in range(200 + i)) + " " + " ".join(passage) for i in range(60)]
+    texts += [" ".join(passage[i : i + 20 + i]) for i in range(20)]
+    titles = [" ".join(rng.sample(pool, 9)) for _ in range(60)] + [""] * 20
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, titles)), "doc_id long, text string, title string")
+    plain_staged, rows = mirrors.staged, Counter()
+    monkeypatch.setattr(mirrors, "staged", lambda df, name, **o: (t := plain_staged(df, name, **o), rows.update({name: t.count()}))[0])
+    out = {r.doc_id: r.mirror_of for r in mirrors.corpus_mirrors(docs, few=0).collect()}
+    assert {i: k for i, k in out.items() if k is not None} == plain_mirrors(texts, titles) and set(out) == set(range(len(texts)))
+    assert rows["pairs"] < 1500 and rows.get("compared", rows["pairs"]) < 100
+
+
 def test_long_chains_are_decided(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(59)], "earlier long, later long").coalesce(1)
     pages = spark.range(60).select(F.col("id").alias("node")).coalesce(1)
