@@ -199,13 +199,17 @@ def identify(docs: DataFrame, **train_options) -> DataFrame:
     return predict(docs, broadcast_model(docs, **train_options))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, **train_options) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.0, relabel: bool = False, **train_options) -> DataFrame:
     """The rows of ``docs`` that op8 does not call ``und``, with all columns; with ``min_score`` only those scored so high.
 
-    Every row is judged by the model; where ``lang`` is null it becomes the language that op8 predicts.
+    Every row is judged by the model; where ``lang`` is null it becomes the language that op8 predicts. With ``relabel``
+    it does so in every row, but for those given in a language that the model could not learn.
     """
     bound_batches(docs.sparkSession)
-    shared = broadcast_model(docs, **train_options)
+    shared, learned = [], set()
+    for model in train_blocks(docs, **train_options):
+        shared.append(docs.sparkSession.sparkContext.broadcast(model))
+        learned.update(model.languages if relabel else ())
     at = docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +220,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0, **train_options) ->
             names, score = judged(shared, texts)
             known = pa.array([bool(s) and has_letter(t) for s, t in zip(score >= min_score, texts)], pa.bool_())
             given = batch.column("lang")
+            if relabel:
+                given = pa.array([None if lang in learned else lang for lang in given.to_pylist()], given.type)
             yield batch.set_column(at, batch.schema.field(at), pc.coalesce(given, pa.array(names, given.type))).filter(known)
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,9 +1,10 @@
+import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
-from lodestone.llm import exact_dedup, mixing, ngram_join
+from lodestone.llm import exact_dedup, language_id, mixing, ngram_join
 from lodestone.llm.base import materialize
 from tests.llm.conftest import SCHEMA
 from tests.llm.test_mixing_warc import poisson_count, uniform
@@ -34,6 +35,18 @@ def test_empty_documents(spark, empty, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_every_document_has_the_language_of_op8(spark):
+    """Wrong languages too; one that only a held-out document has can't be learned and stays."""
+    rows = [(i, ["le chat dort", "der hund bellt", "the dog barks"][i % 3], ["fr", "de", "en"][i % 3]) for i in range(60)]
+    rows += [(102, "le chat", "de"), (103, "the dog", "fr"), (104, "der hund", None), (105, "12", "en")]
+    held = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 3 == 1)
+    docs = spark.createDataFrame([*rows, (held, "o gato dorme", "pt")], "doc_id long, text string, lang string")
+    told = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    out = {r.doc_id: r.lang for r in P.identify_language(spark, docs, "").collect()}
+    assert out == {i: lang for i, lang in told.items() if i not in (105, held)} | {held: "pt"}
+    assert [out[i] for i in (102, 103, 104)] == ["fr", "en", "de"]
+
+
 def test_near_copies_of_the_stage(spark):
     words = [f"w{i}" for i in range(200)]
     near = [w if i not in (20, 60, 100, 140) else f"x{i}" for i, w in enumerate(words)]
