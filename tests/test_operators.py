@@ -248,6 +248,28 @@ def test_containment_sends_no_pairs(spark, monkeypatch, least):
     assert {(r.a, r.b, r.containment) for r in mirrors.containment_pairs(one).collect()} == expected
 
 
+@pytest.mark.parametrize("few", [-1, 4_000_000])
+def test_equal_texts_are_one_set(spark, monkeypatch, few):
+    """Copies of a text in the corpus, near ones and texts that only copies have: all pairs of all ids, from few sets."""
+    rows = near_copies(20)
+    rows += [(100 + i, rows[3][1]) for i in range(50)] + [(200 + i, "only these have words like that") for i in range(5)] + [(300 + i, "two words") for i in range(3)]
+    expected = plain_containment(rows[:-3]) | {(300, 301, 1.0), (300, 302, 1.0), (301, 302, 1.0)}
+    rows += [(400 + i, "?!") for i in range(3)] + [(500, ""), (501, ""), (600, None), (601, None), (None, rows[3][1])]
+    staged, counts = mirrors.staged, {}
+
+    def counted(df, name, **options):
+        table = staged(df, name, **options)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(mirrors, "staged", counted)
+    monkeypatch.setattr(mirrors, "BROADCAST_COPIES", few, raising=False)
+    monkeypatch.setattr(mirrors, "PAIRS_OUT", 100)
+    found = [tuple(r) for r in mirrors.corpus_containment(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(found) == expected and len(found) == len(expected) > 2000
+    assert counts["texts"] < 45
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_equal_titles_are_compared_once(spark, monkeypatch, block):
     """Pages of few titles, near ones among these, and a repeated id: as its SQL has it, and tables hold titles and pages, not their meetings."""
